@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import near_dedup, quality_rules
+from evigraph.llm import line_dedup, near_dedup, quality_rules, source_mix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,17 @@ def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir), k=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repetition_coverage, op3_odd_sketch_dedup)}
-SQL: dict[str, str] = {"op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL}
+def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op10_perfect_hash_lines)
+}
+SQL: dict[str, str] = {
+    "op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL, "op4_fair_queue_mix": source_mix.SQL, "op10_perfect_hash_lines": line_dedup.SQL,
+}
