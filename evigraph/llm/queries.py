@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import line_dedup, near_dedup, quality_rules, source_mix
+from evigraph.llm import decontam, line_dedup, near_dedup, quality_rules, source_mix, token_output
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +25,29 @@ def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    """The place of the public vocabulary; it stays where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
+def op6_prefix_filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.scan(documents(spark, sf_dir), items).drop("items")
+
+
 def op10_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op10_perfect_hash_lines)
+    f.__name__: f for f in (op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op5_addressable_codes, op6_prefix_filtered_windows, op10_perfect_hash_lines)
 }
 SQL: dict[str, str] = {
-    "op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL, "op4_fair_queue_mix": source_mix.SQL, "op10_perfect_hash_lines": line_dedup.SQL,
+    "op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL, "op4_fair_queue_mix": source_mix.SQL, "op6_prefix_filtered_windows": decontam.SQL, "op10_perfect_hash_lines": line_dedup.SQL,
 }
