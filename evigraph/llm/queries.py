@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evigraph.llm import decontam, line_dedup, near_dedup, quality_rules, source_mix, token_output
+from evigraph.llm import decontam, language_id, license_scan, line_dedup, near_dedup, quality_knn, quality_rules, source_mix, token_output, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir))
+    joined = {c: F.array_join(c, " ") for c in ("missing_words", "added_words")}
+    return found.withColumns(joined)
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(documents(spark, sf_dir))
 
@@ -41,13 +48,30 @@ def op6_prefix_filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(documents(spark, sf_dir), items).drop("items")
 
 
+def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_partial_matching_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = language_id.fold("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", "quality")
+    model = quality_knn.fit(docs, labels)
+    scored = quality_knn.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op5_addressable_codes, op6_prefix_filtered_windows, op10_perfect_hash_lines)
+    f.__name__: f for f in (op1_license_compression, op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op5_addressable_codes, op6_prefix_filtered_windows, op7_url_vocabulary, op8_partial_matching_language, op9_neighbour_quality, op10_perfect_hash_lines)
 }
 SQL: dict[str, str] = {
-    "op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL, "op4_fair_queue_mix": source_mix.SQL, "op6_prefix_filtered_windows": decontam.SQL, "op10_perfect_hash_lines": line_dedup.SQL,
+    "op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL, "op4_fair_queue_mix": source_mix.SQL, "op6_prefix_filtered_windows": decontam.SQL, "op7_url_vocabulary": url_filter.SQL, "op10_perfect_hash_lines": line_dedup.SQL,
 }
