@@ -3,17 +3,21 @@
 1. Each text becomes its set of word shingles (64-bit hashes), a 128-bit key of the
    set, MinHash bands, and an odd sketch: every MinHash sample flips one bit of a
    parity bitmap, so the bits in which two bitmaps differ estimate how many samples
-   differ, most precisely where similarity is high.
+   differ, most precisely where similarity is high. A sample is the smallest hash in
+   one of SAMPLES equal parts of the hash range, or, where a set has none there, the
+   smallest value of a hash function of that part's own: either way two sets agree
+   with probability equal to their similarity.
 2. Equal sets collapse to one representative by a map-side combined aggregation.
-3. In each band bucket all members are compared with its smallest member only; pairs
-   whose sketches rule out the threshold go, the others are confirmed on full sets.
-   Connected components follow by contracting random stars.
+3. In the band buckets a member is paired with the bucket's smallest member only, and of
+   these pairs a node keeps the few that meet in most bands. Sketches rule pairs out,
+   full sets confirm the others. Connected components follow by contracting random stars.
 4. Buckets that still hold several components get the exact way for the rest: members
    outside the bucket's main component are compared with all members of other
-   components, sketches first inside the join condition, then full sets. So no pair
-   of a bucket is left open, and no bucket is expanded into all its pairs.
+   components inside a join's condition, by their sizes and by odd sketches of the full
+   sets, so that only near links come out; these are confirmed on full sets. No pair of
+   a bucket is left open, and no bucket is expanded into all its pairs.
 
-A true pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
+A true pair of similarity 0.8 shares no band with probability (1 - 0.8**8)**64 = 8e-6.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle of them all; texts of equal
@@ -26,22 +30,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
 from evigraph.llm.shared import cut, map_batches, prepare
 
-ROWS, BANDS = 5, 32
-SKETCH_BITS = 512
-#: How far a sketch's estimate may lie below the threshold: five standard deviations.
-SLACK = 0.16
-
-_SAMPLES = ROWS * BANDS
+ROWS, BANDS = 8, 64
+SAMPLES = ROWS * BANDS
+#: Bits of the sketch of the samples, and of that of a full set.
+SKETCH_BITS, SET_BITS = 1024, 2048
+#: How far a sketch's estimate of similarity may lie below the threshold, more than five
+#: standard deviations of the samples; and the deviations allowed to that of a full set.
+SLACK, DEVIATIONS = 0.10, 6.0
+#: Smallest bucket members that a node is checked against first.
+FIRST_HEADS = 2
+
+_PART = B.U64(64 - (SAMPLES - 1).bit_length())
 _draw = np.random.Generator(np.random.PCG64(77))
-_MUL = (_draw.integers(0, 1 << 31, _SAMPLES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
-_ADD = _draw.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32)
-_ORDER = np.arange(1, _SAMPLES + 1, dtype=np.uint64) * B.U64(0x9E3779B97F4A7C15)
+_MUL = (_draw.integers(0, 1 << 31, SAMPLES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+_ADD = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
+_ORDER = np.arange(1, SAMPLES + 1, dtype=np.uint64) * B.U64(0x9E3779B97F4A7C15)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -58,37 +67,66 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def samples(values: np.ndarray) -> np.ndarray:
-    """MinHash samples of a set that isn't empty."""
-    low = (values >> B.U64(32)).astype(np.uint32)
-    out = np.full(_SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 512):
-        part = low[at : at + 512]
-        np.minimum(out, (part[None, :] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=out)
+    """MinHash samples of a sorted set that isn't empty."""
+    part = (values >> _PART).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    out = np.zeros(SAMPLES, np.uint64)
+    out[part[first]] = values[first]
+    filled = np.zeros(SAMPLES, bool)
+    filled[part[first]] = True
+    rest = np.flatnonzero(~filled)
+    if len(rest):
+        low = (values >> B.U64(16)).astype(np.uint32)
+        mul, add = _MUL[rest][:, None], _ADD[rest][:, None]
+        least = np.full(len(rest), 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(low), 512):
+            np.minimum(least, (low[None, at : at + 512] * mul + add).min(axis=1), out=least)
+        out[rest] = least
     return out
 
 
+def parity(places: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of which bits were flipped an odd number of times, as 64-bit words."""
+    odd = (np.bincount((places & B.U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
 def bands_and_sketch(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and the odd sketch as 64-bit words."""
-    wide = B.mix(sample.astype(np.uint64) + _ORDER)
+    """Band keys, and the odd sketch of the samples."""
+    wide = B.mix(sample + _ORDER)
+    # The samples of a band are spread over the hash range.
     key = np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
-        key = B.mix(key * B.U64(0xD6E8FEB86659FD93) + wide[r::ROWS])
-    bit = (wide & B.U64(SKETCH_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return key, np.packbits(odd).view(np.uint64)
+        key = B.mix(key * B.U64(0xD6E8FEB86659FD93) + wide[r * BANDS : (r + 1) * BANDS])
+    return key, parity(wide, SKETCH_BITS)
 
 
 def most_flips(threshold: float) -> int:
     """The most differing sketch bits that leave the threshold possible, slack included."""
-    differ = 2 * _SAMPLES * (1 - (threshold - SLACK))
+    differ = 2 * SAMPLES * (1 - (threshold - SLACK))
     return int(np.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ)))
 
 
-def _flips(a: str, b: str) -> Column:
-    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)]
+def _flips(a: str, b: str, bits: int) -> Column:
+    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)]
     return sum(parts[1:], parts[0])
 
 
+def _sets_may_link(na: str, nb: str, pa_: str, pb: str, percent: int) -> Column:
+    """Whether sizes and full-set sketches leave the threshold possible.
+
+    Similar sets differ in at most d = (100 - percent) / (100 + percent) of their added
+    sizes; d flips of n bits leave n/2 (1 - (1 - 2/n)**d) odd ones on average.
+    """
+    n, a, b = float(SET_BITS), F.col(na), F.col(nb)
+    sizes = (F.lit(100) * F.least(a, b)) >= (F.lit(percent) * F.greatest(a, b))
+    d = (a + b) * F.lit((100 - percent) / (100 + percent))
+    one, two = F.pow(F.lit(1 - 2 / n), d), F.pow(F.lit(1 - 4 / n), d)
+    mean = F.lit(n / 2) * (1 - one)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.lit(n / 4) * (1 - two) + F.lit(n * n / 4) * (two - one * one)))
+    return sizes & (_flips(pa_, pb, SET_BITS) <= mean + F.lit(DEVIATIONS) * spread + 1)
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, the set's key, band keys and sketch of every row."""
 
@@ -118,20 +156,22 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set) of the wanted nodes, the set as its sorted 64-bit values."""
+    """(node, size, parity, shingles) of the wanted nodes: the set as its sorted 64-bit values."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     src = src.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(w.hashes, k) for w in B.words(batch.column(1), fold=True)]
         keys = [set_key(s) for s in sets]
+        odd = [B.signed(parity(B.mix(s ^ B.U64(0x6A09E667F3BCC909)), SET_BITS)) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(B.signed(np.array([a for a, _ in keys], np.uint64))), pa.array(B.signed(np.array([b for _, b in keys], np.uint64))), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["node", "key_a", "key_b", "shingles"],
+            [batch.column(0), pa.array(B.signed(np.array([a for a, _ in keys], np.uint64))), pa.array(B.signed(np.array([b for _, b in keys], np.uint64))),
+             pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
+            ["node", "key_a", "key_b", "size", "parity", "shingles"],
         )
 
-    sets = map_batches(src, run, "node long, key_a long, key_b long, shingles binary")
-    return sets.join(wanted, ["node", "key_a", "key_b"], "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    sets = map_batches(src, run, "node long, key_a long, key_b long, size long, parity array<long>, shingles binary")
+    return sets.join(wanted, ["node", "key_a", "key_b"], "left_semi").select("node", "size", "parity", "shingles").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,27 +235,32 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
     rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.xxhash64("band", "band_key").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
-    rows = cut(rows.join(heads, "bucket").distinct(), "buckets")
-    members = rows.select("node").distinct()
-    sketches = cut(nodes.join(members, "node", "left_semi").select("node", "key_a", "key_b", "sketch").dropDuplicates(["node"]), "sketches")
-    sets = cut(full_sets(docs, sketches.select("node", "key_a", "key_b"), k, id_col, text_col), "sets")
-    limit = most_flips(percent / 100)
-
-    sk = sketches.select("node", "sketch")
-    pairs = rows.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb") <= limit).select("a", "b")
+    rows = cut(rows.join(heads, "bucket"), "buckets")
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "key_a", "key_b", "sketch").dropDuplicates(["node"])
+    wanted = cut(wanted, "sketches")
+    sets = cut(full_sets(docs, wanted.select("node", "key_a", "key_b"), k, id_col, text_col), "sets")
+
+    # A node has at most a pair for each band: the heads met in most bands, and the least of all.
+    met = rows.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "head"))
+    least = F.min("head").over(Window.partitionBy("node"))
+    met = met.select("node", "head", rank.alias("rank"), least.alias("least")).where((F.col("rank") <= FIRST_HEADS) | (F.col("head") == F.col("least")))
+    sk = wanted.select("node", "sketch")
+    pairs = met.select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb", SKETCH_BITS) <= most_flips(percent / 100)).select("a", "b")
     links = cut(confirmed(pairs, sets, percent), "links")
     label = components(links)
 
     # The exact way for the rest: buckets of several components.
-    placed = rows.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    placed = rows.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(sk, "node")
-    open_rows = cut(open_rows, "open")
-    rest = open_rows.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-    whole = open_rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), "main")
-    near = rest.join(whole, (rest["bucket"] == whole["bucket"]) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (_flips("sa", "sb") <= limit))
+    odd = sets.select("node", "size", "parity")
+    open_rows = cut(placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(odd, "node"), "open")
+    rest = open_rows.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"))
+    whole = open_rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), "main")
+    other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+    near = rest.join(whole, (rest["bucket"] == whole["bucket"]) & other & _sets_may_link("na", "nb", "pa", "pb", percent))
     near = near.select("a", "b").distinct()
     more = cut(confirmed(near, sets, percent), "links")
     if not more.isEmpty():
