@@ -69,7 +69,7 @@ class PatternExtractor:
     """Statements of the form 'X <phrase> Y', by a phrase for each relation."""
 
     def __init__(self, shapes: Sequence[tuple[str, str, str]], phrases: dict[str, str]):
-        self.rules = [(s, rel, o, re.compile(rf"([A-Z][\w&.-]*(?: [A-Z][\w&.-]*)*) {re.escape(phrases[rel])} ([A-Z][\w&-]*(?: [A-Z][\w&-]*)*)")) for s, rel, o in shapes if s == "COMPANY"]
+        self.rules = [(s, rel, o, re.compile(rf"([A-Z][\w&-]*(?: [A-Z][\w&-]*)*) {re.escape(phrases[rel])} ([A-Z][\w&-]*(?: [A-Z][\w&-]*)*)")) for s, rel, o in shapes if s == "COMPANY"]
 
     def triples(self, text: str) -> list[tuple[str, str, str, str, str]]:
         return [(s, m[1], rel, o, m[2]) for s, rel, o, rule in self.rules for m in rule.finditer(text or "")]
