@@ -71,7 +71,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (B.mix(keys + B.U64(level) * B.U64(0x9E3779B97F4A7C15)) % B.U64(size)).astype(np.int64)
+        return (B.mix(keys + B.U64(level * 0x9E3779B97F4A7C15 % (1 << 64))) % B.U64(size)).astype(np.int64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; of others some slot, or -1."""
@@ -126,6 +126,8 @@ class Shard:
     def probe(self, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys the shard has, and for each its last holder."""
         at = self.index.slots(keys)
+        if not len(self.prints):
+            return at >= 0, at
         found = (at >= 0) & (self.prints[at] == prints)
         return found, self.last[at]
 
