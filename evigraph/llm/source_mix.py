@@ -28,7 +28,7 @@ from evigraph.llm.shared import cut
 
 MAX_REPEATS = 3
 #: Rows in a bin, on average.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_048
 _HASH_RANGE = float(1 << 32)
 
 
@@ -56,8 +56,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -
     s = s.withColumn("budget", F.sum("source_size").over(everything))
     # The level if all sources before this one are full and no other is.
     s = s.withColumn("level_here", (F.col("budget") - F.col("cap_before")) / F.col("weight_left"))
-    level = F.min(F.when(F.col("level_here") <= F.col("full_at"), F.col("level_here"))).over(everything)
-    s = s.withColumn("level", level)
+    # The first source that doesn't get full at it sets the level.
+    first = F.min(F.when(F.col("level_here") <= F.col("full_at"), F.struct("full_at", "rank", "level_here"))).over(everything)
+    s = s.withColumn("level", first["level_here"])
     target = F.least(F.col("cap"), F.col("weight") * F.col("level"))
     return s.select("source", "source_size", "n_docs", "rank", "weight", "budget", "level", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -137,7 +138,7 @@ s4 AS (
   SELECT *, sum(cap) OVER w - cap AS cap_before, sum(weight) OVER () - sum(weight) OVER w + weight AS weight_left, sum(source_size) OVER ()::BIGINT AS budget
   FROM s3 WINDOW w AS (ORDER BY full_at, rank ROWS UNBOUNDED PRECEDING)),
 s5 AS (SELECT *, (budget - cap_before) / weight_left AS level_here FROM s4),
-s6 AS (SELECT *, min(level_here) FILTER (level_here <= full_at) OVER () AS level FROM s5),
+s6 AS (SELECT *, (SELECT level_here FROM s5 WHERE level_here <= full_at ORDER BY full_at, rank LIMIT 1) AS level FROM s5),
 s AS (SELECT source, source_size, rank, weight, budget, coalesce(least(cap, weight * level), 0.0) AS target FROM s6),
 p AS (
   SELECT d.doc_id, d.size, d.key, s.source_size, s.rank, s.weight, s.budget, s.target,
