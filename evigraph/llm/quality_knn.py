@@ -13,8 +13,8 @@ The fit uses a bounded sample of the labelled rows: the MOST_LABELLED of smalles
 hash of the id. All texts are scored whole.
 
 Cases: a null or empty text has the terms of its length bands only, and is scored by
-them; without labelled rows all scores are 0.5; with several labels of one id the
-smallest counts; null labels are no labels; equal similarities are taken in the
+them; without labelled rows all scores are 0.5; with several labels or texts of one
+id the smallest counts; null labels are no labels; equal similarities are taken in the
 labelled rows' hash order; repeated rows give repeated results; further columns are
 ignored; an empty table gives an empty result.
 """
@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     named = named.groupBy("id").agg(F.min("label").alias("label"))
     order = F.xxhash64("id")
     few = named.withColumn("o", order).orderBy("o", "id").limit(most)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("text", "label", "o", "id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    src = found.groupBy("o", "id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("text", "label", "o", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
