@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Surface names that are broadcast at once.
+SURFACES = 20_000
 #: Rows of any template's answer.
 MOST_ROWS = 50
 CHUNK = "Chunk"
@@ -142,17 +144,23 @@ def match_score(name: Column, aliases: Column, surface: Column) -> Column:
     return F.when(low == want, 3).when(alias, 2).when(low.contains(want) | want.contains(low), 1)
 
 
-def resolve_entities(g: Graph, surfaces: DataFrame) -> DataFrame:
-    """(surface, name) of the best entity for each surface name; none if nothing matches.
+def resolve_entities(g: Graph, surfaces: DataFrame, block: int = SURFACES) -> DataFrame:
+    """(surface, name, score) of the best entity for each surface name; none if nothing matches.
 
-    ``surfaces`` is one column of names asked for, a bounded list; entities stay where
-    they are and only the best per surface and task move on.
+    ``surfaces`` is one column of names asked for. They are counted and broadcast in
+    blocks of bounded size; entities stay where they are and only the best per surface
+    and task move on.
     """
-    want = surfaces.select(F.col(surfaces.columns[0]).alias("surface")).distinct()
-    hit = g.entities().join(F.broadcast(want), match_score(F.col("name"), F.col("aliases"), F.col("surface")).isNotNull())
+    want = surfaces.select(F.col(surfaces.columns[0]).alias("surface")).where("surface IS NOT NULL").distinct()
+    n_blocks = max(1, -(-want.count() // block))
     score = match_score(F.col("name"), F.col("aliases"), F.col("surface"))
     best = F.min(F.struct((-score).alias("s"), F.length("name").alias("n"), F.col("name").alias("name"))).alias("best")
-    return hit.groupBy("surface").agg(best).select("surface", F.col("best.name").alias("name"), (-F.col("best.s")).alias("score"))
+    out = None
+    for b in range(n_blocks):
+        part = want.where(F.pmod(F.xxhash64("surface"), F.lit(n_blocks)) == b) if n_blocks > 1 else want
+        hit = g.entities().join(F.broadcast(part), score.isNotNull()).groupBy("surface").agg(best)
+        out = hit if out is None else out.unionByName(hit)
+    return out.select("surface", F.col("best.name").alias("name"), (-F.col("best.s")).alias("score"))
 
 
 def chunk_entities(chunks: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -89,6 +89,7 @@ def test_resolution_prefers_equal_names_then_aliases_then_short(spark, firms):
     asked = spark.createDataFrame([("acme",), ("Acme Corp",), ("gam",), ("what about Beta?",), ("nobody",)], "s string")
     got = {r["surface"]: r["name"] for r in graph.resolve_entities(firms, asked).collect()}
     assert got == {"acme": "Acme", "Acme Corp": "Acme", "gam": "Gamma", "what about Beta?": "Beta"}
+    assert {r["surface"]: r["name"] for r in graph.resolve_entities(firms, asked, block=2).collect()} == got
 
 
 def test_cleanup_merges_names_but_never_labels(spark):
