@@ -45,6 +45,10 @@ SKETCH_BITS, SET_BITS = 1024, 2048
 SLACK, DEVIATIONS = 0.10, 6.0
 #: Smallest bucket members that a node is checked against first.
 FIRST_HEADS = 2
+#: Pairs with their full sets in a task and file, about.
+PAIRS_PER_FILE = 20_000
+#: Bands of the first exact pass; the second has all.
+FIRST_BANDS = 4
 
 _PART = B.U64(64 - (SAMPLES - 1).bit_length())
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -192,28 +196,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def relabelled(label: DataFrame, to: DataFrame) -> DataFrame:
+    """(node, label) with labels replaced by those that ``to`` (node, label) gives them."""
+    up = to.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return label.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+
+
+def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int, most_rows: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose full sets may be similar enough.
+
+    Members outside a bucket's largest component meet all its members; of two such members
+    the smaller node is a. The test is part of the join, so only near links come out, and
+    each at the first band that both share, not at all of them.
+    """
+    placed = rows.select("bucket", "band", "node").join(label, "node")
+    part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    held = cut(placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(odd, "node"), "open", most_rows)
+    rest = held.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
+    whole = held.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
+    other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+    first = F.array_position(F.zip_with("da", "db", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    near = rest.join(whole, (rest["bucket"] == whole["bucket"]) & other & _sets_may_link("na", "nb", "pa", "pb", percent) & first)
+    return near.select("a", "b").distinct()
+
+
+def components(edges: DataFrame, most_rows: int) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b); equal labels mean one component.
 
+    most_rows: a bound of their number, by which files are laid out.
+
     Each round, every node points to the neighbour or itself that comes first in a
     random order of that round, edges are contracted along the pointers, and the
     pointers are kept; the number of nodes shrinks by a constant factor a round. Hubs
     are aggregated map-side, never gathered.
     """
     pointers: list[DataFrame] = []
-    edges = cut(edges.where("a <> b").distinct(), "edges")
+    edges = cut(edges.where("a <> b").distinct(), "edges", most_rows)
     while not edges.isEmpty():
         turn = len(pointers)
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         first = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("o"), F.col("b").alias("v"))).alias("first")
         best = both.groupBy("a").agg(first)
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("o"), F.col("a").alias("v"))
-        to = cut(best.select(F.col("a").alias("node"), F.least(own, F.col("first"))["v"].alias("label")), "pointers")
+        to = cut(best.select(F.col("a").alias("node"), F.least(own, F.col("first"))["v"].alias("label")), "pointers", 2 * most_rows)
         pointers.append(to)
         ends = edges.join(to.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
             to.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"
         )
-        edges = cut(ends.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        edges = cut(ends.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges", most_rows)
     if not pointers:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # The last round's labels are roots; a label that is not a node of the next round is one already.
@@ -221,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     for to in reversed(pointers[:-1]):
         up = out.select(F.col("node").alias("label"), F.col("label").alias("root"))
         out = to.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-    return cut(out, "components")
+    return out
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,15 +261,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     sig = cut(signatures(docs, k, id_col, text_col), "signatures")
     filled = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    classes = cut(classes, "classes")
+    n = sig.count()
+    classes = cut(classes, "classes", n)
     nodes = filled.select(F.col("doc_id").alias("node"), "key_a", "key_b", "bands", "sketch").join(classes, ["node", "key_a", "key_b"], "left_semi")
 
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.xxhash64("band", "band_key").alias("bucket"))
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "band_key").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
-    rows = cut(rows.join(heads, "bucket"), "buckets")
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "key_a", "key_b", "sketch").dropDuplicates(["node"])
-    wanted = cut(wanted, "sketches")
+    rows = cut(rows.join(heads, "bucket"), "buckets", BANDS * n)
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
+    wanted = cut(wanted, "sketches", n)
     sets = cut(full_sets(docs, wanted.select("node", "key_a", "key_b"), k, id_col, text_col), "sets")
+    n = sets.count()
 
     # A node has at most a pair for each band: the heads met in most bands, and the least of all.
     met = rows.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
@@ -248,23 +281,21 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     sk = wanted.select("node", "sketch")
     pairs = met.select(F.col("head").alias("a"), F.col("node").alias("b"))
     pairs = pairs.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb", SKETCH_BITS) <= most_flips(percent / 100)).select("a", "b")
-    links = cut(confirmed(pairs, sets, percent), "links")
-    label = components(links)
-
-    # The exact way for the rest: buckets of several components.
-    placed = rows.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    odd = sets.select("node", "size", "parity")
-    open_rows = cut(placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(odd, "node"), "open")
-    rest = open_rows.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"))
-    whole = open_rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), "main")
-    other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    near = rest.join(whole, (rest["bucket"] == whole["bucket"]) & other & _sets_may_link("na", "nb", "pa", "pb", percent))
-    near = near.select("a", "b").distinct()
-    more = cut(confirmed(near, sets, percent), "links")
-    if not more.isEmpty():
-        label = components(links.union(more))
+    links = cut(confirmed(pairs, sets, percent), "links", (FIRST_HEADS + 1) * n, PAIRS_PER_FILE)
+    label = cut(relabelled(sets.select("node", F.col("node").alias("label")), components(links, links.count())), "labels", n)
+
+    # The exact way for the rest: buckets of several components. A few bands come first,
+    # so that what most bands would find again and again is one component by then.
+    digests = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("digests")
+    odd = sets.select("node", "size", "parity").join(wanted.select("node", digests), "node")
+    for bands in (FIRST_BANDS, BANDS):
+        near = open_pairs(rows.where(F.col("band") < bands), label, odd, percent, bands * n)
+        near = cut(near, "near")
+        more = cut(confirmed(near, sets, percent), "links", near.count(), PAIRS_PER_FILE)
+        if not more.isEmpty():
+            ends = more.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
+            joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), more.count())
+            label = cut(relabelled(label, joined), "labels", n)
 
     named = classes.join(label, "node", "left").select("key_a", "key_b", "node", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("node").alias("component"))

@@ -53,9 +53,19 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files."""
+#: Narrow rows in a file, about, and the fewest files that a table is still written to by.
+FILE_ROWS, FEWEST_FILES = 250_000, 8
+
+
+def cut(df: DataFrame, name: str, most_rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files.
+
+    most_rows: a bound of its rows, if known; a small table then goes to a few files
+    whatever the number of shuffle partitions. It never makes more of them.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(FEWEST_FILES, -(-most_rows // per_file)))
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
