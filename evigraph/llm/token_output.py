@@ -26,9 +26,9 @@ ignored; an empty table gives a table without containers.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,46 +168,107 @@ class _Vocabulary(dict):
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
-    Only for a model whose words never reach across white space; the constructor
-    refuses others. Texts are cut at ASCII white space, where such a model's own
-    pre-tokenizer cuts as well.
+    Only for a lower-casing model whose words never reach across white space, nor from
+    a letter to a punctuation mark; the constructor refuses others. A-Z are lower-cased
+    and blanks put between letters and such marks before texts are cut at ASCII white
+    space, so there are few distinct words; the model would do the same. Texts that may
+    hold a special token are encoded as they stand.
     """
 
     MOST_WORDS = 1 << 19
+    #: Marks that never continue a word; the apostrophe does.
+    _MARKS = np.isin(np.arange(256), list(b'.,;:!?#$%&*)]"'))
+    _LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
+    #: Words that are one run of Latin letters, or of marks: one word to the model.
+    _SIMPLE = re.compile(rb"(?:[a-z]|[\xc4-\xc8][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,;:!?#$%&*()\[\]\"]+")
+    _PROBE = ("a b", "a", "b", "THE cat,", "the", "cat", ",", "it's c3po", "it's", "c3po")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.model = Tokenizer.from_file(path)
-        probe = ["a b", "a", "b", "it's c3po", "it's", "c3po"]
-        ids = [e.ids for e in self.model.encode_batch(probe, add_special_tokens=False)]
-        if ids[0] != ids[1] + ids[2] or ids[3] != ids[4] + ids[5]:
-            raise ValueError("this tokenizer's words reach across white space")
+        p = [e.ids for e in self.model.encode_batch(list(self._PROBE), add_special_tokens=False)]
+        if p[0] != p[1] + p[2] or p[3] != p[4] + p[5] + p[6] or p[7] != p[8] + p[9]:
+            raise ValueError("this tokenizer's words reach across white space or to punctuation, or keep capitals")
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat, self.first = _Vocabulary(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.known = _Vocabulary()
+        self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """(words of all texts in a row, number of words of each)."""
+        data = B.FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        letter = self._LETTER[data]
+        # Two-byte Latin letters: U+00C0 to U+023F but for the signs of times and division.
+        lead = data - np.uint8(0xC3)
+        pair = np.flatnonzero(lead[:-1] <= 5)
+        pair = pair[~((lead[pair] == 0) & ((data[pair + 1] == 0x97) | (data[pair + 1] == 0xB7)))]
+        letter[pair + 1] = True
+        at = np.flatnonzero(letter[:-1] & self._MARKS[data[1:]]) + 1
+        data = np.insert(data, at, 0x20)
+        starts += np.searchsorted(at, starts, "right")
+        solid = B.SOLID[data]
+        begin = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+        if solid[0]:
+            begin = np.concatenate([[0], begin])
+        return data.tobytes().split(), np.diff(np.searchsorted(begin, starts))
+
+    def _learn(self) -> None:
+        """Encode the words that are new, simple ones as joined texts of many."""
+        words = self.known.new
+        simple = np.fromiter((self._SIMPLE.fullmatch(w) is not None for w in words), bool, len(words))
+        size = np.zeros(len(words), np.int64)
+        flat, order = [], []
+        some = np.flatnonzero(simple)
+        parts = np.split(some, range(1000, len(some), 1000)) if len(some) else []
+        joined = [b" ".join([words[k] for k in part]).decode() for part in parts]
+        rest = [np.flatnonzero(~simple)]
+        for part, e in zip(parts, self.model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                size[part] = np.diff(ends, prepend=0)
+                flat.append(ids)
+                order.append(part)
+            else:  # never so for the words meant; then one by one
+                rest.append(part)
+        left = np.concatenate(rest)
+        for k, e in zip(left, self.model.encode_batch_fast([words[k].decode() for k in left], add_special_tokens=False), strict=True):
+            size[k] = len(e.ids)
+            flat.append(np.array(e.ids, np.uint32))
+        place = np.concatenate([*order, left]).astype(np.int64)
+        first = np.empty(len(words), np.int64)
+        first[place] = len(self.flat) + np.cumsum(size[place]) - size[place]
+        self.flat = np.concatenate([self.flat, *flat])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+        words.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
         if len(self.known) > self.MOST_WORDS:
             self._clear()
-        lists = [t.split() for t in texts]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        of = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        whole = [k for k, t in enumerate(texts) if b"<|" in t]
+        words, counts = self._cut([b"" if b"<|" in t else t for t in texts])
+        of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.known.new:
-            got = [e.ids for e in self.model.encode_batch([w.decode() for w in self.known.new], add_special_tokens=False)]
-            self.known.new.clear()
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, *(np.array(g, np.uint32) for g in got)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        size = self.first[of + 1] - self.first[of]
+            self._learn()
+        size = self.size[of]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        take = np.repeat(self.first[of] - (ends - size), size) + np.arange(total)
+        ids = self.flat[np.repeat(self.first[of] - (ends - size), size) + np.arange(total)]
         at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[take], np.diff(at)
+        if not whole:
+            return ids, np.diff(at)
+        parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for k in whole:
+            parts[k] = np.array(self.model.encode(texts[k].decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
