@@ -115,7 +115,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc
     at = texts.select("window", "words", F.size("shingles").alias("needed"), F.posexplode("shingles").alias("offset", "shingle")).join(counts, "shingle")
     rarest = F.min(F.struct("n", "offset", "shingle")).alias("rarest")
     prefix = at.groupBy("window", "needed").agg(rarest, F.count(F.lit(1)).alias("there"), F.first("words").alias("words")).where("there = needed")
-    prefix = cut(prefix.select("window", "words", F.size("words").alias("length"), F.col("rarest.offset").alias("offset"), F.col("rarest.shingle").alias("shingle")), "prefixes")
+    prefix = cut(prefix.select("window", "words", F.size("words").alias("length"), F.col("rarest.offset").alias("offset"), F.col("rarest.shingle").alias("shingle")), "prefixes", wins.count())
     sent = _filter(prefix.select("shingle"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
-from evigraph.llm.shared import cut, map_batches, prepare
+from evigraph.llm.shared import cut, forget, map_batches, prepare
 
 ROWS, BANDS = 8, 64
 SAMPLES = ROWS * BANDS
@@ -47,6 +47,8 @@ SLACK, DEVIATIONS = 0.10, 6.0
 FIRST_HEADS = 2
 #: Pairs with their full sets in a task and file, about.
 PAIRS_PER_FILE = 20_000
+#: Rows with sketches in a file, about.
+WIDE_ROWS = 50_000
 #: Bands of the first exact pass; the second has all.
 FIRST_BANDS = 4
 
@@ -212,7 +214,7 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     placed = rows.select("bucket", "band", "node").join(label, "node")
     part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    held = cut(placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(odd, "node"), "open", most_rows)
+    held = cut(placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(odd, "node"), "open", most_rows, WIDE_ROWS)
     rest = held.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
     whole = held.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
     other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
@@ -269,7 +271,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
     rows = cut(rows.join(heads, "bucket"), "buckets", BANDS * n)
     wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
-    wanted = cut(wanted, "sketches", n)
+    wanted = cut(wanted, "sketches", n, WIDE_ROWS)
     sets = cut(full_sets(docs, wanted.select("node", "key_a", "key_b"), k, id_col, text_col), "sets")
     n = sets.count()
 
@@ -297,6 +299,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
             joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), more.count())
             label = cut(relabelled(label, joined), "labels", n)
 
+    for used in (rows, wanted, sets):
+        forget(used)
     named = classes.join(label, "node", "left").select("key_a", "key_b", "node", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("node").alias("component"))
     named = named.join(least, "label").select("key_a", "key_b", "component")

@@ -73,6 +73,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), key.alias("key"), row.alias("row"))
     src = cut(src, "sizes")
+    n_rows = src.count()
     sources = cut(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeats), "sources")
 
     # Position of each document's last token in its source's order.
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     d = named.join(s, "name")
     bins = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(bin_rows)))
     d = d.withColumn("bin", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(_HASH_RANGE) * bins))
-    d = cut(d.select("row", "doc_id", "size", "source_size", "rank", "weight", "target", "key", "bin"), "placed")
+    d = cut(d.select("row", "doc_id", "size", "source_size", "rank", "weight", "target", "key", "bin"), "placed", n_rows)
     total = d.groupBy("rank", "bin").agg(F.sum("size").alias("in_bin"))
     over = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = total.select("rank", "bin", (F.sum("in_bin").over(over) - F.col("in_bin")).alias("before"))
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     if whole["budget"]:
         budget, n_slots = F.lit(whole["budget"]), max(1, -(-max_repeats * whole["n"] // bin_rows))
         slot = F.floor(F.col("finish") / F.lit(whole["level"]) * F.lit(n_slots)).alias("slot")
-        copies = cut(copies.select("row", "rank", "size", "key", "doc_id", "copy", "finish", slot), "copies")
+        copies = cut(copies.select("row", "rank", "size", "key", "doc_id", "copy", "finish", slot), "copies", max_repeats * n_rows)
         run = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         slots = copies.groupBy("slot").agg(F.sum("size").alias("in_slot")).withColumn("through", F.sum("in_slot").over(run))
         slots = slots.select("slot", (F.col("through") - F.col("in_slot")).alias("before"), "through")
