@@ -66,3 +66,22 @@ def test_pipeline(spark):
             assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             start, k = start + len(ids), k + 1
     assert k == len(out)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Nulls anywhere, repeated rows, clashing columns and empty tables pass through every stage."""
+    import corpus_pipeline
+    from tests.llm.test_operators import DOC, prose
+
+    text = [prose(120) for _ in range(4)]
+    rows = [(k, t, None, None, None, "clash", "clash", "clash") for k, t in [(1, text[0]), (1, text[0]), (2, text[0]), (3, text[1]), (None, text[2]), (4, None), (5, ""), (6, "few words"), (7, text[3])]]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, DOC)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SMALL)
+            assert out.columns == docs.columns, name
+            docs = corpus_pipeline.cut(out, name)
+            ids = sorted({r["doc_id"] for r in docs.collect()}, key=str)
+            assert ids == ([] if not data else [1, 2, 3, 7, None] if name == "quality_rules" else [1, 3, 7, None]), name
+        tokens = corpus_pipeline.tokens(spark, docs, SMALL).collect()
+        assert len(tokens) == docs.count() and sorted(r["start"] for r in tokens)[:1] == ([0] if data else [])
