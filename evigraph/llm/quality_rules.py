@@ -143,13 +143,18 @@ l2 AS (
 lines AS (
   SELECT doc_id, count(*)::BIGINT AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS dup_line_chars
   FROM l2 WHERE nth > 1 GROUP BY doc_id),
-sizes AS (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n),
+ld AS (SELECT doc_id, pos, word, lead(word, 1) OVER d AS l1, lead(word, 2) OVER d AS l2, lead(word, 3) OVER d AS l3, lead(word, 4) OVER d AS l4, lead(word, 5) OVER d AS l5, lead(word, 6) OVER d AS l6, lead(word, 7) OVER d AS l7, lead(word, 8) OVER d AS l8, lead(word, 9) OVER d AS l9 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 g AS (
-  SELECT d.doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'p': i, 'k': array_to_string(w[i:i + n - 1], ' ')})) AS x
-  FROM d, sizes WHERE len(w) >= n),
+  SELECT doc_id, 3 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 AS k FROM ld WHERE l2 IS NOT NULL UNION ALL
+  SELECT doc_id, 5 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 || ' ' || l3 || ' ' || l4 AS k FROM ld WHERE l4 IS NOT NULL UNION ALL
+  SELECT doc_id, 6 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 || ' ' || l3 || ' ' || l4 || ' ' || l5 AS k FROM ld WHERE l5 IS NOT NULL UNION ALL
+  SELECT doc_id, 7 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 || ' ' || l3 || ' ' || l4 || ' ' || l5 || ' ' || l6 AS k FROM ld WHERE l6 IS NOT NULL UNION ALL
+  SELECT doc_id, 8 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 || ' ' || l3 || ' ' || l4 || ' ' || l5 || ' ' || l6 || ' ' || l7 AS k FROM ld WHERE l7 IS NOT NULL UNION ALL
+  SELECT doc_id, 9 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 || ' ' || l3 || ' ' || l4 || ' ' || l5 || ' ' || l6 || ' ' || l7 || ' ' || l8 AS k FROM ld WHERE l8 IS NOT NULL UNION ALL
+  SELECT doc_id, 10 AS n, pos AS p, word || ' ' || l1 || ' ' || l2 || ' ' || l3 || ' ' || l4 || ' ' || l5 || ' ' || l6 || ' ' || l7 || ' ' || l8 || ' ' || l9 AS k FROM ld WHERE l9 IS NOT NULL),
 r AS (
-  SELECT doc_id, n, x.p AS p FROM g
-  QUALIFY count(*) OVER (PARTITION BY doc_id, n, x.k) > 1 AND (n = 3 OR row_number() OVER (PARTITION BY doc_id, n, x.k ORDER BY x.p) > 1)),
+  SELECT doc_id, n, p FROM g
+  QUALIFY count(*) OVER (PARTITION BY doc_id, n, k) > 1 AND (n = 3 OR row_number() OVER (PARTITION BY doc_id, n, k ORDER BY p) > 1)),
 c AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS pos FROM r),
 cover AS (
   SELECT c.doc_id, n, count(*) AS words, sum(length(word)) AS chars FROM c JOIN w ON c.doc_id = w.doc_id AND c.pos = w.pos GROUP BY ALL),
