@@ -504,3 +504,20 @@ def test_licences(spark, none):
     eight = next(r for r in rows if r["doc_id"] == 8)
     assert eight["missing_words"] == ["free", "of", "charge"] and eight["added_words"] == ["gratis"]
     assert license_scan.scan(none).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _, t in license_scan.TEMPLATES if len(t) > 150])
+def test_wrapped_and_commented_licences_are_whole(name):
+    import textwrap
+
+    _, licence, body = next(t for t in license_scan.TEMPLATES if t[0] == name)
+    lines = textwrap.fill(body, 64).split("\n")
+    for mark in ("", " * ", "# "):
+        text = "int a;\n" + "\n".join(mark + x for x in lines) + "\nreturn to the other code of it"
+        found = [(r[2], r[3], r[6], r[7]) for r in license_scan.scan_text(text) if r[5]]
+        assert (licence, name, [], []) in found and {f[0] for f in found} == {licence}
+
+
+def test_long_licence_blocks_take_bounded_steps():
+    found = license_scan.scan_text("permission license warranty copyright " * 3000 + next(t for n, _, t in license_scan.TEMPLATES if n == "isc"))
+    assert [r[2] for r in found if r[5]] == ["ISC"]
