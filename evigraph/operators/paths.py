@@ -20,7 +20,7 @@ MOST_HOPS = 5
 
 def hop_distances(g: Graph, names: Sequence[str], most_hops: int = MOST_HOPS) -> DataFrame:
     """(eid, depth) of all nodes within ``most_hops`` of the named ones."""
-    links = g.undirected().select("here", "there")
+    links = materialise(g.undirected().select("here", "there").distinct(), "links")  # read once a round
     seen = frontier = materialise(g.anchors(names).select("eid", F.lit(0).alias("depth")).distinct(), "frontier")
     for depth in range(1, most_hops + 1):
         reached = links.join(frontier.select(F.col("eid").alias("here")), "here", "left_semi").select(F.col("there").alias("eid")).distinct()
@@ -43,11 +43,12 @@ def path_between(g: Graph, a: str, b: str, most_hops: int = MOST_HOPS, include_m
         m = g.mentions
         both = m.select(F.col("chunk_id").alias("here"), F.lit("MENTIONS").alias("rel"), F.col("eid").alias("there"))
         links = links.unionByName(both).unionByName(both.select(F.col("there").alias("here"), "rel", F.col("here").alias("there")))
+    links = materialise(links, "links")
     start = g.anchors([a]).select(F.col("eid").alias("root"), "eid", F.array("eid").alias("nodes"), F.array().cast("array<string>").alias("relations"))
     frontier = materialise(start, "paths")
     seen = frontier.select("root", "eid")
     ends = g.anchors([b]).select("eid")
-    found = frontier.join(ends, "eid", "left_semi")
+    found = frontier.join(ends, "eid", "left_semi").select("root", "eid", "nodes", "relations")
     for _ in range(most_hops):
         step = frontier.join(links, frontier["eid"] == links["here"])
         step = step.select("root", F.col("there").alias("eid"), F.concat("nodes", F.array("there")).alias("nodes"), F.concat("relations", F.array("rel")).alias("relations"))
@@ -57,7 +58,7 @@ def path_between(g: Graph, a: str, b: str, most_hops: int = MOST_HOPS, include_m
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select("root", "eid"))
-        found = found.unionByName(frontier.join(ends, "eid", "left_semi").select("root", "eid", "nodes", "relations")) if found.columns == ["root", "eid", "nodes", "relations"] else found.select("root", "eid", "nodes", "relations").unionByName(frontier.join(ends, "eid", "left_semi").select("root", "eid", "nodes", "relations"))
+        found = found.unionByName(frontier.join(ends, "eid", "left_semi").select(found.columns))
     steps = found.select("root", F.col("eid").alias("end"), "relations", F.posexplode("nodes").alias("pos", "eid"))
     named = steps.join(g.nodes.select("eid", "name"), "eid", "left")
     paths = named.groupBy("root", "end", "relations").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("p"))

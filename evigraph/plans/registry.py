@@ -103,13 +103,13 @@ def g_hop_distance(spark, d):
 
 @query(
     f"WITH RECURSIVE {_PLACES}, r AS (SELECT eid, [eid] AS ids, []::VARCHAR[] AS rels, 0 AS depth FROM nodes WHERE name = '{SUPPLIER}' UNION ALL "
-    "SELECT u.there, list_append(r.ids, u.there), list_append(r.rels, u.rel), r.depth + 1 FROM r JOIN u ON u.here = r.eid WHERE r.depth < 4 AND NOT list_contains(r.ids, u.there) AND (r.depth + 1 < 4 OR u.there IN (SELECT eid FROM nodes WHERE name = 'NATION_3'))), "
-    "best AS (SELECT ids, rels FROM r WHERE eid IN (SELECT eid FROM nodes WHERE name = 'NATION_3') ORDER BY depth, rels, ids LIMIT 1), "
+    "SELECT u.there, list_append(r.ids, u.there), list_append(r.rels, u.rel), r.depth + 1 FROM r JOIN u ON u.here = r.eid WHERE r.depth < 4 AND NOT list_contains(r.ids, u.there) AND (r.depth + 1 < 4 OR u.there IN (SELECT eid FROM nodes WHERE name = 'NATION_5'))), "
+    "best AS (SELECT ids, rels FROM r WHERE eid IN (SELECT eid FROM nodes WHERE name = 'NATION_5') ORDER BY depth, rels, ids LIMIT 1), "
     "s AS (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM best) "
     "SELECT (SELECT string_agg(n.name, ' > ' ORDER BY s.pos) FROM s JOIN nodes n ON n.eid = s.id) AS path, array_to_string(rels, ' > ') AS relations FROM best"
 )
 def g_path_between(spark, d):
-    p = paths.path_between(places(spark, d), SUPPLIER, "NATION_3")
+    p = paths.path_between(places(spark, d), SUPPLIER, "NATION_5")
     return p.select(F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations"))
 
 
