@@ -80,10 +80,15 @@ def windows(text: ColumnLike, size: int = 512, overlap: int = 64) -> Column:
     """Array of (pos, text): runs of ``size`` words, ``overlap`` of them shared with the next."""
     words = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
     stride = size - overlap
-    # The last run is the first that reaches the end.
-    last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / F.lit(stride))).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i * stride + 1, F.lit(size)), " ").alias("text")))
-    return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<struct<pos: int, text: string>>"))
+
+    def runs(ws: Column) -> Column:
+        # The last run is the first that reaches the end.
+        last = F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(stride))).cast("int")
+        of = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(ws, i * stride + 1, F.lit(size)), " ").alias("text")))
+        return F.when(F.size(ws) > 0, of).otherwise(F.array().cast("array<struct<pos: int, text: string>>"))
+
+    # As a lambda's argument the words are split once, not for each run.
+    return F.coalesce(F.transform(F.array(words), runs)[0], F.array().cast("array<struct<pos: int, text: string>>"))
 
 
 def section_parts(text: ColumnLike) -> Column:
@@ -93,10 +98,8 @@ def section_parts(text: ColumnLike) -> Column:
     bodies = F.split(col(text), header)
     # Header and body together make a section's text, as they stand.
     heads = F.regexp_extract_all(col(text), F.lit(header), F.lit(0))
-    parts = F.transform(
-        F.sequence(F.lit(1), F.size(items)),
-        lambda i: F.struct(F.upper(F.element_at(items, i)).alias("item"), i.alias("pos"), F.concat(F.element_at(heads, i), F.element_at(bodies, i + 1)).alias("body")),
-    )
+    zipped = F.arrays_zip(items.alias("item"), heads.alias("head"), F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))).alias("body"))
+    parts = F.transform(zipped, lambda x, i: F.struct(F.upper(x["item"]).alias("item"), (i + 1).alias("pos"), F.concat(x["head"], x["body"]).alias("body")))
     return F.when(F.size(items) >= 2, parts).otherwise(F.array().cast("array<struct<item: string, pos: int, body: string>>"))
 
 

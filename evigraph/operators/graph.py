@@ -137,10 +137,9 @@ class QueryResult:
     error: str | None = None
 
 
-def match_score(name: Column, aliases: Column, surface: Column) -> Column:
-    """3 for an equal name, 2 for an equal alias, 1 if one contains the other, else null; case aside."""
-    low, want = F.lower(name), F.lower(surface)
-    alias = F.exists(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: F.lower(a) == want)
+def match_score(low: Column, aliases: Column, want: Column) -> Column:
+    """3 for an equal name, 2 for an equal alias, 1 if one contains the other, else null; both in lower case."""
+    alias = aliases.isNotNull() & F.exists(aliases, lambda a: F.lower(a) == want)
     return F.when(low == want, 3).when(alias, 2).when(low.contains(want) | want.contains(low), 1)
 
 
@@ -152,13 +151,15 @@ def resolve_entities(g: Graph, surfaces: DataFrame, block: int = SURFACES) -> Da
     and task move on.
     """
     want = surfaces.select(F.col(surfaces.columns[0]).alias("surface")).where("surface IS NOT NULL").distinct()
+    want = want.withColumn("_want", F.lower("surface"))
+    names = g.entities().select("name", "aliases", F.lower("name").alias("_low"))
     n_blocks = max(1, -(-want.count() // block))
-    score = match_score(F.col("name"), F.col("aliases"), F.col("surface"))
+    score = match_score(F.col("_low"), F.col("aliases"), F.col("_want"))
     best = F.min(F.struct((-score).alias("s"), F.length("name").alias("n"), F.col("name").alias("name"))).alias("best")
     out = None
     for b in range(n_blocks):
         part = want.where(F.pmod(F.xxhash64("surface"), F.lit(n_blocks)) == b) if n_blocks > 1 else want
-        hit = g.entities().join(F.broadcast(part), score.isNotNull()).groupBy("surface").agg(best)
+        hit = names.join(F.broadcast(part), score.isNotNull()).groupBy("surface").agg(best)
         out = hit if out is None else out.unionByName(hit)
     return out.select("surface", F.col("best.name").alias("name"), (-F.col("best.s")).alias("score"))
 
