@@ -3,10 +3,11 @@
 Candidate blocks are runs of sentences that name a licence or consist of words of the
 templates, with at least one naming word. A block is compressed alone and with each
 template as a raw zstandard dictionary; templates are ranked by how much of the
-block's size each saves. The best are confirmed by their exact wording: the words of
+block's size each saves. All are then held against the exact wording: the words of
 block and template are aligned, and a template counts if at most MOST_MISSING of its
-words are missing and it fits better than any other at that place. What is missing
-and added is reported word for word.
+words are missing and it fits better than any other at that place. Left out are only
+templates of whose words, counted without order, too few stand in the block for any
+alignment to confirm them. What is missing and added is reported word for word.
 
 Cases: a null or empty text has no block; equal savings go by template name; repeated
 rows give repeated results; further columns are ignored; an empty table gives an
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from evigraph.llm.license_templates import TEMPLATES
 from evigraph.llm.shared import prepare
 
-#: The most of a template's words that may be missing, the share of a block's words
-#: that makes it a candidate, and the templates that are aligned for a block.
-MOST_MISSING, KNOWN_SHARE, ALIGNED = 0.10, 0.75, 4
+#: The most of a template's words that may be missing, and the share of a block's words
+#: that makes it a candidate.
+MOST_MISSING, KNOWN_SHARE = 0.10, 0.75
 #: A block is kept to so many words for each alignment; longer ones go in overlapping steps.
 STEP = 2048
 LEVEL = 3
@@ -55,6 +57,12 @@ def _prepared() -> tuple[list[tuple[str, str, list[str], zstandard.ZstdCompresso
     return ready, plain, frozenset(w for _, _, ws, _ in ready for w in ws)
 
 
+@cache
+def _counted() -> list[list[tuple[str, int]]]:
+    """Each template's words with their counts."""
+    return [list(Counter(template).items()) for _, _, template, _ in _prepared()[0]]
+
+
 def candidate_blocks(text: str) -> Iterator[tuple[int, int]]:
     """Places of the candidate blocks of a text."""
     if not _NAMING.search(text):
@@ -102,14 +110,24 @@ def _align(block: list[str], template: list[str]) -> tuple[int, int, list[str],
     return a, b, [w for k, w in enumerate(template) if k not in hit_t], [block[k] for k in range(a, b) if k not in hit_b]
 
 
+def _steps(words: list[str]) -> range:
+    """Where the overlapping steps of a block begin."""
+    return range(0, max(1, len(words) - STEP // 2), STEP // 2)
+
+
 def _fits(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
     """Confirmed templates that do not overlap, best first."""
     ready, _, _ = _prepared()
     tries = []
-    for gain, k in ranked[:ALIGNED] if len(words) <= STEP else ranked:
+    steps = [(at, words[at : at + STEP]) for at in _steps(words)]
+    held = [Counter(step) for _, step in steps]
+    for gain, k in ranked:
         name, licence, template, _ = ready[k]
-        for at in range(0, max(1, len(words) - STEP // 2), STEP // 2):
-            a, b, missing, added = _align(words[at : at + STEP], template)
+        for (at, step), has in zip(steps, held, strict=True):
+            # No alignment finds more of the template's words than the step has of them.
+            if sum(max(0, n - has[w]) for w, n in _counted()[k]) > MOST_MISSING * len(template):
+                continue
+            a, b, missing, added = _align(step, template)
             if len(missing) <= MOST_MISSING * len(template) and len(added) <= max(1, MOST_MISSING * len(template)):
                 # Better: fewer differences for the words explained.
                 differences = len(missing) + len(added) - (len(template) - len(missing))

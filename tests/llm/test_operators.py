@@ -521,3 +521,13 @@ def test_wrapped_and_commented_licences_are_whole(name):
 def test_long_licence_blocks_take_bounded_steps():
     found = license_scan.scan_text("permission license warranty copyright " * 3000 + next(t for n, _, t in license_scan.TEMPLATES if n == "isc"))
     assert [r[2] for r in found if r[5]] == ["ISC"]
+
+
+@pytest.mark.parametrize("name", [n for n, _, t in license_scan.TEMPLATES if len(t) < 150])
+def test_short_licences_among_parts_of_long_ones_are_found(name):
+    texts = {n: t for n, _, t in license_scan.TEMPLATES}
+    parts = [texts[n].split() for n in ("mit-grant", "mit-disclaimer", "bsd-2-clause", "bsd-3-clause", "gpl-2.0-notice")]
+    block = " ".join(" ".join(p[: len(p) * 6 // 10]) for p in parts) + ".\n"
+    assert len(license_scan.words_of(block)) < license_scan.STEP
+    found = [(r[3], r[6], r[7]) for r in license_scan.scan_text(block + texts[name]) if r[5]]
+    assert (name, [], []) in found
