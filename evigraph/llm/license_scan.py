@@ -11,7 +11,9 @@ alignment to confirm them. What is missing and added is reported word for word.
 
 Cases: a null or empty text has no block; equal savings go by template name; repeated
 rows give repeated results; further columns are ignored; an empty table gives an
-empty result; a block that no template explains is reported without one.
+empty result; a block that no template explains is reported without one, with the
+differences from the template that saves most. In a block of more than STEP words these
+are of the step that the template fits best, and begin and end are its place there.
 """
 
 from __future__ import annotations
@@ -115,6 +117,18 @@ def _steps(words: list[str]) -> range:
     return range(0, max(1, len(words) - STEP // 2), STEP // 2)
 
 
+def _differences(template: list[str], missing: list[str], added: list[str]) -> int:
+    """Less is better: fewer differences for the words explained."""
+    return len(missing) + len(added) - (len(template) - len(missing))
+
+
+def nearest(words: list[str], template: list[str]) -> tuple[int, int, list[str], list[str]]:
+    """As _align, for the step of a block that the template fits best; of equal ones the first."""
+    steps = [(at, _align(words[at : at + STEP], template)) for at in _steps(words)]
+    at, (a, b, missing, added) = min(steps, key=lambda s: _differences(template, *s[1][2:]))
+    return at + a, at + b, missing, added
+
+
 def _fits(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
     """Confirmed templates that do not overlap, best first."""
     ready, _, _ = _prepared()
@@ -129,9 +143,7 @@ def _fits(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
                 continue
             a, b, missing, added = _align(step, template)
             if len(missing) <= MOST_MISSING * len(template) and len(added) <= max(1, MOST_MISSING * len(template)):
-                # Better: fewer differences for the words explained.
-                differences = len(missing) + len(added) - (len(template) - len(missing))
-                tries.append((differences, name, {"template": name, "license": licence, "saved": gain, "from": at + a, "to": at + b, "missing": missing, "added": added}))
+                tries.append((_differences(template, missing, added), name, {"template": name, "license": licence, "saved": gain, "from": at + a, "to": at + b, "missing": missing, "added": added}))
     found: list[dict] = []
     for _, _, f in sorted(tries, key=lambda t: t[:2]):
         if all(f["to"] <= g["from"] or f["from"] >= g["to"] for g in found):
@@ -167,8 +179,9 @@ def scan_text(text: str) -> list[tuple]:
             out.append((begin, stop, f["license"], f["template"], round(f["saved"], 6), True, f["missing"], f["added"]))
         if not found:
             gain, k = ranked[0]
-            _, _, missing, added = _align(ws[:STEP], ready[k][2])
-            out.append((start, end, None, ready[k][0], round(gain, 6), False, missing, added))
+            a, b, missing, added = nearest(ws, ready[k][2])
+            begin, stop = (spans[a][0], spans[b - 1][1]) if spans and len(ws) > STEP and a < b else (start, end)
+            out.append((begin, stop, None, ready[k][0], round(gain, 6), False, missing, added))
     return sorted(out, key=lambda r: (r[0], r[1], r[3]))
 
 

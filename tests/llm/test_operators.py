@@ -531,3 +531,13 @@ def test_short_licences_among_parts_of_long_ones_are_found(name):
     assert len(license_scan.words_of(block)) < license_scan.STEP
     found = [(r[3], r[6], r[7]) for r in license_scan.scan_text(block + texts[name]) if r[5]]
     assert (name, [], []) in found
+
+
+def test_long_unexplained_blocks_name_the_place_of_their_differences():
+    ws = next(t for n, _, t in license_scan.TEMPLATES if n == "mit-disclaimer").split()
+    part = " ".join(ws[: len(ws) * 7 // 10])
+    head = "permission license warranty copyright " * 1250
+    (row,) = license_scan.scan_text(head + part)
+    assert row[2:4] == (None, "mit-disclaimer") and not row[5]
+    assert (head + part)[row[0] : row[1]] == part.rstrip(".,;") and row[7] == []
+    assert row[6] == license_scan.words_of(" ".join(ws))[len(license_scan.words_of(part)) :]
