@@ -17,6 +17,10 @@ from evigraph.functions.vectors import cosine
 
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
+#: Pairs of a query and a row in a matrix product of the batch top-k.
+TOPK_PAIRS = 1 << 18
+#: How far products of equal vectors may differ by the order of their sums.
+NOISE = 1e-11
 #: Rows on each side of a block of the similarity join.
 PAIR_BLOCK = 1024
 
@@ -47,8 +51,44 @@ def exact_topk(vectors: DataFrame, query: list[float], k: int = 5, id_col: str =
     return vectors.select(id_col, cosine(vec_col, q).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def _places(sorted_keys: np.ndarray) -> np.ndarray:
+    """Each row's place, from 0, among its equals."""
+    first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
+    return np.arange(len(sorted_keys)) - np.repeat(first, np.diff(first, append=len(sorted_keys)))
+
+
+def _distinct_enough(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k nearest: of equal vectors k of each of the k + 1 smallest ids, as one may be the query's."""
+    same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    change = np.diff(same[order], prepend=-1) != 0
+    pair = np.cumsum(change | (np.diff(ids[order], prepend=ids[order[:1]]) != 0))
+    return order[(_places(pair) < k) & (pair - pair[change][np.cumsum(change) - 1] <= k)]
+
+
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids, similarities and these rounded to 12 digits of each query's k best rows, ties by id.
+
+    The product only tells which rows may be among them; their similarities are then
+    summed up alike for each pair, so that equal vectors have equal ones.
+    """
+    sims = _common(q, x)
+    sims[(ids[:, None] == own[None, :]) | ~np.isfinite(sims)] = -np.inf
+    least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] if 0 < k < len(own) else -np.inf
+    who, row = np.nonzero(np.isfinite(sims) & (sims >= least - NOISE))
+    w = min(q.shape[1], x.shape[1])
+    sim = (q[who, :w] * x[row, :w]).sum(axis=1)
+    key = np.round(sim, 12) + 0.0
+    order = np.lexsort((own[row], -key, who))
+    order = order[_places(who[order]) < k]
+    return ids[who[order]], own[row[order]], sim[order], key[order]
+
+
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity, rank): the k most similar vectors of each query, itself left out (F2)."""
+    """(query_id, id, similarity, rank): the k most similar vectors of each query, itself left out (F2).
+
+    Similarities count as rounded to 12 digits, ties go to the smaller id.
+    """
     wanted = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q")).orderBy("query_id")
     spark = vectors.sparkSession
     parts = None
@@ -64,15 +104,15 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 own = batch.column(0).to_numpy()
                 if not len(own):
                     continue
-                sims = _common(q, matrix(batch.column(1)))
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                near = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1] if len(own) > k + 1 else np.tile(np.arange(len(own)), (len(ids), 1))
-                who = np.repeat(ids, near.shape[1])
-                sim = np.take_along_axis(sims, near, axis=1).ravel()
-                good = np.isfinite(sim)
-                yield pa.RecordBatch.from_arrays([pa.array(who[good]), pa.array(own[near.ravel()][good]), pa.array(sim[good])], ["query_id", id_col, "similarity"])
+                x = matrix(batch.column(1))
+                some = _distinct_enough(x, own, k)
+                own, x = own[some], x[some]
+                step = max(1, TOPK_PAIRS // len(own))
+                for at in range(0, len(ids), step):
+                    found = _best(ids[at : at + step], q[at : at + step], own, x, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", id_col, "similarity", "key"])
 
-        return vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, f"query_id long, {id_col} long, similarity double")
+        return vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, f"query_id long, {id_col} long, similarity double, key double")
 
     for row in wanted.toLocalIterator():
         block.append(row)
@@ -80,10 +120,10 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
             parts = answer(block) if parts is None else parts.unionByName(answer(block))
             block = []
     if block or parts is None:
-        more = answer(block) if block else spark.createDataFrame([], f"query_id long, {id_col} long, similarity double")
+        more = answer(block) if block else spark.createDataFrame([], f"query_id long, {id_col} long, similarity double, key double")
         parts = more if parts is None else parts.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), id_col)
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), id_col)
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:

@@ -132,6 +132,22 @@ def test_topk_and_index(spark):
     assert {(r["a"], r["b"]) for r in pairs} == want and len(pairs) == len(want)
 
 
+def test_topk_of_copies_takes_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1200, 64)).astype(np.float32)
+    kind = np.where(np.arange(1200) < 1003, 0, np.arange(1200))
+    ids = rng.permutation(1200)
+    v = spark.createDataFrame([(int(i), [float(t) for t in x[c]]) for i, c in zip(ids, kind, strict=True)], "vec_id long, embedding array<float>").coalesce(1)
+    near = x[0] + 0.3 * rng.standard_normal((200, 64))
+    q = spark.createDataFrame([(5000 + i, [float(t) for t in r]) for i, r in enumerate(near)], "vec_id long, embedding array<float>")
+    copies = sorted(int(i) for i in ids[:1003])
+    want = {5000 + i: copies[:5] for i in range(200)} | {c: [i for i in copies if i != c][:5] for c in copies[:8]}
+    got = {}
+    for r in vectors.topk_batch(v, q.unionByName(v.where(F.col("vec_id").isin(copies[:8]))), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want
+
+
 def test_index_recall_on_the_tables(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     gold = vectors.topk_batch(v, v.where("vec_id % 20 = 0"))
