@@ -100,8 +100,8 @@ def corpus_counts(docs: DataFrame, shingles: DataFrame, lengths: list[int], text
     return part.groupBy("shingle").agg(F.sum("n").alias("n")).join(shingles, "shingle", "left_semi")
 
 
-def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
+def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items of every row, and its binary key_col if given."""
     prepare(docs.sparkSession)
     wins = cut(windows(items, size, item_id_col, item_text_col), "windows")
     shingles = wins.select(F.explode("shingles").alias("shingle")).distinct()
@@ -129,11 +129,12 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc
                     own.append({"shingle": int(g[p].astype(np.int64)), "place": int(p), "first": a, "around": _word_list(w, a, b)})
             places.append(own)
         place = pa.struct([("shingle", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.string()))])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(places, pa.list_(place))], ["doc_id", "n_words", "places"])
+        keys = [batch.column(k) for k in range(2, batch.num_columns)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *keys, pa.array(n_words, pa.int64()), pa.array(places, pa.list_(place))], ["doc_id", *["key"] * len(keys), "n_words", "places"])
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).alias("key")] if key_col else []))
     kind = src.schema["doc_id"].dataType.simpleString()
-    seen = map_batches(src, run, f"doc_id {kind}, n_words long, places array<struct<shingle: long, place: long, first: long, around: array<string>>>")
+    seen = map_batches(src, run, f"doc_id {kind}, {'key binary, ' if key_col else ''}n_words long, places array<struct<shingle: long, place: long, first: long, around: array<string>>>")
     seen = cut(seen.withColumn("row", F.monotonically_increasing_id()), "places")
 
     cand = seen.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*").join(prefix, "shingle")
@@ -151,16 +152,20 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc
     holders = named.where("item_id IS NOT NULL").select("window", "item_id").distinct()
     found = hits.select("row", "window").distinct().join(holders, "window").select("row", "item_id").distinct()
     found = found.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    out = seen.select("row", "doc_id", "n_words").join(n_hit, "row", "left").join(found, "row", "left")
+    out = seen.drop("places").join(n_hit, "row", "left").join(found, "row", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), listed.alias("items"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), listed.alias("items"), *([F.col("key").alias(key_col)] if key_col else []))
 
 
 def keep(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with all columns."""
-    bad = scan(docs, items, size).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no window of an item, with all columns; each row's own text decides."""
+    key = "_text_key"
+    while key in docs.columns:
+        key += "_"
+    named = docs.withColumn(key, F.unhex(F.md5("text")))
+    bad = scan(named, items, size, key_col=key).where("contaminated").select(key).distinct()
+    return named.join(bad, key, "left_anti").select(docs.columns)
 
 
 SQL = r"""

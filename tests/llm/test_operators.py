@@ -328,6 +328,16 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.scan(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_decides_by_row(spark):
+    passage = " ".join(f"leak{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    held = [(None, "before " + passage), (None, "clean without an id"), (7, passage + " after"), (7, "clean with the same id"), (8, "clean"), (8, "clean")]
+    df = spark.createDataFrame([(*r, "clash") for r in held], "doc_id long, text string, _scan_row string").repartition(3)
+    kept = decontam.keep(df, bench)
+    assert kept.columns == df.columns
+    assert sorted(r["text"] for r in kept.collect()) == ["clean", "clean", "clean with the same id", "clean without an id"]
+
+
 # 7. URLs.
 
 
