@@ -21,8 +21,11 @@ A true pair of similarity 0.8 shares no band with probability (1 - 0.8**8)**64 =
 
 Cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle of them all; texts of equal
-sets have similarity 1; rows that repeat a doc_id are one vertex, each giving a
-result row; a row whose doc_id is null is linked with nothing, its component is null
+sets have similarity 1; each distinct set is one vertex, whatever doc_ids hold it, so
+rows that repeat a doc_id with other texts are linked, kept and dropped by their own
+texts; each gives a result row, with the smallest doc_id of its vertex's component.
+Of the rows that a component marks as kept, keep() takes one: that of the smallest set
+key and text hash; so of rows that repeat a doc_id without words. A row whose doc_id is null is linked with nothing, its component is null
 and it is kept; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -133,8 +136,8 @@ def _sets_may_link(na: str, nb: str, pa_: str, pb: str, percent: int) -> Column:
     return sizes & (_flips(pa_, pb, SET_BITS) <= mean + F.lit(DEVIATIONS) * spread + 1)
 
 
-def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, the set's key, band keys and sketch of every row."""
+def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, the set's key, band keys and sketch of every row, and its binary key_col if given."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b, bands, sketch = [], [], [], [], []
@@ -152,19 +155,20 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 bands.append(None)
                 sketch.append(None)
         longs = pa.list_(pa.int64())
+        named = [batch.column(k) for k in range(2, batch.num_columns)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(B.signed(np.array(a, np.uint64))), pa.array(B.signed(np.array(b, np.uint64))), pa.array(bands, longs), pa.array(sketch, longs)],
-            ["doc_id", "n_shingles", "key_a", "key_b", "bands", "sketch"],
+            [batch.column(0), *named, pa.array(n, pa.int64()), pa.array(B.signed(np.array(a, np.uint64))), pa.array(B.signed(np.array(b, np.uint64))), pa.array(bands, longs), pa.array(sketch, longs)],
+            ["doc_id", *["text_key"] * len(named), "n_shingles", "key_a", "key_b", "bands", "sketch"],
         )
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(src, run, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sketch array<long>")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).alias("text_key")] if key_col else []))
+    return map_batches(src, run, f"doc_id long, {'text_key binary, ' if key_col else ''}n_shingles long, key_a long, key_b long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, size, parity, shingles) of the wanted nodes: the set as its sorted 64-bit values."""
+    """(node, size, parity, shingles) of the wanted (node, doc_id, key_a, key_b): the set as its sorted 64-bit values."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    src = src.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    src = src.join(wanted.select("doc_id"), "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(w.hashes, k) for w in B.words(batch.column(1), fold=True)]
@@ -173,11 +177,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(B.signed(np.array([a for a, _ in keys], np.uint64))), pa.array(B.signed(np.array([b for _, b in keys], np.uint64))),
              pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["node", "key_a", "key_b", "size", "parity", "shingles"],
+            ["doc_id", "key_a", "key_b", "size", "parity", "shingles"],
         )
 
-    sets = map_batches(src, run, "node long, key_a long, key_b long, size long, parity array<long>, shingles binary")
-    return sets.join(wanted, ["node", "key_a", "key_b"], "left_semi").select("node", "size", "parity", "shingles").dropDuplicates(["node"])
+    sets = map_batches(src, run, "doc_id long, key_a long, key_b long, size long, parity array<long>, shingles binary")
+    return sets.join(wanted, ["doc_id", "key_a", "key_b"]).select("node", "size", "parity", "shingles").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,22 +261,23 @@ def components(edges: DataFrame, most_rows: int) -> DataFrame:
     return out
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; see the module's text."""
+def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
+    """The columns of groups(), key_a, key_b, the label of the row's component (null without one) and text_key if key_col is given."""
     prepare(docs.sparkSession)
-    sig = cut(signatures(docs, k, id_col, text_col), "signatures")
+    sig = cut(signatures(docs, k, id_col, text_col, key_col), "signatures")
     filled = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
+    classes = filled.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"))
     n = sig.count()
-    classes = cut(classes, "classes", n)
-    nodes = filled.select(F.col("doc_id").alias("node"), "key_a", "key_b", "bands", "sketch").join(classes, ["node", "key_a", "key_b"], "left_semi")
+    # A number for each set: a doc_id may have several.
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes", n)
+    nodes = filled.select("doc_id", "key_a", "key_b", "bands", "sketch").join(classes, ["doc_id", "key_a", "key_b"])
 
     rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "band_key").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
     rows = cut(rows.join(heads, "bucket"), "buckets", BANDS * n)
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
     wanted = cut(wanted, "sketches", n, WIDE_ROWS)
-    sets = cut(full_sets(docs, wanted.select("node", "key_a", "key_b"), k, id_col, text_col), "sets")
+    sets = cut(full_sets(docs, wanted.select("node", "doc_id", "key_a", "key_b"), k, id_col, text_col), "sets")
     n = sets.count()
 
     # A node has at most a pair for each band: the heads met in most bands, and the least of all.
@@ -301,21 +306,34 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
     for used in (rows, wanted, sets):
         forget(used)
-    named = classes.join(label, "node", "left").select("key_a", "key_b", "node", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("node").alias("component"))
-    named = named.join(least, "label").select("key_a", "key_b", "component")
-    out = sig.select("doc_id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
+    named = classes.join(label, "node", "left").select("key_a", "key_b", "doc_id", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
+    named = named.join(least, "label").select("key_a", "key_b", "label", "component")
+    out = sig.drop("bands", "sketch").join(named, ["key_a", "key_b"], "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(own, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept, "key_a", "key_b", F.when(~own, F.col("label")).alias("label"), *(["text_key"] if key_col else []))
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; see the module's text."""
+    return _marked(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that their groups keep, one for each doc_id, with all columns."""
-    marked = groups(docs, k, percent)
-    ids = marked.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that their groups keep, one for each component, with all columns."""
+    key = "_text_key"
+    while key in docs.columns:
+        key += "_"
+    named = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    marked = _marked(named, k, percent, "doc_id", "text", key).where("kept AND doc_id IS NOT NULL")
+    # Rows without words are named by their doc_id, the others by their component.
+    alone = F.when(F.col("label").isNull(), F.col("doc_id")).alias("alone")
+    one = marked.groupBy("label", alone).agg(F.min(F.struct("doc_id", "key_a", "key_b", "text_key")).alias("first"))
+    rows = one.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias(key))
+    held = named.where(F.col("doc_id").isNotNull()).join(rows, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return held.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 SQL = r"""

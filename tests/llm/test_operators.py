@@ -187,6 +187,19 @@ def test_repeated_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in near_dedup.keep(df, 2).collect()) == ["5", "8", "None"]
 
 
+def test_repeated_ids_with_other_texts_go_by_their_texts(spark):
+    ws = [[f"{c}{i}" for i in range(200)] for c in "abc"]
+    near = [[*w[:195], "x", *w[196:]] for w in ws]
+    a, b, c, a2, b2, c2 = (" ".join(w) for w in (*ws, *near))
+    data = [(5, a), (5, b), (5, a2), (6, a2), (7, b2), (3, c), (9, c2), (9, "quite another text"), (8, ""), (8, None), (None, a)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.groups(df, 2).collect()), key=str)
+    want = [(5, 5, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (3, 3, True), (9, 3, False), (9, 9, True), (8, 8, True), (8, 8, True), (None, None, True)]
+    assert got == sorted(want, key=str)
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:1]) for r in near_dedup.keep(df, 2).collect())
+    assert kept == [("3", "c"), ("5", "a"), ("5", "b"), ("8", ""), ("9", "q"), ("None", "a")]
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     limit = near_dedup.most_flips(0.8)
