@@ -2,8 +2,8 @@
 
 An Arrow string column is one run of bytes with offsets. All work here is done on
 pieces of that run: word boundaries by a table look-up, word hashes as differences
-of one running polynomial sum modulo 2**64. Pieces are cut between words, so the
-extra memory does not grow with the length of a text beyond its list of words.
+of one running polynomial sum modulo 2**64. What is held of a text beside its bytes
+is 16 bytes a word (hash, start and end), however long texts and words are.
 """
 
 from __future__ import annotations
@@ -49,32 +49,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(2 * PIECE, 1 << int(n - 1).bit_length())
-        base, inverse = _BASES[which], pow(_BASES[which], -1, 1 << 64)
+def _power_tables(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64, for places within two pieces."""
+    if which not in _powers:
         tables = []
-        for b in (base, inverse):
-            t = np.full(size, b, dtype=np.uint64)
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            t = np.full(2 * PIECE + 1, b, dtype=np.uint64)
             t[0] = 1
             tables.append(np.multiply.accumulate(t))
-        have = _powers[which] = (tables[0], tables[1])
-    return have
+        _powers[which] = tables[0], tables[1]
+    return _powers[which]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; ``which`` picks one of two independent ones."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, which: int = 0, piece: int = PIECE) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; ``which`` picks one of two independent ones.
+
+    Spans come in order and don't overlap. A long text is summed up piece by piece, so
+    what is held beside the spans doesn't grow with it, however long a span is.
+    """
     if len(starts) == 0:
         return np.empty(0, np.uint64)
     keys = _KEYS[which][FOLD] if fold else _KEYS[which]
-    power, inverse = _power_tables(which, len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    terms = keys[data]
-    terms *= power[: len(data)]
-    np.cumsum(terms, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    power, inverse = _power_tables(which)
+    if len(data) <= 2 * piece:
+        sums = np.empty(len(data) + 1, np.uint64)
+        sums[0] = 0
+        terms = keys[data]
+        terms *= power[: len(data)]
+        np.cumsum(terms, out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts])
+    base, back = _BASES[which], pow(_BASES[which], -1, 1 << 64)
+    out, scale = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    upto = U64(0)
+    for at in range(0, len(data) + 1, piece):
+        part = data[at : at + piece]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(keys[part] * power[: len(part)], out=sums[1:])
+        sums *= U64(pow(base, at, 1 << 64))
+        sums += upto
+        a, b = np.searchsorted(starts, (at, at + piece))
+        out[a:b] = sums[starts[a:b] - at]
+        scale[a:b] = inverse[starts[a:b] - at] * U64(pow(back, at, 1 << 64))
+        a, b = np.searchsorted(ends, (at, at + piece))
+        # A span's start lies in this piece or an earlier one, so its sum is known.
+        out[a:b] = sums[ends[a:b] - at] - out[a:b]
+        upto = sums[-1]
+    out *= scale
+    return mix(out)
+
+
+def span_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """How many bytes of each data[start:end] the table marks; spans in order, without overlap."""
+    out = np.zeros(len(starts), np.int32)
+    upto = 0
+    for at in range(0, len(data) + 1, piece):
+        part = data[at : at + piece]
+        sums = np.zeros(len(part) + 1, np.int32)
+        np.cumsum(table[part], out=sums[1:], dtype=np.int32)
+        sums += np.int32(upto)
+        a, b = np.searchsorted(starts, (at, at + piece))
+        out[a:b] -= sums[starts[a:b] - at]
+        a, b = np.searchsorted(ends, (at, at + piece))
+        out[a:b] += sums[ends[a:b] - at]
+        upto = int(sums[-1])
+    return out
+
+
+def marked(data: np.ndarray, table: np.ndarray) -> int:
+    """How many bytes the table marks, piece by piece."""
+    return sum(int(np.count_nonzero(table[data[at : at + PIECE]])) for at in range(0, len(data), PIECE))
 
 
 def _boundaries(data: np.ndarray, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,20 +160,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def _long_text(data: np.ndarray, word: np.ndarray, fold: bool, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts, begin = [], 0
-    while begin < len(data):
-        end = min(begin + piece, len(data))
-        while end < len(data) and word[data[end - 1]]:  # never cut a word
-            stop = np.flatnonzero(~word[data[end : end + piece]])
-            end = end + int(stop[0]) if len(stop) else min(end + piece, len(data))
-            if len(stop):
-                break
-        part = data[begin:end]
-        s, e = _boundaries(part, word, np.array([0]), np.array([len(part) - 1]))
-        parts.append((span_hashes(part, s, e, fold), s + begin, e + begin))
-        begin = end
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def spans(data: np.ndarray, table: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that the table marks, found piece by piece."""
+    starts, ends, before = [], [], False
+    for at in range(0, len(data), piece):
+        inside = table[data[at : at + piece]]
+        turn = np.empty(len(inside), bool)
+        turn[0] = inside[0] != before
+        np.not_equal(inside[1:], inside[:-1], out=turn[1:])
+        place = np.flatnonzero(turn)
+        begins = inside[place]
+        place = (place + at).astype(np.int32)
+        starts.append(place[begins])
+        ends.append(place[~begins])
+        before = inside[-1]
+    if before:
+        ends.append(np.array([len(data)], np.int32))
+    none = np.empty(0, np.int32)
+    return np.concatenate(starts or [none]), np.concatenate(ends or [none])
 
 
 def words(column: pa.Array, word: np.ndarray = SOLID, fold: bool = False, piece: int = PIECE) -> Iterator[Words]:
@@ -141,7 +188,8 @@ def words(column: pa.Array, word: np.ndarray = SOLID, fold: bool = False, piece:
     while row < n:
         if at[row + 1] - at[row] > 2 * piece:
             data = raw[at[row] : at[row + 1]]
-            yield Words(row, data, *_long_text(data, word, fold, piece))
+            s, e = spans(data, word, piece)
+            yield Words(row, data, span_hashes(data, s, e, fold, piece=piece), s, e)
             row += 1
             continue
         stop = max(row + 1, int(np.searchsorted(at, at[row] + piece, "right")) - 1)

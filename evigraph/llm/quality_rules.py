@@ -9,7 +9,9 @@ places that the length before has left.
 
 Cases: a null or empty text has no words and fails the base rule; ties do not
 arise; repeated rows give repeated results; any further columns are ignored by
-``score`` and kept by ``keep``; an empty table gives an empty result.
+``score`` and kept by ``keep``; an empty table gives an empty result; a very long text
+is measured whole, with some 50 bytes held a word and a line, and its lines are then
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ MOST_IN_LINES = 20
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
+_IN_LINE = np.arange(256) != 0x0A
+#: Bytes that begin a code point of a word.
+_WORD_LEAD = B.LEAD & B.SOLID
 
 COLUMNS = [
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
@@ -38,50 +43,66 @@ COLUMNS = [
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries occur twice or more, and which of them equal an earlier one."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
-    later = np.zeros(len(keys), bool)
-    later[order[1:][same]] = True
-    out = later.copy()
-    out[order[:-1][same]] = True
-    return out, later
+    """(places of entries that occur twice or more, which of them equal an earlier one)."""
+    ranked = np.sort(keys)
+    again = ranked[1:][ranked[1:] == ranked[:-1]]
+    del ranked
+    if not len(again):
+        return np.empty(0, np.int64), np.empty(0, bool)
+    again = again[np.concatenate([[True], again[1:] != again[:-1]])]
+    hit = np.empty(len(keys), bool)
+    for at in range(0, len(keys), B.PIECE):
+        some = keys[at : at + B.PIECE]
+        hit[at : at + B.PIECE] = again[np.minimum(np.searchsorted(again, some), len(again) - 1)] == some
+    places = np.flatnonzero(hit)
+    order = np.argsort(keys[places], kind="stable")
+    ranked = keys[places][order]
+    later = np.zeros(len(places), bool)
+    later[order[1:][ranked[1:] == ranked[:-1]]] = True
+    return places, later
 
 
 def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of ``total`` words lie in a run of n words beginning at one of starts."""
-    steps = np.zeros(total + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + n, -1)
-    return np.cumsum(steps[:-1]) > 0
+    steps = np.zeros(total + 1, np.int32)
+    steps[starts] += 1  # starts are distinct
+    steps[starts + n] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int32) > 0
+
+
+def _repeated_lines(data: np.ndarray) -> tuple[int, int]:
+    """(lines with a word that equal an earlier one, characters of their words)."""
+    if len(data) > 2 * B.PIECE:
+        starts, ends = B.spans(data, _IN_LINE)
+        chars = B.span_counts(data, starts, ends, _WORD_LEAD)
+        starts, ends, chars = starts[chars > 0], ends[chars > 0], chars[chars > 0]
+        places, later = _repeated(B.span_hashes(data, starts, ends, False))
+        return int(later.sum()), int(chars[places[later]].sum(dtype=np.int64))
+    seen: set[bytes] = set()
+    n = n_chars = 0
+    for line in data.tobytes().split(b"\n"):
+        if line in seen:
+            n += 1
+            n_chars += int(np.count_nonzero(_WORD_LEAD[np.frombuffer(line, np.uint8)]))
+        elif line.strip():
+            seen.add(line)
+    return n, n_chars
 
 
 def measure(doc: B.Words) -> tuple:
     """The values of COLUMNS for one text."""
     n = len(doc.hashes)
-    lead = np.empty(len(doc.data) + 1, np.int64)
-    lead[0] = 0
-    np.cumsum(B.LEAD[doc.data], out=lead[1:])
-    chars = lead[doc.ends] - lead[doc.starts]
-    word_chars = int(chars.sum())
-    symbols = int(np.count_nonzero(_SYMBOLS[doc.data]))
-
-    seen: set[bytes] = set()
-    dup_lines = dup_line_chars = 0
-    for line in doc.data.tobytes().split(b"\n"):
-        if line in seen:
-            body = np.frombuffer(line, np.uint8)
-            dup_lines += 1
-            dup_line_chars += int(np.count_nonzero(B.LEAD[body] & B.SOLID[body]))
-        elif line.strip():
-            seen.add(line)
+    chars = B.span_counts(doc.data, doc.starts, doc.ends, B.LEAD)
+    word_chars = int(chars.sum(dtype=np.int64))
+    symbols = B.marked(doc.data, _SYMBOLS)
+    dup_lines, dup_line_chars = _repeated_lines(doc.data)
 
     threes = B.grams(doc.hashes, 3)
-    places = np.flatnonzero(_repeated(threes)[0])
-    repeat_words = int(_covered(places, 3, n).sum()) if len(places) else 0
+    places = _repeated(threes)[0]
+    repeat_words = int(np.count_nonzero(_covered(places, 3, n))) if len(places) else 0
 
     run_chars, length, keys, later = [], 3, threes[places], places
+    del threes
     for size in MOST_IN_RUNS:
         while length < size and len(places):  # roll on by one word
             fits = places + length < n
@@ -89,9 +110,9 @@ def measure(doc: B.Words) -> tuple:
             keys = B.mix(keys * B.U64(0x9E3779B97F4A7C15) + doc.hashes[places + length])
             length += 1
             again, copies = _repeated(keys)
-            later = places[copies]
             places, keys = places[again], keys[again]
-        run_chars.append(int(chars[_covered(later, size, n)].sum()) if len(places) else 0)
+            later = places[copies]
+        run_chars.append(int(chars[_covered(later, size, n)].sum(dtype=np.int64)) if len(places) else 0)
 
     base_failed = n < FEWEST_WORDS or 100 * repeat_words > MOST_REPEATED * n
     kept = not (
