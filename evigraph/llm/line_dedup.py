@@ -3,19 +3,25 @@
 Distinct line keys that enough documents hold are dealt to shards by hash. A shard is
 one minimal perfect hash (levels of bitmaps: a key rests at the first level where no
 other key meets it, and its slot is the number of set bits before it) with arrays of
-64-bit fingerprints, document counts and the largest doc_id holding the line. The
-shards go to the executors in groups of bounded size, and each text probes the arrays:
-no join on lines. A fingerprint comes from a second, independent hash, so another
-line is taken for a key with probability 2**-64.
+64-bit fingerprints, document counts and the largest doc_id holding the line. Each
+text's lines probe the arrays: no join on lines. A fingerprint comes from a second,
+independent hash, so another line is taken for a key with probability 2**-64.
+
+Shards of ``group_bytes`` together at most go to all executors, and a text's lines are
+probed where it is read. More than that stay where they are, whatever their number:
+the lines go to them as rows of fixed width, in one shuffle, and the places of those to
+drop come back to their texts. A shard that many lines probe is copied to several tasks.
 
 Counting combines equal lines within each batch and again map-side, so a line that
 all documents hold moves a few rows per task only.
 
 Cases: a null or empty text is one empty line; white space and A-Z case at a line's
 ends and in it fold as the contract says; repeated rows count as documents of their
-own, and of several rows with the largest doc_id none loses the line; a null doc_id
-counts as a document, holds no line as the largest, and so loses it; further columns
-are ignored; an empty table gives an empty result.
+own, and of several rows with the largest doc_id none loses the line; a null doc_id, or
+a text that is no whole number, counts as a document, holds no line as the largest, and
+so loses it; further columns are ignored; an empty table gives an empty result. Very
+long texts and lines are read whole, a piece at a time: beside its bytes some 50 bytes
+are held for each line that is long enough, so at most about the text's size again.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from evigraph.llm import bytetext as B
 from evigraph.llm.shared import cut, map_batches, prepare
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys in a shard, about, and the most bytes of shards that are broadcast at once.
+#: Keys in a shard, about, and the most bytes of shards that are broadcast.
 SHARD_KEYS, GROUP_BYTES = 1 << 18, 64 << 20
+#: Lines that probe a copy of a shard in one task, about.
+PROBES = 1 << 20
 #: Bits of a level's bitmap per key, and levels before the few that are left get a sorted list.
 _GAMMA, _LEVELS = 2.0, 24
 _NEVER = -(1 << 63)
@@ -132,38 +140,71 @@ class Shard:
         return found, self.last[at]
 
 
+def _runs(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of runs of whole lines: of about a piece, or of one longer line."""
+    at, n = 0, len(data)
+    while at <= n:
+        stop = min(at + B.PIECE, n)
+        if stop < n:
+            breaks = np.flatnonzero(data[at : stop + 1] == 0x0A)
+            if len(breaks):
+                stop = at + int(breaks[-1])
+            while not len(breaks) and stop < n:
+                breaks = np.flatnonzero(data[stop : stop + B.PIECE] == 0x0A)
+                stop = stop + int(breaks[0]) if len(breaks) else min(stop + B.PIECE, n)
+        yield at, stop
+        at = stop + 1
+
+
+def _one_line(data: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
+    """As _many_lines, for one long line."""
+    n = s = e = 0
+    for at in range(0, len(data), B.PIECE):
+        solid = np.flatnonzero(B.SOLID[data[at : at + B.PIECE]])
+        if len(solid):
+            s, e, n = (s if n else at + int(solid[0])), at + int(solid[-1]) + 1, n + 1
+    s, e = np.array([s]), np.array([e])
+    enough = B.span_counts(data, s, e, B.LEAD) >= min_chars
+    return np.zeros(1, np.int64)[enough], np.array([len(data)])[enough], s[enough], e[enough]
+
+
+def _many_lines(data: np.ndarray, min_chars: int) -> tuple[int, tuple[np.ndarray, ...]]:
+    """(number of lines, begin and end of those long enough, and of what is left of them without white space)."""
+    breaks = np.flatnonzero(data == 0x0A)
+    begin, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
+    n = len(begin)
+    may = end - begin >= min_chars
+    begin, end = begin[may], end[may]
+    solid = np.flatnonzero(B.SOLID[data]) if len(begin) else breaks
+    if not len(solid):
+        return n, (begin[:0],) * 4
+    a, b = np.searchsorted(solid, begin), np.searchsorted(solid, end)
+    full = b > a
+    s = np.where(full, solid[np.minimum(a, len(solid) - 1)], 0)
+    e = np.where(full, solid[np.maximum(b - 1, 0)] + 1, 0)
+    lead = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(B.LEAD[data], out=lead[1:])
+    enough = full & (lead[e] - lead[s] >= min_chars)
+    return n, (begin[enough], end[enough], s[enough], e[enough])
+
+
 class Lines:
-    """The lines of one text: where they are, which are long enough, and their two hashes."""
-
-    def __init__(self, data: np.ndarray, min_chars: int):
-        breaks = np.flatnonzero(data == 0x0A)
-        self.starts = np.concatenate([[0], breaks + 1])
-        self.ends = np.concatenate([breaks, [len(data)]])
-        n = len(data)
-        solid = np.flatnonzero(B.SOLID[data])
-        a, b = np.searchsorted(solid, self.starts), np.searchsorted(solid, self.ends)
-        full = b > a
-        s = np.where(full, solid[np.minimum(a, max(len(solid) - 1, 0))] if len(solid) else 0, 0)
-        e = np.where(full, solid[np.maximum(b - 1, 0)] + 1 if len(solid) else 0, 0)
-        lead = np.empty(n + 1, np.int64)
-        lead[0] = 0
-        np.cumsum(B.LEAD[data], out=lead[1:])
-        self.long = np.flatnonzero(full & (lead[e] - lead[s] >= min_chars))
-        s, e = s[self.long], e[self.long]
-        self.keys, self.prints = _hashes(data, s, e, 0), _hashes(data, s, e, 1)
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Hashes of lines, a few lines of at most a piece together at a time."""
-    if len(data) <= 2 * B.PIECE or not len(starts):
-        return B.span_hashes(data, starts, ends, True, which)
-    out, k = [], 0
-    while k < len(starts):
-        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + B.PIECE, "right")))
-        o = starts[k]
-        out.append(B.span_hashes(data[o : ends[stop - 1]], starts[k:stop] - o, ends[k:stop] - o, True, which))
-        k = stop
-    return np.concatenate(out)
+    """The lines of one text: how many, where those are that are long enough, and their two hashes."""
+
+    def __init__(self, data: np.ndarray, min_chars: int, hashed: bool = True):
+        self.n, found, keys, prints = 0, [], [], []
+        for at, stop in _runs(data):
+            part = data[at:stop]
+            n, (begin, end, s, e) = _many_lines(part, min_chars) if len(part) <= 2 * B.PIECE else (1, _one_line(part, min_chars))
+            self.n += n
+            if len(begin):
+                found.append((begin + at, end + at))
+                if hashed:
+                    keys.append(B.span_hashes(part, s, e, True, 0))
+                    prints.append(B.span_hashes(part, s, e, True, 1))
+        none, none64 = np.empty(0, np.int64), np.empty(0, np.uint64)
+        self.begin, self.end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
+        self.keys, self.prints = (np.concatenate(x) if x else none64 for x in (keys, prints))
 
 
 def _texts(column: pa.Array) -> Iterator[np.ndarray]:
@@ -200,7 +241,7 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
             ["key", "print", "n", "last"],
         )
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     part = map_batches(src, run, "key long, print long, n long, last long")
     return part.groupBy("key", "print").agg(F.sum("n").alias("n_docs"), F.max("last").alias("last")).where(F.col("n_docs") >= min_docs)
 
@@ -230,98 +271,116 @@ def _load(name: str, arrays: dict[int, bytes]) -> dict[int, Shard]:
     return _loaded[name]
 
 
-def _dropped(data: np.ndarray, doc_id: int, shards: dict[int, Shard], n_shards: int, min_chars: int) -> tuple[Lines, np.ndarray]:
-    """The lines of a text, and which the given shards drop."""
-    lines = Lines(data, min_chars)
-    if not len(lines.keys):
-        return lines, lines.long
-    home = ((lines.keys >> B.U64(40)) % B.U64(n_shards)).astype(np.int64)
+def _home(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of each key, as build_shards deals them."""
+    return ((keys >> B.U64(40)) % B.U64(n_shards)).astype(np.int32)
+
+
+def _dropped(lines: Lines, doc_id: int | None, shards: dict[int, Shard], n_shards: int) -> np.ndarray:
+    """Which of a text's long lines the shards drop."""
     drop = np.zeros(len(lines.keys), bool)
+    home = _home(lines.keys, n_shards)
     for s in np.unique(home):
         if s in shards:
             here = home == s
             found, last = shards[s].probe(lines.keys[here], lines.prints[here])
             drop[here] = found & (last != doc_id)
-    return lines, lines.long[drop]
-
-
-def _kept_bytes(data: np.ndarray, lines: Lines, drop: np.ndarray) -> bytes:
-    if not len(drop):
-        return data.tobytes()
-    stay = np.ones(len(lines.starts), bool)
-    stay[drop] = False
-    raw = data.tobytes()
-    return b"\n".join(raw[s:e] for s, e in zip(lines.starts[stay], lines.ends[stay], strict=True))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, group_bytes: int = GROUP_BYTES, with_text: bool = False) -> DataFrame:
+    return np.flatnonzero(drop)
+
+
+def _stay(data: np.ndarray, lines: Lines, drop: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs of lines between the dropped ones; line breaks belong between them."""
+    at = 0
+    for begin, end in zip(lines.begin[drop].tolist(), lines.end[drop].tolist(), strict=True):
+        if begin - 1 >= at:
+            yield data[at : begin - 1]
+        at = end + 1
+    if at <= len(data):
+        yield data[at:]
+
+
+def _result(ids: pa.Array, drops: Iterator[tuple[np.ndarray, Lines, np.ndarray]], with_text: bool) -> pa.RecordBatch:
+    n, gone, sha, text = [], [], [], []
+    for data, lines, drop in drops:
+        digest, body = hashlib.sha256(), []
+        for k, run in enumerate(_stay(data, lines, drop)):
+            if k:
+                digest.update(b"\n")
+            digest.update(np.ascontiguousarray(run))
+            if with_text:
+                body.append(run.tobytes())
+        n.append(lines.n)
+        gone.append(len(drop))
+        sha.append(digest.hexdigest())
+        text.append(b"\n".join(body).decode() if with_text else None)
+    cols = [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    return pa.RecordBatch.from_arrays(cols + [pa.array(text, pa.string())] * with_text, names + ["kept_text"] * with_text)
+
+
+def _found_in_shards(src: DataFrame, shards: DataFrame, n_shards: int, min_chars: int, per_task: int) -> DataFrame:
+    """(holder, text_key, drop): the places among its long lines of what a text loses, from the tasks that hold the shards."""
+    names = ["holder", "text_key", "nth", "shard", "key", "print"]
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [Lines(d, min_chars) for d in _texts(batch.column(2))]
+        n = [len(x.keys) for x in parts]
+        of = pa.array(np.repeat(np.arange(len(parts)), n))
+        keys, prints = (np.concatenate([getattr(x, c) for x in parts] or [np.empty(0, np.uint64)]) for c in ("keys", "prints"))
+        nth = np.concatenate([np.arange(k, dtype=np.int32) for k in n] or [np.empty(0, np.int32)])
+        cols = [batch.column(0).take(of), batch.column(1).take(of), pa.array(nth), pa.array(_home(keys, n_shards)), pa.array(B.signed(keys)), pa.array(B.signed(prints))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    probes = cut(map_batches(src.select("holder", "text_key", "text"), rows, "holder long, text_key binary, nth int, shard int, key long, print long"), "probes")
+    copies = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).cast("int").alias("copies"))
+    dealt = probes.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("text_key", "nth"), F.col("copies")).cast("int")).drop("copies")
+    arrays = shards.join(copies, "shard").select("shard", "arrays", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select(names[:3]).slice(0, 0)
+        shard = Shard.from_bytes(right.column("arrays")[0].as_buffer())
+        keys, prints = (left.column(c).to_numpy().view(np.uint64) for c in ("key", "print"))
+        found, last = shard.probe(keys, prints)
+        held = left.column("holder").fill_null(_NEVER).to_numpy()
+        return left.select(names[:3]).filter(pa.array(found & ((last != held) | (held == _NEVER))))
+
+    hits = dealt.groupBy("shard", "copy").cogroup(arrays.groupBy("shard", "copy")).applyInArrow(probe, "holder long, text_key binary, nth int")
+    return hits.groupBy("holder", "text_key").agg(F.array_sort(F.collect_set("nth")).alias("drop"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, group_bytes: int = GROUP_BYTES, probes: int = PROBES, with_text: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every row; kept_text too if asked for."""
     spark = prepare(docs.sparkSession)
     lines = cut(shared_lines(docs, id_col, text_col, min_chars, min_docs), "lines")
     n_shards = max(1, -(-lines.count() // SHARD_KEYS))
     shards = cut(build_shards(lines, n_shards), "shards")
-    sizes = {r["shard"]: r["n"] for r in shards.select("shard", F.length("arrays").alias("n")).toLocalIterator()}
-    parts: list[list[int]] = [[]]
-    filled = 0
-    for s in sorted(sizes):
-        if parts[-1] and filled + sizes[s] > group_bytes:
-            parts.append([])
-            filled = 0
-        parts[-1].append(s)
-        filled += sizes[s]
-
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = shards.agg(F.coalesce(F.sum(F.length("arrays").cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).try_cast("long").alias("holder"), F.col(text_col).alias("text"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
 
-    def out(batch: pa.RecordBatch, drops: Iterator[tuple[np.ndarray, Lines, np.ndarray]]) -> pa.RecordBatch:
-        n, gone, sha, text = [], [], [], []
-        for data, found, drop in drops:
-            body = _kept_bytes(data, found, drop)
-            n.append(len(found.starts))
-            gone.append(len(drop))
-            sha.append(hashlib.sha256(body).hexdigest())
-            text.append(body.decode() if with_text else None)
-        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-        names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-        return pa.RecordBatch.from_arrays(cols + [pa.array(text, pa.string())] * with_text, names + ["kept_text"] * with_text)
-
-    def broadcast(part: list[int]):
-        rows = shards.where(F.col("shard").isin(part)).select("shard", "arrays").collect() if part else []
-        return uuid.uuid4().hex, spark.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in rows})
-
-    if len(parts) == 1:
-        name, sent = broadcast(parts[0])
+    if size <= group_bytes:
+        name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in shards.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _load(name, sent.value)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                yield out(batch, ((d, *_dropped(d, i, own, n_shards, min_chars)) for i, d in zip(ids, _texts(batch.column(1)), strict=True)))
+                each = ((d, i, Lines(d, min_chars)) for i, d in zip(batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True))
+                yield _result(batch.column(0), ((d, x, _dropped(x, i, own, n_shards)) for d, i, x in each), with_text)
 
         return src.mapInArrow(run, schema)
 
-    # More than may be sent at once: a pass for each group of shards notes what it drops.
-    src = cut(src.withColumn("row", F.monotonically_increasing_id()), "rows")
-    notes = None
-    for part in parts:
-        name, sent = broadcast(part)
-
-        def note(batches: Iterator[pa.RecordBatch], name=name, sent=sent) -> Iterator[pa.RecordBatch]:
-            own = _load(name, sent.value)
-            for batch in batches:
-                found = [(r, _dropped(d, i, own, n_shards, min_chars)[1]) for r, i, d in zip(batch.column(2), batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True)]
-                found = [(r.as_py(), d.tolist()) for r, d in found if len(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([d for _, d in found], pa.list_(pa.int64()))], ["row", "drop"])
-
-        seen = cut(src.mapInArrow(note, "row long, drop array<long>"), "notes")
-        sent.destroy()
-        notes = seen if notes is None else notes.union(seen)
-    notes = notes.groupBy("row").agg(F.flatten(F.collect_list("drop")).alias("drop"))
-    both = src.join(notes, "row", "left").select("doc_id", "text", "drop")
+    # A row is named by its id and text: rows that are alike in both lose the same lines.
+    src = src.withColumn("text_key", F.unhex(F.md5("text")))
+    notes = _found_in_shards(src, shards, n_shards, min_chars, probes)
+    notes = notes.select(F.col("holder").alias("by"), F.col("text_key").alias("of"), "drop")
+    both = src.join(notes, F.col("holder").eqNullSafe(F.col("by")) & F.col("text_key").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "drop")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         drops = batch.column(2).to_pylist()
-        return out(batch, ((d, Lines(d, min_chars), np.array(sorted(x or []), np.int64)) for d, x in zip(_texts(batch.column(1)), drops, strict=True)))
+        each = ((d, Lines(d, min_chars, False), np.array(x or [], np.int64)) for d, x in zip(_texts(batch.column(1)), drops, strict=True))
+        return _result(batch.column(0), each, with_text)
 
     return map_batches(both, finish, schema)
 

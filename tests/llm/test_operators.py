@@ -472,7 +472,7 @@ def brute_lines(pairs):
 def test_line_dedup(docs, rows, none, monkeypatch, group_bytes):
     if group_bytes == 1:
         monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.dedup(docs, group_bytes=group_bytes, min_docs=5).collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.dedup(docs, group_bytes=group_bytes, min_docs=5, probes=3).collect()}
     want = brute_lines([(r[0], r[1]) for r in rows])
     assert got == want and sum(v[1] for v in want.values()) >= 8
     text = line_dedup.dedup(docs, group_bytes=group_bytes, with_text=True).collect()
@@ -480,6 +480,26 @@ def test_line_dedup(docs, rows, none, monkeypatch, group_bytes):
     assert line_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [64 << 20, 1])
+def test_lines_of_null_text_and_repeated_ids(spark, group_bytes):
+    line = "a line that is held by many documents, and long enough for it"
+    held = [(k, f"own {k}\n{line}\n\n{line} ") for k in range(6)] + [(None, line), (7, line), (7, line), (7, f"{line}\nx"), (8, None)]
+    df = spark.createDataFrame([(None if i is None else str(i), t) for i, t in held] + [("no number", line)], "doc_id string, text string")
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup(df, group_bytes=group_bytes, with_text=True).collect())
+    want = [(str(k), 4, 2, f"own {k}\n") for k in range(6)] + [("None", 1, 1, ""), ("no number", 1, 1, ""), ("7", 1, 0, line), ("7", 1, 0, line), ("7", 2, 0, f"{line}\nx"), ("8", 1, 0, "")]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64])
+def test_lines_in_pieces_equal_the_whole(rows, monkeypatch, piece):
+    whole = [line_dedup.Lines(np.frombuffer((r[1] or "").encode(), np.uint8), 40) for r in rows]
+    monkeypatch.setattr(B, "PIECE", piece)
+    monkeypatch.setattr(B.span_hashes, "__defaults__", (0, piece))
+    for r, x in zip(rows, whole, strict=True):
+        y = line_dedup.Lines(np.frombuffer((r[1] or "").encode(), np.uint8), 40)
+        assert x.n == y.n and all((getattr(x, c) == getattr(y, c)).all() for c in ("begin", "end", "keys", "prints"))
+
+
 def test_perfect_hash_is_minimal_and_survives_bytes():
     r = np.random.default_rng(2)
     for n in (0, 1, 2, 1000, 50_000):
