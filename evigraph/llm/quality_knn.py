@@ -14,9 +14,10 @@ hash of the id. All texts are scored whole.
 
 Cases: a null or empty text has the terms of its length bands only, and is scored by
 them; without labelled rows all scores are 0.5; with several labels or texts of one
-id the smallest counts; null labels are no labels; equal similarities are taken in the
-labelled rows' hash order; repeated rows give repeated results; further columns are
-ignored; an empty table gives an empty result.
+id the smallest counts; null labels are no labels; similarities count as rounded to
+DIGITS, equal ones are taken in the labelled rows' hash order; repeated rows give
+repeated results; further columns are ignored; an empty table gives an empty result; a
+very long text is counted whole, with 16 bytes held a word.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from evigraph.llm.shared import prepare
 MOST_LABELLED = 4096
 DIMENSIONS = 64
 NEIGHBOURS = 25
+#: Digits of a similarity that count; the others depend on the order of a sum.
+DIGITS = 9
 #: Similarities count with this power, and the prior with this weight.
 SHARPNESS, PRIOR = 8, 0.05
 BLOCK = 256
@@ -105,8 +108,8 @@ class Model:
         if n:
             _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
             q = q @ vt.T
-        self.space = np.ascontiguousarray(q[:, :k])
-        self.vectors = self._unit(x @ self.space)
+        self.space = np.ascontiguousarray(q[:, :k]).astype(np.float64)
+        self.vectors = self.latent(counts)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -115,14 +118,20 @@ class Model:
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         return self._unit(np.log1p(counts) * self.idf)
 
+    def latent(self, counts: np.ndarray) -> np.ndarray:
+        """The unit vectors of rows in the latent space, in double precision."""
+        return self._unit(self._weighted(counts).astype(np.float64) @ self.space)
+
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Weighted share of label 1 among the nearest neighbours of each row."""
         if not len(self.labels) or not len(counts):
             return np.full(len(counts), self.share)
-        sims = self._unit(self._weighted(counts) @ self.space) @ self.vectors.T
+        sims = np.round(self.latent(counts) @ self.vectors.T, DIGITS)
+        # Distinct numbers in the order of the similarities, then of the rows: no ties are left.
+        rank = np.rint(sims * -(10.0**DIGITS)).astype(np.int64) * sims.shape[1] + np.arange(sims.shape[1])
         k = min(NEIGHBOURS, sims.shape[1])
-        near = np.argsort(-sims, axis=1, kind="stable")[:, :k] if k == sims.shape[1] else np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(sims, near, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
+        near = np.sort(np.partition(rank, k - 1, axis=1)[:, :k], axis=1) % sims.shape[1]
+        weight = np.clip(np.take_along_axis(sims, near, axis=1), 0, 1) ** SHARPNESS
         ones = (weight * self.labels[near]).sum(axis=1) + PRIOR * self.share
         return np.clip(ones / (weight.sum(axis=1) + PRIOR), 0.0, 1.0)
 

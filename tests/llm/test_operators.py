@@ -437,18 +437,28 @@ def test_quality_votes_exactly(docs, rows, none, spark):
     model = quality_knn.fit(docs, labels)
     got = {r["doc_id"]: r["score"] for r in quality_knn.score(docs.select("doc_id", "text"), model).collect()}
     counts = np.stack([quality_knn.term_counts(w) for w in B.words(pa.array([r[1] for r in rows]), fold=True)])
-    latent = model._weighted(counts) @ model.space
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    for (i, *_), v in zip(rows, latent, strict=True):
-        sims = sorted(((float(v @ u), y) for u, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
-        w = [max(s, 0) ** quality_knn.SHARPNESS for s, _ in sims]
-        want = (sum(x * y for x, (_, y) in zip(w, sims, strict=True)) + quality_knn.PRIOR * model.share) / (sum(w) + quality_knn.PRIOR)
-        assert got[i] == pytest.approx(want, abs=2e-2)
+    for (i, *_), v in zip(rows, model.latent(counts), strict=True):
+        ranked = sorted((-round(float(v @ u), quality_knn.DIGITS), k) for k, u in enumerate(model.vectors))[: quality_knn.NEIGHBOURS]
+        w = [(max(-s, 0) ** quality_knn.SHARPNESS, model.labels[k]) for s, k in ranked]
+        want = (sum(x * y for x, y in w) + quality_knn.PRIOR * model.share) / (sum(x for x, _ in w) + quality_knn.PRIOR)
+        assert got[i] == pytest.approx(want, abs=1e-6)
     blank = quality_knn.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality_knn.score(docs.select("doc_id", "text"), blank).collect()} == {0.5}
     assert quality_knn.score(none.select("doc_id", "text"), model).count() == 0
 
 
+def test_equal_neighbours_vote_in_hash_order():
+    r = np.random.default_rng(3)
+    kinds = r.random((4, quality_knn.TERMS)).astype(np.float32)
+    labels = r.integers(0, 2, 120)
+    model = quality_knn.Model(kinds[np.arange(120) % 4], labels)
+    got = model.scores(kinds)
+    for k in range(4):
+        first = labels[np.arange(120) % 4 == k][: quality_knn.NEIGHBOURS]
+        want = (first.sum() + quality_knn.PRIOR * model.share) / (len(first) + quality_knn.PRIOR)
+        assert got[k] == pytest.approx(want, abs=1e-6)
+
+
 # 10. Lines.
 
 
