@@ -7,14 +7,18 @@ the order of finish times until the budget is spent. Sources that run out leave
 share to the others, so what is taken follows the targets, which are the same shares
 worked out from the sources' sizes.
 
-Running sums are two-level: within bins of a source's hash order, and over the bins'
-totals; likewise over bins of finish time. No task holds a source or the whole order:
-a bin has ``BIN_ROWS`` rows on average, at any number of rows.
+Running sums have three levels: within bins of a source's hash order, over the bins of
+a group, and over the groups; likewise over slots of finish time. No task holds a source
+or the whole order: a bin has ``BIN_ROWS`` rows on average at any number of rows, a group
+``GROUP`` bins, and what is left for one task is a row for each eight million documents.
+Sources themselves are put in order by ranges and numbered in the same way, so there may
+be as many of them as there are hosts.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; a
 table without words, or an empty one, takes nothing; ties in finish time go by source
 order, then hash, then doc_id; repeated rows are taken as documents of their own;
-further columns are ignored; a null doc_id is shuffled as the word 'null'.
+further columns are ignored; a null doc_id is shuffled as the word 'null'; a very long
+text is counted as it stands, and only its number of words moves.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from evigraph.llm.shared import cut
 MAX_REPEATS = 3
 #: Rows in a bin, on average.
 BIN_ROWS = 2_048
+#: Bins in a group.
+GROUP = 4_096
 _HASH_RANGE = float(1 << 32)
 
 
@@ -37,6 +43,30 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def sums_before(rows: DataFrame, place: str, values: Sequence[str], by: Sequence[str] = (), group: int = GROUP) -> DataFrame:
+    """``rows`` with ``{value}_before``: the sum of each value over all smaller places (whole numbers, one row each)."""
+    rows = rows.withColumn("_group", F.floor(F.col(place) / F.lit(group)))
+    totals = rows.groupBy(*by, "_group").agg(*[F.sum(v).alias(v) for v in values])
+    upto = Window.partitionBy(*by).orderBy("_group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = totals.select(*by, "_group", *[(F.sum(v).over(upto) - F.col(v)).alias(f"_{v}") for v in values])
+    within = Window.partitionBy(*by, "_group").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *[(F.sum(v).over(within) - F.col(v)).alias(f"{v}_before") for v in values])
+    rows = rows.join(totals, [*by, "_group"])
+    return rows.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).drop("_group", *[f"_{v}" for v in values])
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str, n_rows: int) -> DataFrame:
+    """``rows`` with their places, from 1, in a total order, written to the shared folder."""
+    ranges = max(1, -(-n_rows // (GROUP * 16)))
+    # The order's column is dealt by range, each range is numbered by itself.
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = dealt.withColumn("_own", own).join(sums_before(sizes, "_range", ["n"]).select("_range", "n_before"), "_range")
+    return cut(out.withColumn(name, F.col("_own") + F.col("n_before")).drop("_range", "_own", "n_before"), "numbered", n_rows)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
     """source, source_size, n_docs, rank, weight, target and share of the budget by source.
 
@@ -44,23 +74,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -
     max_repeats * size / weight: those below the common level stop at their cap, and
     the level of the others is the rest of the budget over the rest of the weights.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    sizes = cut(sizes, "sources")
+    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget")).first()
+    s = numbered(sizes, [F.col("source").asc_nulls_last()], "rank", whole["n"])
     pattern = F.array(*[F.lit(float(w)) for w in weights])
-    s = sizes.withColumn("rank", F.row_number().over(by_name))
     s = s.withColumn("weight", F.element_at(pattern, (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")))
     s = s.withColumn("cap", (F.lit(max_repeats) * F.col("source_size")).cast("double")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    by_level = Window.orderBy("full_at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.orderBy("full_at", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("cap_before", F.sum("cap").over(by_level) - F.col("cap"))
-    s = s.withColumn("weight_left", F.sum("weight").over(everything) - F.sum("weight").over(by_level) + F.col("weight"))
-    s = s.withColumn("budget", F.sum("source_size").over(everything))
+    s = numbered(s, [F.col("full_at"), F.col("rank")], "filled", whole["n"])
+    weighed = s.agg(F.sum("weight")).first()[0]
+    s = sums_before(s, "filled", ["cap", "weight"])
     # The level if all sources before this one are full and no other is.
-    s = s.withColumn("level_here", (F.col("budget") - F.col("cap_before")) / F.col("weight_left"))
+    s = s.withColumn("level_here", (F.lit(whole["budget"]) - F.col("cap_before")) / (F.lit(weighed) - F.col("weight_before")))
     # The first source that doesn't get full at it sets the level.
-    first = F.min(F.when(F.col("level_here") <= F.col("full_at"), F.struct("full_at", "rank", "level_here"))).over(everything)
-    s = s.withColumn("level", first["level_here"])
-    target = F.least(F.col("cap"), F.col("weight") * F.col("level"))
-    return s.select("source", "source_size", "n_docs", "rank", "weight", "budget", "level", F.coalesce(target, F.lit(0.0)).alias("target"))
+    first = s.where("level_here <= full_at").agg(F.min_by("level_here", "filled")).first()[0]
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(first).cast("double")) if first is not None else F.lit(0.0)
+    return s.select("source", "source_size", "n_docs", "rank", "weight", F.lit(whole["budget"]).cast("long").alias("budget"), F.lit(first).cast("double").alias("level"), target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, bin_rows: int = BIN_ROWS) -> DataFrame:
@@ -84,8 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     d = d.withColumn("bin", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(_HASH_RANGE) * bins))
     d = cut(d.select("row", "doc_id", "size", "source_size", "rank", "weight", "target", "key", "bin"), "placed", n_rows)
     total = d.groupBy("rank", "bin").agg(F.sum("size").alias("in_bin"))
-    over = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = total.select("rank", "bin", (F.sum("in_bin").over(over) - F.col("in_bin")).alias("before"))
+    before = sums_before(total, "bin", ["in_bin"], ["rank"]).select("rank", "bin", F.col("in_bin_before").alias("before"))
     within = Window.partitionBy("rank", "bin").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("upto", F.sum("size").over(within)).join(before, ["rank", "bin"]).withColumn("upto", F.col("upto") + F.col("before"))
 
@@ -98,9 +125,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
         budget, n_slots = F.lit(whole["budget"]), max(1, -(-max_repeats * whole["n"] // bin_rows))
         slot = F.floor(F.col("finish") / F.lit(whole["level"]) * F.lit(n_slots)).alias("slot")
         copies = cut(copies.select("row", "rank", "size", "key", "doc_id", "copy", "finish", slot), "copies", max_repeats * n_rows)
-        run = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        slots = copies.groupBy("slot").agg(F.sum("size").alias("in_slot")).withColumn("through", F.sum("in_slot").over(run))
-        slots = slots.select("slot", (F.col("through") - F.col("in_slot")).alias("before"), "through")
+        slots = sums_before(copies.groupBy("slot").agg(F.sum("size").alias("in_slot")), "slot", ["in_slot"])
+        slots = slots.select("slot", F.col("in_slot_before").alias("before"), (F.col("in_slot_before") + F.col("in_slot")).alias("through"))
         edge = slots.where(F.col("through") > budget).orderBy("slot").first()
         edge_slot, before = (edge["slot"], edge["before"]) if edge else (None, 0)
         full = copies.where(F.col("slot") < F.lit(edge_slot)) if edge else copies

@@ -250,6 +250,36 @@ def test_mix_meets_targets(docs, rows, none):
     assert source_mix.mix(none).count() == 0
 
 
+def test_sums_and_places_over_many_groups(spark, monkeypatch):
+    r = random.Random(8)
+    values = [(k % 3, k // 3, r.randrange(100)) for k in range(300)]
+    df = spark.createDataFrame(values, "by int, place long, v long").repartition(5)
+    got = {(x["by"], x["place"]): x["v_before"] for x in source_mix.sums_before(df, "place", ["v"], ["by"], group=7).collect()}
+    assert got == {(b, p): sum(v for c, q, v in values if c == b and q < p) for b, p, _ in values}
+    monkeypatch.setattr(source_mix, "GROUP", 2)
+    got = {x["place"]: x["n"] for x in source_mix.numbered(df.where("by = 0"), [F.desc("place")], "n", 100).collect()}
+    assert got == {p: 100 - p for p in range(100)}
+
+
+def test_many_sources_meet_their_targets(spark):
+    sizes = [(None if k == 77 else f"host{k:03d}", (k * 37) % 101, 1) for k in range(120)]
+    got = {r["source"]: (r["rank"], r["target"]) for r in source_mix.source_targets(spark.createDataFrame(sizes, "source string, source_size long, n_docs long"), (1, 2, 3), 3).collect()}
+    names = sorted((s for s, *_ in sizes if s), key=str) + [None]
+    size = {s: n for s, n, _ in sizes}
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    free, share, total = set(names), {}, sum(size.values())
+    while True:
+        level = (total - sum(share.values())) / sum(weight[x] for x in free)
+        full = {s for s in free if level * weight[s] > 3 * size[s]}
+        if not full:
+            share |= {s: level * weight[s] for s in free}
+            break
+        share |= {s: 3 * size[s] for s in full}
+        free -= full
+    assert {s: r for s, (r, _) in got.items()} == {s: k + 1 for k, s in enumerate(names)}
+    assert {s: t for s, (_, t) in got.items()} == pytest.approx(share)
+
+
 def test_repeat_keeps_columns(docs, rows):
     taken = {r["doc_id"]: r["copies"] for r in source_mix.mix(docs).collect()}
     out = source_mix.repeat(docs)
