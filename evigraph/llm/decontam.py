@@ -15,14 +15,18 @@ it lets through all shingles of the benchmark and some others, which the join dr
 Cases: a null or empty text or item has no words: nothing is hit; windows that several
 items share count for each; repeated rows give repeated results; further columns are
 ignored; empty tables give an empty result or one without hits; a null item_id names
-no item, its words still count as hits.
+no item, its words still count as hits. A very long text is scanned whole: its places
+leave as rows, some thousand at a time, and their union is summed up in order of their
+starts, so no list of them is held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
@@ -30,6 +34,8 @@ from evigraph.llm.shared import cut, map_batches, prepare
 
 SIZE, SHINGLE = 10, 3
 FILTER_BITS = 1 << 26
+#: Places in a batch of rows.
+PLACES = 4096
 _SHIFT = B.U64(64 - 26)
 
 
@@ -118,41 +124,55 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc
     prefix = cut(prefix.select("window", "words", F.size("words").alias("length"), F.col("rarest.offset").alias("offset"), F.col("rarest.shingle").alias("shingle")), "prefixes", wins.count())
     sent = _filter(prefix.select("shingle"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_words, places = [], []
-        for w in B.words(batch.column(1), B.ALNUM, fold=True):
-            n, own = len(w.hashes), []
-            n_words.append(n)
-            for g in _all_grams(w, lengths):
-                for p in _passing(g, sent.value):
-                    a, b = max(0, int(p) - size + 1), min(n, int(p) + size)
-                    own.append({"shingle": int(g[p].astype(np.int64)), "place": int(p), "first": a, "around": _word_list(w, a, b)})
-            places.append(own)
-        place = pa.struct([("shingle", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.string()))])
-        keys = [batch.column(k) for k in range(2, batch.num_columns)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *keys, pa.array(n_words, pa.int64()), pa.array(places, pa.list_(place))], ["doc_id", *["key"] * len(keys), "n_words", "places"])
-
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).alias("key")] if key_col else []))
+    # A row for each text, with its number of words, and one for each of its places.
+    place = pa.struct([("shingle", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [*batch.schema.names[:1], *batch.schema.names[2:], "n_words", "p"]
+            at, n_words, places = [], [], []
+
+            def rows(batch=batch, names=names, at=at, n_words=n_words, places=places) -> pa.RecordBatch:
+                own = [batch.column(k).take(pa.array(at, pa.int64())) for k in (0, *range(2, batch.num_columns))]
+                return pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(places, place)], names)
+
+            for w in B.words(batch.column(1), B.ALNUM, fold=True):
+                n = len(w.hashes)
+                at.append(w.row)
+                n_words.append(n)
+                places.append(None)
+                for g in _all_grams(w, lengths):
+                    for p in _passing(g, sent.value):
+                        a, b = max(0, int(p) - size + 1), min(n, int(p) + size)
+                        at.append(w.row)
+                        n_words.append(n)
+                        places.append({"shingle": int(g[p].astype(np.int64)), "place": int(p), "first": a, "around": _word_list(w, a, b)})
+                        if len(at) >= PLACES:
+                            yield rows()
+                            for held in (at, n_words, places):
+                                held.clear()
+            yield rows()
+
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), *([F.col(key_col).alias("key")] if key_col else []))
     kind = src.schema["doc_id"].dataType.simpleString()
-    seen = map_batches(src, run, f"doc_id {kind}, {'key binary, ' if key_col else ''}n_words long, places array<struct<shingle: long, place: long, first: long, around: array<string>>>")
-    seen = cut(seen.withColumn("row", F.monotonically_increasing_id()), "places")
+    seen = src.mapInArrow(run, f"doc_id {kind}, row long, {'key binary, ' if key_col else ''}n_words long, p struct<shingle: long, place: long, first: long, around: array<string>>")
+    seen = cut(seen, "places")
 
-    cand = seen.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*").join(prefix, "shingle")
+    cand = seen.where("p IS NOT NULL").select("row", "n_words", "p.*").join(prefix, "shingle")
     start = F.col("place") - F.col("offset")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("around", (start - F.col("first") + 1).cast("int"), F.col("length")) == F.col("words")
     hits = cut(cand.where(fits).where(F.when(fits, same)).select("row", "window", start.alias("start"), "length"), "hits")
 
-    # Words covered by the union of the occurrences, in order of their starts.
-    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
-    fresh = lambda acc, s: F.greatest(s["stop"] - F.greatest(s["start"], acc["to"]), F.lit(0))
-    step = lambda acc, s: F.struct((acc["n"] + fresh(acc, s)).alias("n"), F.greatest(acc["to"], s["stop"]).alias("to"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    n_hit = spans.select("row", F.aggregate("spans", zero, step)["n"].alias("n_hit"))
+    # Words covered by the union of the occurrences: of each, those after all that begin before it.
+    spans = hits.select("row", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
+    earlier = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(earlier), F.lit(0)))
+    n_hit = spans.select("row", F.greatest(fresh, F.lit(0)).alias("fresh")).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
     holders = named.where("item_id IS NOT NULL").select("window", "item_id").distinct()
     found = hits.select("row", "window").distinct().join(holders, "window").select("row", "item_id").distinct()
     found = found.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    out = seen.drop("places").join(n_hit, "row", "left").join(found, "row", "left")
+    out = seen.where("p IS NULL").drop("p").join(n_hit, "row", "left").join(found, "row", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), listed.alias("items"), *([F.col("key").alias(key_col)] if key_col else []))
