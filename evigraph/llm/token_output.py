@@ -6,44 +6,58 @@ directory, the bits set before each block of 512. The chunk of an id at the next
 level is at the rank of its bit, so any token is read by one look-up a level: no
 block is decoded.
 
-A container is one run of whole documents in ascending doc_id order:
-
-    magic b"EVDAC1\\0\\0", u64 n_tokens, u64 n_docs, u64 n_levels, then for each level
-    u64 width in bits and u64 n_chunks; i64 doc_id[n_docs]; u64 first_token[n_docs + 1];
-    then for each level the chunks (width bits, padded to 8 bytes), the bitmap
-    (u64 words, low bit first) and the directory (u64 for each block of 512 bits).
-    All values are little-endian.
-
-Containers are the rows of a Parquet table (shard, part, n_tokens, container), so
-Spark's commit protocol covers them on any store, and a lost executor's are written
-again. A container ends at the first document that takes it to PART_TOKENS or more.
+A container is one file of whole documents in ascending doc_id order:
+
+    magic b"EVDAC2\\0\\0", u64 n_tokens, u64 n_docs, u64 n_levels, u64 shard, u64 part,
+    u64 first byte of the levels, then for each of MOST_LEVELS levels u64 width in bits
+    and u64 n_chunks (0 for levels that aren't there); i64 doc_id[n_docs];
+    u64 first_token[n_docs + 1]; then for each level the chunks (width bits, padded to 8
+    bytes), the bitmap (u64 words, low bit first) and the directory (u64 for each block
+    of 512 bits). All values are little-endian. One line break ends the file.
+
+The head tells where everything is, so a token at a place is read by ranges of a few
+bytes: the head, and for each level its chunk, its block's bitmap and rank. Files are
+neither compressed nor wrapped, and Spark's writer for lines of text commits them on any
+store, a container a file; those of a lost executor are written again. Beside them a
+small table (file, shard, part, first, n_tokens, n_docs) names the container of a place.
+A container ends with the batch of documents that takes it to PART_TOKENS or more.
 
 Cases: a null or empty text has the end id only; ties and repeated rows of a doc_id
-keep the order of their texts; rows without doc_id come first; further columns are
-ignored; an empty table gives a table without containers.
+keep the order of their texts; rows without doc_id, or with a text that is no whole
+number, come first; further columns are ignored; an empty table gives a table without
+containers. A very long text is encoded in pieces cut at white space, and what is held
+is its ids; a single word is not cut.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
 from evigraph.llm.shared import fresh_path, map_batches, prepare
+from evigraph.llm.source_mix import sums_before
 
-MAGIC = b"EVDAC1\0\0"
+MAGIC = b"EVDAC2\0\0"
 WIDTHS = (8, 8, 16)
 END_ID = 2
-PART_TOKENS = 1 << 20
+PART_TOKENS = 1 << 23
+MOST_LEVELS = 4
+#: Bytes of the head.
+HEAD = 8 * (7 + 2 * MOST_LEVELS)
+#: Bytes of a text that are encoded at once, about.
+LONG = 1 << 20
 _BLOCK = 512
 _NO_ID = -(1 << 63)
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def _padded(x: np.ndarray) -> bytes:
@@ -51,10 +65,10 @@ def _padded(x: np.ndarray) -> bytes:
     return raw + bytes(-len(raw) % 8)
 
 
-def encode(ids: np.ndarray, doc_ids: Sequence[int], firsts: np.ndarray, widths: Sequence[int] = WIDTHS) -> bytes:
+def encode(ids: np.ndarray, doc_ids: Sequence[int], firsts: np.ndarray, widths: Sequence[int] = WIDTHS, shard: int = 0, part: int = 0) -> bytes:
     """A container of ids below 2**sum(widths); firsts has a last entry, len(ids)."""
     left = np.asarray(ids, np.uint32)
-    levels = []
+    shape, body = [], []
     for k, width in enumerate(widths):
         chunk = (left & np.uint32((1 << width) - 1)).astype(f"<u{width // 8}")
         more = (left >> np.uint32(width)) > 0 if k + 1 < len(widths) else np.zeros(len(left), bool)
@@ -63,41 +77,62 @@ def encode(ids: np.ndarray, doc_ids: Sequence[int], firsts: np.ndarray, widths:
         words = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.bitwise_count(words.reshape(-1, _BLOCK // 64)).sum(axis=1, dtype=np.uint64)
         ranks = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u8") if len(ones) else np.empty(0, "<u8")
-        levels.append((width, chunk, words, ranks))
+        shape += [width, len(chunk)]
+        body += [_padded(chunk), words.tobytes(), ranks.tobytes()]
         left = left[more] >> np.uint32(width)
-    head = [len(ids), len(doc_ids), len(levels)]
-    for width, chunk, _, _ in levels:
-        head += [width, len(chunk)]
-    parts = [MAGIC, np.array(head, "<u8").tobytes(), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(firsts, "<u8").tobytes()]
-    for _, chunk, words, ranks in levels:
-        parts += [_padded(chunk), words.tobytes(), ranks.tobytes()]
-    return b"".join(parts)
+    shape += [0] * (2 * MOST_LEVELS - len(shape))
+    levels_at = HEAD + 8 * (2 * len(doc_ids) + 1)
+    head = [len(ids), len(doc_ids), len(widths), shard, part, levels_at, *shape]
+    return b"".join([MAGIC, np.array(head, "<u8").tobytes(), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(firsts, "<u8").tobytes(), *body])
+
+
+class Layout:
+    """What the head of a container says: its numbers, and where the parts of each level begin."""
+
+    def __init__(self, head: bytes | memoryview):
+        if len(head) < HEAD or bytes(head[:8]) != MAGIC:
+            raise ValueError("not a container of directly addressable codes")
+        self.n_tokens, self.n_docs, n_levels, self.shard, self.part, at, *shape = (int(x) for x in np.frombuffer(head, "<u8", HEAD // 8 - 1, 8))
+        self.levels = []
+        for width, n in zip(shape[: 2 * n_levels : 2], shape[1 : 2 * n_levels : 2], strict=True):
+            blocks = -(-n // _BLOCK)
+            bitmap = at + -(-n * width // 64) * 8
+            ranks = bitmap + blocks * _BLOCK // 8
+            self.levels.append((width, n, at, bitmap, ranks))
+            at = ranks + 8 * blocks
+
+
+def token_at(fetch: Callable[[int, int], bytes], layout: Layout, place: int) -> int:
+    """The id at a place of a container, by ranges: fetch(at, n) gives n of its bytes."""
+    if not 0 <= place < layout.n_tokens:
+        raise IndexError(place)
+    out = shift = 0
+    for width, _, chunks, bitmap, ranks in layout.levels:
+        size = width // 8
+        out |= int.from_bytes(fetch(chunks + size * place, size), "little") << shift
+        block, bit = divmod(place, _BLOCK)
+        bits = int.from_bytes(fetch(bitmap + block * (_BLOCK // 8), _BLOCK // 8), "little")
+        if not bits >> bit & 1:
+            break
+        place = int.from_bytes(fetch(ranks + 8 * block, 8), "little") + (bits & ((1 << bit) - 1)).bit_count()
+        shift += width
+    return out
 
 
 class Reader:
-    """Random access to a container."""
+    """Random access to a container in memory."""
 
     def __init__(self, raw: bytes | memoryview):
-        if bytes(raw[:8]) != MAGIC:
-            raise ValueError("not a container of directly addressable codes")
-        n_tokens, n_docs, n_levels = (int(x) for x in np.frombuffer(raw, "<u8", 3, 8))
-        self.n_tokens, at = n_tokens, 32
-        shape = np.frombuffer(raw, "<u8", 2 * n_levels, at).reshape(-1, 2).astype(int)
-        at += 16 * n_levels
-        self.doc_ids = np.frombuffer(raw, "<i8", n_docs, at)
-        at += 8 * n_docs
-        self.firsts = np.frombuffer(raw, "<u8", n_docs + 1, at).astype(np.int64)
-        at += 8 * (n_docs + 1)
+        layout = Layout(raw)
+        self.n_tokens, n_docs = layout.n_tokens, layout.n_docs
+        self.shard, self.part = layout.shard, layout.part
+        self.doc_ids = np.frombuffer(raw, "<i8", n_docs, HEAD)
+        self.firsts = np.frombuffer(raw, "<u8", n_docs + 1, HEAD + 8 * n_docs).astype(np.int64)
         self.levels = []
-        for width, n in shape:
+        for width, n, chunks, bitmap, ranks in layout.levels:
             blocks = -(-n // _BLOCK)
-            chunk = np.frombuffer(raw, f"<u{width // 8}", n, at)
-            at += -(-n * width // 64) * 8
-            words = np.frombuffer(raw, "<u8", blocks * _BLOCK // 64, at)
-            at += blocks * _BLOCK // 8
-            ranks = np.frombuffer(raw, "<u8", blocks, at)
-            at += 8 * blocks
-            self.levels.append((int(width), chunk, words, ranks))
+            words = np.frombuffer(raw, "<u8", blocks * _BLOCK // 64, bitmap)
+            self.levels.append((width, np.frombuffer(raw, f"<u{width // 8}", n, chunks), words, np.frombuffer(raw, "<u8", blocks, ranks)))
 
     def tokens(self, places: np.ndarray) -> np.ndarray:
         """The ids at any places, in any order."""
@@ -165,37 +200,76 @@ class _Vocabulary(dict):
         return k
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space into pieces of about LONG bytes, one at least; no word is cut."""
+    at = 0
+    while len(text) - at > 2 * LONG:
+        stop = _BLANK.search(text, at + LONG)
+        if not stop:
+            break
+        yield text[at : stop.start()]
+        at = stop.start()
+    yield text[at:]
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     Only for a lower-casing model whose words never reach across white space, nor from
-    a letter to a punctuation mark; the constructor refuses others. A-Z are lower-cased
-    and blanks put between letters and such marks before texts are cut at ASCII white
-    space, so there are few distinct words; the model would do the same. Texts that may
-    hold a special token are encoded as they stand.
+    a letter to a punctuation mark: the constructor reads the model file and refuses any
+    other normalizer, cutting rule or kind of model than the ones below. A-Z are
+    lower-cased and blanks put between letters and such marks before texts are cut at
+    ASCII white space, so there are few distinct words; the model would do the same.
+    Texts that may hold a special token are encoded as they stand.
     """
 
+    # How the model file words what this class relies on.
+    NORMALIZERS = (
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    )
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # End of fixed values.
     MOST_WORDS = 1 << 19
     #: Marks that never continue a word; the apostrophe does.
     _MARKS = np.isin(np.arange(256), list(b'.,;:!?#$%&*)]"'))
     _LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
     #: Words that are one run of Latin letters, or of marks: one word to the model.
     _SIMPLE = re.compile(rb"(?:[a-z]|[\xc4-\xc8][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,;:!?#$%&*()\[\]\"]+")
-    _PROBE = ("a b", "a", "b", "THE cat,", "the", "cat", ",", "it's c3po", "it's", "c3po")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        with open(path, encoding="utf-8") as f:
+            fault = self.refused(json.load(f))
+        if fault:
+            raise ValueError(f"this tokenizer can't be applied word by word: {fault}")
         self.model = Tokenizer.from_file(path)
-        p = [e.ids for e in self.model.encode_batch(list(self._PROBE), add_special_tokens=False)]
-        if p[0] != p[1] + p[2] or p[3] != p[4] + p[5] + p[6] or p[7] != p[8] + p[9]:
-            raise ValueError("this tokenizer's words reach across white space or to punctuation, or keep capitals")
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
+    @classmethod
+    def refused(cls, said: dict) -> str | None:
+        """Why a model file, as read from JSON, is none of those meant; None if it is one."""
+        if (said.get("normalizer") or {}).get("normalizers") != list(cls.NORMALIZERS):
+            return "its normalizer is another"
+        cutting = (said.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if len(cutting) != 2 or cutting[0].get("pattern") != {"Regex": cls.WORDS} or not cutting[0].get("invert") or cutting[0].get("behavior") != "Removed":
+            return "it cuts words by another rule"
+        if cutting[1].get("type") != "ByteLevel" or cutting[1].get("add_prefix_space") or cutting[1].get("use_regex"):
+            return "it cuts or pads words once more"
+        model = said.get("model") or {}
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix") or model.get("dropout"):
+            return "its model isn't one of pairs with word ends"
+        for t in said.get("added_tokens") or []:
+            if not t["content"].startswith("<|") or t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                return f"its token {t['content']!r} isn't one that stands in <| and takes no white space"
+        return None
+
     def _clear(self) -> None:
         self.known = _Vocabulary()
         self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -251,6 +325,15 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
+        if all(len(t) <= 2 * LONG for t in texts):
+            return self._encode(texts)
+        parts = [list(_pieces(t)) for t in texts]
+        got = [self._encode([p]) for own in parts for p in own]
+        sizes = np.concatenate([[0], np.cumsum([int(n[0]) for _, n in got])])
+        ends = np.concatenate([[0], np.cumsum([len(own) for own in parts])])
+        return np.concatenate([ids for ids, _ in got]), np.diff(sizes[ends])
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.MOST_WORDS:
             self._clear()
         whole = [k for k, t in enumerate(texts) if b"<|" in t]
@@ -280,10 +363,10 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def write(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS) -> None:
     """Write the containers of all texts, in ascending doc_id order over shards and parts."""
     spark = prepare(docs.sparkSession, 256)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
@@ -293,11 +376,7 @@ def write(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = END
 
         def flush() -> pa.RecordBatch:
             firsts = np.concatenate([[0], np.cumsum(sizes)])
-            raw = encode(np.concatenate(ids), doc_ids, firsts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([int(firsts[-1])], pa.int64()), pa.array([raw], pa.binary())],
-                ["shard", "part", "n_tokens", "container"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([encode(np.concatenate(ids), doc_ids, firsts, shard=shard, part=part)], pa.binary())], ["container"])
 
         for batch in batches:
             raw, at = B.buffers(batch.column(1))
@@ -313,43 +392,113 @@ def write(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = END
                 sizes += (n_ids + 1).tolist()
                 held += len(with_end)
                 k = stop
-                if held >= PART_TOKENS:
+                if held >= part_tokens:
                     yield flush()
                     part, held = part + 1, 0
                     ids, doc_ids, sizes = [], [], []
         if doc_ids:
             yield flush()
 
-    ordered.mapInArrow(run, "shard int, part int, n_tokens long, container binary").write.parquet(out_path)
+    # A string column keeps any bytes, and the writer puts them out as they are.
+    lines = ordered.mapInArrow(run, "container binary").select(F.col("container").cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{out_path}/containers")
+    _write_index(spark, out_path)
+
+
+def _containers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the containers at a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/containers")
+    return files.select(F.substring_index("path", "/", -1).alias("file"), "content")
+
+
+def _write_index(spark: SparkSession, path: str) -> None:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        heads = [Layout(memoryview(h.as_buffer())) for h in batch.column(1)]
+        cols = [pa.array([getattr(h, c) for h in heads], pa.int64()) for c in ("shard", "part", "n_tokens", "n_docs")]
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols], ["file", "shard", "part", "n_tokens", "n_docs"])
+
+    heads = _containers(spark, path).select("file", F.substring("content", 1, HEAD).alias("head")).where(F.length("head") == HEAD)
+    heads = map_batches(heads, run, "file string, shard long, part long, n_tokens long, n_docs long")
+    # Tokens before each container, in the order of shards and parts.
+    shards = sums_before(heads.groupBy("shard").agg(F.sum("n_tokens").alias("n")), "shard", ["n"]).select("shard", "n_before")
+    parts = sums_before(heads, "part", ["n_tokens"], ["shard"]).join(shards, "shard")
+    parts = parts.select("file", "shard", "part", (F.col("n_before") + F.col("n_tokens_before")).alias("first"), "n_tokens", "n_docs")
+    parts.coalesce(8).write.parquet(f"{path}/index")
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, shard, part, first, n_tokens, n_docs) of the containers at a path."""
+    return spark.read.schema("file string, shard long, part long, first long, n_tokens long, n_docs long").parquet(f"{path}/index")
+
+
+class TokenFiles:
+    """Single tokens of written files, read by ranges of bytes from the driver.
+
+    ``bytes_read`` counts what was fetched.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.bytes_read = spark, path.rstrip("/"), 0
+
+    def tokens_at(self, places: Sequence[int]) -> list[int]:
+        """The ids at some places of all tokens, in the order asked for."""
+        wanted = F.array(*[F.lit(int(p)).cast("long") for p in places])
+        here = F.filter(wanted, lambda p: (p >= F.col("first")) & (p < F.col("first") + F.col("n_tokens")))
+        rows = index(self.spark, self.path).withColumn("here", here).where(F.size("here") > 0).collect() if len(places) else []
+        found: dict[int, int] = {}
+        for r in rows:
+            with _Ranges(self.spark, f"{self.path}/containers/{r['file']}") as ranges:
+                layout = Layout(ranges.fetch(0, HEAD))
+                found |= {p: token_at(ranges.fetch, layout, p - r["first"]) for p in r["here"]}
+            self.bytes_read += ranges.n
+        if missing := [p for p in places if p not in found]:
+            raise IndexError(f"no token at {missing[0]}")
+        return [found[p] for p in places]
+
+    def token_at(self, place: int) -> int:
+        return self.tokens_at([place])[0]
+
+
+class _Ranges:
+    """Ranges of a file on any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.n = spark, path, 0
+
+    def __enter__(self) -> _Ranges:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        self.stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
+        self.read = jvm.org.apache.commons.io.IOUtils.toByteArray
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
+
+    def fetch(self, at: int, n: int) -> bytes:
+        self.stream.seek(at)
+        self.n += n
+        return bytes(self.read(self.stream, n))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and nth of every document in the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
     prepare(spark)
-    files = spark.read.schema("shard int, part int, n_tokens long, container binary").parquet(path)
-    # Tokens before each container: a row of numbers a container, in the order of the files.
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    shards = shards.select("shard", (F.sum("n").over(order) - F.col("n")).alias("before"))
-    within = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = files.select("shard", "part", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("in_shard")).join(shards, "shard")
-    parts = parts.select("shard", "part", (F.col("before") + F.col("in_shard")).alias("before"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for k in range(batch.num_rows):
-            reader = Reader(memoryview(batch.column("container")[k].as_buffer()))
-            shard, part = batch.column("shard")[k].as_py(), batch.column("part")[k].as_py()
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            reader = Reader(memoryview(content.as_buffer()))
             for d, doc_id in enumerate(reader.doc_ids.tolist()):
                 ids = reader.document(d)
-                out.append((shard, part, d, None if doc_id == _NO_ID else doc_id, int(reader.firsts[d]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-        cols = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["shard", "part", "nth", "doc_id", "first", "n_tokens", "ids_crc32"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    docs = map_batches(files.select("shard", "part", "container"), run, "shard int, part int, nth long, doc_id long, first long, n_tokens long, ids_crc32 long")
-    return docs.join(parts, ["shard", "part"]).select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+                out.append((name, None if doc_id == _NO_ID else doc_id, int(reader.firsts[d]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = [pa.string(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    files = _containers(spark, path).where(F.length("content") >= HEAD)
+    docs = map_batches(files, run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return docs.join(index(spark, path).select("file", "first"), "file").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:

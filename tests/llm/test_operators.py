@@ -302,8 +302,14 @@ def test_codes_give_random_access():
         assert (reader.tokens(places) == ids[places]).all() and all(reader.token(int(p)) == ids[p] for p in places[:5])
         for k in range(len(firsts) - 1):
             assert (reader.document(k) == ids[firsts[k] : firsts[k + 1]]).all()
+        raw = token_output.encode(ids, [], np.array([n]), shard=3, part=4)
+        layout = token_output.Layout(raw[: token_output.HEAD])
+        assert (layout.shard, layout.part, layout.n_tokens) == (3, 4, n)
+        assert [token_output.token_at(lambda at, k: raw[at : at + k], layout, int(p)) for p in places] == ids[places].tolist()
     with pytest.raises(ValueError):
         token_output.Reader(b"something else")
+    with pytest.raises(IndexError):
+        token_output.token_at(lambda at, k: raw[at : at + k], layout, layout.n_tokens)
 
 
 ODD = [
@@ -339,6 +345,55 @@ def test_token_output(spark, docs, rows, none):
     assert sorted(r["start"] for r in token_output.round_trip(two, tokenizer_path()).collect()) == [0, 2, 5]
 
 
+def test_single_tokens_are_read_by_a_few_bytes(spark, docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    want = [x for _, t, *_ in sorted(rows, key=lambda r: r[0]) for x in [*model.encode(t or "", add_special_tokens=False).ids, 2]]
+    path = f"file://{tmp_path}/tokens"
+    token_output.write(docs, tokenizer_path(), path, part_tokens=500)
+    files = token_output.TokenFiles(spark, path)
+    places = [0, len(want) - 1, *random.Random(2).sample(range(len(want)), 40), 7, 7]
+    assert files.tokens_at(places) == [want[p] for p in places] and files.token_at(5) == want[5]
+    n = token_output.index(spark, path).count()
+    assert n == 4 and token_output.read(spark, path).agg(F.sum("n_tokens")).first()[0] == len(want)
+    assert files.bytes_read <= token_output.HEAD * (n + 1) + 3 * 76 * (len(places) + 1)
+    with pytest.raises(IndexError):
+        files.tokens_at([3, len(want)])
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    text = " ".join(ODD) + prose(400) + "x" * 300 + "\n<|endoftext|> " + prose(100)
+    tok = token_output.WordTokenizer(tokenizer_path())
+    for size in (1, 10, 100):
+        monkeypatch.setattr(token_output, "LONG", size)
+        ids, sizes = tok.encode([text.encode(), b"", prose(5).encode(), text.encode()])
+        assert ids[: sizes[0]].tolist() == model.encode(text, add_special_tokens=False).ids and sizes[1] == 0 and sizes[0] == sizes[3]
+        assert len(ids) == sizes.sum()
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        said = json.load(f)
+    said["model"] |= {"vocab": {"a": 0, "a</w>": 1}, "merges": []}
+    ways = [
+        lambda d: d["normalizer"]["normalizers"].pop(), lambda d: d["pre_tokenizer"]["pretokenizers"].pop(0), lambda d: d["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True),
+        lambda d: d["model"].update(end_of_word_suffix=None), lambda d: d["added_tokens"][0].update(lstrip=True), lambda d: d["added_tokens"][0].update(content="<| a |>"), lambda d: d.update(normalizer=None),
+    ]
+    assert token_output.WordTokenizer.refused(said) is None
+    for way in ways:
+        other = json.loads(json.dumps(said))
+        way(other)
+        (tmp_path / "t.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError):
+            token_output.WordTokenizer(str(tmp_path / "t.json"))
+
+
 # 6. Decontamination.
 
 
