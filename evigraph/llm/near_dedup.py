@@ -15,7 +15,12 @@
    outside the bucket's main component are compared with all members of other
    components inside a join's condition, by their sizes and by odd sketches of the full
    sets, so that only near links come out; these are confirmed on full sets. No pair of
-   a bucket is left open, and no bucket is expanded into all its pairs.
+   a bucket is left open, and no bucket is expanded into all its pairs. A large bucket is
+   a grid: its outsiders are dealt to rows, its members to columns of CELL each, and a
+   cell is what one task compares at a time.
+
+Labels of components are looked up by join; those of more than a 65,536th of all rows go
+to all tasks instead (65,536 at most), so no task gathers a large component.
 
 A true pair of similarity 0.8 shares no band with probability (1 - 0.8**8)**64 = 8e-6.
 
@@ -26,7 +31,9 @@ rows that repeat a doc_id with other texts are linked, kept and dropped by their
 texts; each gives a result row, with the smallest doc_id of its vertex's component.
 Of the rows that a component marks as kept, keep() takes one: that of the smallest set
 key and text hash; so of rows that repeat a doc_id without words. A row whose doc_id is null is linked with nothing, its component is null
-and it is kept; further columns are ignored; an empty table gives an empty result.
+and it is kept, as has an id that is no whole number; further columns are ignored; an
+empty table gives an empty result. Of a very long text some 30 bytes are held a word, and
+its full set, 8 bytes a shingle, moves as one value.
 """
 
 from __future__ import annotations
@@ -54,6 +61,10 @@ PAIRS_PER_FILE = 20_000
 WIDE_ROWS = 50_000
 #: Bands of the first exact pass; the second has all.
 FIRST_BANDS = 4
+#: Members of a bucket on each side of a cell.
+CELL = 1024
+#: Fewest rows with which a label counts as that of a large component.
+LARGE = 1024
 
 _PART = B.U64(64 - (SAMPLES - 1).bit_length())
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -161,13 +172,13 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, key_col: str
             ["doc_id", *["text_key"] * len(named), "n_shingles", "key_a", "key_b", "bands", "sketch"],
         )
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).alias("text_key")] if key_col else []))
+    src = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).alias("text_key")] if key_col else []))
     return map_batches(src, run, f"doc_id long, {'text_key binary, ' if key_col else ''}n_shingles long, key_a long, key_b long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(node, size, parity, shingles) of the wanted (node, doc_id, key_a, key_b): the set as its sorted 64-bit values."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     src = src.join(wanted.select("doc_id"), "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -202,10 +213,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
-def relabelled(label: DataFrame, to: DataFrame) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, own: str, n_rows: int) -> DataFrame:
+    """``rows`` with ``value`` of ``table`` (key, value), null where it has none; own tells rows apart.
+
+    Keys of many rows are at most 65,536, whose values all tasks get; their rows are then
+    dealt by hash and not by key.
+    """
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(LARGE, n_rows >> 16)).select(key)
+    sent = table.join(F.broadcast(many), key, "left_semi").select(F.col(key), F.col("value").alias("_sent"))
+    out = rows.join(F.broadcast(sent), key, "left")
+    by = F.when(F.col("_sent").isNull(), F.col(key)).otherwise(F.xxhash64(F.lit("large"), own)).alias("_by")
+    out = out.select("*", by).join(table.select(F.col(key).alias("_by"), F.col("value").alias("_found")), "_by", "left")
+    return out.withColumn("value", F.coalesce("_sent", "_found")).drop("_by", "_sent", "_found")
+
+
+def relabelled(label: DataFrame, to: DataFrame, n_rows: int) -> DataFrame:
     """(node, label) with labels replaced by those that ``to`` (node, label) gives them."""
-    up = to.select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return label.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    up = to.select(F.col("node").alias("label"), F.col("label").alias("value"))
+    return looked_up(label, "label", up, "node", n_rows).select("node", F.coalesce("value", "label").alias("label"))
 
 
 def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int, most_rows: int) -> DataFrame:
@@ -217,13 +242,18 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     """
     placed = rows.select("bucket", "band", "node").join(label, "node")
     part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    held = cut(placed.join(main.select("bucket", F.col("top.label").alias("main")), "bucket").join(odd, "node"), "open", most_rows, WIDE_ROWS)
-    rest = held.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
-    whole = held.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
+    main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    cells = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    main = main.select("bucket", F.col("top.label").alias("main"), cells(F.col("n") - F.col("top.n")).alias("rows"), cells(F.col("n")).alias("cols"))
+    held = cut(placed.join(main, "bucket").join(odd, "node"), "open", most_rows, WIDE_ROWS)
+    place = lambda n, side: F.pmod(F.xxhash64("node", F.lit(side)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = held.where("label <> main").select("bucket", place("rows", 0).alias("row"), every("cols").alias("col"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
+    whole = held.select("bucket", every("rows").alias("row"), place("cols", 1).alias("col"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
+    same = (rest["bucket"] == whole["bucket"]) & (rest["row"] == whole["row"]) & (rest["col"] == whole["col"])
     other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     first = F.array_position(F.zip_with("da", "db", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    near = rest.join(whole, (rest["bucket"] == whole["bucket"]) & other & _sets_may_link("na", "nb", "pa", "pb", percent) & first)
+    near = rest.join(whole, same & other & _sets_may_link("na", "nb", "pa", "pb", percent) & first)
     return near.select("a", "b").distinct()
 
 
@@ -270,6 +300,7 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
     n = sig.count()
     # A number for each set: a doc_id may have several.
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes", n)
+    n_sets = n
     nodes = filled.select("doc_id", "key_a", "key_b", "bands", "sketch").join(classes, ["doc_id", "key_a", "key_b"])
 
     rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "band_key").alias("bucket"))
@@ -289,7 +320,8 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
     pairs = met.select(F.col("head").alias("a"), F.col("node").alias("b"))
     pairs = pairs.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb", SKETCH_BITS) <= most_flips(percent / 100)).select("a", "b")
     links = cut(confirmed(pairs, sets, percent), "links", (FIRST_HEADS + 1) * n, PAIRS_PER_FILE)
-    label = cut(relabelled(sets.select("node", F.col("node").alias("label")), components(links, links.count())), "labels", n)
+    roots = components(links, links.count()).withColumnRenamed("label", "root")
+    label = cut(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels", n)
 
     # The exact way for the rest: buckets of several components. A few bands come first,
     # so that what most bands would find again and again is one component by then.
@@ -302,13 +334,14 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
         if not more.isEmpty():
             ends = more.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
             joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), more.count())
-            label = cut(relabelled(label, joined), "labels", n)
+            label = cut(relabelled(label, joined, n), "labels", n)
 
     for used in (rows, wanted, sets):
         forget(used)
-    named = classes.join(label, "node", "left").select("key_a", "key_b", "doc_id", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
-    named = named.join(least, "label").select("key_a", "key_b", "label", "component")
+    # Sets that met no other are components of their own.
+    named = cut(classes.join(label, "node", "left").select("node", "key_a", "key_b", "doc_id", F.coalesce("label", "node").alias("label")), "named")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("value"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    named = looked_up(named, "label", least, "node", n_sets).select("key_a", "key_b", "label", F.coalesce("value", "doc_id").alias("component"))
     out = sig.drop("bands", "sketch").join(named, ["key_a", "key_b"], "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(own, F.col("doc_id")).otherwise(F.col("component"))

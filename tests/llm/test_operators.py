@@ -162,8 +162,12 @@ def test_near_duplicates(docs, rows, none, k):
         assert near_dedup.groups(none, k).count() == 0
 
 
-def test_chains_of_near_copies_are_one_group(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_chains_of_near_copies_are_one_group(spark, monkeypatch, small):
     """Each text is near the next only: all links must be found and no pivot sees them all."""
+    if small:  # every bucket a grid, every component a large one
+        monkeypatch.setattr(near_dedup, "CELL", 2)
+        monkeypatch.setattr(near_dedup, "LARGE", 1)
     r = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     chain = []
