@@ -1,29 +1,33 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of sentences that name a licence or consist of words of the
-templates, with at least one naming word. A block is compressed alone and with each
+templates, with at least one naming word and few other words between them. A block is compressed alone and with each
 template as a raw zstandard dictionary; templates are ranked by how much of the
 block's size each saves. All are then held against the exact wording: the words of
-block and template are aligned, and a template counts if at most MOST_MISSING of its
-words are missing and it fits better than any other at that place. Left out are only
-templates of whose words, counted without order, too few stand in the block for any
-alignment to confirm them. What is missing and added is reported word for word.
+block and template are aligned, the part of the alignment is taken that explains most
+with fewest differences, and a template counts if at most MOST_MISSING of its words (one
+at least) are missing there, none of them one that names the licence, and it fits better
+than any other at that place. Left out are only templates of whose words, counted without
+order, too few stand in the block for any alignment to confirm them. What is missing and
+added is reported word for word.
 
 Cases: a null or empty text has no block; equal savings go by template name; repeated
 rows give repeated results; further columns are ignored; an empty table gives an
 empty result; a block that no template explains is reported without one, with the
 differences from the template that saves most. In a block of more than STEP words these
-are of the step that the template fits best, and begin and end are its place there.
+are of the step that the template fits best, and begin and end are its place there. A
+very long text is scanned whole, sentence by sentence; of a block its words are held, and
+blocks of any length are aligned alike, in steps.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,20 +36,51 @@ from pyspark.sql import functions as F
 from evigraph.llm.license_templates import TEMPLATES
 from evigraph.llm.shared import prepare
 
-#: The most of a template's words that may be missing, and the share of a block's words
+#: The share of a template's words that may be missing, and the share of a block's words
 #: that makes it a candidate.
 MOST_MISSING, KNOWN_SHARE = 0.10, 0.75
+#: Other words that a block may have between two parts of it.
+MOST_APART = 8
 #: A block is kept to so many words for each alignment; longer ones go in overlapping steps.
 STEP = 2048
 LEVEL = 3
 
-_NAMING = re.compile(r"(?i)\b(?:licen[cs]e[ds]?|licen[cs]ing|copyright(?:ed)?|copyleft|warranty|warranties|redistribut\w+|permission|public domain|spdx|all rights reserved)\b")
+_NAMING = re.compile(
+    r"(?i)\b(?:licen[cs]e[ds]?|licen[cs]ing|copyright(?:ed)?|copyleft|warranty|warranties|redistribut\w+|permission|public domain|spdx|all rights"
+    r"|cc[ -]by\b|cc0\b|creative commons|general public|public license|unencumbered software|boost software|waived all|free software|mpl|rights reserved)\b"
+)
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s)|$|(?=\n))", re.M)
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Words that name a licence, at their first place in a template; numbers do after these or the next words.
+_NAMES = frozenset("mit isc bsd apache gnu general lesser affero mozilla boost eclipse cc creative commons unencumbered waived".split())
+_BEFORE = frozenset("version v cc license".split())
+#: Templates of fewer words are single lines, in which the word license counts too.
+_LINE = 20
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words with A-Z lower-cased, each where it is in the text."""
+    return _WORD.findall(text.translate(_LOWER))
+
+
+def decisive(words: list[str]) -> frozenset[int]:
+    """Places of the words without which a template isn't confirmed."""
+    if len(words) <= 3:
+        return frozenset(range(len(words)))
+    out, seen = set(), set()
+    for k, w in enumerate(words):
+        before = words[k - 1] if k else ""
+        named = w in _NAMES or w.startswith(("by-", "attribution")) or (len(words) < _LINE and w == "license")
+        numbered = (w[0].isdigit() or w == "by") and (before in _BEFORE or before.startswith(("by", "attribution")))
+        if (named and w not in seen) or numbered:
+            out.add(k)
+        seen.add(w)
+    return frozenset(out)
+
+
+def most_missing(template: list[str]) -> int:
+    return max(len(template) > 3, int(MOST_MISSING * len(template)))
 
 
 @cache
@@ -59,6 +94,11 @@ def _prepared() -> tuple[list[tuple[str, str, list[str], zstandard.ZstdCompresso
     return ready, plain, frozenset(w for _, _, ws, _ in ready for w in ws)
 
 
+@cache
+def _decisive() -> list[frozenset[int]]:
+    return [decisive(template) for _, _, template, _ in _prepared()[0]]
+
+
 @cache
 def _counted() -> list[list[tuple[str, int]]]:
     """Each template's words with their counts."""
@@ -71,7 +111,7 @@ def candidate_blocks(text: str) -> Iterator[tuple[int, int]]:
         return
     _, _, known = _prepared()
     start = end = None
-    named = False
+    named, apart = False, 0
     for m in _SENTENCE.finditer(text):
         part = m.group()
         ws = words_of(part)
@@ -81,11 +121,13 @@ def candidate_blocks(text: str) -> Iterator[tuple[int, int]]:
         # A few words begin no block, but go on with one: "met:" or "1.".
         if naming or ((len(ws) >= 3 or start is not None) and sum(w in known for w in ws) >= KNOWN_SHARE * len(ws)):
             start = m.start() if start is None else start
-            end, named = m.end(), named or naming
-        else:
-            if named:
-                yield start, end
-            start, named = None, False
+            end, named, apart = m.end(), named or naming, 0
+        elif start is not None:
+            apart += len(ws)
+            if apart > MOST_APART:
+                if named:
+                    yield start, end
+                start, named, apart = None, False, 0
     if named:
         yield start, end
 
@@ -99,17 +141,40 @@ def savings(words: list[str]) -> list[tuple[float, int]]:
     return sorted(out, key=lambda x: (-x[0], ready[x[1]][0]))
 
 
-def _align(block: list[str], template: list[str]) -> tuple[int, int, list[str], list[str]]:
-    """The template's place in the block (words), and its missing and the added words there."""
-    same = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not same:
-        return 0, 0, template, []
-    a, b = same[0].a, same[-1].a + same[-1].size
-    hit_b, hit_t = set(), set()
-    for m in same:
-        hit_b.update(range(m.a, m.a + m.size))
-        hit_t.update(range(m.b, m.b + m.size))
-    return a, b, [w for k, w in enumerate(template) if k not in hit_t], [block[k] for k in range(a, b) if k not in hit_b]
+def _align(block: list[str], template: list[str]) -> tuple[int, int, list[int], list[str]]:
+    """The template's place in the block (words), places of its missing words, and the words added there.
+
+    Of all places that of least _differences, the first; words before and after it cost
+    nothing.
+    """
+    # A missing word counts twice: as one that differs, and as one not explained.
+    n, across = len(template), 2 * np.arange(len(template) + 1, dtype=np.int32)
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(template):
+        places.setdefault(w, []).append(k)
+    ends = {w: (np.array(at), np.array(at) + 1) for w, at in places.items()}
+    # cost[i, j]: fewest differences between the first j words and any that end before word i.
+    cost = np.empty((len(block) + 1, n + 1), np.int32)
+    cost[0] = across
+    for i, w in enumerate(block):
+        row = cost[i] + 1
+        row[0] = 0
+        if w in ends:
+            before, after = ends[w]
+            row[after] = np.minimum(row[after], cost[i, before])
+        cost[i + 1] = np.minimum.accumulate(row - across) + across
+    i, j = int(np.argmin(cost[:, n])), n
+    stop, missing, added = i, [], []
+    while j:
+        if i and block[i - 1] == template[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+        elif cost[i, j] == cost[i, j - 1] + 2:
+            j -= 1
+            missing.append(j)
+        else:
+            i -= 1
+            added.append(block[i])
+    return i, stop, missing[::-1], added[::-1]
 
 
 def _steps(words: list[str]) -> range:
@@ -117,7 +182,7 @@ def _steps(words: list[str]) -> range:
     return range(0, max(1, len(words) - STEP // 2), STEP // 2)
 
 
-def _differences(template: list[str], missing: list[str], added: list[str]) -> int:
+def _differences(template: list[str], missing: list[int], added: list[str]) -> int:
     """Less is better: fewer differences for the words explained."""
     return len(missing) + len(added) - (len(template) - len(missing))
 
@@ -126,7 +191,7 @@ def nearest(words: list[str], template: list[str]) -> tuple[int, int, list[str],
     """As _align, for the step of a block that the template fits best; of equal ones the first."""
     steps = [(at, _align(words[at : at + STEP], template)) for at in _steps(words)]
     at, (a, b, missing, added) = min(steps, key=lambda s: _differences(template, *s[1][2:]))
-    return at + a, at + b, missing, added
+    return at + a, at + b, [template[k] for k in missing], added
 
 
 def _fits(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
@@ -139,11 +204,12 @@ def _fits(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
         name, licence, template, _ = ready[k]
         for (at, step), has in zip(steps, held, strict=True):
             # No alignment finds more of the template's words than the step has of them.
-            if sum(max(0, n - has[w]) for w, n in _counted()[k]) > MOST_MISSING * len(template):
+            if sum(max(0, n - has[w]) for w, n in _counted()[k]) > most_missing(template):
                 continue
             a, b, missing, added = _align(step, template)
-            if len(missing) <= MOST_MISSING * len(template) and len(added) <= max(1, MOST_MISSING * len(template)):
-                tries.append((_differences(template, missing, added), name, {"template": name, "license": licence, "saved": gain, "from": at + a, "to": at + b, "missing": missing, "added": added}))
+            if len(missing) <= most_missing(template) and len(added) <= max(1, MOST_MISSING * len(template)) and not _decisive()[k].intersection(missing):
+                lost = [template[m] for m in missing]
+                tries.append((_differences(template, missing, added), name, {"template": name, "license": licence, "saved": gain, "from": at + a, "to": at + b, "missing": lost, "added": added}))
     found: list[dict] = []
     for _, _, f in sorted(tries, key=lambda t: t[:2]):
         if all(f["to"] <= g["from"] or f["from"] >= g["to"] for g in found):
@@ -170,17 +236,17 @@ def scan_text(text: str) -> list[tuple]:
     ready, _, _ = _prepared()
     out = []
     for start, end in candidate_blocks(text):
-        spans = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end].lower())] if text[start:end].lower().isascii() or len(text[start:end].lower()) == end - start else None
+        spans = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end].translate(_LOWER))]
         ws = words_of(text[start:end])
         ranked = savings(ws)
         found = confirm(ws, ranked)
         for f in found:
-            begin, stop = (spans[f["from"]][0], spans[f["to"] - 1][1]) if spans else (start, end)
+            begin, stop = spans[f["from"]][0], spans[f["to"] - 1][1]
             out.append((begin, stop, f["license"], f["template"], round(f["saved"], 6), True, f["missing"], f["added"]))
         if not found:
             gain, k = ranked[0]
             a, b, missing, added = nearest(ws, ready[k][2])
-            begin, stop = (spans[a][0], spans[b - 1][1]) if spans and len(ws) > STEP and a < b else (start, end)
+            begin, stop = (spans[a][0], spans[b - 1][1]) if len(ws) > STEP and a < b else (start, end)
             out.append((begin, stop, None, ready[k][0], round(gain, 6), False, missing, added))
     return sorted(out, key=lambda r: (r[0], r[1], r[3]))
 

@@ -683,3 +683,65 @@ def test_long_unexplained_blocks_name_the_place_of_their_differences():
     assert row[2:4] == (None, "mit-disclaimer") and not row[5]
     assert (head + part)[row[0] : row[1]] == part.rstrip(".,;") and row[7] == []
     assert row[6] == license_scan.words_of(" ".join(ws))[len(license_scan.words_of(part)) :]
+
+
+LIKE = "You may copy the work and the software of the author under the terms that follow, and use it for any purpose. "
+
+
+@pytest.mark.parametrize("name", [n for n, _, t in license_scan.TEMPLATES if not n.startswith("spdx")])
+def test_single_changed_words_are_confirmed(name):
+    """Any word changed, dropped or put in, among prose of the same words: found, at its place."""
+    _, licence, body = next(t for t in license_scan.TEMPLATES if t[0] == name)
+    words = body.split()
+    flat = [license_scan.words_of(w) for w in words]
+    own = license_scan.words_of(body)
+    named, at = license_scan.decisive(own), 0
+    places = [range(sum(map(len, flat[:k])), sum(map(len, flat[: k + 1]))) for k in range(len(words))]
+    step = max(1, len(words) // 25)
+    for k in range(0, len(words), step):
+        ways = [("put in", [*words[:k], "zzz", *words[k:]])] if 0 < k else []
+        if len(places[k]) == 1 and not named.intersection(places[k]):
+            ways += [("changed", [*words[:k], "zzz", *words[k + 1 :]]), ("dropped", words[:k] + words[k + 1 :])]
+        for how, ws in ways:
+            text = LIKE + " ".join(ws) + "\n" + LIKE
+            rows = [r for r in license_scan.scan_text(text) if r[5] and r[2] == licence]
+            assert rows, (how, k, words[k])
+            inside = " ".join(ws)
+            r = max(rows, key=lambda r: r[1] - r[0])
+            got = license_scan.words_of(text[r[0] : r[1]])
+            all_words = license_scan.words_of(inside)
+            assert text[r[0] : r[1]] in inside and len(all_words) - len(got) <= 2, (how, k, words[k], text[r[0] : r[1]])
+
+
+@pytest.mark.parametrize("name", [n for n, _, t in license_scan.TEMPLATES if n.startswith("spdx")])
+def test_tagged_identifiers(name):
+    _, licence, body = next(t for t in license_scan.TEMPLATES if t[0] == name)
+    text = "/* İ first\n * " + body + "\n */\nint main;\nReleased under the MIT License."
+    found = [(text[r[0] : r[1]].rstrip("."), r[2]) for r in license_scan.scan_text(text) if r[5]]
+    assert found == [(body, licence), ("Released under the MIT License", "MIT")]
+
+
+def test_alignment_takes_the_place_with_fewest_differences():
+    from functools import cache
+
+    r = random.Random(6)
+    for _ in range(60):
+        template = [r.choice("abcdef") for _ in range(r.randrange(1, 7))]
+        block = [r.choice("abcdefx") for _ in range(r.randrange(0, 12))]
+
+        @cache
+        def common(part, k):  # most words that a part and the rest of the template have in order
+            if not part or k == len(template):
+                return 0
+            return max(common(part[1:], k), common(part, k + 1), common(part[1:], k + 1) + 1 if part[0] == template[k] else 0)
+
+        parts = [tuple(block[a:b]) for a in range(len(block) + 1) for b in range(a, len(block) + 1)]
+        best = min(len(template) + len(p) - 3 * common(p, 0) for p in parts)
+        a, b, missing, added = license_scan._align(block, template)
+        assert license_scan._differences(template, missing, added) == best == len(template) + (b - a) - 3 * (len(template) - len(missing))
+        assert len(added) == (b - a) - (len(template) - len(missing))
+
+
+def test_words_that_name_a_licence_are_not_made_up():
+    for text in ("Released under the XYZ License.", "This work is licensed under the GNU General Public License, version 9.", "Licensed under CC BY-XX 4.0.", "Licensed under the License, Version 2.0."):
+        assert not [r for r in license_scan.scan_text(text) if r[5]], text
