@@ -1,22 +1,29 @@
 """Language identification by prediction by partial matching.
 
 For each language a context tree over bytes holds how often each byte follows the
-contexts of 2, 1 and 0 bytes. A byte costs -log2 of its share of its longest context
-in the language (method C: n symbols seen, d distinct ones, a seen symbol has
-count / (n + d)); where the context doesn't have it, an escape of d / (n + d) is paid
-and the next shorter context asked, in the end a flat 1/256. A context never seen
-costs nothing and is skipped. The statistics are frozen: scoring doesn't update them.
-
-So a text's code length is a sum over its places, of costs that depend on three bytes
-and a language: they are tabled once for all runs of three bytes that training saw
-and worked out by the same rule for all others. Counting combines within batches and
-map-side; what the driver gathers is bounded by 2**24 runs of bytes a language, in
-practice some ten thousand, and does not depend on the number of documents beyond that.
+contexts of ORDER bytes and of all fewer, down to none. A byte costs -log2 of its share
+of its longest context in the language (method C: n symbols seen, d distinct ones, a
+seen symbol has count / (n + d)); where the context doesn't have it, an escape of
+d / (n + d) is paid and the next shorter context asked, in the end a flat 1/256. A
+context never seen costs nothing and is skipped. The statistics are frozen: scoring
+doesn't update them.
+
+The tree is sparse: of each order the runs (context and byte) that training saw, as
+sorted numbers, with their cost in every language, escapes included, worked out once;
+and the cost of leaving each context. A place of a text is looked up in the longest
+order; only where that doesn't have it, the next one is.
+
+Counting covers all training rows and combines within batches and map-side. Of what it
+gives, a model takes the commonest runs of each order and language, as many as fit
+MODEL_CELLS costs an order (32 MB): that bounds what the driver gathers and the workers
+hold at any number of languages and documents. Which runs those are is found from a
+table of how many runs have about how many counts.
 
 Cases: a null text, or one without a letter, is 'und' with score 0, as is any text if
 nothing was learned; equal code lengths go to the first language by code point;
 repeated rows count and are scored as documents of their own; a null id is hashed as
-the empty text; further columns are ignored; an empty table gives an empty result.
+the empty text; further columns are ignored; an empty table gives an empty result; a
+very long text is learned and scored whole, a piece at a time.
 """
 
 from __future__ import annotations
@@ -30,9 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
-from evigraph.llm.shared import map_batches, prepare
+from evigraph.llm.shared import cut, map_batches, prepare
 
 UNKNOWN = "und"
+#: Bytes of the longest context.
+ORDER = 4
+#: Costs that a model holds of an order, over all its languages.
+MODEL_CELLS = 1 << 23
 _LETTER = re.compile(r"[^\W\d_]")
 #: Every text is scored, and learned, after this context.
 _START = 0x20
@@ -43,46 +54,65 @@ _START = 0x20
 _PLAIN = np.where((B.FOLD >= 0x61) & (B.FOLD <= 0x7A) | (B.FOLD >= 0x80), B.FOLD, 0x20).astype(np.uint8)
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """The runs of three bytes ending at each place, as numbers, some hundred thousand at
-    a time; of blanks in a row the first counts."""
+def _plain(data: np.ndarray, after: int = _START) -> np.ndarray:
+    """The bytes that count, of those that come after a byte; of blanks in a row the first."""
     plain = _PLAIN[data]
     blank = plain == 0x20
     keep = ~blank
+    keep[:1] |= after != 0x20
     keep[1:] |= ~blank[:-1]
-    plain = plain[keep]
-    for a in range(0, len(plain), B.PIECE):
-        x = np.full(min(B.PIECE, len(plain) - a) + 2, _START, np.uint32)
-        x[2:] = plain[a : a + B.PIECE]
-        if a:
-            x[:2] = plain[a - 2 : a]
-        yield (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
+    return plain[keep]
 
 
-def counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, triple, n) over all rows with a language and a text."""
+def _runs(plain: np.ndarray, order: int) -> np.ndarray:
+    """The runs of order + 1 bytes that end at each place, as numbers."""
+    x = np.full(len(plain) + order, _START, np.int64)
+    x[order:] = plain
+    out = np.zeros(len(plain), np.int64)
+    for k in range(order + 1):
+        out <<= 8
+        out |= x[k : k + len(plain)]
+    return out
+
+
+def _pieces(data: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """The runs of a text, some hundred thousand at a time."""
+    before = np.empty(0, np.uint8)
+    for at in range(0, len(data), B.PIECE):
+        plain = _plain(data[at : at + B.PIECE], int(before[-1]) if len(before) else _START)
+        yield _runs(np.concatenate([before, plain]), order)[len(before) :]
+        before = np.concatenate([before, plain])[-order - 1 :]
+
+
+def counts(docs: DataFrame, lang_col: str, text_col: str, order: int = ORDER) -> DataFrame:
+    """(lang, size, run, n) over all rows with a language and a text: runs of 1 to order + 1 bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column(0).to_pylist()
         raw, at = B.buffers(batch.column(1))
-        by: dict[str, list[np.ndarray]] = {}
+        by: dict[str, list] = {}
         for k, lang in enumerate(langs):
-            for t in _pieces(raw[at[k] : at[k + 1]]):
-                held = by.setdefault(lang, [np.empty(0, np.uint32), np.empty(0, np.int64), []])
-                held[2].append(t)
-                if sum(map(len, held[2])) > 8 * B.PIECE:
+            for runs in _pieces(raw[at[k] : at[k + 1]], order):
+                held = by.setdefault(lang, [np.empty(0, np.int64), np.empty(0, np.int64), [], 0])
+                held[2].append(runs)
+                held[3] += len(runs)
+                if held[3] > 8 * B.PIECE:
                     _combine(held)
         out = []
         for lang, held in by.items():
             _combine(held)
             out.append((lang, held[0], held[1]))
-        name = pa.array([lang for lang, keys, _ in out for _ in range(len(keys))], pa.string())
-        keys = np.concatenate([k for _, k, _ in out]) if out else np.empty(0, np.uint32)
-        n = np.concatenate([c for _, _, c in out]) if out else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([name, pa.array(keys.astype(np.int32)), pa.array(n)], ["lang", "triple", "n"])
+        names = pa.array([lang for lang, _, _ in out], pa.string())
+        of = np.repeat(np.arange(len(out)), [len(keys) for _, keys, _ in out])
+        none = np.empty(0, np.int64)
+        keys, n = (np.concatenate([x[k] for x in out] or [none]) for k in (1, 2))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(of, pa.int64())), pa.array(keys), pa.array(n)], ["lang", "run", "n"])
 
     src = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return map_batches(src, run, "lang string, triple int, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
+    whole = map_batches(src, run, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    # The last bytes of a run are the runs of the lower orders.
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("run")) for k in range(1, order + 2)])).alias("r")
+    return whole.select("lang", "n", sizes).groupBy("lang", "r.size", "r.run").agg(F.sum("n").alias("n"))
 
 
 def _combine(held: list) -> None:
@@ -92,91 +122,123 @@ def _combine(held: list) -> None:
         n = np.concatenate([held[1], n])
         held[0], back = np.unique(keys, return_inverse=True)
         held[1] = np.bincount(back, weights=n).astype(np.int64)
-        held[2] = []
+        held[2], held[3] = [], 0
 
 
 class Model:
-    """Costs in bits of a byte after two others, a column for each language."""
-
-    def __init__(self, langs: list[str], triples: np.ndarray, counts: np.ndarray):
-        """counts: a row for each of the sorted triples, a column for each language."""
-        self.langs = langs
-        n = len(langs)
-        c3 = counts.astype(np.float64)
-        last2, ctx2 = triples & 0xFFFF, triples >> 8
-        c2 = np.zeros((1 << 16, n))
-        np.add.at(c2, last2, c3)
-        c1 = np.zeros((256, n))
-        np.add.at(c1, np.arange(1 << 16) & 0xFF, c2)
-        # Contexts: symbols seen and distinct ones, by order.
-        n1, d1 = c1.sum(0), (c1 > 0).sum(0)
-        n2, d2 = np.zeros((256, n)), np.zeros((256, n))
-        np.add.at(n2, np.arange(1 << 16) >> 8, c2)
-        np.add.at(d2, np.arange(1 << 16) >> 8, c2 > 0)
-        n3, d3 = np.zeros((1 << 16, n)), np.zeros((1 << 16, n))
-        np.add.at(n3, ctx2, c3)
-        np.add.at(d3, ctx2, c3 > 0)
-
-        def cost(count, seen, distinct, below):
+    """Costs in bits of the runs of each size, a column for each language."""
+
+    def __init__(self, langs: list[str], sizes: np.ndarray, runs: np.ndarray, of: np.ndarray, n: np.ndarray):
+        """A row for each (size, run, language) that was seen: its language's place in langs, and its count."""
+        self.langs, self.order = langs, int(sizes.max(initial=1)) - 1
+        self.runs: list[np.ndarray] = []
+        self.costs: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.escapes: list[np.ndarray] = []
+        for size in range(1, self.order + 2):
+            here = sizes == size
+            keys, at = np.unique(runs[here], return_inverse=True)
+            seen = np.zeros((len(keys), len(langs)), np.int32)
+            seen[at, of[here]] = n[here]
+            context, to = np.unique(keys >> 8, return_inverse=True)
+            total, distinct = np.zeros((len(context), len(langs)), np.int64), np.zeros((len(context), len(langs)), np.int32)
+            np.add.at(total, to, seen)
+            np.add.at(distinct, to, seen > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(count / (seen + distinct))
-                escape = np.where(seen > 0, -np.log2(distinct / (seen + distinct)), 0.0)
-            return np.where(count > 0, own, escape + below), escape
-
-        order1, _ = cost(c1, n1[None, :], d1[None, :], np.full((256, n), 8.0))
-        ctx1 = np.arange(1 << 16) >> 8
-        order2, _ = cost(c2, n2[ctx1], d2[ctx1], order1[np.arange(1 << 16) & 0xFF])
-        known, _ = cost(c3, n3[ctx2], d3[ctx2], order2[last2])
-        _, escape3 = cost(np.zeros_like(n3), n3, d3, np.zeros_like(n3))
-        self.known, self.order2, self.escape3 = known.astype(np.float32), order2.astype(np.float32), escape3.astype(np.float32)
-        self.row = np.zeros(1 << 24, np.int32)  # 0: not among the triples
-        self.row[triples] = np.arange(1, len(triples) + 1)
+                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0).astype(np.float32)
+                own = -np.log2(seen / (total + distinct)[to])
+            below = self._cost(keys & ((1 << 8 * (size - 1)) - 1), size - 1) if size > 1 else np.float32(8.0)
+            self.runs.append(keys)
+            self.costs.append(np.where(seen > 0, own, escape[to] + below).astype(np.float32))
+            self.contexts.append(context)
+            self.escapes.append(escape)
+
+    def _cost(self, runs: np.ndarray, size: int) -> np.ndarray:
+        """The cost of each run of some bytes in each language."""
+        out = np.zeros((len(runs), len(self.langs)), np.float32)
+        open_ = np.arange(len(runs))
+        for k in range(size - 1, -1, -1):
+            keys = runs[open_]
+            at = np.minimum(np.searchsorted(self.runs[k], keys), len(self.runs[k]) - 1)
+            hit = self.runs[k][at] == keys
+            out[open_[hit]] += self.costs[k][at[hit]]
+            open_, keys = open_[~hit], keys[~hit]
+            if not len(open_):
+                return out
+            context = keys >> 8
+            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
+            hit = self.contexts[k][at] == context
+            out[open_[hit]] += self.escapes[k][at[hit]]
+            runs = runs & ((1 << 8 * k) - 1)
+        out[open_] += np.float32(8.0)
+        return out
 
     def bits(self, data: np.ndarray) -> np.ndarray:
         """The code length of a text in each language."""
         out = np.zeros(len(self.langs))
-        for t in _pieces(data):
-            row = self.row[t]
-            seen = np.bincount(row, minlength=len(self.known) + 1)[1:] if len(t) > len(self.known) // 8 else None
-            if seen is None:
-                out += self.known[row[row > 0] - 1].sum(0, dtype=np.float64)
+        for runs in _pieces(data, self.order):
+            out += self._cost(runs, self.order + 1).sum(0, dtype=np.float64)
+        return out
+
+    def bits_of(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The code lengths of some texts, short ones at once."""
+        out = np.zeros((len(texts), len(self.langs)))
+        parts, of = [], []
+        for k, data in enumerate(texts):
+            if len(data) > B.PIECE:
+                out[k] = self.bits(data)
             else:
-                out += seen @ self.known
-            other = t[row == 0]
-            out += self.escape3[other >> 8].sum(0, dtype=np.float64) + self.order2[other & 0xFFFF].sum(0, dtype=np.float64)
+                parts.append(_runs(_plain(data), self.order) if len(data) else np.empty(0, np.int64))
+                of.append(k)
+        lengths = np.array([len(p) for p in parts], np.int64)
+        filled = np.flatnonzero(lengths)
+        if len(filled):
+            cost = self._cost(np.concatenate(parts), self.order + 1)
+            starts = np.concatenate([[0], np.cumsum(lengths[filled])[:-1]])
+            out[np.array(of)[filled]] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
         return out
 
-    def predict(self, data: np.ndarray) -> tuple[str, float]:
+    def predict(self, bits: np.ndarray) -> tuple[str, float]:
         """The language of the shortest code, and its posterior under equal priors."""
-        bits = self.bits(data)
         best = int(np.argmin(bits))
         return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, triples and counts of the given rows."""
-    table = counts(docs, lang_col, text_col).toArrow()
-    names = table.column("lang").to_pylist()
-    langs = sorted(set(names))
-    triples, at = np.unique(table.column("triple").to_numpy(), return_inverse=True)
-    column = np.fromiter(map({x: k for k, x in enumerate(langs)}.__getitem__, names), np.int64, len(names))
-    dense = np.zeros((len(triples), len(langs)), np.int64)
-    dense[at, column] = table.column("n").to_numpy()
-    return langs, triples.astype(np.int64), dense
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, cells: int = MODEL_CELLS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, and the sizes, runs, languages' places and counts of the runs that a model takes."""
+    table = cut(counts(docs, lang_col, text_col, order), "runs")
+    # How many runs have about how many counts, by steps of a quarter of a power of two.
+    level = F.floor(F.log2("n") * 4).cast("int")
+    steps = table.groupBy("lang", "size", level.alias("level")).agg(F.count(F.lit(1)).alias("runs")).collect()
+    langs = sorted({r["lang"] for r in steps})
+    most, least = cells // max(len(langs), 1) ** 2, {}  # rows are shared by languages, and are as wide as these are many
+    for lang, size in {(r["lang"], r["size"]) for r in steps}:
+        held, least[lang, size] = 0, 0
+        for r in sorted((r for r in steps if (r["lang"], r["size"]) == (lang, size)), key=lambda r: -r["level"]):
+            held += r["runs"]
+            if held > most:
+                least[lang, size] = r["level"] + 1
+                break
+    spark = docs.sparkSession
+    floors = spark.createDataFrame([(*k, v) for k, v in sorted(least.items())], "lang string, size int, least int")
+    kept = table.join(F.broadcast(floors), ["lang", "size"]).where(level >= F.col("least")).select("lang", "size", "run", "n").toArrow()
+    place = {x: k for k, x in enumerate(langs)}
+    of = np.fromiter((place[x] for x in kept.column("lang").to_pylist()), np.int32, kept.num_rows)
+    return langs, kept.column("size").to_numpy(), kept.column("run").to_numpy(), of, np.minimum(kept.column("n").to_numpy(), 2**31 - 1)
 
 
 _models: dict[str, Model] = {}
 
 
 def _model(sent) -> Model:
-    name, langs, triples, dense = sent.value
+    name, *learned = sent.value
     if name not in _models:
         _models.clear()
-        _models[name] = Model(langs, triples, dense)
+        _models[name] = Model(*learned)
     return _models[name]
 
 
-def predict(docs: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, learned: tuple, text_col: str = "text") -> DataFrame:
     """lang_pred and score beside all other columns but the text."""
     import uuid
 
@@ -189,23 +251,34 @@ def predict(docs: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray],
         model = _model(sent)
         texts = batch.column(text_col)
         raw, at = B.buffers(texts)
-        langs, scores = [], []
-        for k in range(batch.num_rows):
-            data = raw[at[k] : at[k + 1]]
-            if not model.langs or not _has_letter(data):
-                lang, score = UNKNOWN, 0.0
-            else:
-                lang, score = model.predict(data)
-            langs.append(lang)
-            scores.append(score)
+        langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+        said = [k for k in range(batch.num_rows) if model.langs and _has_letter(raw[at[k] : at[k + 1]])]
+        first = 0
+        while first < len(said):  # some texts at a time
+            stop, held = first, 0
+            while stop < len(said) and (stop == first or held < B.PIECE):
+                held += int(at[said[stop] + 1] - at[said[stop]])
+                stop += 1
+            some = said[first:stop]
+            for k, bits in zip(some, model.bits_of([raw[at[k] : at[k + 1]] for k in some]), strict=True):
+                langs[k], scores[k] = model.predict(bits)
+            first = stop
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     return map_batches(docs, run, f"{kinds}, lang_pred string, score double")
 
 
 def _has_letter(data: np.ndarray) -> bool:
-    head = data[:64].tobytes().decode(errors="ignore")
-    return bool(_LETTER.search(head)) or (len(data) > 64 and bool(_LETTER.search(data.tobytes().decode())))
+    """Whether a text has a letter, looked for a piece at a time."""
+    at = 0
+    while at < len(data):
+        stop = min(at + (64 if not at else B.PIECE), len(data))
+        while stop < len(data) and not B.LEAD[data[stop]]:  # no code point is cut
+            stop += 1
+        if _LETTER.search(data[at:stop].tobytes().decode()):
+            return True
+        at = stop
+    return False
 
 
 def fold(id_col: Column | str, n: int) -> Column:

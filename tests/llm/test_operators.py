@@ -488,27 +488,33 @@ def test_overlapping_terms_count_once(spark):
 # 8. Language.
 
 
-def test_code_lengths_follow_the_escape_rule():
-    corpus = {"x": b"abcab abd", "y": b"zab ca"}
-    triples = {}
-    for k, (_, t) in enumerate(corpus.items()):
-        for piece in language_id._pieces(np.frombuffer(t, np.uint8)):
-            for v in piece:
-                triples.setdefault(int(v), [0, 0])[k] += 1
-    keys = np.array(sorted(triples))
-    m = language_id.Model(list(corpus), keys, np.array([triples[k] for k in keys]))
+def _learned(corpus, order):
+    runs = {}
+    for k, t in enumerate(corpus.values()):
+        for piece in language_id._pieces(np.frombuffer(t, np.uint8), order):
+            for v in piece.tolist():
+                for size in range(1, order + 2):
+                    key = size, v & (1 << 8 * size) - 1, k
+                    runs[key] = runs.get(key, 0) + 1
+    cols = [np.array(x) for x in zip(*runs, strict=True)]
+    return list(corpus), *cols, np.array(list(runs.values()))
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 4])
+def test_code_lengths_follow_the_escape_rule(order):
+    corpus = {"x": b"abcab abd abcabe", "y": b"zab ca  abce"}
+    m = language_id.Model(*_learned(corpus, order))
 
     def brute(k, text):
-        seen = [(t >> 16, t >> 8 & 255, t & 255, c[k]) for t, c in triples.items() if c[k]]
-        total, s = 0.0, b"  " + text
-        for i in range(2, len(s)):
-            bits = None
-            cost = 0.0
-            for ctx in (s[i - 2 : i], s[i - 1 : i], b""):
-                nxt = {}
-                for a, b, c, n in seen:
-                    if bytes([a, b])[2 - len(ctx) :] == ctx:
-                        nxt[c] = nxt.get(c, 0) + n
+        plain = lambda t: b" " * order + re.sub(rb"[^a-z]+", b" ", t)
+        train, total, s = plain(list(corpus.values())[k]), 0.0, plain(text)
+        for i in range(order, len(s)):
+            bits, cost = None, 0.0
+            for width in range(order, -1, -1):
+                ctx, nxt = s[i - width : i], {}
+                for j in range(order, len(train)):
+                    if train[j - width : j] == ctx:
+                        nxt[train[j]] = nxt.get(train[j], 0) + 1
                 n, d = sum(nxt.values()), len(nxt)
                 if s[i] in nxt:
                     bits = cost - np.log2(nxt[s[i]] / (n + d))
@@ -517,9 +523,36 @@ def test_code_lengths_follow_the_escape_rule():
             total += cost + 8 if bits is None else bits
         return total
 
-    for text in (b"abc", b"zab q", b"qq", b"ab"):
-        got = m.bits(np.frombuffer(text, np.uint8))
-        assert got == pytest.approx([brute(0, text), brute(1, text)], rel=1e-5)
+    texts = [b"abc", b"zab q", b"qq", b"ab", b"abcab  abce zz"]
+    want = [[brute(0, t), brute(1, t)] for t in texts]
+    data = [np.frombuffer(t, np.uint8) for t in texts]
+    assert m.bits_of(data) == pytest.approx(np.array(want), rel=1e-5)
+    assert [m.bits(d) for d in data] == [pytest.approx(w, rel=1e-5) for w in want]
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    m = language_id.Model(*_learned({"x": b"some words of it", "y": b"other ones"}, 4))
+    data = np.frombuffer((b"words,  of   other " * 20) + b" ", np.uint8)
+    whole = m.bits_of([data])[0]
+    for piece in (1, 3, 7, 100):
+        monkeypatch.setattr(B, "PIECE", piece)
+        assert m.bits(data) == pytest.approx(whole, rel=1e-6)
+
+
+def test_models_of_bounded_size_take_the_commonest_runs(spark):
+    r = random.Random(4)
+    rows = [(k, " ".join(r.choice(VOCAB) for _ in range(60)), "ab"[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, size, run, of, n = language_id.learn(df)
+    _, size2, run2, of2, n2 = language_id.learn(df, cells=400)
+    whole = {k: c for *k, c in zip(size.tolist(), run.tolist(), of.tolist(), n.tolist(), strict=True) for k in [tuple(k)]}
+    some = {k: c for *k, c in zip(size2.tolist(), run2.tolist(), of2.tolist(), n2.tolist(), strict=True) for k in [tuple(k)]}
+    assert some.items() <= whole.items() and len(some) < len(whole)
+    for s in range(1, 6):
+        for k in (0, 1):
+            kept = [c for (x, _, y), c in some.items() if (x, y) == (s, k)]
+            gone = [c for key, c in whole.items() if (key[0], key[2]) == (s, k) and key not in some]
+            assert len(kept) <= 100 and (not gone or not kept or max(gone) <= min(kept))
 
 
 def test_language_accuracy(spark, none):
