@@ -6,14 +6,17 @@ literals in the plan, never text of a query.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Surface names that are broadcast at once.
-SURFACES = 20_000
+from evigraph.session import materialise
+
+#: Bytes of surface names that are sent to all tasks at once, and entity names searched together.
+SURFACE_BYTES, NAMES = 4 << 20, 10_000
 #: Rows of any template's answer.
 MOST_ROWS = 50
 CHUNK = "Chunk"
@@ -94,35 +97,92 @@ def expand(g: Graph, start: DataFrame, rel: str, out: bool = True) -> DataFrame:
     return hits.select(F.col(there).alias("eid")).distinct()
 
 
+#: What a question fills a slot with: the next entity it names, all of them, or its value.
+ENTITY, ENTITIES, VALUE = "entity", "entities", "value"
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How a template's rows read as facts: where subject, relation and object come from.
+
+    A name that begins with $ is a parameter, one that begins with = is meant as it
+    stands, others are columns. amount is a column that counts, path and hops are those
+    of a chain of names and the relations between them. together: all rows are one
+    statement. sentence words a statement, by default as each fact's subject, relation
+    and object.
+    """
+
+    subject: str = "$name"
+    relation: str | None = None
+    object: str | None = None
+    amount: str | None = None
+    path: str | None = None
+    hops: str | None = None
+    together: bool = False
+    sentence: str | None = None
+
+
 @dataclass(frozen=True)
 class Template:
-    """How a query type binds its parameters and makes its rows."""
+    """A query type: its rows, the slots that a question fills, how rows are ordered and read."""
 
     run: Callable[..., DataFrame]
     desc: str
     pattern: str
-    entity_slots: tuple[str, ...] = ()
-    list_slot: str | None = None
-    value_slot: str | None = None
-    single_statement: bool = True
+    slots: tuple[tuple[str, str], ...]
+    reading: Reading
+    order: tuple[Column | str, ...] = ()
 
 
 def templates() -> dict[str, Template]:
     """The registry of query types."""
     from evigraph.operators.paths import path_between
 
+    name, both = (("name", ENTITY),), (("a", ENTITY), ("b", ENTITY))
+    # Names of the query types and the wording of their statements.
     return {
-        "subsidiaries_of": Template(lambda g, name: out_hop(g, [name], "HAS_SUBSIDIARY", "subsidiary", "COMPANY"), "list the subsidiaries of a company", "(COMPANY $name)-[HAS_SUBSIDIARY]->(subsidiary)", ("name",)),
-        "count_subsidiaries": Template(lambda g, name: count_hop(g, name, "HAS_SUBSIDIARY", "COMPANY"), "how many subsidiaries a company has", "count (COMPANY $name)-[HAS_SUBSIDIARY]->()", ("name",), single_statement=False),
-        "risks_of": Template(lambda g, name: out_hop(g, [name], "FACES_RISK", "risk"), "the risks a company faces", "($name)-[FACES_RISK]->(risk)", ("name",)),
-        "executives_of": Template(lambda g, name: out_hop(g, [name], "HAS_EXECUTIVE", "executive"), "the executives of a company", "($name)-[HAS_EXECUTIVE]->(executive)", ("name",)),
-        "competitors_of": Template(lambda g, name: undirected_hop(g, name, "COMPETES_WITH", "competitor"), "the competitors of a company", "($name)-[COMPETES_WITH]-(competitor)", ("name",)),
-        "regulators_of": Template(lambda g, name: out_hop(g, [name], "REGULATED_BY", "regulator"), "the regulators of a company", "($name)-[REGULATED_BY]->(regulator)", ("name",)),
-        "neighbors": Template(neighbours, "what an entity is connected to", "($name)-[relation]-(connected_to)", ("name",), single_statement=False),
-        "path_between": Template(lambda g, a, b: path_between(g, a, b), "how two entities are connected", "shortest ($a)-[*..5]-($b)", ("a", "b"), single_statement=False),
-        "compare_subsidiary_counts": Template(lambda g, names: compare_counts(g, names, "HAS_SUBSIDIARY", "COMPANY"), "compare subsidiary counts of two or more companies", "count (COMPANY in $names)-[HAS_SUBSIDIARY]->()", list_slot="names", single_statement=False),
-        "companies_facing_risk": Template(lambda g, risk: facing(g, risk, "FACES_RISK"), "which companies face a given risk", "(company)-[FACES_RISK]->(name contains $risk)", value_slot="risk"),
+        "subsidiaries_of": Template(
+            lambda g, name: out_hop(g, [name], "HAS_SUBSIDIARY", "subsidiary", "COMPANY"), "list the subsidiaries of a company", "(COMPANY $name)-[HAS_SUBSIDIARY]->(subsidiary)", name,
+            Reading(relation="=HAS_SUBSIDIARY", object="subsidiary", together=True, sentence="{subject}'s subsidiaries include: {objects}."),
+        ),
+        "count_subsidiaries": Template(
+            lambda g, name: count_hop(g, name, "HAS_SUBSIDIARY", "COMPANY"), "how many subsidiaries a company has", "count (COMPANY $name)-[HAS_SUBSIDIARY]->()", name,
+            Reading(amount="count", sentence="{subject} has {amount} subsidiaries recorded in the graph."),
+        ),
+        "risks_of": Template(
+            lambda g, name: out_hop(g, [name], "FACES_RISK", "risk"), "the risks a company faces", "($name)-[FACES_RISK]->(risk)", name,
+            Reading(relation="=FACES_RISK", object="risk", together=True, sentence="{subject} discloses these risks: {objects}."),
+        ),
+        "executives_of": Template(
+            lambda g, name: out_hop(g, [name], "HAS_EXECUTIVE", "executive"), "the executives of a company", "($name)-[HAS_EXECUTIVE]->(executive)", name,
+            Reading(relation="=HAS_EXECUTIVE", object="executive", together=True, sentence="{subject}'s executives include: {objects}."),
+        ),
+        "competitors_of": Template(
+            lambda g, name: undirected_hop(g, name, "COMPETES_WITH", "competitor"), "the competitors of a company", "($name)-[COMPETES_WITH]-(competitor)", name,
+            Reading(relation="=COMPETES_WITH", object="competitor", together=True, sentence="{subject}'s competitors include: {objects}."),
+        ),
+        "regulators_of": Template(
+            lambda g, name: out_hop(g, [name], "REGULATED_BY", "regulator"), "the regulators of a company", "($name)-[REGULATED_BY]->(regulator)", name,
+            Reading(relation="=REGULATED_BY", object="regulator", together=True, sentence="{subject} is regulated by: {objects}."),
+        ),
+        "neighbors": Template(
+            lambda g, name: neighbours(g, name, MOST_ROWS + 1), "what an entity is connected to", "($name)-[relation]-(connected_to)", name,
+            Reading(relation="relation", object="connected_to"), ("relation", "connected_to"),
+        ),
+        "path_between": Template(
+            lambda g, a, b: path_between(g, a, b), "how two entities are connected", "shortest ($a)-[*..5]-($b)", both,
+            Reading(path="path", hops="relations"), ("relations", "path"),
+        ),
+        "compare_subsidiary_counts": Template(
+            lambda g, names: compare_counts(g, names, "HAS_SUBSIDIARY", "COMPANY"), "compare subsidiary counts of two or more companies", "count (COMPANY in $names)-[HAS_SUBSIDIARY]->()", (("names", ENTITIES),),
+            Reading(subject="company", amount="count", sentence="{subject} has {amount} subsidiaries."), (F.desc("count"), "company"),
+        ),
+        "companies_facing_risk": Template(
+            lambda g, risk: facing(g, risk, "FACES_RISK"), "which companies face a given risk", "(company)-[FACES_RISK]->(name contains $risk)", (("risk", VALUE),),
+            Reading(subject="company", relation="=FACES_RISK", object="$risk", together=True, sentence="Companies that face '{object}' risk: {subjects}."),
+        ),
     }
+    # End of fixed values.
 
 
 @dataclass
@@ -135,33 +195,102 @@ class QueryResult:
     resolved: list[str] = field(default_factory=list)
     display: str | None = None
     error: str | None = None
+    #: Whether the template has more rows than these.
+    more: bool = False
+
 
+def _finder(words: Sequence[str]):
+    """An automaton that finds any of the words, by their places, in a text; None without words."""
+    import ahocorasick
 
-def match_score(low: Column, aliases: Column, want: Column) -> Column:
-    """3 for an equal name, 2 for an equal alias, 1 if one contains the other, else null; both in lower case."""
-    alias = aliases.isNotNull() & F.exists(aliases, lambda a: F.lower(a) == want)
-    return F.when(low == want, 3).when(alias, 2).when(low.contains(want) | want.contains(low), 1)
+    auto = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        if w:
+            auto.add_word(w, k)
+    if not len(auto):
+        return None
+    auto.make_automaton()
+    return auto
 
 
-def resolve_entities(g: Graph, surfaces: DataFrame, block: int = SURFACES) -> DataFrame:
+def _contained(names: DataFrame, want: list[str]) -> DataFrame:
+    """(want, length, name): of the names (name, low) that hold a wanted text or lie in it, the best of some thousand each.
+
+    Names are searched for the wanted texts, and these for the names, by one automaton
+    each: no pair is looked at that doesn't match.
+    """
+    sent = names.sparkSession.sparkContext.broadcast(want)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        of_wanted, best = _finder(wanted), {}
+        blank = [k for k, w in enumerate(wanted) if not w]
+
+        def better(k: int, name: tuple[int, str]) -> None:
+            if k not in best or name < best[k]:
+                best[k] = name
+
+        for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for at in range(0, len(rows), NAMES):
+                first: dict[str, tuple[int, str]] = {}
+                for name, low in rows[at : at + NAMES]:
+                    key = (len(name), name)
+                    if low not in first or key < first[low]:
+                        first[low] = key
+                for low, key in first.items():
+                    for k in {*blank, *((k for _, k in of_wanted.iter(low)) if of_wanted else ())}:
+                        better(k, key)
+                keys = list(first.values())
+                of_names = _finder(list(first))
+                for k, w in enumerate(wanted):
+                    hits = {j for _, j in of_names.iter(w)} if of_names else set()
+                    if hits:
+                        better(k, min(keys[j] for j in hits))
+                    if "" in first:
+                        better(k, first[""])
+        found = sorted(best)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([wanted[k] for k in found], pa.string()), pa.array([best[k][0] for k in found], pa.int32()), pa.array([best[k][1] for k in found], pa.string())], ["want", "length", "name"]
+        )
+
+    return names.mapInArrow(run, "want string, length int, name string")
+
+
+def resolve_entities(g: Graph, surfaces: DataFrame, block: int = SURFACE_BYTES) -> DataFrame:
     """(surface, name, score) of the best entity for each surface name; none if nothing matches.
 
-    ``surfaces`` is one column of names asked for. They are counted and broadcast in
-    blocks of bounded size; entities stay where they are and only the best per surface
-    and task move on.
+    ``surfaces`` is one column of names asked for. An equal name scores 3, an equal alias
+    2, one that contains the other 1, all in lower case; of equal scores the shortest
+    name, then the first, is taken. Equal names and aliases are found by equi-joins. Only
+    what they leave is searched for in the names, in blocks of ``block`` bytes.
     """
-    want = surfaces.select(F.col(surfaces.columns[0]).alias("surface")).where("surface IS NOT NULL").distinct()
-    want = want.withColumn("_want", F.lower("surface"))
-    names = g.entities().select("name", "aliases", F.lower("name").alias("_low"))
-    n_blocks = max(1, -(-want.count() // block))
-    score = match_score(F.col("_low"), F.col("aliases"), F.col("_want"))
-    best = F.min(F.struct((-score).alias("s"), F.length("name").alias("n"), F.col("name").alias("name"))).alias("best")
-    out = None
-    for b in range(n_blocks):
-        part = want.where(F.pmod(F.xxhash64("surface"), F.lit(n_blocks)) == b) if n_blocks > 1 else want
-        hit = names.join(F.broadcast(part), score.isNotNull()).groupBy("surface").agg(best)
-        out = hit if out is None else out.unionByName(hit)
-    return out.select("surface", F.col("best.name").alias("name"), (-F.col("best.s")).alias("score"))
+    want = surfaces.select(F.col(surfaces.columns[0]).alias("surface")).where("surface IS NOT NULL").distinct().withColumn("want", F.lower("surface"))
+    want = materialise(want, "surfaces")
+    names = g.entities().select("name", "aliases", F.lower("name").alias("low"))
+    best = F.min(F.struct(F.length("name").alias("n"), F.col("name").alias("name")))["name"].alias("name")
+    sought = want.select("want").distinct()
+    same = names.select("name", F.col("low").alias("want")).join(sought, "want").groupBy("want").agg(best).withColumn("score", F.lit(3))
+    alias = names.select("name", F.explode("aliases").alias("alias")).select("name", F.lower("alias").alias("want"))
+    alias = alias.join(sought, "want").groupBy("want").agg(best).withColumn("score", F.lit(2))
+    sure = same.unionByName(alias).groupBy("want").agg(F.max_by("name", "score").alias("name"), F.max("score").alias("score"))
+    sure = materialise(sure, "sure")
+    found = sure
+    rest, held = [], 0
+
+    def searched(part: list[str]) -> DataFrame:
+        hits = _contained(names.select("name", "low"), part)
+        return hits.groupBy("want").agg(F.min(F.struct("length", "name"))["name"].alias("name")).withColumn("score", F.lit(1))
+
+    for r in sought.join(sure, "want", "left_anti").toLocalIterator():
+        rest.append(r["want"])
+        held += len(r["want"])
+        if held > block:
+            found = found.unionByName(searched(rest))
+            rest, held = [], 0
+    if rest:
+        found = found.unionByName(searched(rest))
+    return want.join(found, "want").select("surface", "name", "score")
 
 
 def chunk_entities(chunks: DataFrame, mentions: DataFrame) -> DataFrame:

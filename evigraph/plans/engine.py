@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -18,13 +18,24 @@ from pyspark.sql import functions as F
 from evigraph import schemas as S
 from evigraph.functions import text as X
 from evigraph.operators import answers, routing
-from evigraph.operators.graph import MOST_ROWS, Graph, QueryResult, resolve_entities, templates
+from evigraph.operators.graph import Graph, QueryResult
 from evigraph.operators.maintain import cleanup, merge_edges, merge_nodes, valid_triples
 from evigraph.operators.vectors import exact_topk
 from evigraph.plans import providers as P
+from evigraph.plans.asking import answered
+from evigraph.session import materialise
 from evigraph.sources import stores
 
 
+def plain(value):
+    """A value as JSON has it: dates and the like as text."""
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+
+
 @dataclass
 class Engine:
     """Tables below ``path`` and the providers that stand in for models."""
@@ -43,9 +54,12 @@ class Engine:
 
     def ingest(self, docs: DataFrame, size: int = 512, overlap: int = 64) -> int:
         """New documents (doc_id, text, ticker, company) to chunks and graph; how many were new."""
-        docs = docs.withColumn("content_hash", X.fingerprint("text"))
+        docs = docs.where("text IS NOT NULL").withColumn("content_hash", X.fingerprint("text"))
         done = stores.manifest(self.spark, f"{self.path}/manifest")
-        new = stores.not_ingested(docs, done.read()).dropDuplicates(["content_hash"])
+        # Of equal texts that of the smallest doc_id; written once, so that all tables name the same.
+        row = F.struct("doc_id", "text", "ticker", "company")
+        new = stores.not_ingested(docs, done.read()).groupBy("content_hash").agg(F.min(row).alias("d")).select("content_hash", "d.*")
+        new = materialise(new, "new")
         cut = new.select("doc_id", F.explode(X.windows("text", size, overlap)).alias("w"))
         chunks = cut.select(X.chunk_id("doc_id", F.col("w.pos")).alias("chunk_id"), "doc_id", F.col("w.pos").alias("pos"), F.col("w.text").alias("text"))
         nodes, edges, mentions = self.extract(chunks)
@@ -118,40 +132,7 @@ class Engine:
 
     def query_graph(self, question: str) -> QueryResult:
         """A template chosen by the planner, with resolved names; any failure is an error without rows."""
-        try:
-            p = self.planner.plan(question)
-            wanted = str(p.get("query_type", "")).strip()
-        except Exception as e:  # whatever a planner raises
-            return QueryResult(None, error=f"plan failed: {str(e)[:80]}")
-        known = templates()
-        kind = routing.snap(wanted, known)
-        if kind is None:
-            return QueryResult(wanted, error="no template for this query type")
-        t, result = known[kind], QueryResult(kind)
-        try:
-            g, surfaces = self.graph(), [s for s in (p.get("entities") or []) if s]
-            found = {}
-            if surfaces:
-                rows = resolve_entities(g, self.spark.createDataFrame([(s,) for s in surfaces], "surface string")).collect()
-                found = {r["surface"]: r["name"] for r in rows}
-            result.resolved = [found[s] for s in surfaces if s in found]
-            if t.entity_slots:
-                if len(result.resolved) < len(t.entity_slots):
-                    result.error = f"could not resolve entities {surfaces} -> {result.resolved}"
-                    return result
-                result.params = dict(zip(t.entity_slots, result.resolved, strict=False))
-            elif t.list_slot:
-                if len(result.resolved) < 2:
-                    result.error = f"need >=2 entities, resolved {result.resolved}"
-                    return result
-                result.params = {t.list_slot: result.resolved}
-            elif t.value_slot:
-                result.params = {t.value_slot: p.get("value", "")}
-            result.display = routing.display(t.pattern, result.params)
-            result.rows = [r.asDict(recursive=True) for r in t.run(g, **result.params).limit(MOST_ROWS).collect()]
-        except Exception as e:  # fail closed
-            result.rows, result.error = [], str(e)[:120]
-        return result
+        return answered(self.spark, self.graph(), self.planner, question)
 
     def route(self, question: str, log: bool = True) -> dict:
         """Classify, run the path or both, and note the decision."""
@@ -174,23 +155,26 @@ class Engine:
         return routing.decisions(questions)
 
     def ask(self, question: str, log: bool = True) -> dict:
-        """A grounded, cited answer."""
+        """A grounded, cited answer, of plain values that JSON can hold."""
         r = self.route(question, log)
         graph = r["graph"]
-        facts = answers.statements(graph)
         sources = {row.get("_src") for row in (graph.rows if graph else [])} - {None}
-        seen: set[str] = set()
-        hits = [h for h in r["vector"] or [] if h["chunk_id"] not in sources and not (h["chunk_id"] in seen or seen.add(h["chunk_id"]))]
-        shown = [{"tag": f"G{i}", "kind": "graph-derived fact", "text": s} for i, s in enumerate(facts, 1)]
+        hits = list({h["chunk_id"]: plain(h) for h in reversed(r["vector"] or []) if h["chunk_id"] not in sources}.values())[::-1]
+        shown = [{"tag": tag, "kind": "graph-derived fact", "text": said} for tag, said in answers.labelled(graph)]
         for i, h in enumerate(hits[: answers.MOST_PASSAGES], 1):
             cite = f"{h['doc_id']} · {h['section_path']} · {h['filing_date']} (chunk {h['chunk_id'][:8]})"
             shown.append({"tag": f"P{i}", "kind": "retrieved passage", "cite": cite, "text": " ".join(h["text"].split())[:400]})
         out = {k: r[k] for k in ("question", "classified", "confidence", "path_used", "latency_ms")}
-        out |= {"graph_statements": facts, "sources": shown, "graph_result": graph, "vector_hits": hits, "graph": answers.evidence_graph(graph)}
+        out |= {"graph_statements": answers.statements(graph), "sources": shown, "graph_result": plain(graph and asdict(graph)), "vector_hits": hits, "graph": answers.evidence_graph(graph)}
         if not shown:
             return out | {"answer": answers.ABSTAIN, "attempts": 0, "citations_valid": True, "uncited_claims": []}
         return out | answers.grounded(question, shown, self.generator, self.retries)
 
+    def respond(self, question: str, log: bool = True) -> dict:
+        """An answer in the shape that a web client takes."""
+        began = time.perf_counter()
+        return answers.response(self.ask(question, log), time.perf_counter() - began)
+
     def baseline(self, question: str, k: int = 5) -> str:
         """Answer from passages alone, for comparison."""
         hits = self.retrieve(question, k)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
 
+from evigraph.operators import replies
 from evigraph.operators.routing import GRAPH, GRAPH_RULE, HYBRID, VECTOR, VECTOR_RULE
 
 
@@ -65,14 +66,53 @@ class RuleClassifier:
         return (VECTOR, 0.9) if re.search(VECTOR_RULE, question) else (HYBRID, 0.0)
 
 
+class ReplyClassifier:
+    """A model's classification, read from its JSON reply; None if the model or its reply fails."""
+
+    def __init__(self, complete: Callable[[str], str]):
+        self.complete = complete
+
+    def classify(self, question: str) -> tuple[str, float] | None:
+        try:
+            said = replies.object_in(self.complete(question))
+            path, conf = str(said["path"]).strip().upper(), float(said.get("confidence", replies.UNSURE))
+        except Exception:  # whatever a model raises: the rules decide
+            return None
+        return (path, conf) if path in replies.PATHS else None
+
+
+class ReplyPlanner:
+    """A model's plan, read from its JSON reply; ValueError if it has none."""
+
+    def __init__(self, complete: Callable[[str], str]):
+        self.complete = complete
+
+    def plan(self, question: str) -> dict:
+        said = replies.object_in(self.complete(question))
+        entities = said.get("entities")
+        entities = entities if isinstance(entities, list) else [entities]
+        return {"query_type": str(said.get("query_type") or ""), "entities": [str(e) for e in entities if e], "value": str(said.get("value") or "")}
+
+
 class PatternExtractor:
-    """Statements of the form 'X <phrase> Y', by a phrase for each relation."""
+    """Statements of the form 'X <phrase> Y', by a phrase for each relation.
+
+    A subject ending in the word Segment is one where a shape has segments as subjects.
+    """
 
     def __init__(self, shapes: Sequence[tuple[str, str, str]], phrases: dict[str, str]):
-        self.rules = [(s, rel, o, re.compile(rf"([A-Z][\w&-]*(?: [A-Z][\w&-]*)*) {re.escape(phrases[rel])} ([A-Z][\w&-]*(?: [A-Z][\w&-]*)*)")) for s, rel, o in shapes if s == "COMPANY"]
+        name = r"[A-Z][\w&-]*(?: [A-Z][\w&-]*)*"
+        self.kinds = {(s, rel, o) for s, rel, o in shapes}
+        pairs = {(rel, o) for _, rel, o in shapes}
+        self.rules = [(rel, o, re.compile(rf"({name}) {re.escape(phrases[rel])} ({name})")) for rel, o in sorted(pairs)]
 
     def triples(self, text: str) -> list[tuple[str, str, str, str, str]]:
-        return [(s, m[1], rel, o, m[2]) for s, rel, o, rule in self.rules for m in rule.finditer(text or "")]
+        out = []
+        for rel, o, rule in self.rules:
+            for m in rule.finditer(text or ""):
+                segment = m[1].endswith("Segment") and ("SEGMENT", rel, o) in self.kinds
+                out.append(("SEGMENT" if segment else "COMPANY", m[1], rel, o, m[2]))
+        return out
 
 
 class PatternPlanner:

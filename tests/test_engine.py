@@ -40,16 +40,16 @@ def test_list_path_and_reverse_questions(engine):
 
 def test_unknown_questions_fail_closed(engine):
     r = engine.query_graph("Sing a song")
-    assert r.rows == [] and r.error == "no template for this query type"
+    assert r.rows == [] and r.error == "no such query type: none was named"
     r = engine.query_graph("Compare the subsidiaries of Zzz.")
-    assert r.rows == [] and r.error.startswith("need >=2")
+    assert r.rows == [] and r.error.startswith("too few known entities for names")
 
     class Broken:
         def plan(self, q):
             raise ValueError("no model")
 
     broken = Engine(engine.spark, engine.path, planner=Broken())
-    assert broken.query_graph("x").error == "plan failed: no model"
+    assert broken.query_graph("x").error == "planning failed: no model"
 
 
 def test_hybrid_merges_and_logs(engine, spark):
