@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,19 +26,37 @@ def session(master: str | None = None, app: str = "evigraph", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one is taken, but only if all tasks run on this machine:
+    elsewhere each executor would write to its own disk.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="evigraph-"))
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_folder(spark)}/evigraph/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write to the folder that all machines share, and go on from the files.
 
     Iterative operators call this each round: the plan stays small, and a lost executor
     costs a re-read only. The files go when the session ends.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evigraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/evigraph/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
