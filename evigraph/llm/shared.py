@@ -8,14 +8,14 @@ that are needed.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.session import fresh_path
+
 #: Rows in an Arrow batch, so that a worker holds a few MB of text at a time.
 BATCH_ROWS = 1024
 
@@ -29,23 +29,6 @@ def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evigraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session ends."""
-    path = f"{shared_dir(spark)}/evigraph/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a cut that no later step reads."""
     spark = df.sparkSession
