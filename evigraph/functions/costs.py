@@ -40,3 +40,12 @@ def resolve_prices(model: str | None, presets: Mapping[str, tuple[float, float]]
 
 def is_free(model: str | None, presets: Mapping[str, tuple[float, float]], override: tuple[float, float] = (0.0, 0.0)) -> bool:
     return resolve_prices(model, presets, override) == (0.0, 0.0)
+
+
+def prices(model: ColumnLike, presets: Mapping[str, tuple[float, float]]) -> Column:
+    """Struct (price_in, price_out) of each model name, as resolve_prices has it."""
+    name, out = F.lower(F.coalesce(col(model), F.lit(""))), None
+    pair = lambda p: F.struct(F.lit(float(p[0])).alias("price_in"), F.lit(float(p[1])).alias("price_out"))
+    for key, p in presets.items():
+        out = F.when(name.contains(key), pair(p)) if out is None else out.when(name.contains(key), pair(p))
+    return pair((0, 0)) if out is None else out.otherwise(pair((0, 0)))

@@ -104,6 +104,12 @@ def gate(cost_todo: float, ceiling: float, confirmed: bool) -> str:
     return "pass" if confirmed else "hold"
 
 
+def gate_of(cost_todo: ColumnLike, ceiling: ColumnLike, confirmed: ColumnLike) -> Column:
+    """The same for a column of costs (C11)."""
+    cost = col(cost_todo)
+    return F.when(cost == 0, "pass").when(cost > col(ceiling), "block").when(col(confirmed), "pass").otherwise("hold")
+
+
 def published(spark) -> DataFrame:
     """The recorded accuracies, for when there is no result file (K2)."""
     return spark.createDataFrame([(k, *PUBLISHED[k]) for k in CATEGORIES], "cat string, ours_accuracy double, vanilla_accuracy double, n long")

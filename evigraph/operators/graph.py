@@ -124,14 +124,14 @@ class Reading:
 
 @dataclass(frozen=True)
 class Template:
-    """A query type: its rows, the slots that a question fills, how rows are ordered and read."""
+    """A query type: its rows, the slots that a question fills, how rows are ordered (-: most first) and read."""
 
     run: Callable[..., DataFrame]
     desc: str
     pattern: str
     slots: tuple[tuple[str, str], ...]
     reading: Reading
-    order: tuple[Column | str, ...] = ()
+    order: tuple[str, ...] = ()
 
 
 def templates() -> dict[str, Template]:
@@ -175,7 +175,7 @@ def templates() -> dict[str, Template]:
         ),
         "compare_subsidiary_counts": Template(
             lambda g, names: compare_counts(g, names, "HAS_SUBSIDIARY", "COMPANY"), "compare subsidiary counts of two or more companies", "count (COMPANY in $names)-[HAS_SUBSIDIARY]->()", (("names", ENTITIES),),
-            Reading(subject="company", amount="count", sentence="{subject} has {amount} subsidiaries."), (F.desc("count"), "company"),
+            Reading(subject="company", amount="count", sentence="{subject} has {amount} subsidiaries."), ("-count", "company"),
         ),
         "companies_facing_risk": Template(
             lambda g, risk: facing(g, risk, "FACES_RISK"), "which companies face a given risk", "(company)-[FACES_RISK]->(name contains $risk)", (("risk", VALUE),),

@@ -43,7 +43,8 @@ def path_between(g: Graph, a: str, b: str, most_hops: int = MOST_HOPS, include_m
         m = g.mentions
         both = m.select(F.col("chunk_id").alias("here"), F.lit("MENTIONS").alias("rel"), F.col("eid").alias("there"))
         links = links.unionByName(both).unionByName(both.select(F.col("there").alias("here"), "rel", F.col("here").alias("there")))
-    links = materialise(links, "links")
+    # Of parallel edges only the first relation can be on the path that is taken.
+    links = materialise(links.groupBy("here", "there").agg(F.min("rel").alias("rel")), "links")
     start = g.anchors([a]).select(F.col("eid").alias("root"), "eid", F.array("eid").alias("nodes"), F.array().cast("array<string>").alias("relations"))
     frontier = materialise(start, "paths")
     seen = frontier.select("root", "eid")

@@ -6,14 +6,16 @@ broadcast in blocks of bounded size, and only the best k of each batch leave a t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.vectors import cosine
+from evigraph.session import fresh_path, materialise
 
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
@@ -21,8 +23,10 @@ QUERY_BLOCK = 4096
 TOPK_PAIRS = 1 << 18
 #: How far products of equal vectors may differ by the order of their sums.
 NOISE = 1e-11
-#: Rows on each side of a block of the similarity join.
-PAIR_BLOCK = 1024
+#: Rows on each side of a block of the similarity join, and its pivots.
+PAIR_BLOCK, MOST_PIVOTS = 1024, 1024
+#: Lists of an index, vectors that its centroids are fitted on, and rows in a part of a list, about.
+MOST_LISTS, MOST_SAMPLE, PART_ROWS = 4096, 65_536, 50_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -126,92 +130,218 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
-    """(a, b, similarity) with a < b and cosine >= threshold within a group.
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_common(x, pivots), -1.0, 1.0))
 
-    Vectors are dealt to blocks by hash; each pair of blocks is one matrix product of
-    bounded size and only pairs that pass leave it. A vector moves once a block.
-    """
-    n = vectors.count()
-    n_blocks = max(1, -(-n // block))
-    group = F.col(group_col).cast("string") if group_col else F.lit("")
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), group.alias("grp"), F.col(vec_col).alias("v"))
-    own = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
-    dealt = v.select("id", "grp", "v", own.alias("own"), F.explode(cells).alias("c")).select("id", "grp", "v", "own", "c.i", "c.j")
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        left = table if i == j else table.filter(pa.compute.equal(table["own"], i))
-        right = table if i == j else table.filter(pa.compute.equal(table["own"], j))
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        sims = _common(matrix(left["v"]), matrix(right["v"]))
-        la, rb = left["id"].to_numpy(), right["id"].to_numpy()
-        same = np.array(left["grp"].to_pylist())[:, None] == np.array(right["grp"].to_pylist())[None, :]
-        ok = (sims >= threshold) & same & ((la[:, None] < rb[None, :]) if i == j else (la[:, None] != rb[None, :]))
-        x, y = np.nonzero(ok)
-        return pa.table({"a": np.minimum(la[x], rb[y]), "b": np.maximum(la[x], rb[y]), "similarity": sims[x, y]})
+def _mapped(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow over batches that aren't empty."""
 
-    import pyarrow.compute  # noqa: F401
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield fn(batch)
 
-    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, similarity double")
+    return df.mapInArrow(run, schema)
 
 
-class IvfIndex:
-    """Inverted file of centroid lists: every vector is in the list of its nearest centroid.
+def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """(a, b, similarity) with a < b and cosine >= threshold within a group.
 
-    Centroids are fitted on a bounded sample (``sample`` vectors of smallest hash); all
-    vectors are indexed. ``probes`` lists are searched for each query; with all lists the
-    answer is exact.
+    Equal vectors of a group are one: all links of the one of smallest id come out, and
+    the others' link with it. A vector is at home in the cell of its nearest pivot (some
+    vectors of smallest hash), and visits the cells of smaller number that can hold a
+    vector as near as the threshold: angles obey the triangle inequality, so no others
+    need to be met. A cell is a grid of blocks, each one matrix product in one task.
     """
+    far = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-7
+    group = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit("")) if group_col else F.lit("")
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), group.alias("grp"), F.col(vec_col).alias("v"))
+    kind = v.schema["v"].dataType.simpleString()
+    if threshold > 0:  # a vector without length is like nothing
+        v = v.where(F.exists("v", lambda x: x != 0))
+    v = materialise(v, "vectors")
+    own = materialise(v.groupBy("grp", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+    copies = v.join(own.where("n > 1").select("grp", "v", F.col("id").alias("first")), ["grp", "v"]).where("id <> first")
+    copies = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+
+    n = own.count()
+    few = own.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(most_pivots, max(1, int(n**0.5 / 4)))).select("v").toArrow()
+    sent = v.sparkSession.sparkContext.broadcast(matrix(few.column(0)) if few.num_rows else np.zeros((1, 1)))
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        angle = _angles(matrix(batch.column(2)), sent.value)
+        cell = angle.argmin(axis=1)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["id", "grp", "v", "cell", "angle"])
+
+    homes = materialise(_mapped(own.select("id", "grp", "v"), place, f"id long, grp string, v {kind}, cell int, angle double"), "homes")
+    wide = np.full(len(sent.value), -np.inf)
+    for r in homes.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # at most a row for each pivot
+        wide[r["cell"]] = r["r"]
+
+    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = _angles(matrix(batch.column(2)), sent.value) <= wide[None, :] + far
+        near &= np.arange(len(wide))[None, :] < batch.column(3).to_numpy()[:, None]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], ["id", "grp", "v", "cells"])
+
+    guests = _mapped(homes.select("id", "grp", "v", "cell"), visit, f"id long, grp string, v {kind}, cells array<int>")
+    guests = guests.select("id", "grp", "v", F.explode("cells").alias("cell"), F.lit(False).alias("home"))
+    members = materialise(homes.select("id", "grp", "v", "cell", F.lit(True).alias("home")).unionByName(guests), "members")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block))).cast("int")
+    sizes = members.groupBy("grp", "cell").agg(blocks(F.count_if("home")).alias("rows"), blocks(F.count(F.lit(1))).alias("cols"))
+    members = members.join(sizes, ["grp", "cell"])
+    dealt = lambda n, side: F.pmod(F.xxhash64("id", F.lit(side)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.where("home").select("grp", "cell", dealt("rows", 0).alias("row"), every("cols").alias("col"), F.lit(True).alias("left"), "home", "id", "v")
+    right = members.select("grp", "cell", every("rows").alias("row"), dealt("cols", 1).alias("col"), F.lit(False).alias("left"), "home", "id", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["left"].to_numpy()
+        one, two = table.filter(pa.array(side)), table.filter(pa.array(~side))
+        x, y, home = one["id"].to_numpy(), two["id"].to_numpy(), two["home"].to_numpy()
+        sims = _common(matrix(one["v"]), matrix(two["v"])) if len(x) and len(y) else np.zeros((len(x), len(y)))
+        # Two at home meet twice, as either side.
+        i, j = np.nonzero((sims >= threshold) & (~home[None, :] | (x[:, None] < y[None, :])))
+        return pa.table({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "similarity": sims[i, j]})
+
+    found = left.unionByName(right).groupBy("grp", "cell", "row", "col").applyInArrow(run, "a long, b long, similarity double")
+    return found.unionByName(copies)
 
-    def __init__(self, vectors: DataFrame, lists: int = 16, sample: int = 10_000, rounds: int = 8, id_col: str = "vec_id", vec_col: str = "embedding"):
-        self.id_col, self.vec_col, self.lists = id_col, vec_col, lists
-        few = vectors.select(id_col, vec_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).toArrow()
+
+class IvfIndex:
+    """A stored inverted file: every vector is in the list of its nearest centroid.
+
+    There are about as many lists as the square root of the number of vectors, MOST_LISTS
+    at most. Centroids are fitted on a bounded sample (``sample`` vectors of smallest hash,
+    MOST_SAMPLE at most); all vectors are indexed, in files by list, so a search reads the
+    lists that it probes. How many those are by default is measured when the index is
+    built: the fewest with which ``calibrate`` queries of the sample find the share
+    ``target`` of their exact nearest vectors. With all lists the answer is exact.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 10_000, rounds: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", path: str | None = None, target: float = 0.93, calibrate: int = 256, k: int = 5):
+        spark = vectors.sparkSession
+        path = path or fresh_path(spark, "ivf")
+        vectors = vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
+        n = vectors.count()
+        lists = min(lists or max(1, round(n**0.5)), MOST_LISTS)
+        few = vectors.orderBy(F.xxhash64(id_col), id_col).limit(min(max(sample, 16 * lists), MOST_SAMPLE)).toArrow()
         x = matrix(few.column(1)) if few.num_rows else np.zeros((1, 1))
         c = x[np.random.Generator(np.random.PCG64(3)).permutation(len(x))[:lists]]
         for _ in range(rounds):
-            at = np.argmax(x @ c.T, axis=1)
-            for k in range(len(c)):
-                if (at == k).any():
-                    m = x[at == k].mean(axis=0)
-                    c[k] = m / max(np.linalg.norm(m), 1e-12)
-        self.centroids = c
-        sent = vectors.sparkSession.sparkContext.broadcast(c)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    at = np.argmax(_common(matrix(batch.column(1)), sent.value), axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32))], [id_col, vec_col, "list"])
-
-        kinds = dict(vectors.select(id_col, vec_col).dtypes)
-        self.table = vectors.select(id_col, vec_col).mapInArrow(place, f"{id_col} {kinds[id_col]}, {vec_col} {kinds[vec_col]}, list int")
-
-    def topk(self, query: list[float], k: int = 5, probes: int = 4) -> DataFrame:
-        """(id, similarity) among the nearest lists; the list filter prunes a table partitioned by it."""
+            at = _nearest(x, c)
+            sums = np.zeros_like(c)
+            np.add.at(sums, at, x)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), c)
+        share = np.bincount(_nearest(x, c), minlength=len(c)) / len(x)
+        parts = np.maximum(1, np.ceil(share * n / PART_ROWS)).astype(int)
+        sent = spark.sparkContext.broadcast(c)
+
+        def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(matrix(batch.column(1)), sent.value).astype(np.int32))], [id_col, vec_col, "list"])
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+        placed = _mapped(vectors, place, f"{fields}, list int")
+        sizes = spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts)], "list int, parts int")  # MOST_LISTS rows at most
+        placed = placed.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int")).drop("parts")
+        placed.repartition("list", "part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
+        fields += ", part int, list int"
+        self._open(spark, path, id_col, vec_col, c, parts, fields, len(c), 1.0)
+        if n and calibrate:
+            self.probes, self.recall = self._calibrated(vectors, few.slice(0, calibrate), target, k)
+        said = {"id_col": id_col, "vec_col": vec_col, "fields": fields, "probes": self.probes, "recall": self.recall}
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        spark.createDataFrame([(i, int(p), [float(t) for t in r]) for i, (p, r) in enumerate(zip(parts, c, strict=True))], "list int, parts int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> IvfIndex:
+        """An index that was stored at a path."""
+        said = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        rows = spark.read.schema("list int, parts int, centroid array<double>").parquet(f"{path}/centroids").orderBy("list").collect()
+        out = cls.__new__(cls)
+        out._open(spark, path, said["id_col"], said["vec_col"], np.array([r["centroid"] for r in rows]), np.array([r["parts"] for r in rows]), said["fields"], said["probes"], said["recall"])
+        return out
+
+    def _open(self, spark: SparkSession, path: str, id_col: str, vec_col: str, centroids: np.ndarray, parts: np.ndarray, fields: str, probes: int, recall: float) -> None:
+        self.spark, self.path, self.id_col, self.vec_col = spark, path, id_col, vec_col
+        self.centroids, self.parts, self.lists, self.probes, self.recall = centroids, parts, len(centroids), probes, recall
+        self.table = spark.read.schema(fields).parquet(f"{path}/rows")
+
+    def _number(self, df: DataFrame):
+        """Ids as numbers, by which queries leave themselves out."""
+        kind = df.schema[self.id_col].dataType.simpleString()
+        return F.col(self.id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(self.id_col)
+
+    def _calibrated(self, vectors: DataFrame, few: pa.Table, target: float, k: int) -> tuple[int, float]:
+        """(fewest lists that reach the target, their share of the nearest) over some vectors as queries."""
+        table = self.table.select(self._number(self.table).alias("vec_id"), F.col(self.vec_col).alias("embedding"), "list")
+        queries = self.spark.createDataFrame(few).select(self._number(vectors).alias("vec_id"), F.col(self.vec_col).alias("embedding"))
+        gold = topk_batch(table, queries, k).select("query_id", "vec_id")
+        x = {r["vec_id"]: r["embedding"] for r in queries.collect()}  # a bounded sample
+        held = gold.join(table.select("vec_id", "list"), "vec_id").select("query_id", "list").collect()
+        if not held:
+            return self.lists, 1.0
+        ids = sorted({r["query_id"] for r in held})
+        order = np.argsort(-_common(matrix(pa.array([x[i] for i in ids], pa.list_(pa.float64()))), self.centroids), axis=1, kind="stable")
+        rank = np.argsort(order, axis=1)
+        row = {q: i for i, q in enumerate(ids)}
+        need = np.sort([rank[row[r["query_id"]], r["list"]] + 1 for r in held])
+        probes = int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)])
+        return probes, float((need <= probes).mean())
+
+    def topk(self, query: list[float], k: int = 5, probes: int | None = None) -> DataFrame:
+        """(id, similarity) among the nearest lists; only their files are read."""
         q = np.asarray(query, float)
-        near = np.argsort(-(self.centroids[:, : len(q)] @ q), kind="stable")[:probes]
+        w = min(len(q), self.centroids.shape[1])
+        near = np.argsort(-(self.centroids[:, :w] @ q[:w]), kind="stable")[: probes or self.probes]
         return exact_topk(self.table.where(F.col("list").isin([int(x) for x in near])), list(query), k, self.id_col, self.vec_col)
 
-    def topk_batch(self, queries: DataFrame, k: int = 5, probes: int = 4) -> DataFrame:
-        """(query_id, id, similarity, rank) for a set of queries, each against its nearest lists."""
-        sent = queries.sparkSession.sparkContext.broadcast(self.centroids)
+    def topk_batch(self, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
+        """(query_id, id, similarity, rank) for a set of queries, each against its nearest lists.
+
+        Lists go to tasks in parts, and the queries of a list in blocks: a task has one
+        matrix product at a time, and only the best of it leave.
+        """
+        sent, count = self.spark.sparkContext.broadcast(self.centroids), probes or self.probes
         id_col, vec_col = self.id_col, self.vec_col
 
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    near = np.argsort(-_common(matrix(batch.column(1)), sent.value), axis=1, kind="stable")[:, :probes]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "q", "near"])
+        def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
+            near = np.argsort(-_common(matrix(batch.column(1)), sent.value), axis=1, kind="stable")[:, :count]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "q", "near"])
 
         kind = dict(queries.dtypes)[vec_col]
-        probe = queries.select(F.col(id_col).cast("long"), vec_col).mapInArrow(choose, f"query_id long, q {kind}, near array<int>")
-        pairs = probe.select("query_id", "q", F.explode("near").alias("list")).join(self.table, "list").where(F.col("query_id") != F.col(id_col))
-        scored = pairs.select("query_id", id_col, cosine("q", vec_col).alias("similarity"))
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), id_col)
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        probe = _mapped(queries.select(self._number(queries).alias("query_id"), F.col(vec_col).alias("q")), choose, f"query_id long, q {kind}, near array<int>")
+        probe = materialise(probe.select("query_id", "q", F.explode("near").alias("list")), "probes")
+        asked = {r["list"]: r["n"] for r in probe.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_LISTS rows at most
+        sizes = [(i, int(self.parts[i]), -(-n // QUERY_BLOCK)) for i, n in asked.items()]
+        sizes = F.broadcast(self.spark.createDataFrame(sizes, "list int, parts int, blocks int"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        rows = self.table.select(self._number(self.table).alias("num"), F.col(vec_col).alias("v"), "part", "list").where(F.col("list").isin(sorted(asked)))
+        rows = rows.join(sizes, "list").select("list", "part", every("blocks").alias("block"), "num", "v")
+        asks = probe.join(sizes, "list").select("list", every("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "q")
+
+        def best(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "num": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), "key": pa.array([], pa.float64())})
+            own, x = left["num"].to_numpy(), matrix(left["v"])
+            some = _distinct_enough(x, own, k)
+            own, x = own[some], x[some]
+            ids, q = right["query_id"].to_numpy(), matrix(right["q"])
+            step = max(1, TOPK_PAIRS // len(own))
+            found = [_best(ids[at : at + step], q[at : at + step], own, x, k) for at in range(0, len(ids), step)]
+            return pa.table(dict(zip(("query_id", "num", "similarity", "key"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
+
+        keys = ["list", "part", "block"]
+        found = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(best, "query_id long, num long, similarity double, key double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("key"), "num")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", F.col("num").alias(id_col), "similarity", "rank")
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, some rows at a time."""
+    return np.concatenate([np.argmax(_common(x[at : at + 4096], c), axis=1) for at in range(0, max(len(x), 1), 4096)])
 
 
 def recall(found: DataFrame, gold: DataFrame, query_col: str = "query_id", id_col: str = "vec_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.operators import routing
@@ -48,10 +48,10 @@ def bound(t: Template, names: Sequence[str], value: str) -> dict:
     return out
 
 
-def first_rows(df: DataFrame, order: Sequence[Column | str], result: QueryResult) -> None:
+def first_rows(df: DataFrame, order: Sequence[str], result: QueryResult) -> None:
     """The first rows in the template's order, by default that of all columns, and whether there are more."""
     order = order or [c for c in df.columns if c != "_src"] + [c for c in df.columns if c == "_src"]
-    rows = df.orderBy(*[F.col(c) if isinstance(c, str) else c for c in order]).limit(MOST_ROWS + 1).collect()
+    rows = df.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in order]).limit(MOST_ROWS + 1).collect()
     result.rows, result.more = [r.asDict(recursive=True) for r in rows[:MOST_ROWS]], len(rows) > MOST_ROWS
 
 

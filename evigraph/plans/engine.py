@@ -20,7 +20,7 @@ from evigraph.functions import text as X
 from evigraph.operators import answers, routing
 from evigraph.operators.graph import Graph, QueryResult
 from evigraph.operators.maintain import cleanup, merge_edges, merge_nodes, valid_triples
-from evigraph.operators.vectors import exact_topk
+from evigraph.operators.vectors import IvfIndex
 from evigraph.plans import providers as P
 from evigraph.plans.asking import answered
 from evigraph.session import materialise
@@ -49,6 +49,7 @@ class Engine:
     extractor: P.Extractor | None = None
     threshold: float = routing.THRESHOLD
     retries: int = 2
+    _vectors: IvfIndex | None = field(default=None, init=False, repr=False)
 
     # Documents to graph and vectors.
 
@@ -118,17 +119,23 @@ class Engine:
 
         table = stores.chunk_vectors(self.spark, f"{self.path}/vectors")
         table.upsert(rows.mapInArrow(run, S.CHUNK_VECTORS))
-        return table.count()
+        n = table.count()
+        if n:
+            self._vectors = IvfIndex(table.read(), id_col="chunk_id", path=f"{self.path}/vector_index")
+        return n
 
     # Questions.
 
     def retrieve(self, question: str, k: int = 5) -> list[dict]:
-        """The k chunks most similar to a question."""
+        """The k chunks most similar to a question, by the stored index; none before there is one."""
         query = [float(x) for x in self.embedder.embed([question])[0]]
-        table = stores.chunk_vectors(self.spark, f"{self.path}/vectors").read()
-        best = exact_topk(table, query, k, "chunk_id")
-        full = best.join(table.drop("embedding"), "chunk_id").orderBy(F.desc("similarity"), "chunk_id")
-        return [r.asDict(recursive=True) for r in full.collect()]
+        table = stores.chunk_vectors(self.spark, f"{self.path}/vectors")
+        if self._vectors is None and table.version():
+            self._vectors = IvfIndex.open(self.spark, f"{self.path}/vector_index")
+        best = {r["chunk_id"]: r["similarity"] for r in self._vectors.topk(query, k).collect()} if self._vectors else {}
+        full = table.read().drop("embedding").where(F.col("chunk_id").isin(list(best))).collect() if best else []
+        found = [r.asDict(recursive=True) | {"similarity": best[r["chunk_id"]]} for r in full]
+        return sorted(found, key=lambda r: (-r["similarity"], r["chunk_id"]))
 
     def query_graph(self, question: str) -> QueryResult:
         """A template chosen by the planner, with resolved names; any failure is an error without rows."""

@@ -7,15 +7,16 @@ made from the rows by fixed patterns, in the same way here and in the SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph import schemas as S
 from evigraph.functions import text as X
-from evigraph.functions.costs import estimate
+from evigraph.functions.costs import estimate, prices
 from evigraph.functions.vectors import literal
-from evigraph.operators import answers, evaluate, graph, maintain, paths, resolution, routing, vectors
+from evigraph.operators import answers, evaluate, graph, maintain, paths, replies, resolution, routing, vectors
 from evigraph.operators.components import components
 from evigraph.plans.star_graph import SQL as GRAPH
 from evigraph.plans.star_graph import places, read, star_graph
@@ -428,15 +429,35 @@ def vector_topk_batch(spark, d):
 @query()
 def ann_topk_ivf(spark, d):
     v = read(spark, d, "embeddings")
-    return vectors.IvfIndex(v).topk_batch(_queries(v), probes=12).withColumn("similarity", F.round("similarity", 6))
+    return vectors.IvfIndex(v).topk_batch(_queries(v)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT count(*)::BIGINT AS queries, 5 * count(*)::BIGINT AS hits, 5 * count(*)::BIGINT AS gold, 1.0::DOUBLE AS recall_micro, 1.0::DOUBLE AS recall_macro FROM embeddings WHERE vec_id % 20 = 0")
 def ann_recall(spark, d):
     """With all lists probed, the index must find the exact answer."""
     v = read(spark, d, "embeddings")
-    found = vectors.IvfIndex(v).topk_batch(_queries(v), probes=16)
-    return vectors.recall(found, vectors.topk_batch(v, _queries(v)))
+    ivf = vectors.IvfIndex(v)
+    return vectors.recall(ivf.topk_batch(_queries(v), probes=ivf.lists), vectors.topk_batch(v, _queries(v)))
+
+
+@query("SELECT count(*)::BIGINT AS queries, 5 * count(*)::BIGINT AS gold, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall_probed(spark, d):
+    """Whether the lists that the index probes by itself find nine tenths of the exact answer."""
+    v = read(spark, d, "embeddings")
+    found = vectors.IvfIndex(v).topk_batch(_queries(v))
+    r = vectors.recall(found, vectors.topk_batch(v, _queries(v)))
+    return r.select("queries", "gold", (F.col("recall_micro") >= 0.9).alias("enough"))
+
+
+_SIGNS = "sv AS (SELECT vec_id, list_transform(embedding[1:4]::DOUBLE[], lambda x: CASE WHEN x < 0 THEN -1.0 ELSE 1.0 END::DOUBLE) AS embedding FROM embeddings)"
+
+
+@query(f"WITH {_SIGNS}, s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding, v.embedding) AS s FROM sv v JOIN sv q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) SELECT query_id, vec_id, round(s, 6) AS similarity, (row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id))::INTEGER AS rank FROM s QUALIFY rank <= 5")
+def vector_topk_ties(spark, d):
+    """Sixteen distinct vectors in all: nearly all similarities are equal, and ids decide."""
+    v = read(spark, d, "embeddings")
+    signs = v.select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).alias("embedding"))
+    return vectors.topk_batch(signs, _queries(signs)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH g AS ({_FULL}), f AS ({_HALF}), b AS (SELECT g.query_id, count(*) AS n, count(f.vec_id) AS h FROM g LEFT JOIN f ON f.query_id = g.query_id AND f.vec_id = g.vec_id GROUP BY g.query_id) SELECT count(*)::BIGINT AS queries, sum(h)::BIGINT AS hits, sum(n)::BIGINT AS gold, (sum(h) / sum(n))::DOUBLE AS recall_micro, avg(h / n)::DOUBLE AS recall_macro FROM b")
@@ -760,6 +781,123 @@ def cited_subgraph(spark, d):
     return ends
 
 
+@query(f"WITH {_DRAWN}, fd AS (SELECT source AS anchor, target, min(relation) AS rel FROM tv GROUP BY ALL), r AS (SELECT anchor, target, row_number() OVER (PARTITION BY anchor ORDER BY rel, target)::INTEGER AS pos, greatest(count(*) OVER (PARTITION BY anchor) - 24, 0)::BIGINT AS hidden FROM fd) SELECT * FROM r WHERE pos <= 24")
+def drawing_hidden(spark, d):
+    """The targets that each anchor's drawing shows, and how many it hides."""
+    e = _drawn(spark, d).select(F.col("source").alias("anchor"), "target", "relation")
+    return answers.shown_targets(e, [F.col("relation")], ["anchor"])
+
+
+@query(f"WITH {GRAPH}, c AS (SELECT rel, src, count(*)::BIGINT AS value FROM edges GROUP BY ALL) SELECT rel, src, value, value / greatest(max(value) OVER (PARTITION BY rel), 1)::DOUBLE AS share FROM c")
+def metric_bars(spark, d):
+    counts = star_graph(spark, d).edges.groupBy("rel", "src").agg(F.count(F.lit(1)).alias("value"))
+    return answers.metric_shares(counts, ["rel"])
+
+
+_TARGETS = "oe AS (SELECT o_orderstatus AS q, 'S' || o_custkey % 40 AS source, 'T' || o_orderkey % 60 AS target, o_orderkey AS nth FROM orders)"
+
+
+@query(
+    f"WITH {_TARGETS}, an AS (SELECT q, source, row_number() OVER (PARTITION BY q ORDER BY min(nth), source) - 1 AS place FROM oe GROUP BY q, source), "
+    "m AS (SELECT oe.q, oe.target, avg(place) AS centre, min(nth) AS f FROM oe JOIN an ON an.q = oe.q AND an.source = oe.source GROUP BY ALL) "
+    "SELECT q, target, round(centre, 6) AS centre, row_number() OVER (PARTITION BY q ORDER BY centre, f, target)::INTEGER AS pos FROM m"
+)
+def target_order(spark, d):
+    o = read(spark, d, "orders")
+    name = lambda p, k, n: F.concat(F.lit(p), (F.col(k) % n).cast("string"))
+    e = o.select(F.col("o_orderstatus").alias("q"), name("S", "o_custkey", 40).alias("source"), name("T", "o_orderkey", 60).alias("target"), F.col("o_orderkey").alias("nth"))
+    return answers.barycentre_order(e, ["q"]).withColumn("centre", F.round("centre", 6))
+
+
+# Replies, budgets, merging, sessions.
+
+_REPLIES = """rp AS (SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'Sure: {"path": "graph", "confidence": 0.8} as asked' WHEN 1 THEN '{"path": " Vector "}' WHEN 2 THEN '{"path": "NONE", "confidence": 1}'
+  WHEN 3 THEN 'no idea' WHEN 4 THEN '{"path": "HYBRID", "confidence": "high"}' ELSE NULL END AS reply,
+  CASE s_suppkey % 5 WHEN 0 THEN '{"query_type": "risks_of", "entities": ["' || s_name || '"]}' WHEN 1 THEN 'ok {"query_type": "subsidiary_of", "entities": [" ", "A", null], "value": "v"}' WHEN 2 THEN '{"query_type": "weather", "entities": null}'
+  WHEN 3 THEN '{"query_type": "companies_facing_risks", "value": "' || s_name || '"}' ELSE 'broken {' END AS plan FROM supplier)"""
+
+
+def _replies(spark, d):
+    k, n = F.col("s_suppkey"), F.col("s_name")
+    reply = F.when(k % 6 == 0, 'Sure: {"path": "graph", "confidence": 0.8} as asked').when(k % 6 == 1, '{"path": " Vector "}').when(k % 6 == 2, '{"path": "NONE", "confidence": 1}').when(k % 6 == 3, "no idea").when(k % 6 == 4, '{"path": "HYBRID", "confidence": "high"}')
+    plan = F.when(k % 5 == 0, F.concat(F.lit('{"query_type": "risks_of", "entities": ["'), n, F.lit('"]}'))).when(k % 5 == 1, 'ok {"query_type": "subsidiary_of", "entities": [" ", "A", null], "value": "v"}').when(k % 5 == 2, '{"query_type": "weather", "entities": null}')
+    plan = plan.when(k % 5 == 3, F.concat(F.lit('{"query_type": "companies_facing_risks", "value": "'), n, F.lit('"}'))).otherwise("broken {")
+    return read(spark, d, "supplier").select(k.alias("id"), reply.alias("reply"), plan.alias("plan"))
+
+
+@query(f"WITH {_REPLIES}, j AS (SELECT id, nullif(regexp_extract(coalesce(reply, ''), '(?s)\\{{.*\\}}'), '') AS j FROM rp), p AS (SELECT id, upper(trim(json_extract_string(j, '$.path'))) AS path, coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5) AS c FROM j) SELECT id, CASE WHEN path IN ('VECTOR', 'GRAPH', 'HYBRID') THEN path END AS path, CASE WHEN path IN ('VECTOR', 'GRAPH', 'HYBRID') THEN c END AS confidence FROM p")
+def reply_paths(spark, d):
+    path, conf = replies.classification("reply")
+    return _replies(spark, d).select("id", path.alias("path"), conf.alias("confidence"))
+
+
+_KNOWN = sorted(graph.templates())
+
+
+@query(
+    f"WITH {_REPLIES}, j AS (SELECT id, nullif(regexp_extract(plan, '(?s)\\{{.*\\}}'), '') AS j FROM rp), p AS (SELECT id, trim(json_extract_string(j, '$.query_type')) AS asked, coalesce(json_extract_string(j, '$.value'), '') AS value, "
+    "list_filter(coalesce(json_extract_string(j, '$.entities[*]'), []), lambda e: trim(coalesce(e, '')) <> '') AS entities FROM j), "
+    f"k AS (SELECT unnest({_KNOWN!r}) AS name), m AS (SELECT id, name, levenshtein(asked, name) / greatest(length(asked), length(name)) AS far FROM p, k WHERE asked <> ''), "
+    "b AS (SELECT id, arg_min(name, struct_pack(f := far, n := name)) AS name, min(far) AS far FROM m GROUP BY id) "
+    "SELECT p.id, CASE WHEN far <= 1 - 0.7 THEN name END AS query_type, array_to_string(entities, ',') AS entities, value FROM p LEFT JOIN b USING (id)"
+)
+def reply_plans(spark, d):
+    p = replies.plan("plan", _KNOWN)
+    return _replies(spark, d).select("id", p["query_type"].alias("query_type"), F.array_join(p["entities"], ",").alias("entities"), p["value"].alias("value"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN contains(lower(s_comment_key), 'lite') THEN 0.5 WHEN contains(lower(s_comment_key), 'large') THEN 3.0 ELSE 0.0 END::DOUBLE AS price_in, CASE WHEN contains(lower(s_comment_key), 'lite') THEN 1.5 WHEN contains(lower(s_comment_key), 'large') THEN 15.0 ELSE 0.0 END::DOUBLE AS price_out FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Large-' || s_suppkey WHEN 1 THEN 'large-LITE' WHEN 2 THEN 'own' ELSE NULL END AS s_comment_key FROM supplier)")
+def model_prices(spark, d):
+    k = F.col("s_suppkey")
+    model = F.when(k % 4 == 0, F.concat(F.lit("Large-"), k.cast("string"))).when(k % 4 == 1, F.lit("large-LITE")).when(k % 4 == 2, F.lit("own"))
+    p = prices(model, {"lite": (0.5, 1.5), "large": (3.0, 15.0)})
+    return read(spark, d, "supplier").select(k.alias("id"), p["price_in"].alias("price_in"), p["price_out"].alias("price_out"))
+
+
+@query(f"WITH {_COST}, g AS (SELECT c4.doc_id, cost, doc_id % 4 = 0 AS cached, doc_id % 3 = 0 AS confirmed FROM c4) SELECT doc_id, CASE WHEN cached THEN 'pass' WHEN cost > 0.02 THEN 'block' WHEN confirmed THEN 'pass' ELSE 'hold' END AS gate FROM g")
+def budget_gate(spark, d):
+    docs = read(spark, d, "documents")
+    todo = F.when(F.col("doc_id") % 4 == 0, F.lit(0.0)).otherwise(estimate("text", 3.0, 15.0)["cost"])
+    return docs.select("doc_id", evaluate.gate_of(todo, F.lit(0.02), F.col("doc_id") % 3 == 0).alias("gate"))
+
+
+@query(f"WITH {GRAPH}, a AS (SELECT eid, label, name FROM nodes UNION ALL SELECT 'D' || doc_id, 'Chunk', NULL FROM documents UNION ALL SELECT 'N' || n_nationkey, 'LOCATION', 'A ' || n_name FROM nation) SELECT eid, arg_min(label, struct_pack(l := label, n := name)) AS label, arg_min(name, struct_pack(l := label, n := name)) AS name FROM a WHERE label <> 'Chunk' AND name IS NOT NULL GROUP BY eid")
+def merged_entities(spark, d):
+    """Nodes of two writers merged by id, chunks left out of the entities."""
+    g = star_graph(spark, d)
+    none = F.lit(None).cast("array<string>").alias("aliases")
+    chunks = read(spark, d, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("eid"), F.lit("Chunk").alias("label"), F.lit(None).cast("string").alias("name"), none)
+    again = read(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("eid"), F.lit("LOCATION").alias("label"), F.concat(F.lit("A "), "n_name").alias("name"), none)
+    merged = maintain.merge_nodes(g.nodes.unionByName(chunks).unionByName(again))
+    return graph.Graph(merged, g.edges).entities().select("eid", "label", "name")
+
+
+@query(f"WITH {_NAMES}, k AS (SELECT eid, label, {_CANONICAL} AS key FROM names), h AS (SELECT label, key, min(eid) AS a FROM k WHERE key <> '' GROUP BY ALL) SELECT h.a, k.eid AS b FROM k JOIN h ON h.label = k.label AND h.key = k.key WHERE h.a <> k.eid")
+def er_exact_links(spark, d):
+    return resolution.exact_links(_names(spark, d))
+
+
+@query(
+    f"WITH RECURSIVE {_NAMES}, k AS (SELECT eid, label, name, {_CANONICAL} AS key FROM names WHERE eid LIKE 'S%' OR eid LIKE 'T%'), "
+    "h AS (SELECT label, key, min(eid) AS a FROM k WHERE key <> '' GROUP BY ALL), e0 AS (SELECT h.a, k.eid AS b FROM k JOIN h ON h.label = k.label AND h.key = k.key WHERE h.a <> k.eid), "
+    "v AS (SELECT k.eid, k.label, embedding FROM k JOIN embeddings ON vec_id = substr(eid, 2)::BIGINT WHERE eid LIKE 'S%'), "
+    f"e1 AS (SELECT x.eid AS a, y.eid AS b FROM v x JOIN v y ON x.label = y.label AND x.eid < y.eid AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= {ER_THRESHOLD}), "
+    "e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0 UNION ALL SELECT a, b FROM e1 UNION ALL SELECT b, a FROM e1), "
+    "r AS (SELECT eid, eid AS seen FROM k UNION SELECT r.eid, e.b FROM r JOIN e ON e.a = r.seen), c AS (SELECT eid, min(seen) AS component FROM r GROUP BY eid) "
+    "SELECT k.eid, first_value(k.eid) OVER (PARTITION BY component ORDER BY length(name) DESC, k.eid) AS survivor, count(*) OVER (PARTITION BY component)::BIGINT AS members FROM c JOIN k USING (eid) QUALIFY members > 1"
+)
+def er_plan(spark, d):
+    """The merges of a dry run: equal canonical names and near vectors together."""
+    n = _names(spark, d).where("eid LIKE 'S%' OR eid LIKE 'T%'")
+    e = read(spark, d, "embeddings").select(F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("eid"), "embedding")
+    return resolution.plan(n.join(e, "eid", "left"), ER_THRESHOLD).select("eid", "survivor", "members")
+
+
+@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '12 hours'")
+def live_sessions(spark, d):
+    return rate_limit.live_sessions(read(spark, d, "events"), datetime(2024, 1, 15, 12), created="ts").select("event_id")
+
+
 # Streams, in their batch form.
 
 

@@ -148,11 +148,48 @@ def test_topk_of_copies_takes_the_smallest_ids(spark):
     assert got == want
 
 
-def test_index_recall_on_the_tables(spark):
+def test_similar_pairs_in_groups_with_copies(spark):
+    """Against brute force: clustered vectors in groups, copies, zero and null ones, small blocks."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((9, 12))
+    x = centre[rng.integers(0, 9, 240)] + 0.35 * rng.standard_normal((240, 12))
+    x[100:140], x[140] = x[99], 0
+    grp = rng.integers(0, 2, 240)
+    grp[99:140] = 1
+    rows = [(i, ["g", None][grp[i]], [float(t) for t in x[i]] if i != 141 else None) for i in range(240)]
+    v = spark.createDataFrame(rows, "vec_id long, g string, embedding array<double>").repartition(3)
+    got = vectors.similar_pairs(v, 0.9, "g", block=16).collect()
+    keep = [i for i in range(240) if i not in (140, 141) and not 100 <= i < 140]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {(i, j) for i in keep for j in keep if i < j and grp[i] == grp[j] and unit[i] @ unit[j] >= 0.9} | {(99, i) for i in range(100, 140)}
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want and len(want) > 300
+    assert vectors.similar_pairs(v.limit(0), 0.9).count() == 0
+
+
+def test_index_recall_on_the_tables(spark, tmp_path):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     gold = vectors.topk_batch(v, v.where("vec_id % 20 = 0"))
-    found = vectors.IvfIndex(v).topk_batch(v.where("vec_id % 20 = 0"), probes=12)
-    assert vectors.recall(found, gold).first()["recall_micro"] >= 0.9
+    built = vectors.IvfIndex(v, path=f"file://{tmp_path}/ivf")
+    again = vectors.IvfIndex.open(spark, f"file://{tmp_path}/ivf")
+    assert (again.centroids == built.centroids).all() and again.probes == built.probes and again.recall >= 0.93
+    assert vectors.recall(again.topk_batch(v.where("vec_id % 20 = 0")), gold).first()["recall_micro"] >= 0.9
+    names = v.select(F.concat(F.lit("n"), "vec_id").alias("vec_id"), "embedding")
+    one = vectors.IvfIndex(names, calibrate=32)
+    q = v.where("vec_id = 3").first()["embedding"]
+    assert one.topk(list(q), 1).first()["vec_id"] == "n3"
+    read = one.topk(list(q), 1, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "(list#" in read and "PushedFilters: []" in read  # the list prunes files
+
+
+def test_clustered_vectors_need_few_lists(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((40, 16))
+    x = centre[np.arange(1600) % 40] + 0.1 * rng.standard_normal((1600, 16))
+    v = spark.createDataFrame([(i, [float(t) for t in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    ivf = vectors.IvfIndex(v)
+    assert ivf.lists == 40 and ivf.probes <= 4
+    queries = v.where("vec_id % 20 = 0")
+    assert vectors.recall(ivf.topk_batch(queries), vectors.topk_batch(v, queries)).first()["recall_micro"] >= 0.9
 
 
 def test_rate_limit(spark, tmp_path):
