@@ -154,3 +154,33 @@ def passage_text(text: ColumnLike) -> Column:
 def path_key(path_used: ColumnLike) -> Column:
     """First word of the path used, in capitals; NONE if there is none."""
     return F.upper(F.split_part(F.coalesce(F.nullif(col(path_used), F.lit("")), F.lit("NONE")), F.lit(" "), F.lit(1)))
+
+
+def inline_tokens(text: ColumnLike) -> Column:
+    """Array of (kind, text): bold runs, citations and the text between, in order."""
+    marks = {"\x02": "bold", "\x03": "cite"}
+    t = F.regexp_replace(F.coalesce(col(text), F.lit("")), "[\x01-\x03]", "")
+    outer = F.split(F.regexp_replace(t, r"\*\*(.+?)\*\*", "\x01\x02$1\x01"), "\x01")
+    # Citations count outside bold runs only.
+    inner = F.transform(outer, lambda s: F.when(s.startswith("\x02"), F.array(s)).otherwise(F.split(F.regexp_replace(s, CITATION, "\x01\x03$1\x01"), "\x01")))
+    parts = F.filter(F.flatten(inner), lambda s: s != "")
+
+    def token(s: Column) -> Column:
+        kind = F.when(s.startswith("\x02"), marks["\x02"]).when(s.startswith("\x03"), marks["\x03"]).otherwise("text")
+        return F.struct(kind.alias("kind"), F.regexp_replace(s, "^[\x02\x03]", "").alias("text"))
+
+    return F.transform(parts, token)
+
+
+def answer_blocks(text: ColumnLike) -> Column:
+    """Array of (kind, items): paragraphs, and lists where all lines have bullets or numbers."""
+    bullet = r"^\s*(?:[-*•]|[0-9]+[.)])\s+"
+    chunks = F.split(F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"^\s+|\s+$", "")), r"\n\s*\n")
+    lines = F.transform(chunks, lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != ""))
+
+    def block(ls: Column) -> Column:
+        listed = F.forall(ls, lambda x: x.rlike(bullet))
+        items = F.when(listed, F.transform(ls, lambda x: F.regexp_replace(x, bullet, ""))).otherwise(F.array(F.array_join(ls, " ")))
+        return F.struct(F.when(listed, "ul").otherwise("p").alias("kind"), items.alias("items"))
+
+    return F.transform(F.filter(lines, lambda ls: F.size(ls) > 0), block)

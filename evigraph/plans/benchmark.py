@@ -15,14 +15,17 @@ from evigraph.sources import stores
 ROWS = "id long, cat string, q string, kind string, want array<string>, ours_ans string, van_ans string, ours_lat double, van_lat double"
 
 
-def run(engine: Engine, items: Iterable[tuple[int, str, str, str, Sequence[str]]], path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(engine: Engine, items: Iterable[tuple[int, str, str, str, Sequence[str]]], path: str | None = None, only: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, by category, overall) of items (id, category, question, kind, values) (K1).
 
     Each question is answered by the engine and by passages alone, scored and timed; the
-    rows and the median latencies are recorded at ``path``.
+    rows and the median latencies are recorded at ``path``. only: the numbers of a
+    subset, for a short run.
     """
     rows = []
     for number, cat, q, kind, want in items:
+        if only is not None and number not in only:
+            continue
         t0 = time.perf_counter()
         ours = engine.ask(q, log=False)["answer"]
         t1 = time.perf_counter()

@@ -20,7 +20,7 @@ from evigraph.operators import answers, evaluate, graph, maintain, paths, replie
 from evigraph.operators.components import components
 from evigraph.plans.star_graph import SQL as GRAPH
 from evigraph.plans.star_graph import places, read, star_graph
-from evigraph.sources import filings, stores
+from evigraph.sources import accounts, filings, stores
 from evigraph.streaming import logs, rate_limit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -898,6 +898,63 @@ def live_sessions(spark, d):
     return rate_limit.live_sessions(read(spark, d, "events"), datetime(2024, 1, 15, 12), created="ts").select("event_id")
 
 
+_ACCOUNTS = """ac AS (SELECT lower(c_name) || '@x.org' AS email, c_name AS name, ['pending', 'approved', 'rejected', 'disabled'][1 + c_custkey % 4] AS status, CASE c_custkey % 5 WHEN 0 THEN 'admin' ELSE 'user' END AS role,
+  TIMESTAMP '2024-01-01' + to_seconds((c_custkey * 7919) % 100000) AS created_at, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-02-01' END AS decided_at, CASE WHEN c_custkey % 3 = 0 THEN 'someone' END AS decided_by, c_custkey % 2 = 0 AS updates_opt_in, c_custkey FROM customer)"""
+
+
+def _accounts(spark, d):
+    k, day = F.col("c_custkey"), lambda s: F.lit(s).cast("timestamp")
+    status = F.element_at(F.array(*[F.lit(s) for s in accounts.STATUSES]), (1 + k % 4).cast("int"))
+    created = F.timestamp_micros((F.unix_micros(day("2024-01-01")) + (k * 7919) % 100000 * 1_000_000).cast("long"))
+    third = lambda c: F.when(k % 3 == 0, c)
+    return read(spark, d, "customer").select(
+        F.concat(F.lower("c_name"), F.lit("@x.org")).alias("email"), F.col("c_name").alias("name"), status.alias("status"), F.when(k % 5 == 0, "admin").otherwise("user").alias("role"), created.alias("created_at"),
+        third(day("2024-02-01")).alias("decided_at"), third(F.lit("someone")).alias("decided_by"), (k % 2 == 0).alias("updates_opt_in"), F.lit(None).cast("timestamp").alias("consent_at"), "c_custkey",
+    )
+
+
+@query(f"WITH {_ACCOUNTS} SELECT email, name FROM ac WHERE status = 'approved' AND updates_opt_in")
+def account_subscribers(spark, d):
+    return accounts.subscribers(_accounts(spark, d))
+
+
+@query(f"WITH {_ACCOUNTS} SELECT email, (row_number() OVER (ORDER BY created_at DESC, email))::INTEGER AS pos FROM ac WHERE status = 'pending' QUALIFY pos <= 20")
+def account_queue(spark, d):
+    """The newest pending accounts; a top-k by itself."""
+    first = accounts.by_status(_accounts(spark, d), "pending").limit(20)
+    return first.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("created_at"), "email"))).select("email", "pos")
+
+
+@query(f"WITH {_ACCOUNTS} SELECT email, 'approved' AS status, 'admin' AS role, coalesce(decided_at, TIMESTAMP '2024-03-01') AS decided_at, coalesce(decided_by, 'ADMIN_EMAILS') AS decided_by FROM ac WHERE c_custkey % 4 < 2 AND (role <> 'admin' OR status <> 'approved')")
+def account_promotions(spark, d):
+    t = _accounts(spark, d)
+    admins = t.where("c_custkey % 4 < 2").select(F.upper("email").alias("email"))
+    return accounts.promoted(t.drop("c_custkey"), admins, F.lit("2024-03-01").cast("timestamp")).select("email", "status", "role", "decided_at", "decided_by")
+
+
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(lower('A' || o_custkey % 7 || '@x, ,b@x' || ',' || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' B@x,c' || o_custkey % 5 END), ','), lambda e: trim(e)), lambda e: e <> ''))), ';') AS admins FROM orders")
+def admin_lists(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    first = F.concat(F.lit("A"), (c % 7).cast("string"), F.lit("@x, ,b@x"))
+    more = F.when(k % 2 == 1, F.concat(F.lit(" B@x,c"), (c % 5).cast("string")))
+    return read(spark, d, "orders").select("o_orderkey", F.array_join(accounts.listed(first, more), ";").alias("admins"))
+
+
+_MARKED = "mk AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '**' || substr(text, 1, 12) || ' [G1]** ' ELSE '' END || substr(text, 13) || ' [P2]' AS text FROM conversations WHERE text IS NOT NULL)"
+
+
+@query(
+    rf"WITH {_MARKED}, o AS (SELECT conv_id, turn, string_split(regexp_replace(text, '\*\*(.+?)\*\*', chr(1) || chr(2) || '\1' || chr(1), 'g'), chr(1)) AS s FROM mk), "
+    r"i AS (SELECT conv_id, turn, list_filter(flatten(list_transform(s, lambda x: CASE WHEN starts_with(x, chr(2)) THEN [x] ELSE string_split(regexp_replace(x, '\[([GP][0-9]+)\]', chr(1) || chr(3) || '\1' || chr(1), 'g'), chr(1)) END)), lambda x: x <> '') AS p FROM o) "
+    "SELECT conv_id, turn, len(p)::BIGINT AS n, sha1(array_to_string(list_transform(p, lambda x: CASE WHEN starts_with(x, chr(2)) THEN 'bold:' || substr(x, 2) WHEN starts_with(x, chr(3)) THEN 'cite:' || substr(x, 2) ELSE 'text:' || x END), chr(1))) AS tokens_sha1 FROM i"
+)
+def answer_tokens(spark, d):
+    head = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("**"), F.substring("text", 1, 12), F.lit(" [G1]** "))).otherwise("")
+    t = read(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.concat(head, F.expr("substring(text, 13)"), F.lit(" [P2]")).alias("text"))
+    said = F.transform(X.inline_tokens("text"), lambda x: F.concat(x["kind"], F.lit(":"), x["text"]))
+    return t.select("conv_id", "turn", F.size(said).cast("long").alias("n"), F.sha1(F.array_join(said, "\x01")).alias("tokens_sha1"))
+
+
 # Streams, in their batch form.
 
 

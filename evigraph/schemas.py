@@ -63,6 +63,9 @@ DECISION_LOG = _struct(
     ts=T.TimestampType(), question=_TEXT, classified=_TEXT, confidence=_DOUBLE, low_confidence=T.BooleanType(), path_used=_TEXT, router_model=_TEXT, latency_ms=_DOUBLE, outcome=_OUTCOME
 )
 MANIFEST = _struct(hash=_TEXT, ticker=_TEXT, company=_TEXT, ingested_at=T.TimestampType())
+ACCOUNTS = _struct(
+    email=_TEXT, name=_TEXT, status=_TEXT, role=_TEXT, created_at=T.TimestampType(), decided_at=T.TimestampType(), decided_by=_TEXT, updates_opt_in=T.BooleanType(), consent_at=T.TimestampType()
+)
 PLAN = _struct(query_type=_TEXT, entities=_TEXTS, value=_TEXT)
 
 

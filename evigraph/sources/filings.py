@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 import urllib.request
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,23 @@ def fetch(url: str, agent: str, timeout: float = 30.0, pause: float = 0.2) -> by
     return body
 
 
+def read_through(spark: SparkSession, path: str, url: str, get: Callable[[str], bytes]) -> str:
+    """The text kept at ``path``, fetched from ``url`` and put there if it isn't yet (A4).
+
+    The file appears whole, by a rename, so a reader never sees a part of it.
+    """
+    jvm = spark._jvm
+    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        out = fs.create(part)
+        out.write(bytearray(get(url)))
+        out.close()
+        if not fs.rename(part, at):  # another was faster
+            fs.delete(part, False)
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def ticker_ids(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, cik, title) of a JSON object of rows (A2)."""
     row = "map<string, struct<cik_str: long, ticker: string, title: string>>"

@@ -276,3 +276,52 @@ def test_results_round_trip(spark, tmp_path):
 def test_embedder_is_deterministic_and_unit():
     a = HashEmbedder().embed(["supply chain risk", "", "supply chain risk"])
     assert np.array_equal(a[0], a[2]) and np.isclose(np.linalg.norm(a[0]), 1) and not a[1].any()
+
+
+def test_accounts(spark, tmp_path):
+    from evigraph.sources import accounts
+
+    table = accounts.accounts(spark, f"file://{tmp_path}/accounts")
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a@x", "A", "pending", "user", at, None, None, True, at), ("b@x", "B", "approved", "user", at + dt.timedelta(1), at, "z", True, at)]
+    table.upsert(spark.createDataFrame(rows, table.schema))
+    who = spark.createDataFrame([("A@x",), ("none@x",)], "email string")
+    table.upsert(accounts.decided(table.read(), who, "approved", "boss", F.lit(at)))
+    assert {r["email"] for r in accounts.subscribers(table.read()).collect()} == {"a@x", "b@x"}
+    table.upsert(accounts.promoted(table.read(), who, F.lit(at)))
+    got = {r["email"]: (r["role"], r["decided_by"]) for r in accounts.by_status(table.read(), "approved").collect()}
+    assert got == {"a@x": ("admin", "boss"), "b@x": ("user", "z")} and table.count() == 2
+    with pytest.raises(ValueError):
+        accounts.decided(table.read(), who, "gone", "boss", F.lit(at))
+
+
+def test_texts_are_fetched_once(spark, tmp_path):
+    calls = []
+    get = lambda url: calls.append(url) or "a text, ü".encode()
+    for _ in range(2):
+        assert filings.read_through(spark, f"file://{tmp_path}/kept/t.txt", "http://x/y", get) == "a text, ü"
+    assert calls == ["http://x/y"]
+
+
+def test_replies_of_models():
+    from evigraph.plans.providers import ReplyClassifier, ReplyPlanner
+
+    said = lambda text: lambda _: text
+    assert ReplyClassifier(said('ok {"path": "graph", "confidence": 0.9}')).classify("q") == ("GRAPH", 0.9)
+    assert ReplyClassifier(said('{"path": "hybrid"}')).classify("q") == ("HYBRID", 0.5)
+    assert all(ReplyClassifier(said(t)).classify("q") is None for t in ("", "no", '{"path": "x"}', '{"path": "graph", "confidence": "high"}', "[1]"))
+    plan = ReplyPlanner(said('{"query_type": "risks_of", "entities": "Acme", "value": null}')).plan("q")
+    assert plan == {"query_type": "risks_of", "entities": ["Acme"], "value": ""}
+    with pytest.raises(ValueError):
+        ReplyPlanner(said("nothing")).plan("q")
+
+
+def test_answers_are_plain_json(engine):
+    import json
+
+    r = engine.respond("How many subsidiaries does Acme have?")
+    assert json.loads(json.dumps(r)) == r and r["path"] == "GRAPH" and r["cited"] == ["G1"] and r["sources"][0]["kind"] == "graph"
+    a = engine.ask("Tell me about Delta", log=False)
+    assert json.loads(json.dumps(a)) == a and a["vector_hits"][0]["filing_date"] is None
+    shaped = engine.respond("Tell me about Delta", log=False)
+    assert shaped["path"] == "HYBRID" and shaped["passages"][0]["tag"] == "P1" and not shaped["demo"]

@@ -102,3 +102,12 @@ def test_estimate(spark):
     assert (r[0]["tokens"], r[0]["chunks"], r[0]["in_tokens"], r[0]["out_tokens"], r[0]["seconds"]) == (449, 2, 1649, 600, 40.0)
     assert math.isclose(r[0]["cost"], (1649 + 2 * 600) / 1e6) and r[1]["chunks"] == 1
     assert F is not None
+
+
+def test_answers_are_cut_into_blocks_and_tokens(spark):
+    text = "Intro **b [G1]** and [P2].\ngoes on  \n\n - one [G1]\n2) two\n\n\n  \n* a\nb"
+    d = spark.createDataFrame([(text,), (None,)], "t string")
+    blocks, none = (r["b"] for r in d.select(X.answer_blocks("t").alias("b")).collect())
+    assert [(b["kind"], b["items"]) for b in blocks] == [("p", ["Intro **b [G1]** and [P2]. goes on"]), ("ul", ["one [G1]", "two"]), ("p", ["* a b"])] and none == []
+    tokens = d.select(X.inline_tokens(F.lit("x **b [G1]** [P2][G12]. ")).alias("k")).first()["k"]
+    assert [tuple(t) for t in tokens] == [("text", "x "), ("bold", "b [G1]"), ("text", " "), ("cite", "P2"), ("cite", "G12"), ("text", ". ")]
