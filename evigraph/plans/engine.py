@@ -98,9 +98,9 @@ class Engine:
 
     def clean(self) -> None:
         """Junk, duplicates and self-loops go from the stored graph."""
-        g = cleanup(self.graph())
-        for name, table, schema in (("nodes", g.nodes, S.NODES), ("edges", g.edges, S.EDGES), ("mentions", g.mentions, S.MENTIONS)):
-            stores.KeyedTable(self.spark, f"{self.path}/graph/{name}", schema, []).replace(table)
+        g, tables = cleanup(self.graph()), stores.graph_tables(self.spark, f"{self.path}/graph")
+        for name in ("nodes", "edges", "mentions"):
+            tables[name].replace(getattr(g, name))
 
     def index(self, sections: DataFrame | None = None, dates: DataFrame | None = None) -> int:
         """Embed all chunks and put them into the vector table."""

@@ -1,14 +1,17 @@
 """Tables that persist: manifest, graph, chunk vectors, decision log, benchmark results.
 
-All are files that Spark reads and writes by itself. A keyed table is replaced by
-writing its next version beside the present one and then pointing to it, since plain
-Parquet has no MERGE; readers never see half a version.
+All are files that Spark reads and writes by itself. A keyed table lies in buckets of its
+key's hash. An upsert writes the buckets that it touches anew and leaves the others where
+they are; then a small file, the next version, names the folder of every bucket. It is
+created only if no other writer has taken its number, so readers never see half a version
+and no writer overwrites another's.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,10 @@ from pyspark.sql.types import StructType
 from evigraph import schemas as S
 from evigraph.operators.graph import Graph
 from evigraph.operators.maintain import merge_edges, merge_nodes
+from evigraph.session import materialise
+
+#: Buckets of a table, unless it says otherwise; a large one needs more.
+BUCKETS = 16
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -24,34 +31,99 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), list(key), "left_anti").select(old.columns).unionByName(new)
 
 
+class WrittenMeanwhile(Exception):
+    """Another writer made the next version first; read again and retry."""
+
+
 class KeyedTable:
-    """A Parquet table with a key and numbered versions."""
+    """A Parquet table with a key, in buckets and numbered versions."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: Sequence[str]):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, list(key)
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: Sequence[str], buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, list(key), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self._names("versions") if n.isdigit())
+
     def version(self) -> int:
-        """The newest complete version, 0 if there is none: Spark marks a finished write."""
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
-        return max(done, default=0)
+        """The newest version, 0 if there is none."""
+        return max(self.versions(), default=0)
+
+    def _folders(self, version: int) -> dict[int, str]:
+        """Where each bucket of a version lies; empty ones are absent."""
+        if not version:
+            return {}
+        fs, p = self._fs(f"{self.path}/versions/{version}")
+        stream = fs.open(p)
+        try:
+            text = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        return {int(k): v for k, v in json.loads(text).items()}
+
+    def _rows(self, folders: Iterable[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in sorted(folders)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _commit(self, rows: DataFrame, base: int, kept: dict[int, str]) -> None:
+        """Write rows by bucket, then the version after ``base`` with them and the kept buckets."""
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.select(*self.schema.names, self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        new = {int(n[7:]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
+        fs, p = self._fs(f"{self.path}/versions/{base + 1}")
+        fs.mkdirs(p.getParent())
+        part = self._fs(f"{self.path}/part-{uuid.uuid4().hex}")[1]
+        out = fs.create(part)
+        out.write(bytearray(json.dumps(kept | new).encode()))
+        out.close()
+        # A rename doesn't replace a file that is there.
+        if fs.exists(p) or not fs.rename(part, p):
+            fs.delete(part, False)
+            raise WrittenMeanwhile(f"{self.path}: version {base + 1}")
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
-
-    def upsert(self, new: DataFrame) -> None:
-        upsert(self.read(), new.select(self.schema.names), self.key).write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+        return self._rows(self._folders(self.version()).values())
+
+    def upsert(self, new: DataFrame, gone: DataFrame | None = None) -> None:
+        """Put rows in, or in place of those with their keys, and take out the keys that are gone; only their buckets are written."""
+        base = self.version()
+        folders = self._folders(base)
+        new = materialise(new.select(self.schema.names), "upsert")
+        keys = new.select(*self.key)
+        if gone is not None:
+            gone = materialise(gone.select(*self.key), "gone")
+            keys = keys.unionByName(gone)
+        touched = {r["bucket"] for r in keys.select(self._bucket()).distinct().collect()}  # buckets at most
+        old = self._rows(f for k, f in folders.items() if k in touched)
+        if gone is not None:
+            old = old.join(gone.distinct(), self.key, "left_anti").select(self.schema.names)
+        self._commit(upsert(old, new, self.key), base, {k: f for k, f in folders.items() if k not in touched})
 
     def replace(self, rows: DataFrame) -> None:
-        rows.select(self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+        self._commit(rows, self.version(), {})
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove all but the newest versions and the folders that only they name; how many of these."""
+        versions = self.versions()
+        used = {f.split("/")[1] for v in versions[-keep:] for f in self._folders(v).values()}
+        for v in versions[:-keep]:
+            fs, p = self._fs(f"{self.path}/versions/{v}")
+            fs.delete(p, False)
+        gone = [n for n in self._names("data") if n not in used]
+        for n in gone:
+            fs, p = self._fs(f"{self.path}/data/{n}")
+            fs.delete(p, True)
+        return len(gone)
 
     def count(self) -> int:
         """Number of rows."""
@@ -73,25 +145,31 @@ def chunk_vectors(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, S.CHUNK_VECTORS, ["chunk_id"])
 
 
+def graph_tables(spark: SparkSession, path: str) -> dict[str, KeyedTable]:
+    """The four tables of a graph at ``path``, each by its key."""
+    kinds = {"nodes": (S.NODES, ["eid"]), "edges": (S.EDGES, ["src", "rel", "dst"]), "mentions": (S.MENTIONS, ["chunk_id", "eid"]), "chunks": (S.CHUNKS, ["chunk_id"])}
+    return {name: KeyedTable(spark, f"{path}/{name}", *kind) for name, kind in kinds.items()}
+
+
 def write_graph(spark: SparkSession, path: str, g: Graph) -> Graph:
     """Merge a graph into the one at ``path``: nodes by id, edges by their ends and relation (A10)."""
-    nodes = KeyedTable(spark, f"{path}/nodes", S.NODES, ["eid"])
-    edges = KeyedTable(spark, f"{path}/edges", S.EDGES, ["src", "rel", "dst"])
-    nodes.upsert(merge_nodes(g.nodes))
-    edges.replace(merge_edges(edges.read().unionByName(g.edges.select("src", "rel", "dst", "triplet_source_id"))))
-    mentions, chunks = KeyedTable(spark, f"{path}/mentions", S.MENTIONS, ["chunk_id", "eid"]), KeyedTable(spark, f"{path}/chunks", S.CHUNKS, ["chunk_id"])
+    t = graph_tables(spark, path)
+    t["nodes"].upsert(merge_nodes(g.nodes))
+    # An edge that is there already keeps its least source.
+    edges = materialise(merge_edges(g.edges.select("src", "rel", "dst", "triplet_source_id")).select(S.EDGES.names), "edges")
+    known = t["edges"].read().join(edges.select("src", "rel", "dst"), ["src", "rel", "dst"], "left_semi").select(S.EDGES.names)
+    t["edges"].upsert(merge_edges(edges.unionByName(known)))
     if g.mentions is not None:
-        mentions.upsert(g.mentions.distinct())
+        t["mentions"].upsert(g.mentions.distinct())
     if g.chunks is not None:
         # All chunks of a document are replaced, so a shorter text leaves no stale end.
-        kept = chunks.read().join(g.chunks.select("doc_id").distinct(), "doc_id", "left_anti").select(S.CHUNKS.names)
-        chunks.replace(kept.unionByName(g.chunks.select(S.CHUNKS.names)))
+        stale = t["chunks"].read().join(g.chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+        t["chunks"].upsert(g.chunks, stale)
     return read_graph(spark, path)
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    tables = [KeyedTable(spark, f"{path}/{n}", s, []).read() for n, s in (("nodes", S.NODES), ("edges", S.EDGES), ("mentions", S.MENTIONS), ("chunks", S.CHUNKS))]
-    return Graph(*tables)
+    return Graph(*(t.read() for t in graph_tables(spark, path).values()))
 
 
 def append_log(records: DataFrame, path: str) -> None:
