@@ -6,7 +6,11 @@ shared folder and read again, so a stage neither runs twice nor depends on execu
 that held its input.
 
 Cases: a null or empty text fails the quality rules; an empty table passes through
-all stages; further columns are carried to the last stage.
+all stages; further columns are carried to the last stage. Repeated rows and copies are
+one document after the second stage, which keeps the smallest doc_id, of equal ids the
+smallest set and text hash; rows that share a doc_id but not their text go by their own
+texts in every stage, and rows without doc_id are kept apart. Ties in the mix go by
+source, hash, doc_id and row. Very long texts pass through whole.
 """
 
 from __future__ import annotations
