@@ -125,15 +125,46 @@ def _combine(held: list) -> None:
         held[2], held[3] = [], 0
 
 
+class Lookup:
+    """Rows of sorted distinct numbers: by a table of hash slots, by search where several share one."""
+
+    NONE, SEVERAL = -1, -2
+    _MUL = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(6, int(8 * max(len(keys), 1)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = self._slot(keys)
+        n = np.bincount(slot, minlength=1 << bits)
+        self.rows = np.where(n > 1, self.SEVERAL, self.NONE).astype(np.int32)
+        alone = n[slot] == 1
+        self.rows[slot[alone]] = np.flatnonzero(alone)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self._MUL) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each number, negative for those that aren't there."""
+        if not len(self.keys):
+            return np.full(len(keys), self.NONE, np.int32)
+        rows = self.rows[self._slot(keys)]
+        several = np.flatnonzero(rows == self.SEVERAL)
+        if len(several):
+            rows[several] = np.minimum(np.searchsorted(self.keys, keys[several]), len(self.keys) - 1)
+        rows[(rows < 0) | (self.keys[rows] != keys)] = self.NONE
+        return rows
+
+
 class Model:
     """Costs in bits of the runs of each size, a column for each language."""
 
     def __init__(self, langs: list[str], sizes: np.ndarray, runs: np.ndarray, of: np.ndarray, n: np.ndarray):
         """A row for each (size, run, language) that was seen: its language's place in langs, and its count."""
         self.langs, self.order = langs, int(sizes.max(initial=1)) - 1
-        self.runs: list[np.ndarray] = []
+        self.runs: list[Lookup] = []
         self.costs: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []
+        self.contexts: list[Lookup] = []
         self.escapes: list[np.ndarray] = []
         for size in range(1, self.order + 2):
             here = sizes == size
@@ -148,26 +179,25 @@ class Model:
                 escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0).astype(np.float32)
                 own = -np.log2(seen / (total + distinct)[to])
             below = self._cost(keys & ((1 << 8 * (size - 1)) - 1), size - 1) if size > 1 else np.float32(8.0)
-            self.runs.append(keys)
+            self.runs.append(Lookup(keys))
             self.costs.append(np.where(seen > 0, own, escape[to] + below).astype(np.float32))
-            self.contexts.append(context)
+            self.contexts.append(Lookup(context))
             self.escapes.append(escape)
 
     def _cost(self, runs: np.ndarray, size: int) -> np.ndarray:
         """The cost of each run of some bytes in each language."""
         out = np.zeros((len(runs), len(self.langs)), np.float32)
-        open_ = np.arange(len(runs))
+        open_: np.ndarray | slice = slice(None)
         for k in range(size - 1, -1, -1):
-            keys = runs[open_]
-            at = np.minimum(np.searchsorted(self.runs[k], keys), len(self.runs[k]) - 1)
-            hit = self.runs[k][at] == keys
-            out[open_[hit]] += self.costs[k][at[hit]]
-            open_, keys = open_[~hit], keys[~hit]
+            at = self.runs[k].find(runs)
+            hit = at >= 0
+            places = np.arange(len(out))[open_]
+            out[places[hit]] += self.costs[k][at[hit]]
+            open_, runs = places[~hit], runs[~hit]
             if not len(open_):
                 return out
-            context = keys >> 8
-            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-            hit = self.contexts[k][at] == context
+            at = self.contexts[k].find(runs >> 8)
+            hit = at >= 0
             out[open_[hit]] += self.escapes[k][at[hit]]
             runs = runs & ((1 << 8 * k) - 1)
         out[open_] += np.float32(8.0)
