@@ -60,8 +60,11 @@ _LINE = 20
 
 
 def words_of(text: str) -> list[str]:
-    """Words with A-Z lower-cased, each where it is in the text."""
-    return _WORD.findall(text.translate(_LOWER))
+    """Words with A-Z lower-cased; of a long text equal ones are one object."""
+    if len(text) < 1 << 20:
+        return _WORD.findall(text.translate(_LOWER))
+    held: dict[str, str] = {}
+    return [held.setdefault(m.group(), m.group()) for m in _WORD.finditer(text.translate(_LOWER))]
 
 
 def decisive(words: list[str]) -> frozenset[int]:
@@ -231,21 +234,33 @@ def confirm(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
     return out
 
 
+def _spans(text: str, start: int, end: int, wanted: set[int]) -> dict[int, tuple[int, int]]:
+    """Places in the text of some words of a block, by their number."""
+    last, out = max(wanted, default=-1), {}
+    for k, m in enumerate(_WORD.finditer(text[start:end].translate(_LOWER))):
+        if k > last:
+            break
+        if k in wanted:
+            out[k] = m.start() + start, m.end() + start
+    return out
+
+
 def scan_text(text: str) -> list[tuple]:
     """(begin, end, license, template, saved, confirmed, missing, added) of a text's blocks."""
     ready, _, _ = _prepared()
     out = []
     for start, end in candidate_blocks(text):
-        spans = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end].translate(_LOWER))]
         ws = words_of(text[start:end])
         ranked = savings(ws)
         found = confirm(ws, ranked)
+        spans = _spans(text, start, end, {k for f in found for k in (f["from"], f["to"] - 1)})
         for f in found:
             begin, stop = spans[f["from"]][0], spans[f["to"] - 1][1]
             out.append((begin, stop, f["license"], f["template"], round(f["saved"], 6), True, f["missing"], f["added"]))
         if not found:
             gain, k = ranked[0]
             a, b, missing, added = nearest(ws, ready[k][2])
+            spans = _spans(text, start, end, {a, b - 1})
             begin, stop = (spans[a][0], spans[b - 1][1]) if len(ws) > STEP and a < b else (start, end)
             out.append((begin, stop, None, ready[k][0], round(gain, 6), False, missing, added))
     return sorted(out, key=lambda r: (r[0], r[1], r[3]))

@@ -379,6 +379,29 @@ def test_long_texts_are_encoded_in_pieces(monkeypatch):
         assert len(ids) == sizes.sum()
 
 
+def test_vocabularies_start_anew_when_they_are_full(monkeypatch):
+    tok = token_output.WordTokenizer(tokenizer_path())
+    texts = [prose(60).encode() for _ in range(12)] + [",".join(f"w{k}x" for k in range(300)).encode()]
+    want = tok.encode(texts)
+    monkeypatch.setattr(tok, "MOST_WORDS", 40)
+    tok._clear(40)
+    for _ in range(2):
+        got = [tok.encode([t]) for t in texts]
+        assert (np.concatenate([i for i, _ in got]) == want[0]).all() and [int(n[0]) for _, n in got] == want[1].tolist()
+
+
+def test_numbers_of_words():
+    r = np.random.default_rng(1)
+    v = token_output._Vocabulary(1000)
+    keys = np.unique(r.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    for part in np.array_split(r.permutation(keys), 7):
+        assert (v.find(part) == -1).all()
+        n = v.n
+        v.add(part)
+        assert (v.find(part) == np.arange(n, v.n)).all()
+    assert sorted(v.find(keys)) == list(range(len(keys)))
+
+
 def test_other_tokenizers_are_refused(tmp_path):
     import json
 
@@ -805,3 +828,59 @@ def test_alignment_takes_the_place_with_fewest_differences():
 def test_words_that_name_a_licence_are_not_made_up():
     for text in ("Released under the XYZ License.", "This work is licensed under the GNU General Public License, version 9.", "Licensed under CC BY-XX 4.0.", "Licensed under the License, Version 2.0."):
         assert not [r for r in license_scan.scan_text(text) if r[5]], text
+
+
+# Very long texts: 20 MB, of many lines and of one, through every operator of texts.
+
+
+@pytest.fixture(scope="module")
+def giants(spark):
+    """(long lines, one line, the first with a changed word) and small rows; the words are distinct but for the ends."""
+    end = "\nthis line closes many documents and is long enough to count\nReleased under the MIT License."
+    many = "\n".join(f"the word{k} and so it goes on w{k}x" for k in range(560_000)) + end
+    one = " ".join(f"the word{k} and so it goes on o{k}x" for k in range(560_000)) + end.replace("\n", " ")
+    near = many.replace(" w77x", " changed", 1)
+    small = [f"small {k} of its own" + end for k in range(4)]
+    data = [*enumerate([many, one, near, *small]), (8, None)]
+    assert min(len(many), len(one)) > 20_000_000
+    return dict(data), spark.createDataFrame(data, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).repartition(4).cache()
+
+
+@pytest.mark.parametrize("op", ["rules", "near", "mix", "tokens", "benchmark", "language", "quality", "lines", "licences"])
+def test_very_long_texts(spark, giants, op):
+    held, df = giants
+    n_words = {i: len((t or "").split()) for i, t in held.items()}
+    if op == "rules":
+        got = {r["doc_id"]: r for r in quality_rules.score(df).collect()}
+        assert {i: r["n_words"] for i, r in got.items()} == n_words
+        assert got[0]["word_chars"] == sum(map(len, held[0].split())) and got[0]["n_dup_lines"] == 0 and got[1]["n_repeat_words"] == got[0]["n_repeat_words"] > 0
+    elif op == "near":
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.groups(df, 5).collect()}
+        assert got[2][1] == 0 and got[1][1] == 1 and got[0][0] == len(set(zip(*(held[0].lower().split()[k:] for k in range(5)), strict=False)))
+    elif op == "mix":
+        assert {r["doc_id"]: r["size"] for r in source_mix.mix(df).collect()} == n_words
+    elif op == "tokens":
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(tokenizer_path())
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_output.round_trip(df, tokenizer_path()).collect()}
+        ids = [x for e in model.encode_batch(held[0].split("\n"), add_special_tokens=False) for x in e.ids] + [2]  # words don't cross lines
+        assert got[0] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and got[1][0] > 3_000_000
+    elif op == "benchmark":
+        item = " ".join(held[1].split()[4_000_000 - 4 : 4_000_000 + 8])
+        bench = spark.createDataFrame([("a", item), ("b", "closes many documents and is long enough to count Released")], "item_id string, text string")
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.scan(df, bench).collect()}
+        assert got[1] == (22, ["a", "b"]) and got[0] == (10, ["b"]) and got[8] == (0, [])
+    elif op == "language":
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df).collect()}
+        assert got[0] == got[1] == "en" and got[8] == "und"
+    elif op == "quality":
+        model = quality_knn.fit(df, spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int"))
+        got = {r["doc_id"]: r["score"] for r in quality_knn.score(df.select("doc_id", "text"), model).collect()}
+        assert got[0] > 0.5 > got[4]
+    elif op == "lines":
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(df).collect()}
+        assert got[0] == (560_002, 1) and got[1] == (1, 0) and got[6] == (3, 0) and got[8] == (1, 0)
+    else:
+        got = [(r["doc_id"], r["license"], r["end"]) for r in license_scan.scan(df).where("confirmed").collect()]
+        assert sorted(got) == [(i, "MIT", len(t) - 1) for i, t in held.items() if t]
