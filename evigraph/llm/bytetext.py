@@ -61,6 +61,11 @@ def _power_tables(which: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[which]
 
 
+def _within(places: np.ndarray, at: int, piece: int) -> np.ndarray:
+    """Where the places of a piece begin and end; in their own type, or all would be converted for it."""
+    return np.searchsorted(places, np.array([at, min(at + piece, np.iinfo(places.dtype).max)], places.dtype))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, which: int = 0, piece: int = PIECE) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; ``which`` picks one of two independent ones.
 
@@ -87,10 +92,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         np.cumsum(keys[part] * power[: len(part)], out=sums[1:])
         sums *= U64(pow(base, at, 1 << 64))
         sums += upto
-        a, b = np.searchsorted(starts, (at, at + piece))
+        a, b = _within(starts, at, piece)
         out[a:b] = sums[starts[a:b] - at]
         scale[a:b] = inverse[starts[a:b] - at] * U64(pow(back, at, 1 << 64))
-        a, b = np.searchsorted(ends, (at, at + piece))
+        a, b = _within(ends, at, piece)
         # A span's start lies in this piece or an earlier one, so its sum is known.
         out[a:b] = sums[ends[a:b] - at] - out[a:b]
         upto = sums[-1]
@@ -107,9 +112,9 @@ def span_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
         sums = np.zeros(len(part) + 1, np.int32)
         np.cumsum(table[part], out=sums[1:], dtype=np.int32)
         sums += np.int32(upto)
-        a, b = np.searchsorted(starts, (at, at + piece))
+        a, b = _within(starts, at, piece)
         out[a:b] -= sums[starts[a:b] - at]
-        a, b = np.searchsorted(ends, (at, at + piece))
+        a, b = _within(ends, at, piece)
         out[a:b] += sums[ends[a:b] - at]
         upto = int(sums[-1])
     return out
