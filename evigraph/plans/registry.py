@@ -114,6 +114,28 @@ def g_path_between(spark, d):
     return p.select(F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations"))
 
 
+_UNDIRECTED = "u AS (SELECT src AS here, rel, dst AS there FROM edges UNION ALL SELECT dst, rel, src FROM edges WHERE src <> dst)"
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {_UNDIRECTED}, l AS (SELECT DISTINCT here, there FROM u), r AS (SELECT eid, 0 AS depth FROM nodes WHERE name = '{SUPPLIER}' UNION SELECT l.there, r.depth + 1 FROM r JOIN l ON l.here = r.eid WHERE r.depth < 5) SELECT eid, min(depth) AS depth FROM r GROUP BY eid")
+def g_hop_distance_all(spark, d):
+    """Over all relations: segments, nations and parts are hubs."""
+    return paths.hop_distances(star_graph(spark, d), [SUPPLIER])
+
+
+@query(
+    f"WITH {GRAPH}, {_UNDIRECTED}, s AS (SELECT eid FROM nodes WHERE name = '{SUPPLIER}'), e AS (SELECT eid FROM nodes WHERE name = 'SEGMENT_NAME'), "
+    "one AS (SELECT [rel] AS rels, [here, there] AS ids FROM u WHERE here IN (SELECT eid FROM s) AND there IN (SELECT eid FROM e)), "
+    "two AS (SELECT [a.rel, b.rel] AS rels, [a.here, a.there, b.there] AS ids FROM u a JOIN u b ON b.here = a.there WHERE a.here IN (SELECT eid FROM s) AND b.there IN (SELECT eid FROM e) AND b.there <> a.here), "
+    "best AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY len(rels), rels, ids LIMIT 1), p AS (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM best) "
+    "SELECT (SELECT string_agg(n.name, ' > ' ORDER BY p.pos) FROM p JOIN nodes n ON n.eid = p.id) AS path, array_to_string(rels, ' > ') AS relations FROM best".replace("SEGMENT_NAME", "BUILDING")
+)
+def g_path_over_hubs(spark, d):
+    """From a supplier over any of its customers to a segment, through all relations."""
+    p = paths.path_between(star_graph(spark, d), SUPPLIER, "BUILDING", most_hops=2)
+    return p.select(F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations"))
+
+
 @query(f"WITH {GRAPH} SELECT DISTINCT e2.dst AS eid FROM nodes s JOIN edges e ON e.src = s.eid JOIN edges e2 ON e2.src = e.dst WHERE s.name = '{SUPPLIER}' AND e.rel = 'SUPPLIES_TO' AND e2.rel = 'HEADQUARTERED_IN'")
 def x_two_hop(spark, d):
     g = star_graph(spark, d)
@@ -385,10 +407,11 @@ def date_from_name(spark, d):
     return o.select("o_orderkey", X.filing_date(name).alias("filing_date"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang, n_chars FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 1 THEN 'new' ELSE lang END AS lang, n_chars FROM documents")
 def upsert_by_key(spark, d):
     t = read(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return stores.upsert(t.where("doc_id % 2 = 0"), t.where("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+    # What is there already, and what comes: some of it anew, the rest in place of old rows.
+    return stores.upsert(t.where("doc_id % 2 = 0"), t.where("doc_id % 3 = 0 OR doc_id % 2 = 1").withColumn("lang", F.lit("new")), ["doc_id"])
 
 
 @query("WITH f AS (SELECT *, substr(sha256(text), 1, 16) AS h FROM documents) SELECT doc_id FROM f WHERE h NOT IN (SELECT h FROM f WHERE doc_id % 4 = 0)")
@@ -590,11 +613,11 @@ def _hits(spark, d):
 
 
 _HITS = "hits AS (SELECT source AS question, sha1((doc_id // 2) || ':0') AS chunk_id, doc_id AS ord, doc_id, lang AS section_path, text FROM documents)"
-_KEPT = f"{_HITS}, gs AS (SELECT DISTINCT sha1(doc_id || ':0') AS chunk_id, source AS question FROM documents WHERE doc_id % 9 = 0), kept AS (SELECT * FROM hits ANTI JOIN gs ON gs.chunk_id = hits.chunk_id AND gs.question = hits.question QUALIFY row_number() OVER (PARTITION BY question, chunk_id ORDER BY ord) = 1)"
+_KEPT = f"{_HITS}, gs AS (SELECT DISTINCT sha1(doc_id || ':0') AS chunk_id, source AS question FROM documents), kept AS (SELECT * FROM hits ANTI JOIN gs ON gs.chunk_id = hits.chunk_id AND gs.question = hits.question QUALIFY row_number() OVER (PARTITION BY question, chunk_id ORDER BY ord) = 1)"
 
 
 def _kept(spark, d):
-    facts = read(spark, d, "documents").where("doc_id % 9 = 0").select(F.col("source").alias("question"), X.chunk_id("doc_id", F.lit(0)).alias("chunk_id"))
+    facts = read(spark, d, "documents").select(F.col("source").alias("question"), X.chunk_id("doc_id", F.lit(0)).alias("chunk_id"))
     return answers.passage_dedup(_hits(spark, d), facts, [F.col("ord")], "question")
 
 
@@ -611,7 +634,7 @@ def format_passages(spark, d):
     return _hits(spark, d).select("doc_id", X.passage_cite("doc_id", "section_path", "filing_date", "chunk_id").alias("cite"), X.passage_text("text").alias("passage"))
 
 
-_LINES = f"""{_KEPT}, st AS (SELECT source AS question, doc_id AS ord, source || ' wrote ' || doc_id || '.' AS text FROM documents WHERE doc_id % 50 < 20),
+_LINES = f"""{_KEPT}, st AS (SELECT source AS question, doc_id AS ord, source || ' wrote ' || doc_id || '.' AS text FROM documents),
 ps AS (SELECT question, ord, cite, passage AS text FROM (SELECT question, ord, {_PASSAGE} FROM kept)),
 ln AS (SELECT question, 'G' || row_number() OVER w AS tag, row_number() OVER w AS n, '[G' || row_number() OVER w || '] ' || text AS line FROM st WINDOW w AS (PARTITION BY question ORDER BY ord) UNION ALL
   SELECT question, 'P' || row_number() OVER w, row_number() OVER w, '[P' || row_number() OVER w || '] (' || cite || ') ' || text FROM ps WINDOW w AS (PARTITION BY question ORDER BY ord) QUALIFY row_number() OVER w <= 4)"""
@@ -622,7 +645,7 @@ ln AS (SELECT question, 'G' || row_number() OVER w AS tag, row_number() OVER w A
     "SELECT question, sha1(concat_ws(chr(10) || chr(10), 'GRAPH-DERIVED FACTS (from the knowledge graph):' || chr(10) || g, 'RETRIEVED PASSAGES (from vector search):' || chr(10) || p)) AS context_sha1 FROM f"
 )
 def evidence_context(spark, d):
-    facts = read(spark, d, "documents").where("doc_id % 50 < 20").select(F.col("source").alias("question"), F.col("doc_id").alias("ord0"), F.concat("source", F.lit(" wrote "), F.col("doc_id").cast("string"), F.lit(".")).alias("text"))
+    facts = read(spark, d, "documents").select(F.col("source").alias("question"), F.col("doc_id").alias("ord0"), F.concat("source", F.lit(" wrote "), F.col("doc_id").cast("string"), F.lit(".")).alias("text"))
     found = _kept(spark, d).select("question", F.col("ord").alias("ord0"), X.passage_cite("doc_id", "section_path", "filing_date", "chunk_id").alias("cite"), X.passage_text("text").alias("text"))
     lines = answers.evidence(facts, found, "question", "ord0")
     return answers.context(lines, "question").select("question", F.sha1("context").alias("context_sha1"))
