@@ -11,6 +11,8 @@
 3. In the band buckets a member is paired with the bucket's smallest member only, and of
    these pairs a node keeps the few that meet in most bands. Sketches rule pairs out,
    full sets confirm the others. Connected components follow by contracting random stars.
+   Then, while it links many, each bucket draws another head, which members of other
+   components are paired with in the same way.
 4. Buckets that still hold several components get the exact way for the rest: members
    outside the bucket's main component are compared with all members of other
    components inside a join's condition, by their sizes and by odd sketches of the full
@@ -59,8 +61,8 @@ FIRST_HEADS = 2
 PAIRS_PER_FILE = 20_000
 #: Rows with sketches in a file, about.
 WIDE_ROWS = 50_000
-#: Bands of the first exact pass; the second has all.
-FIRST_BANDS = 4
+#: Most rounds of heads drawn anew, and the fewest links of a round that call for another.
+ROUNDS, FEWEST_LINKS = 6, 16
 #: Members of a bucket on each side of a cell.
 CELL = 1024
 #: Fewest rows with which a label counts as that of a large component.
@@ -220,11 +222,12 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, own: str, n_rows: int
     dealt by hash and not by key.
     """
     many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(LARGE, n_rows >> 16)).select(key)
-    sent = table.join(F.broadcast(many), key, "left_semi").select(F.col(key), F.col("value").alias("_sent"))
+    sent = many.join(table, key, "left").select(key, F.col("value").alias("_sent"), F.lit(True).alias("_many"))
     out = rows.join(F.broadcast(sent), key, "left")
-    by = F.when(F.col("_sent").isNull(), F.col(key)).otherwise(F.xxhash64(F.lit("large"), own)).alias("_by")
+    by = F.when(F.col("_many").isNull(), F.col(key)).otherwise(F.xxhash64(F.lit("many"), own)).alias("_by")
     out = out.select("*", by).join(table.select(F.col(key).alias("_by"), F.col("value").alias("_found")), "_by", "left")
-    return out.withColumn("value", F.coalesce("_sent", "_found")).drop("_by", "_sent", "_found")
+    # A hash may happen to be another's key.
+    return out.withColumn("value", F.when(F.col("_many"), F.col("_sent")).otherwise(F.col("_found"))).drop("_by", "_many", "_sent", "_found")
 
 
 def relabelled(label: DataFrame, to: DataFrame, n_rows: int) -> DataFrame:
@@ -244,8 +247,10 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     cells = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
-    main = main.select("bucket", F.col("top.label").alias("main"), cells(F.col("n") - F.col("top.n")).alias("rows"), cells(F.col("n")).alias("cols"))
-    held = cut(placed.join(main, "bucket").join(odd, "node"), "open", most_rows, WIDE_ROWS)
+    grid = F.struct(F.col("top.label").alias("main"), cells(F.col("n") - F.col("top.n")).alias("rows"), cells(F.col("n")).alias("cols"))
+    main = cut(main.select("bucket", grid.alias("value")), "mains", most_rows)
+    held = looked_up(placed, "bucket", main, "node", most_rows)
+    held = cut(held.where("value IS NOT NULL").select(*placed.columns, "value.*").join(odd, "node"), "open", most_rows, WIDE_ROWS)
     place = lambda n, side: F.pmod(F.xxhash64("node", F.lit(side)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = held.where("label <> main").select("bucket", place("rows", 0).alias("row"), every("cols").alias("col"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
@@ -257,6 +262,17 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     return near.select("a", "b").distinct()
 
 
+def drawn_pairs(rows: DataFrame, label: DataFrame, turn: int, most_rows: int) -> DataFrame:
+    """Pairs (a, b) of a member and the head that its bucket drew this turn, of other components, a few for each member."""
+    placed = rows.select("bucket", "node").join(label, "node")
+    heads = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")).alias("value"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    heads = cut(heads.where("lo < hi").select("bucket", "value"), "heads", most_rows)
+    met = looked_up(placed, "bucket", heads, "node", most_rows).where("value.label <> label")
+    met = met.groupBy(F.col("value.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", "b"), "a"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= FIRST_HEADS).select("a", "b")
+
+
 def components(edges: DataFrame, most_rows: int) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b); equal labels mean one component.
 
@@ -323,18 +339,30 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
     roots = components(links, links.count()).withColumnRenamed("label", "root")
     label = cut(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels", n)
 
-    # The exact way for the rest: buckets of several components. A few bands come first,
-    # so that what most bands would find again and again is one component by then.
+    # Members that no head of theirs is near enough to meet others: a few rounds in which
+    # each bucket's head is drawn anew, so that a group of near copies, however large, is
+    # one component before any of its pairs are looked at.
+    def merged(links: DataFrame) -> DataFrame:
+        ends = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        return cut(relabelled(label, components(ends, links.count()), n), "labels", n)
+
+    for turn in range(ROUNDS):
+        drawn = cut(drawn_pairs(rows, label, turn, BANDS * n), "drawn", FIRST_HEADS * n)
+        near = drawn.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb", SKETCH_BITS) <= most_flips(percent / 100)).select("a", "b")
+        more = cut(confirmed(near, sets, percent), "links", FIRST_HEADS * n, PAIRS_PER_FILE)
+        found = more.count()
+        if found:
+            label = merged(more)
+        if found < max(FEWEST_LINKS, drawn.count() // 200):
+            break
+
+    # The exact way for the rest: buckets of several components.
     digests = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("digests")
     odd = sets.select("node", "size", "parity").join(wanted.select("node", digests), "node")
-    for bands in (FIRST_BANDS, BANDS):
-        near = open_pairs(rows.where(F.col("band") < bands), label, odd, percent, bands * n)
-        near = cut(near, "near")
-        more = cut(confirmed(near, sets, percent), "links", near.count(), PAIRS_PER_FILE)
-        if not more.isEmpty():
-            ends = more.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
-            joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), more.count())
-            label = cut(relabelled(label, joined, n), "labels", n)
+    near = cut(open_pairs(rows, label, odd, percent, BANDS * n), "near")
+    more = cut(confirmed(near, sets, percent), "links", near.count(), PAIRS_PER_FILE)
+    if not more.isEmpty():
+        label = merged(more)
 
     for used in (rows, wanted, sets):
         forget(used)
@@ -356,17 +384,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that their groups keep, one for each component, with all columns."""
-    key = "_text_key"
-    while key in docs.columns:
-        key += "_"
-    named = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    marked = _marked(named, k, percent, "doc_id", "text", key).where("kept AND doc_id IS NOT NULL")
+    key, own = "_text_key", "_own_id"
+    while key in docs.columns or own in docs.columns:
+        key, own = key + "_", own + "_"
+    named = docs.withColumns({key: F.unhex(F.md5(F.coalesce("text", F.lit("")))), own: F.col("doc_id").try_cast("long")})
+    marked = _marked(named, k, percent, own, "text", key).where("kept AND doc_id IS NOT NULL")
     # Rows without words are named by their doc_id, the others by their component.
     alone = F.when(F.col("label").isNull(), F.col("doc_id")).alias("alone")
     one = marked.groupBy("label", alone).agg(F.min(F.struct("doc_id", "key_a", "key_b", "text_key")).alias("first"))
-    rows = one.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias(key))
-    held = named.where(F.col("doc_id").isNotNull()).join(rows, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
-    return held.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = one.select(F.col("first.doc_id").alias(own), F.col("first.text_key").alias(key))
+    held = named.where(F.col(own).isNotNull()).join(rows, [own, key], "left_semi").dropDuplicates([own, key])
+    return held.unionByName(named.where(F.col(own).isNull())).select(docs.columns)
 
 
 SQL = r"""
