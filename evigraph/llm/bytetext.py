@@ -216,13 +216,14 @@ def words(column: pa.Array, word: np.ndarray = SOLID, fold: bool = False, piece:
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words."""
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
-    m = len(hashes) - n + 1
-    out = hashes[:m].copy()
-    for k in range(1, n):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + hashes[k : k + m])
+    """Hashes of all runs of n words, worked out some at a time."""
+    m = max(len(hashes) - n + 1, 0)
+    out = np.empty(m, np.uint64)
+    for at in range(0, m, PIECE):
+        x = hashes[at : min(at + PIECE, m)].copy()
+        for k in range(1, n):
+            x = mix(x * U64(0x9E3779B97F4A7C15) + hashes[at + k : at + k + len(x)])
+        out[at : at + len(x)] = x
     return out
 
 

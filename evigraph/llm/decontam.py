@@ -82,12 +82,16 @@ def _filter(shingles: DataFrame):
 
 
 def _passing(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = hashes >> _SHIFT
-    return np.flatnonzero((bitmap[(at >> B.U64(6)).astype(np.int64)] >> (at & B.U64(63))) & B.U64(1))
+    """Places of the hashes that the bitmap lets through, looked up some at a time."""
+    out = [np.empty(0, np.int64)]
+    for first in range(0, len(hashes), B.PIECE):
+        at = hashes[first : first + B.PIECE] >> _SHIFT
+        out.append(first + np.flatnonzero((bitmap[(at >> B.U64(6)).astype(np.int64)] >> (at & B.U64(63))) & B.U64(1)))
+    return np.concatenate(out)
 
 
-def _all_grams(w: B.Words, lengths: list[int]) -> list[np.ndarray]:
-    return [B.grams(w.hashes, n) for n in lengths]
+def _all_grams(w: B.Words, lengths: list[int]) -> Iterator[np.ndarray]:
+    return (B.grams(w.hashes, n) for n in lengths)
 
 
 def corpus_counts(docs: DataFrame, shingles: DataFrame, lengths: list[int], text_col: str) -> DataFrame:

@@ -69,6 +69,7 @@ CELL = 1024
 LARGE = 1024
 
 _PART = B.U64(64 - (SAMPLES - 1).bit_length())
+_PARTS = np.arange(SAMPLES, dtype=np.uint64) << _PART
 _draw = np.random.Generator(np.random.PCG64(77))
 _MUL = (_draw.integers(0, 1 << 31, SAMPLES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
@@ -77,25 +78,30 @@ _ORDER = np.arange(1, SAMPLES + 1, dtype=np.uint64) * B.U64(0x9E3779B97F4A7C15)
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """The sorted set of k-word shingles; fewer words make one shingle."""
-    n = len(hashes)
-    return np.unique(B.grams(hashes, min(n, k))) if n else hashes
+    out = B.grams(hashes, min(len(hashes), k)) if len(hashes) else hashes
+    out.sort()
+    again = out[1:] == out[:-1]
+    return out[np.concatenate([[True], ~again])] if again.any() else out
 
 
 def set_key(values: np.ndarray) -> tuple[int, int]:
     """128 bits that tell a set of 64-bit values from others."""
-    a = B.mix(values ^ B.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    b = B.mix(values + B.U64(0x14057B7EF767814F)).sum(dtype=np.uint64)
+    a = b = B.U64(0)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(values), B.PIECE):
+            some = values[at : at + B.PIECE]
+            a += B.mix(some ^ B.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+            b += B.mix(some + B.U64(0x14057B7EF767814F)).sum(dtype=np.uint64)
     return a, b
 
 
 def samples(values: np.ndarray) -> np.ndarray:
     """MinHash samples of a sorted set that isn't empty."""
-    part = (values >> _PART).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     out = np.zeros(SAMPLES, np.uint64)
-    out[part[first]] = values[first]
-    filled = np.zeros(SAMPLES, bool)
-    filled[part[first]] = True
+    first = np.searchsorted(values, _PARTS)
+    least = values[np.minimum(first, len(values) - 1)]
+    filled = (first < len(values)) & (least >> _PART == _PARTS >> _PART)
+    out[filled] = least[filled]
     rest = np.flatnonzero(~filled)
     if len(rest):
         low = (values >> B.U64(16)).astype(np.uint32)

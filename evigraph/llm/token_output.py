@@ -43,13 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
-from evigraph.llm.shared import fresh_path, map_batches, prepare
+from evigraph.llm.shared import cut, fresh_path, map_batches, prepare
 from evigraph.llm.source_mix import sums_before
 
 MAGIC = b"EVDAC2\0\0"
 WIDTHS = (8, 8, 16)
 END_ID = 2
-PART_TOKENS = 1 << 23
+#: Tokens in a container, about: 5 MB. Where files should be larger, give more.
+PART_TOKENS = 1 << 21
 MOST_LEVELS = 4
 #: Bytes of the head.
 HEAD = 8 * (7 + 2 * MOST_LEVELS)
@@ -187,17 +188,43 @@ class Reader:
         return out
 
 
-class _Vocabulary(dict):
-    """Numbers of words; new ones are noted."""
+class _Vocabulary:
+    """Numbers of distinct 64-bit hashes, in the order in which they came: a table of slots, probed one after the other."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+    _MUL = np.uint64(0x9E3779B97F4A7C15)
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        self.new.append(word)
-        return k
+    def __init__(self, most: int):
+        bits = int(2 * most).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table, self.keys, self.n = np.full(1 << bits, -1, np.int32), np.empty(most, np.uint64), 0
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * self._MUL) >> self.shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those that aren't there."""
+        out, slot = np.full(len(hashes), -1, np.int32), self._slots(hashes)
+        open_: np.ndarray | slice = slice(None)
+        while len(slot):
+            row = self.table[slot]
+            same = (row >= 0) & (self.keys[row] == hashes)
+            places = np.arange(len(out))[open_]
+            out[places[same]] = row[same]
+            more = (row >= 0) & ~same
+            open_, slot, hashes = places[more], (slot[more] + 1) & self.mask, hashes[more]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """New distinct hashes, as many as there is room for."""
+        rows = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.keys[self.n : self.n + len(hashes)] = hashes
+        self.n += len(hashes)
+        slot = self._slots(hashes)
+        while len(rows):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = rows[free]  # of several for one slot the last gets it
+            left = self.table[slot] != rows
+            rows, slot = rows[left], (slot[left] + 1) & self.mask
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -231,7 +258,7 @@ class WordTokenizer:
     )
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     # End of fixed values.
-    MOST_WORDS = 1 << 19
+    MOST_WORDS = 1 << 20
     #: Marks that never continue a word; the apostrophe does.
     _MARKS = np.isin(np.arange(256), list(b'.,;:!?#$%&*)]"'))
     _LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
@@ -270,12 +297,12 @@ class WordTokenizer:
                 return f"its token {t['content']!r} isn't one that stands in <| and takes no white space"
         return None
 
-    def _clear(self) -> None:
-        self.known = _Vocabulary()
+    def _clear(self, most: int = MOST_WORDS) -> None:
+        self.known = _Vocabulary(most)
         self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """(words of all texts in a row, number of words of each)."""
+    def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all texts in a row, starts and ends of their words, number of words of each)."""
         data = B.FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
         letter = self._LETTER[data]
@@ -287,15 +314,27 @@ class WordTokenizer:
         at = np.flatnonzero(letter[:-1] & self._MARKS[data[1:]]) + 1
         data = np.insert(data, at, 0x20)
         starts += np.searchsorted(at, starts, "right")
-        solid = B.SOLID[data]
-        begin = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
-        if solid[0]:
-            begin = np.concatenate([[0], begin])
-        return data.tobytes().split(), np.diff(np.searchsorted(begin, starts))
-
-    def _learn(self) -> None:
-        """Encode the words that are new, simple ones as joined texts of many."""
-        words = self.known.new
+        begin, end = B.spans(data, B.SOLID)
+        return data, begin, end, np.diff(np.searchsorted(begin, starts))
+
+    def _numbers(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word; new ones are learned. Two words of one 64-bit hash would be taken for one."""
+        hashes = B.span_hashes(data, begin, end, False)
+        of = self.known.find(hashes)
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            found, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            if self.known.n + len(found) > len(self.known.keys):
+                self._clear(max(self.MOST_WORDS, len(begin)))
+                return self._numbers(data, begin, end)
+            of[new] = self.known.n + back
+            self.known.add(found)
+            raw = data.tobytes()
+            self._learn([raw[a:b] for a, b in zip(begin[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
+        return of
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words that are new, simple ones as joined texts of many."""
         simple = np.fromiter((self._SIMPLE.fullmatch(w) is not None for w in words), bool, len(words))
         size = np.zeros(len(words), np.int64)
         flat, order = [], []
@@ -321,7 +360,6 @@ class WordTokenizer:
         first[place] = len(self.flat) + np.cumsum(size[place]) - size[place]
         self.flat = np.concatenate([self.flat, *flat])
         self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
-        words.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -334,13 +372,9 @@ class WordTokenizer:
         return np.concatenate([ids for ids, _ in got]), np.diff(sizes[ends])
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.MOST_WORDS:
-            self._clear()
         whole = [k for k, t in enumerate(texts) if b"<|" in t]
-        words, counts = self._cut([b"" if b"<|" in t else t for t in texts])
-        of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.new:
-            self._learn()
+        data, begin, end, counts = self._cut([b"" if b"<|" in t else t for t in texts])
+        of = self._numbers(data, begin, end)
         size = self.size[of]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -418,7 +452,7 @@ def _write_index(spark: SparkSession, path: str) -> None:
         return pa.RecordBatch.from_arrays([batch.column(0), *cols], ["file", "shard", "part", "n_tokens", "n_docs"])
 
     heads = _containers(spark, path).select("file", F.substring("content", 1, HEAD).alias("head")).where(F.length("head") == HEAD)
-    heads = map_batches(heads, run, "file string, shard long, part long, n_tokens long, n_docs long")
+    heads = cut(map_batches(heads, run, "file string, shard long, part long, n_tokens long, n_docs long"), "heads")
     # Tokens before each container, in the order of shards and parts.
     shards = sums_before(heads.groupBy("shard").agg(F.sum("n_tokens").alias("n")), "shard", ["n"]).select("shard", "n_before")
     parts = sums_before(heads, "part", ["n_tokens"], ["shard"]).join(shards, "shard")
@@ -489,9 +523,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         out = []
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             reader = Reader(memoryview(content.as_buffer()))
-            for d, doc_id in enumerate(reader.doc_ids.tolist()):
-                ids = reader.document(d)
-                out.append((name, None if doc_id == _NO_ID else doc_id, int(reader.firsts[d]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+            ids, firsts = reader.run(0, reader.n_tokens).astype("<u4"), reader.firsts.tolist()
+            for doc_id, a, b in zip(reader.doc_ids.tolist(), firsts, firsts[1:], strict=False):
+                out.append((name, None if doc_id == _NO_ID else doc_id, a, b - a, zlib.crc32(ids[a:b])))
         cols = list(zip(*out, strict=True)) if out else [()] * 5
         kinds = [pa.string(), *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file", "doc_id", "at", "n_tokens", "ids_crc32"])

@@ -204,6 +204,12 @@ def test_repeated_ids_with_other_texts_go_by_their_texts(spark):
     assert kept == [("3", "c"), ("5", "a"), ("5", "b"), ("8", ""), ("9", "q"), ("None", "a")]
 
 
+def test_ids_that_are_no_numbers_are_kept(spark):
+    t = prose(80)
+    df = spark.createDataFrame([("7", t), ("05", t), ("x", t), ("x", t), (None, t)], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in near_dedup.keep(df, 2).collect()) == ["05", "None", "x", "x"]
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     limit = near_dedup.most_flips(0.8)
