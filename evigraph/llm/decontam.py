@@ -162,11 +162,12 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc
     seen = src.mapInArrow(run, f"doc_id {kind}, row long, {'key binary, ' if key_col else ''}n_words long, p struct<shingle: long, place: long, first: long, around: array<string>>")
     seen = cut(seen, "places")
 
-    cand = seen.where("p IS NOT NULL").select("row", "n_words", "p.*").join(prefix, "shingle")
+    found = seen.where("p IS NOT NULL")
+    cand = found.select("row", "n_words", "p.*").join(prefix, "shingle")
     start = F.col("place") - F.col("offset")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("around", (start - F.col("first") + 1).cast("int"), F.col("length")) == F.col("words")
-    hits = cut(cand.where(fits).where(F.when(fits, same)).select("row", "window", start.alias("start"), "length"), "hits")
+    hits = cut(cand.where(fits).where(F.when(fits, same)).select("row", "window", start.alias("start"), "length"), "hits", found.count())
 
     # Words covered by the union of the occurrences: of each, those after all that begin before it.
     spans = hits.select("row", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
