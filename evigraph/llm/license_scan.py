@@ -169,11 +169,11 @@ def _align(block: list[str], template: list[str]) -> tuple[int, int, list[int],
     i, j = int(np.argmin(cost[:, n])), n
     stop, missing, added = i, [], []
     while j:
-        if i and block[i - 1] == template[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-        elif cost[i, j] == cost[i, j - 1] + 2:
+        if cost[i, j] == cost[i, j - 1] + 2:  # of equal ways that with the last words missing
             j -= 1
             missing.append(j)
+        elif i and block[i - 1] == template[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+            i, j = i - 1, j - 1
         else:
             i -= 1
             added.append(block[i])
