@@ -45,9 +45,9 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 #: Counters of pairs of words: 2**27 take 16 MB as a bitmap.
 FILTER_BITS = 27
 #: Words in a trie, and words of the corpus for each range of prefixes.
-SHARD_WORDS, RANGE_WORDS = 1 << 21, 1 << 20
+SHARD_WORDS, RANGE_WORDS = 1 << 20, 1 << 20
 #: Nodes that a merge holds beside the merged ones.
-PENDING_NODES = 1 << 21
+PENDING_NODES = 1 << 20
 #: Groups in which a language is ranked before the last ranking.
 RANK_GROUPS = 256
 
