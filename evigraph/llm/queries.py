@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontam, hard_negatives, language_id, license_scan, line_dedup, near_dedup, phrases, quality_knn, quality_rules, source_mix, token_output, url_filter
+from evigraph.llm import decontam, hard_negatives, language_id, license_scan, line_dedup, near_dedup, phrases, quality_knn, quality_rules, source_mix, token_output, toxicity, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,17 @@ def op12_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = language_id.fold("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_compression, op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op5_addressable_codes, op6_prefix_filtered_windows, op7_url_vocabulary, op8_partial_matching_language, op9_neighbour_quality, op10_perfect_hash_lines, op11_prefix_tries, op12_pivot_table)
+    f.__name__: f for f in (op1_license_compression, op2_repetition_coverage, op3_odd_sketch_dedup, op4_fair_queue_mix, op5_addressable_codes, op6_prefix_filtered_windows, op7_url_vocabulary, op8_partial_matching_language, op9_neighbour_quality, op10_perfect_hash_lines, op11_prefix_tries, op12_pivot_table, op13_convolutional_toxicity)
 }
 SQL: dict[str, str] = {
     "op2_repetition_coverage": quality_rules.SQL, "op3_odd_sketch_dedup": near_dedup.SQL, "op4_fair_queue_mix": source_mix.SQL, "op6_prefix_filtered_windows": decontam.SQL, "op7_url_vocabulary": url_filter.SQL, "op10_perfect_hash_lines": line_dedup.SQL, "op11_prefix_tries": phrases.SQL, "op12_pivot_table": hard_negatives.SQL,
