@@ -54,6 +54,15 @@ RANK_GROUPS = 256
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _WORD = ~(_BREAK | np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8)))
 
+#: Rows, and serialised runs, that are handed over at once.
+HAND_ROWS, HAND_RUNS = 1 << 15, 8
+
+
+def _by(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(batch), rows):
+        yield batch.slice(a, rows)
+
+
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -123,10 +132,10 @@ def _counts(src: DataFrame, which: int, bits: int) -> DataFrame:
                 held.append((lang, w.data, w.starts, w.ends))
                 size += len(key)
                 if size >= SHARD_WORDS:
-                    yield out()
+                    yield from _by(out(), HAND_ROWS)
                     keys, pairs, held, size = [], [], [], 0
         if keys:
-            yield out()
+            yield from _by(out(), HAND_ROWS)
 
     return src.mapInArrow(run, "pair boolean, key long, lang string, word string, n long")
 
@@ -279,9 +288,9 @@ def _nodes(src: DataFrame, which: int, passed: np.ndarray, bits: int, ranges: in
                     if size >= SHARD_WORDS:
                         done, keys, near = out(depth - 1)
                         size = len(keys[0])
-                        yield done
+                        yield from _by(done, HAND_RUNS)
         if size:
-            yield out(0)[0]
+            yield from _by(out(0)[0], HAND_RUNS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tries, pending, done = None, [], 0, 0
