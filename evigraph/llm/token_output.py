@@ -263,7 +263,7 @@ class WordTokenizer:
     _MARKS = np.isin(np.arange(256), list(b'.,;:!?#$%&*)]"'))
     _LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
     #: Words that are one run of Latin letters, or of marks: one word to the model.
-    _SIMPLE = re.compile(rb"(?:[a-z]|[\xc4-\xc8][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,;:!?#$%&*()\[\]\"]+")
+    _SIMPLE = re.compile(rb"(?:[a-z]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,;:!?#$%&*()\[\]\"]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -306,10 +306,11 @@ class WordTokenizer:
         data = B.FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
         letter = self._LETTER[data]
-        # Two-byte Latin letters: U+00C0 to U+023F but for the signs of times and division.
+        # Two-byte Latin letters: U+00C0 to U+023F but for the signs of times and division, and
+        # for U+0130, whose lower case ends in a combining dot that goes on with a mark.
         lead = data - np.uint8(0xC3)
         pair = np.flatnonzero(lead[:-1] <= 5)
-        pair = pair[~((lead[pair] == 0) & ((data[pair + 1] == 0x97) | (data[pair + 1] == 0xB7)))]
+        pair = pair[~((lead[pair] == 0) & ((data[pair + 1] == 0x97) | (data[pair + 1] == 0xB7)) | (lead[pair] == 1) & (data[pair + 1] == 0xB0))]
         letter[pair + 1] = True
         at = np.flatnonzero(letter[:-1] & self._MARKS[data[1:]]) + 1
         data = np.insert(data, at, 0x20)
