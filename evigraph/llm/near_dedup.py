@@ -32,8 +32,10 @@ sets have similarity 1; each distinct set is one vertex, whatever doc_ids hold i
 rows that repeat a doc_id with other texts are linked, kept and dropped by their own
 texts; each gives a result row, with the smallest doc_id of its vertex's component.
 Of the rows that a component marks as kept, keep() takes one: that of the smallest set
-key and text hash; so of rows that repeat a doc_id without words. A row whose doc_id is null is linked with nothing, its component is null
-and it is kept, as has an id that is no whole number; further columns are ignored; an
+key and text hash; so of rows that repeat a doc_id without words. Of rows that are alike in
+id and text it takes that whose other columns are smallest, null first, so a rerun keeps
+the same. A row whose doc_id is null is linked with nothing, its component is null and it
+is kept, as has an id that is no whole number; groups() ignores further columns; an
 empty table gives an empty result. Of a very long text some 30 bytes are held a word, and
 its full set, 8 bytes a shingle, moves as one value.
 """
@@ -44,6 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from evigraph.llm import bytetext as B
 from evigraph.llm.shared import cut, forget, map_batches, prepare
@@ -247,7 +250,8 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
 
     Members outside a bucket's largest component meet all its members; of two such members
     the smaller node is a. The test is part of the join, so only near links come out, and
-    each at the first band that both share, not at all of them.
+    each at the first two bands that both share, not at all of them. Bands are told by 31
+    bits here, so a link is lost where two earlier bands look shared that aren't: 1e-15 a pair.
     """
     placed = rows.select("bucket", "band", "node").join(label, "node")
     part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -263,7 +267,8 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     whole = held.select("bucket", every("rows").alias("row"), place("cols", 1).alias("col"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
     same = (rest["bucket"] == whole["bucket"]) & (rest["row"] == whole["row"]) & (rest["col"] == whole["col"])
     other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    first = F.array_position(F.zip_with("da", "db", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    before = lambda c: F.slice(c, F.lit(1), F.col("band"))
+    first = F.size(F.filter(F.zip_with(before("da"), before("db"), lambda x, y: x == y), lambda x: x)) <= 1
     near = rest.join(whole, same & other & _sets_may_link("na", "nb", "pa", "pb", percent) & first)
     return near.select("a", "b").distinct()
 
@@ -399,8 +404,16 @@ def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     alone = F.when(F.col("label").isNull(), F.col("doc_id")).alias("alone")
     one = marked.groupBy("label", alone).agg(F.min(F.struct("doc_id", "key_a", "key_b", "text_key")).alias("first"))
     rows = one.select(F.col("first.doc_id").alias(own), F.col("first.text_key").alias(key))
-    held = named.where(F.col(own).isNotNull()).join(rows, [own, key], "left_semi").dropDuplicates([own, key])
-    return held.unionByName(named.where(F.col(own).isNull())).select(docs.columns)
+    held = named.where(F.col(own).isNotNull()).join(rows, [own, key], "left_semi")
+    # Rows of one id and text: that whose other columns are smallest, null first.
+    order = [F.col("text").isNotNull(), *(F.struct(f"`{c}`") if _ordered(docs.schema[c].dataType) else F.struct(F.col(f"`{c}`").isNotNull(), F.to_json(F.struct(f"`{c}`"))) for c in docs.columns if c != "text")]
+    held = held.groupBy(own, key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*order)).alias("row")).select("row.*")
+    return held.unionByName(named.where(F.col(own).isNull()).select(docs.columns))
+
+
+def _ordered(kind: DataType) -> bool:
+    """Whether values of a type have an order in Spark; maps have none."""
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
 
 
 SQL = r"""
