@@ -10,8 +10,8 @@ places that the length before has left.
 Cases: a null or empty text has no words and fails the base rule; ties do not
 arise; repeated rows give repeated results; any further columns are ignored by
 ``score`` and kept by ``keep``; an empty table gives an empty result; a very long text
-is measured whole, with some 50 bytes held a word and a line, and its lines are then
-compared by 64-bit hashes.
+is measured whole, with some 50 bytes held a word and a line. Lines are looked for by
+64-bit hashes, and those that seem to be repeated compared byte by byte.
 """
 
 from __future__ import annotations
@@ -72,19 +72,17 @@ def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
 
 def _repeated_lines(data: np.ndarray) -> tuple[int, int]:
     """(lines with a word that equal an earlier one, characters of their words)."""
-    if len(data) > 2 * B.PIECE:
-        starts, ends = B.spans(data, _IN_LINE)
-        chars = B.span_counts(data, starts, ends, _WORD_LEAD)
-        starts, ends, chars = starts[chars > 0], ends[chars > 0], chars[chars > 0]
-        places, later = _repeated(B.span_hashes(data, starts, ends, False))
-        return int(later.sum()), int(chars[places[later]].sum(dtype=np.int64))
+    starts, ends = B.spans(data, _IN_LINE)
+    chars = B.span_counts(data, starts, ends, _WORD_LEAD)
+    starts, ends, chars = starts[chars > 0], ends[chars > 0], chars[chars > 0]
     seen: set[bytes] = set()
     n = n_chars = 0
-    for line in data.tobytes().split(b"\n"):
+    for k in _repeated(B.span_hashes(data, starts, ends, False))[0].tolist():
+        line = data[starts[k] : ends[k]].tobytes()
         if line in seen:
             n += 1
-            n_chars += int(np.count_nonzero(_WORD_LEAD[np.frombuffer(line, np.uint8)]))
-        elif line.strip():
+            n_chars += int(chars[k])
+        else:
             seen.add(line)
     return n, n_chars
 
