@@ -94,11 +94,20 @@ def plain(url: str) -> str:
 
 
 def terms_of(table: DataFrame) -> tuple[list[str], dict[str, int]]:
-    """(strict terms, soft terms with weights) of a table (term, kind, weight) of MOST_TERMS rows at most."""
+    """(strict terms, soft terms with weights) of a table (term, kind, weight) of MOST_TERMS rows at most.
+
+    Rows without a term, or of another kind, say nothing; a null weight is 1; of several
+    rows of one soft term the largest weight counts; a term of both kinds is strict.
+    """
     rows = table.select("term", "kind", "weight").limit(MOST_TERMS + 1).collect()
     if len(rows) > MOST_TERMS:
         raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
-    return sorted({r["term"] for r in rows if r["kind"] == "strict"}), {r["term"]: r["weight"] for r in sorted(rows) if r["kind"] == "soft"}
+    named = [(r["term"].translate(_LOWER), r["kind"], 1 if r["weight"] is None else r["weight"]) for r in rows if r["term"]]
+    strict = {t for t, kind, _ in named if kind == "strict"}
+    soft: dict[str, int] = {}
+    for t, _, weight in sorted(x for x in named if x[1] == "soft" and x[0] not in strict):
+        soft[t] = weight  # in ascending order, so the largest stays
+    return sorted(strict), soft
 
 
 class Vocabulary:
@@ -108,7 +117,7 @@ class Vocabulary:
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
-        for term, weight in [*((t.translate(_LOWER), w) for t, w in soft.items()), *((t.translate(_LOWER), 0) for t in strict)]:
+        for term, weight in [*((t.translate(_LOWER), w) for t, w in soft.items()), *((t.translate(_LOWER), None) for t in strict)]:
             if term:
                 self.auto.add_word(term, (term, weight))
         self.auto.make_automaton()
@@ -127,7 +136,7 @@ class Vocabulary:
             if all(first - size <= a or first >= b for a, b in taken):
                 taken.append((first, first - size))
                 found[term] = weight
-        soft = [w for w in found.values() if w]
+        soft = [w for w in found.values() if w is not None]
         return len(found) - len(soft), len(soft), sum(soft)
 
 
