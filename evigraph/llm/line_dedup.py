@@ -16,10 +16,10 @@ Counting combines equal lines within each batch and again map-side, so a line th
 all documents hold moves a few rows per task only.
 
 Cases: a null or empty text is one empty line; white space and A-Z case at a line's
-ends and in it fold as the contract says; repeated rows count as documents of their
-own, and of several rows with the largest doc_id none loses the line; a null doc_id, or
-a text that is no whole number, counts as a document, holds no line as the largest, and
-so loses it; further columns are ignored; an empty table gives an empty result. Very
+ends and in it fold as the contract says; rows of one doc_id count as one document, and
+of several rows with the largest doc_id none loses the line; a row whose doc_id is null,
+or no whole number, counts as a document of its own, holds no line as the largest, and so
+loses it; further columns are ignored; an empty table gives an empty result. Very
 long texts and lines are read whole, a piece at a time: beside its bytes some 50 bytes
 are held for each line that is long enough, so at most about the text's size again.
 """
@@ -214,7 +214,12 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(key, print, n_docs, last) of every line key that enough documents hold."""
+    """(key, print, n_docs, last) of every line key that enough documents hold.
+
+    Where ids repeat, a row for each key and id is counted; else rows are added up at once.
+    """
+    src = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    unique = src.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, prints, ids = [], [], []
@@ -230,7 +235,8 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
         if len(key):
             order = np.lexsort((ids, fp, key))
             key, fp, ids = key[order], fp[order], ids[order]
-            last = np.append((key[1:] != key[:-1]) | (fp[1:] != fp[:-1]), True)
+            other = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            last = np.append(other if unique else other | (ids[1:] != ids[:-1]), True)
             at = np.flatnonzero(last)
             n = np.diff(np.concatenate([[-1], at]))
             key, fp, ids = key[at], fp[at], ids[at]
@@ -241,8 +247,10 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
             ["key", "print", "n", "last"],
         )
 
-    src = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     part = map_batches(src, run, "key long, print long, n long, last long")
+    if not unique:
+        held = F.when(F.col("last") == _NEVER, F.sum("n")).otherwise(F.lit(1).cast("long"))
+        part = part.groupBy("key", "print", "last").agg(held.alias("n"))
     return part.groupBy("key", "print").agg(F.sum("n").alias("n_docs"), F.max("last").alias("last")).where(F.col("n_docs") >= min_docs)
 
 
