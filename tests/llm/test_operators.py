@@ -204,6 +204,18 @@ def test_repeated_ids_with_other_texts_go_by_their_texts(spark):
     assert kept == [("3", "c"), ("5", "a"), ("5", "b"), ("8", ""), ("9", "q"), ("None", "a")]
 
 
+def test_one_fixed_row_of_equal_ids_and_texts_is_kept(spark):
+    """Rows that differ in other columns only: the smallest stays, whatever the order and the partitions."""
+    t = prose(80)
+    data = [(5, t, s, n) for s in ("c", "a", None, "b") for n in ({"k": 2}, {"k": 1}, None)] + [(6, t, "a", None), (8, "", "x", None), (8, None, "y", None), (8, None, "x", None)]
+    seen = set()
+    for k in range(10):
+        random.Random(k).shuffle(data)
+        df = spark.createDataFrame(data, "doc_id long, text string, source string, tags map<string,int>").repartition(1 + k % 4)
+        seen.add(tuple(sorted(str(tuple(r)) for r in near_dedup.keep(df, 2).collect())))
+    assert len(seen) == 1 and len(next(iter(seen))) == 2 and "None, None)" in next(iter(seen))[0]
+
+
 def test_ids_that_are_no_numbers_are_kept(spark):
     t = prose(80)
     df = spark.createDataFrame([("7", t), ("05", t), ("x", t), ("x", t), (None, t)], "doc_id string, text string")
@@ -339,6 +351,21 @@ def test_word_wise_ids_equal_the_library(rows):
         assert ids[at[k] : at[k + 1]].tolist() == model.encode(t, add_special_tokens=False).ids, t
 
 
+def test_letters_that_change_their_length_in_lower_case():
+    """Every such code point, and every Latin letter of two bytes, before and after every mark."""
+    from tokenizers import Tokenizer
+
+    model, words = Tokenizer.from_file(tokenizer_path()), token_output.WordTokenizer(tokenizer_path())
+    letters = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) != 1] + [chr(c) for c in range(0xC0, 0x250)]
+    assert "\u0130" in letters
+    given = [f"{a}{c}{m}{b} x{m}{c}" for c in letters for m in ".,;:!?#$%&*)]\"'" for a, b in (("", ""), ("B", "L"))]
+    given += ["B\u0130LG\u0130.", "B\u0130LG\u0130, D\u0130L\u0130; x", "(\u0130)", "\u0130.\u0130.", "\u0130"]
+    ids, sizes = words.encode([t.encode() for t in given])
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    for t, got, want in zip(given, parts, model.encode_batch_fast(given, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids, t
+
+
 def test_token_output(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -509,6 +536,9 @@ def test_url_terms(spark, oracle, tmp_path):
 def test_overlapping_terms_count_once(spark):
     v = url_filter.Vocabulary(["red light"], {"red": 1, "light": 1, "light-house": 2, "house": 1})
     assert v.hits("x red light y") == (1, 0, 0) and v.hits("light-house") == (0, 1, 2) and v.hits("red light-house") == (0, 2, 3)
+    assert url_filter.Vocabulary([], {"blog": 0}).hits("http://x.org/blog") == (0, 1, 0)
+    odd = spark.createDataFrame([("blog", "soft", 0), ("blog", "soft", None), (None, "soft", 3), (None, None, None), ("log", "soft", 1), ("log", "soft", 4), ("both", "soft", 2), ("Both", "strict", None), ("x", "other", 9)], "term string, kind string, weight int")
+    assert url_filter.terms_of(odd) == (["both"], {"blog": 1, "log": 4})
     table = spark.createDataFrame([("Bad", "strict", 0), ("poor", "soft", 2), ("weak", "soft", 1)], "term string, kind string, weight int")
     pages = spark.createDataFrame([(1, "http://a/bad"), (2, "http://a/poor/poor"), (3, "http://a/poor-weak"), (4, "http://a/casino")], "page_id int, url string")
     assert {x["page_id"]: x["verdict"] for x in url_filter.judge(pages, vocabulary=table).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
@@ -676,6 +706,11 @@ def test_lines_of_null_text_and_repeated_ids(spark, group_bytes):
     got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup(df, group_bytes=group_bytes, with_text=True).collect())
     want = [(str(k), 4, 2, f"own {k}\n") for k in range(6)] + [("None", 1, 1, ""), ("no number", 1, 1, ""), ("7", 1, 0, line), ("7", 1, 0, line), ("7", 2, 0, f"{line}\nx"), ("8", 1, 0, "")]
     assert got == sorted(want)
+    # Rows of one document count once: five rows, two documents.
+    few = spark.createDataFrame([(1, line)] * 4 + [(2, line)], "doc_id long, text string").repartition(3)
+    assert {r["n_dropped"] for r in line_dedup.dedup(few, group_bytes=group_bytes).collect()} == {0}
+    more = few.unionByName(spark.createDataFrame([(k, line) for k in (3, 4, 5, 5, None)], "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["n_dropped"]) for r in line_dedup.dedup(more, group_bytes=group_bytes).collect()) == [*[("1", 1)] * 4, ("2", 1), ("3", 1), ("4", 1), ("5", 0), ("5", 0), ("None", 1)]
 
 
 @pytest.mark.parametrize("piece", [1, 5, 64])
