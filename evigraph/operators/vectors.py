@@ -19,12 +19,16 @@ from evigraph.session import fresh_path, materialise
 
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
+#: Vectors that such a block meets in one task, where there are several blocks.
+TOPK_ROWS = 65_536
 #: Pairs of a query and a row in a matrix product of the batch top-k.
 TOPK_PAIRS = 1 << 18
 #: How far products of equal vectors may differ by the order of their sums.
 NOISE = 1e-11
-#: Rows on each side of a block of the similarity join, and its pivots.
-PAIR_BLOCK, MOST_PIVOTS = 1024, 1024
+#: Vectors in a block of the similarity join, those held against a block at once, and pairs worked out at once.
+PAIR_BLOCK, PAIR_ROWS, PAIR_STEP = 8192, 512, 1 << 16
+#: Vectors that its rotation is fitted on, slices of either coordinate, coordinates of a box.
+PAIR_SAMPLE, MOST_SLICES, BOX = 4096, 64, 8
 #: Lists of an index, vectors that its centroids are fitted on, and rows in a part of a list, about.
 MOST_LISTS, MOST_SAMPLE, PART_ROWS = 4096, 65_536, 50_000
 
@@ -88,50 +92,55 @@ def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int
     return ids[who[order]], own[row[order]], sim[order], key[order]
 
 
-def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERY_BLOCK, rows: int = TOPK_ROWS) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar vectors of each query, itself left out (F2).
 
-    Similarities count as rounded to 12 digits, ties go to the smaller id.
+    Up to ``block`` queries, which are counted, go to all tasks and the vectors stay where
+    they are. More of them, and the vectors, are dealt to blocks of bounded size; every block
+    of queries meets every block of vectors in a task of its own, and the best of these are
+    ranked again. No query passes the driver but those of one block. Similarities count as
+    rounded to 12 digits, ties go to the smaller id.
     """
-    wanted = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q")).orderBy("query_id")
-    spark = vectors.sparkSession
-    parts = None
-    block: list = []
-
-    def answer(rows: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in rows])
-        sent = spark.sparkContext.broadcast((ids, matrix(pa.array([r["q"] for r in rows], pa.list_(pa.float64())))))
+    wanted = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
+    own = vectors.select(F.col(id_col).cast("long").alias("num"), F.col(vec_col).alias("v"))
+    names = ["query_id", "num", "similarity", "key"]
+
+    def best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = _distinct_enough(x, own, k)
+        own, x = own[some], x[some]
+        step = max(1, TOPK_PAIRS // len(own))
+        for at in range(0, len(ids), step):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(ids[at : at + step], q[at : at + step], own, x, k)], names)
+
+    schema = "query_id long, num long, similarity double, key double"
+    if wanted.limit(block + 1).count() <= block:
+        few = wanted.toArrow()
+        order = np.argsort(few["query_id"].to_numpy(), kind="stable")
+        sent = vectors.sparkSession.sparkContext.broadcast((few["query_id"].to_numpy()[order], matrix(few["q"])[order]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                if not len(own):
-                    continue
-                x = matrix(batch.column(1))
-                some = _distinct_enough(x, own, k)
-                own, x = own[some], x[some]
-                step = max(1, TOPK_PAIRS // len(own))
-                for at in range(0, len(ids), step):
-                    found = _best(ids[at : at + step], q[at : at + step], own, x, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", id_col, "similarity", "key"])
-
-        return vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, f"query_id long, {id_col} long, similarity double, key double")
-
-    for row in wanted.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts = answer(block) if parts is None else parts.unionByName(answer(block))
-            block = []
-    if block or parts is None:
-        more = answer(block) if block else spark.createDataFrame([], f"query_id long, {id_col} long, similarity double, key double")
-        parts = more if parts is None else parts.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("key"), id_col)
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
-
-
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(_common(x, pivots), -1.0, 1.0))
+                if batch.num_rows:
+                    yield from best(*sent.value, batch.column(0).to_numpy(), matrix(batch.column(1)))
+
+        parts = own.mapInArrow(run, schema)
+    else:
+        wanted = materialise(wanted, "queries")
+        across, down = -(-wanted.count() // block), max(1, -(-own.count() // rows))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = own.select(dealt("num", down).alias("row"), every(across).alias("col"), "num", "v")
+        right = wanted.select(every(down).alias("row"), dealt("query_id", across).alias("col"), "query_id", "q")
+
+        def cell(one: pa.Table, two: pa.Table) -> pa.Table:
+            if not one.num_rows or not two.num_rows:
+                return pa.table({n: pa.array([], pa.int64() if n in names[:2] else pa.float64()) for n in names})
+            return pa.Table.from_batches(best(two["query_id"].to_numpy(), matrix(two["q"]), one["num"].to_numpy(), matrix(one["v"])))
+
+        parts = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInArrow(cell, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "num")
+    ranked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("num").alias(id_col), "similarity", "rank")
 
 
 def _mapped(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -145,16 +154,83 @@ def _mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+class _Rotation:
+    """An orthogonal matrix whose first coordinates hold most of the vectors' length, and slices of the first two.
+
+    It is fitted on a bounded sample; which one it is decides how early pairs end, not
+    which pairs come out.
+    """
+
+    def __init__(self, sample: np.ndarray, width: int, slices: int):
+        x = np.zeros((len(sample), width))
+        x[:, : sample.shape[1]] = np.where(np.isfinite(sample), sample, 0)
+        self.turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        y = x @ self.turn[:, :2]
+        inner = np.linspace(0, 1, slices + 1)[1:-1]
+        self.cuts = [np.quantile(y[:, c], inner) if len(y) else np.zeros(slices - 1) for c in range(y.shape[1])]
+        self.slices = slices
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.turn[: x.shape[1]]
+
+    def slice_of(self, y: np.ndarray) -> np.ndarray:
+        at = [np.searchsorted(cut, y[:, c], "right") for c, cut in enumerate(self.cuts)]
+        return (at[0] * self.slices + (at[1] if len(at) > 1 else 0)).astype(np.int32)
+
+
+def _rest(y: np.ndarray, head: int) -> np.ndarray:
+    """Lengths of what follows the head."""
+    return np.linalg.norm(y[:, head:], axis=1)
+
+
+def _near(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(i, j, similarity) of all pairs from the threshold on, and how many were worked out whole.
+
+    By Cauchy and Schwarz a product is at most that of the heads of the turned vectors and
+    the lengths of their rests; pairs end where that is too little, after an eighth of the
+    numbers, a quarter, a half, three quarters, and the others are worked out from the
+    vectors as given.
+    """
+    d, least = tx.shape[1], threshold - 1e-9
+    i = j = None
+    for head in sorted({max(1, d // 8), max(1, d // 4), max(1, d // 2), max(1, 3 * d // 4)}):
+        rx, ry = _rest(tx, head), _rest(ty, head)
+        if i is None or 20 * len(i) > len(x) * len(y):
+            i, j = np.nonzero(tx[:, :head] @ ty[:, :head].T + rx[:, None] * ry >= least)
+        else:
+            keep = (tx[i, :head] * ty[j, :head]).sum(axis=1) + rx[i] * ry[j] >= least
+            i, j = i[keep], j[keep]
+    w, met = min(x.shape[1], y.shape[1]), len(i)
+    sims = np.concatenate([np.empty(0), *((x[i[a : a + PAIR_STEP], :w] * y[j[a : a + PAIR_STEP], :w]).sum(axis=1) for a in range(0, met, PAIR_STEP))])
+    good = sims >= threshold
+    return i[good], j[good], sims[good], met
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
     """(a, b, similarity) with a < b and cosine >= threshold within a group.
 
     Equal vectors of a group are one: all links of the one of smallest id come out, and
-    the others' link with it. A vector is at home in the cell of its nearest pivot (some
-    vectors of smallest hash), and visits the cells of smaller number that can hold a
-    vector as near as the threshold: angles obey the triangle inequality, so no others
-    need to be met. A cell is a grid of blocks, each one matrix product in one task.
+    the others' link with it. Vectors are turned so that a few numbers hold most of their
+    length, and dealt to blocks by slices of the first two; blocks whose boxes rule out a
+    similar pair don't meet, so a vector is sent once for each block that it has to meet.
+    Inside a pair of blocks most pairs end after an eighth or a quarter of their numbers.
     """
-    far = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-7
+    return _pairs(vectors, threshold, group_col, id_col, vec_col, block).where("a IS NOT NULL").select("a", "b", "similarity")
+
+
+def pairs_met(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
+    """One row (vectors, pairs, met, links): distinct vectors, all their pairs, those worked out whole, links."""
+    found = _pairs(vectors, threshold, group_col, id_col, vec_col, block)
+    distinct = vectors.groupBy(*([group_col] if group_col else []), vec_col).count()
+    if threshold > 0:
+        distinct = distinct.where(F.exists(vec_col, lambda x: x != 0))
+    n = distinct.groupBy(*([group_col] if group_col else [])).agg(F.count(F.lit(1)).alias("n"))
+    n = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("vectors"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
+    return n.crossJoin(found.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.count("a").alias("links")))  # one row with one row
+
+
+def _pairs(vectors: DataFrame, threshold: float, group_col: str | None, id_col: str, vec_col: str, block: int) -> DataFrame:
+    """(a, b, similarity, met): links, and for each pair of blocks a row with the pairs worked out whole."""
     group = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit("")) if group_col else F.lit("")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), group.alias("grp"), F.col(vec_col).alias("v"))
     kind = v.schema["v"].dataType.simpleString()
@@ -163,48 +239,54 @@ def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None =
     v = materialise(v, "vectors")
     own = materialise(v.groupBy("grp", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
     copies = v.join(own.where("n > 1").select("grp", "v", F.col("id").alias("first")), ["grp", "v"]).where("id <> first")
-    copies = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    copies = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(None).cast("long").alias("met"))
 
-    n = own.count()
-    few = own.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(most_pivots, max(1, int(n**0.5 / 4)))).select("v").toArrow()
-    sent = v.sparkSession.sparkContext.broadcast(matrix(few.column(0)) if few.num_rows else np.zeros((1, 1)))
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    slices = int(min(MOST_SLICES, max(1, np.ceil((size["n"] / block) ** 0.5))))
+    few = own.orderBy(F.xxhash64("id", F.lit("turn")), "id").limit(PAIR_SAMPLE).select("v").toArrow()
+    sent = v.sparkSession.sparkContext.broadcast(_Rotation(matrix(few.column(0)) if few.num_rows else np.zeros((0, 1)), max(1, size["d"]), slices))
+    box = min(BOX, max(1, size["d"]))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        angle = _angles(matrix(batch.column(2)), sent.value)
-        cell = angle.argmin(axis=1)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["id", "grp", "v", "cell", "angle"])
-
-    homes = materialise(_mapped(own.select("id", "grp", "v"), place, f"id long, grp string, v {kind}, cell int, angle double"), "homes")
-    wide = np.full(len(sent.value), -np.inf)
-    for r in homes.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # at most a row for each pivot
-        wide[r["cell"]] = r["r"]
-
-    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = _angles(matrix(batch.column(2)), sent.value) <= wide[None, :] + far
-        near &= np.arange(len(wide))[None, :] < batch.column(3).to_numpy()[:, None]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], ["id", "grp", "v", "cells"])
-
-    guests = _mapped(homes.select("id", "grp", "v", "cell"), visit, f"id long, grp string, v {kind}, cells array<int>")
-    guests = guests.select("id", "grp", "v", F.explode("cells").alias("cell"), F.lit(False).alias("home"))
-    members = materialise(homes.select("id", "grp", "v", "cell", F.lit(True).alias("home")).unionByName(guests), "members")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block))).cast("int")
-    sizes = members.groupBy("grp", "cell").agg(blocks(F.count_if("home")).alias("rows"), blocks(F.count(F.lit(1))).alias("cols"))
-    members = members.join(sizes, ["grp", "cell"])
-    dealt = lambda n, side: F.pmod(F.xxhash64("id", F.lit(side)), F.col(n)).cast("int")
+        y = sent.value.of(matrix(batch.column(2)))
+        head = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(y[:, :box]).reshape(-1)), box).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.slice_of(y)), head, pa.array(_rest(y, box))], ["id", "grp", "v", "slice", "head", "rest"])
+
+    placed = materialise(_mapped(own.select("id", "grp", "v"), place, f"id long, grp string, v {kind}, slice int, head array<double>, rest double"), "placed")
+    ends = [f(F.col("head")[c]).alias(f"{n}{c}") for c in range(box) for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = placed.groupBy("grp", "slice").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts"), F.max("rest").alias("rest"), *ends)
+    boxes = materialise(boxes.select("grp", "slice", "salts", "rest", F.array(*(f"lo{c}" for c in range(box))).alias("lo"), F.array(*(f"hi{c}" for c in range(box))).alias("hi")), "boxes")
+    one, two = boxes.select("grp", *(F.col(c).alias(f"{c}_a") for c in boxes.columns[1:])), boxes.select("grp", *(F.col(c).alias(f"{c}_b") for c in boxes.columns[1:]))
+    # The largest product that two boxes can hold, coordinate by coordinate.
+    most = F.lit(0.0) + F.col("rest_a") * F.col("rest_b")
+    for c in range(box):
+        most = most + F.greatest(*(F.col(f"{p}_a")[c] * F.col(f"{q}_b")[c] for p in ("lo", "hi") for q in ("lo", "hi")))
+    cells = one.join(two, "grp").where("slice_a <= slice_b").where(most >= threshold - 1e-9)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.where("home").select("grp", "cell", dealt("rows", 0).alias("row"), every("cols").alias("col"), F.lit(True).alias("left"), "home", "id", "v")
-    right = members.select("grp", "cell", every("rows").alias("row"), dealt("cols", 1).alias("col"), F.lit(False).alias("left"), "home", "id", "v")
-
-    def run(table: pa.Table) -> pa.Table:
-        side = table["left"].to_numpy()
-        one, two = table.filter(pa.array(side)), table.filter(pa.array(~side))
-        x, y, home = one["id"].to_numpy(), two["id"].to_numpy(), two["home"].to_numpy()
-        sims = _common(matrix(one["v"]), matrix(two["v"])) if len(x) and len(y) else np.zeros((len(x), len(y)))
-        # Two at home meet twice, as either side.
-        i, j = np.nonzero((sims >= threshold) & (~home[None, :] | (x[:, None] < y[None, :])))
-        return pa.table({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "similarity": sims[i, j]})
-
-    found = left.unionByName(right).groupBy("grp", "cell", "row", "col").applyInArrow(run, "a long, b long, similarity double")
+    cells = cells.select("grp", "slice_a", "slice_b", "salts_a", "salts_b", every("salts_a").alias("salt_a")).select("*", every("salts_b").alias("salt_b"))
+    cells = materialise(cells.where("slice_a < slice_b OR salt_a <= salt_b"), "cells")
+    key = ["grp", "slice_a", "salt_a", "slice_b", "salt_b"]
+    dealt = placed.join(boxes.select("grp", "slice", "salts"), ["grp", "slice"]).select("grp", "slice", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id", "v")
+    side = lambda s: dealt.withColumnsRenamed({"slice": f"slice_{s}", "salt": f"salt_{s}"}).join(cells.select(*key), ["grp", f"slice_{s}", f"salt_{s}"]).select(*(F.col(c).alias(c) for c in [*key, "id", "v"]))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        met = 0
+        if left.num_rows and right.num_rows:
+            same = left["slice_a"][0] == left["slice_b"][0] and left["salt_a"][0] == left["salt_b"][0]
+            a, b, x, y = left["id"].to_numpy(), right["id"].to_numpy(), matrix(left["v"]), matrix(right["v"])
+            ty = sent.value.of(y)
+            for at in range(0, len(a), PAIR_ROWS):
+                part = x[at : at + PAIR_ROWS]
+                i, j, sims, n = _near(part, y, sent.value.of(part), ty, threshold)
+                i, met = i + at, met + n
+                keep = a[i] < b[j] if same else slice(None)  # a block with itself has each pair twice
+                out.append((np.minimum(a[i], b[j])[keep], np.maximum(a[i], b[j])[keep], sims[keep]))
+            met = (met - len(a)) // 2 if same else met
+        a, b, sims = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"a": pa.array([*a.tolist(), None], pa.int64()), "b": pa.array([*b.tolist(), None], pa.int64()), "similarity": pa.array([*sims.tolist(), None], pa.float64()), "met": pa.array([*[None] * len(a), met], pa.int64())})
+
+    found = side("a").groupBy(*key).cogroup(side("b").groupBy(*key)).applyInArrow(run, "a long, b long, similarity double, met long")
     return found.unionByName(copies)
 
 

@@ -309,6 +309,12 @@ def er_near_matches(spark, d):
     return near.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def er_pairs_met(spark, d):
+    """How many pairs of distinct vectors the near-match join works out whole, of all pairs."""
+    return vectors.pairs_met(read(spark, d, "embeddings"), ER_THRESHOLD - ER_BAND)
+
+
 # Text.
 
 _HTML = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
