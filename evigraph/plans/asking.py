@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.operators import routing
-from evigraph.operators.graph import ENTITIES, MOST_ROWS, VALUE, Graph, QueryResult, Template, resolve_entities, templates
+from evigraph.operators.graph import ENTITIES, MOST_ROWS, VALUE, Graph, QueryResult, Template, templates
+from evigraph.operators.names import NameIndex, resolve_entities
 
 
 class NoAnswer(Exception):

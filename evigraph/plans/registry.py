@@ -16,7 +16,7 @@ from evigraph import schemas as S
 from evigraph.functions import text as X
 from evigraph.functions.costs import estimate, prices
 from evigraph.functions.vectors import literal
-from evigraph.operators import answers, evaluate, graph, maintain, paths, replies, resolution, routing, vectors
+from evigraph.operators import answers, evaluate, graph, maintain, names, paths, replies, resolution, routing, vectors
 from evigraph.operators.components import components
 from evigraph.plans.star_graph import SQL as GRAPH
 from evigraph.plans.star_graph import places, read, star_graph
@@ -160,7 +160,26 @@ _SURFACES = "SELECT DISTINCT 'the ' || p_name || ' range' AS surface FROM part U
 def resolve_entity(spark, d):
     p, s = read(spark, d, "part"), read(spark, d, "supplier")
     surfaces = p.select(F.concat(F.lit("the "), "p_name", F.lit(" range")).alias("surface")).union(s.select(F.upper("s_name"))).union(spark.range(1).select(F.lit("nothing like it"))).distinct()
-    return graph.resolve_entities(star_graph(spark, d), surfaces)
+    return names.resolve_entities(star_graph(spark, d), surfaces)
+
+
+_ALIASED = "al AS (SELECT name, unnest([name || ' ' || label, 'alias ' || eid]) AS alias FROM nodes WHERE label <> 'PRODUCT')"
+
+
+@query(
+    f"WITH {GRAPH}, {_ALIASED}, q AS (SELECT 'ALIAS ' || eid AS surface FROM nodes UNION SELECT name || ' Company' FROM nodes WHERE name IS NOT NULL UNION SELECT lower(name) FROM nodes UNION SELECT substr(name, 3, 9) FROM nodes WHERE label = 'COMPANY' AND eid LIKE 'S%'), "
+    "m AS (SELECT q.surface, n.name, 3 AS score FROM q JOIN nodes n ON lower(n.name) = lower(q.surface) UNION ALL SELECT q.surface, al.name, 2 FROM q JOIN al ON lower(al.alias) = lower(q.surface) UNION ALL "
+    "SELECT q.surface, n.name, 1 FROM q JOIN nodes n ON contains(lower(n.name), lower(q.surface)) OR contains(lower(q.surface), lower(n.name))) "
+    "SELECT surface, name, score::INTEGER AS score FROM m WHERE surface IS NOT NULL QUALIFY row_number() OVER (PARTITION BY surface ORDER BY score DESC, length(name), name) = 1"
+)
+def resolve_alias(spark, d):
+    """Names asked for that are names, aliases, parts of names or hold one, over a graph with aliases."""
+    g = star_graph(spark, d)
+    aliases = F.when(F.col("label") != "PRODUCT", F.array(F.concat_ws(" ", "name", "label"), F.concat(F.lit("alias "), "eid")))
+    n = g.nodes.withColumn("aliases", aliases)
+    part = n.where("label = 'COMPANY' AND eid LIKE 'S%'").select(F.substring("name", 3, 9))
+    surfaces = n.select(F.concat(F.lit("ALIAS "), "eid").alias("surface")).union(n.select(F.concat("name", F.lit(" Company")))).union(n.select(F.lower("name"))).union(part).distinct()
+    return names.resolve_entities(graph.Graph(n, g.edges), surfaces)
 
 
 @query(f"WITH {GRAPH} SELECT label, count(*)::BIGINT AS n FROM nodes GROUP BY label")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph import schemas as S
-from evigraph.operators import answers, graph, maintain, paths, resolution
+from evigraph.operators import answers, graph, maintain, names, paths, resolution
 from evigraph.operators.components import components
 from evigraph.operators.graph import Graph, QueryResult
 
@@ -87,9 +87,29 @@ def test_components_of_nothing(spark):
 
 def test_resolution_prefers_equal_names_then_aliases_then_short(spark, firms):
     asked = spark.createDataFrame([("acme",), ("Acme Corp",), ("gam",), ("what about Beta?",), ("nobody",)], "s string")
-    got = {r["surface"]: r["name"] for r in graph.resolve_entities(firms, asked).collect()}
+    got = {r["surface"]: r["name"] for r in names.resolve_entities(firms, asked).collect()}
     assert got == {"acme": "Acme", "Acme Corp": "Acme", "gam": "Gamma", "what about Beta?": "Beta"}
-    assert {r["surface"]: r["name"] for r in graph.resolve_entities(firms, asked, block=2).collect()} == got
+    stored = names.NameIndex.build(firms)
+    again = names.NameIndex(spark, stored.path)
+    assert {r["surface"]: r["name"] for r in names.resolve_entities(firms, asked, again).collect()} == got
+
+
+def test_names_that_contain_one_another(spark):
+    """Against all pairs: empty, short and long names and texts, letters beyond ASCII, repeats."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abAé 日") for _ in range(n))
+    given = [text(r.randrange(0, 9)) for _ in range(150)] + ["", "a", "É", None]
+    asked = [text(r.randrange(0, 14)) for _ in range(120)] + ["", "a", "zz", "Ab", None]
+    nodes = spark.createDataFrame([(f"e{k}", "X", n, None) for k, n in enumerate(given)], "eid string, label string, name string, aliases array<string>")
+    for known in (given, [n for n in given if n]):
+        g = graph.Graph(nodes.where("true" if "" in known else "name <> ''"), None)
+        want = {}
+        for s in {a for a in asked if a is not None}:
+            best = [(-3 if n.lower() == s.lower() else -1, len(n), n) for n in known if n is not None and (n.lower() in s.lower() or s.lower() in n.lower())]
+            if best:
+                want[s] = (min(best)[2], -min(best)[0])
+        got = {x["surface"]: (x["name"], x["score"]) for x in names.resolve_entities(g, spark.createDataFrame([(a,) for a in asked], "s string")).collect()}
+        assert got == want and len(want) > 50
 
 
 def test_cleanup_merges_names_but_never_labels(spark):
