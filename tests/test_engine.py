@@ -87,21 +87,6 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(1, "b"), (2, "c"), (3, "d")]
 
 
-def test_upserts_write_the_touched_buckets_only(spark, tmp_path):
-    schema = spark.createDataFrame([(1, "a")], "k int, v string").schema
-    t = stores.KeyedTable(spark, f"file://{tmp_path}/t", schema, ["k"], buckets=4)
-    t.upsert(spark.createDataFrame([(k, "a") for k in range(40)], schema))
-    before = t._folders(t.version())
-    t.upsert(spark.createDataFrame([(7, "b")], schema))
-    after = t._folders(t.version())
-    assert sum(before[k] != after[k] for k in before) == 1 and len(before) == 4
-    assert sorted(map(tuple, t.read().collect())) == [(k, "b" if k == 7 else "a") for k in range(40)]
-    with pytest.raises(stores.WrittenMeanwhile):  # of two writers that began with one version the second fails
-        t._commit(spark.createDataFrame([(1, "z")], schema), t.version() - 1, {})
-    t.replace(spark.createDataFrame([(1, "c")], schema))
-    assert t.vacuum(1) >= 2 and t.versions() == [3] and [tuple(r) for r in t.read().collect()] == [(1, "c")]
-
-
 def test_routing(spark):
     qs = ["How many firms?", "What is risk?", "What is the number of firms?", "Hello", "Who are Acme's suppliers", "Explain it"]
     d = spark.createDataFrame([(q,) for q in qs], "question string").select("question", routing.rule("question").alias("r")).collect()
