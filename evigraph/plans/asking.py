@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +25,11 @@ def chosen(asked: str, result: QueryResult) -> Template:
     return known[result.query_type]
 
 
-def resolved(spark: SparkSession, g: Graph, surfaces: Sequence[str]) -> list[str]:
+def resolved(spark: SparkSession, g: Graph, surfaces: Sequence[str], index: Callable[[], NameIndex] | None = None) -> list[str]:
     """The names of the entities that the surfaces mean, in their order; unknown ones are left out."""
     if not surfaces:
         return []
-    rows = resolve_entities(g, spark.createDataFrame([(s,) for s in surfaces], "surface string")).collect()
+    rows = resolve_entities(g, spark.createDataFrame([(s,) for s in surfaces], "surface string"), index() if index else None).collect()
     means = {r["surface"]: r["name"] for r in rows}
     return [means[s] for s in surfaces if s in means]
 
@@ -56,14 +56,14 @@ def first_rows(df: DataFrame, order: Sequence[str], result: QueryResult) -> None
     result.rows, result.more = [r.asDict(recursive=True) for r in rows[:MOST_ROWS]], len(rows) > MOST_ROWS
 
 
-def answered(spark: SparkSession, g: Graph, planner, question: str) -> QueryResult:
+def answered(spark: SparkSession, g: Graph, planner, question: str, index: Callable[[], NameIndex] | None = None) -> QueryResult:
     """All steps for one question; whatever fails leaves its reason and no rows."""
     result, step = QueryResult(None), "planning"
     try:
         said = planner.plan(question)
         template = chosen(str(said.get("query_type") or "").strip(), result)
         step = "naming"
-        result.resolved = resolved(spark, g, [s for s in said.get("entities") or [] if s])
+        result.resolved = resolved(spark, g, [s for s in said.get("entities") or [] if s], index)
         result.params = bound(template, result.resolved, said.get("value") or "")
         step = "asking the graph"
         result.display = routing.display(template.pattern, result.params)

@@ -20,6 +20,7 @@ from evigraph.functions import text as X
 from evigraph.operators import answers, routing
 from evigraph.operators.graph import Graph, QueryResult
 from evigraph.operators.maintain import cleanup, merge_edges, merge_nodes, valid_triples
+from evigraph.operators.names import NameIndex
 from evigraph.operators.vectors import IvfIndex
 from evigraph.plans import providers as P
 from evigraph.plans.asking import answered
@@ -50,6 +51,7 @@ class Engine:
     threshold: float = routing.THRESHOLD
     retries: int = 2
     _vectors: IvfIndex | None = field(default=None, init=False, repr=False)
+    _version: int = field(default=0, init=False, repr=False)
 
     # Documents to graph and vectors.
 
@@ -57,10 +59,8 @@ class Engine:
         """New documents (doc_id, text, ticker, company) to chunks and graph; how many were new."""
         docs = docs.where("text IS NOT NULL").withColumn("content_hash", X.fingerprint("text"))
         done = stores.manifest(self.spark, f"{self.path}/manifest")
-        # Of equal texts that of the smallest doc_id; written once, so that all tables name the same.
-        row = F.struct("doc_id", "text", "ticker", "company")
-        new = stores.not_ingested(docs, done.read()).groupBy("content_hash").agg(F.min(row).alias("d")).select("content_hash", "d.*")
-        new = materialise(new, "new")
+        # Written once, so that all tables name the same.
+        new = materialise(stores.firsts(stores.not_ingested(docs, done.read()), ["doc_id", "text", "ticker", "company"]), "new")
         cut = new.select("doc_id", F.explode(X.windows("text", size, overlap)).alias("w"))
         chunks = cut.select(X.chunk_id("doc_id", F.col("w.pos")).alias("chunk_id"), "doc_id", F.col("w.pos").alias("pos"), F.col("w.text").alias("text"))
         nodes, edges, mentions = self.extract(chunks)
@@ -103,7 +103,7 @@ class Engine:
             tables[name].replace(getattr(g, name))
 
     def index(self, sections: DataFrame | None = None, dates: DataFrame | None = None) -> int:
-        """Embed all chunks and put them into the vector table."""
+        """Embed all chunks and put them into the vector table, whose other rows go; index that version of it."""
         g = self.graph()
         rows = g.chunks.join(g.mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("eid")).alias("entity_ids")), "chunk_id", "left")
         rows = rows.withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>")))
@@ -118,28 +118,40 @@ class Engine:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(vectors), pa.list_(pa.float32()))], [*batch.schema.names, "embedding"])
 
         table = stores.chunk_vectors(self.spark, f"{self.path}/vectors")
-        table.upsert(rows.mapInArrow(run, S.CHUNK_VECTORS))
-        n = table.count()
-        if n:
-            self._vectors = IvfIndex(table.read(), id_col="chunk_id", path=f"{self.path}/vector_index")
-        return n
+        table.upsert(rows.mapInArrow(run, S.CHUNK_VECTORS), table.read().join(g.chunks, "chunk_id", "left_anti"))
+        self._index(table)
+        return table.count()
+
+    def _index(self, table: stores.KeyedTable) -> IvfIndex | None:
+        """The index of the newest version of the vector table, built if it isn't there."""
+        version = table.version()
+        if version and version != self._version:
+            build = lambda path: IvfIndex(table.read(version), id_col="chunk_id", path=path)
+            self._vectors = IvfIndex.open(self.spark, stores.built_once(self.spark, f"{self.path}/vector_index/{version}", build))
+            self._version = version
+        return self._vectors
+
+    def name_index(self) -> NameIndex:
+        """The index of the names in the newest version of the graph, built if it isn't there."""
+        version = stores.graph_tables(self.spark, f"{self.path}/graph")["nodes"].version()
+        build = lambda path: NameIndex.build(self.graph(), path)
+        return NameIndex(self.spark, stores.built_once(self.spark, f"{self.path}/name_index/{version}", build))
 
     # Questions.
 
     def retrieve(self, question: str, k: int = 5) -> list[dict]:
-        """The k chunks most similar to a question, by the stored index; none before there is one."""
+        """The k chunks most similar to a question, by the index of the newest vectors; none before there are any."""
         query = [float(x) for x in self.embedder.embed([question])[0]]
         table = stores.chunk_vectors(self.spark, f"{self.path}/vectors")
-        if self._vectors is None and table.version():
-            self._vectors = IvfIndex.open(self.spark, f"{self.path}/vector_index")
-        best = {r["chunk_id"]: r["similarity"] for r in self._vectors.topk(query, k).collect()} if self._vectors else {}
-        full = table.read().drop("embedding").where(F.col("chunk_id").isin(list(best))).collect() if best else []
+        index = self._index(table)
+        best = {r["chunk_id"]: r["similarity"] for r in index.topk(query, k).collect()} if index else {}
+        full = table.read(self._version).drop("embedding").where(F.col("chunk_id").isin(list(best))).collect() if best else []
         found = [r.asDict(recursive=True) | {"similarity": best[r["chunk_id"]]} for r in full]
         return sorted(found, key=lambda r: (-r["similarity"], r["chunk_id"]))
 
     def query_graph(self, question: str) -> QueryResult:
         """A template chosen by the planner, with resolved names; any failure is an error without rows."""
-        return answered(self.spark, self.graph(), self.planner, question)
+        return answered(self.spark, self.graph(), self.planner, question, self.name_index)
 
     def route(self, question: str, log: bool = True) -> dict:
         """Classify, run the path or both, and note the decision."""

@@ -20,6 +20,7 @@ from evigraph.operators import answers, evaluate, graph, maintain, names, paths,
 from evigraph.operators.components import components
 from evigraph.plans.star_graph import SQL as GRAPH
 from evigraph.plans.star_graph import places, read, star_graph
+from evigraph.session import materialise
 from evigraph.sources import accounts, filings, stores
 from evigraph.streaming import logs, rate_limit
 
@@ -439,6 +440,22 @@ def upsert_by_key(spark, d):
     return stores.upsert(t.where("doc_id % 2 = 0"), t.where("doc_id % 3 = 0 OR doc_id % 2 = 1").withColumn("lang", F.lit("new")), ["doc_id"])
 
 
+@query("WITH n AS (SELECT doc_id % 50 AS k, lang, n_chars FROM documents WHERE doc_id % 3 > 0), o AS (SELECT doc_id AS k, lang, n_chars FROM documents WHERE doc_id % 5 = 0), m AS (SELECT DISTINCT ON (k) * FROM n ORDER BY k, lang NULLS FIRST, n_chars NULLS FIRST) SELECT * FROM m UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM m)")
+def upsert_repeated_keys(spark, d):
+    """Fifty keys, each of them many times in what comes: the smallest row stays."""
+    t = read(spark, d, "documents")
+    new = t.where("doc_id % 3 > 0").select((F.col("doc_id") % 50).alias("k"), "lang", "n_chars")
+    return stores.upsert(t.where("doc_id % 5 = 0").select(F.col("doc_id").alias("k"), "lang", "n_chars"), new, ["k"])
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY text")
+def ingest_firsts(spark, d):
+    """The document that an ingest takes of equal texts."""
+    t = read(spark, d, "documents").withColumn("content_hash", X.fingerprint("text"))
+    n = t.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
+    return stores.firsts(t, ["doc_id", "lang"]).join(n, "content_hash").select("doc_id", "n")
+
+
 @query("WITH f AS (SELECT *, substr(sha256(text), 1, 16) AS h FROM documents) SELECT doc_id FROM f WHERE h NOT IN (SELECT h FROM f WHERE doc_id % 4 = 0)")
 def cache_skip(spark, d):
     f = read(spark, d, "documents").select("doc_id", X.fingerprint("text").alias("content_hash"))
@@ -497,6 +514,18 @@ def ann_recall_probed(spark, d):
     return r.select("queries", "gold", (F.col("recall_micro") >= 0.9).alias("enough"))
 
 
+@query()
+def ann_effort(spark, d):
+    """Recall as numbers: against the exact answer for each number of lists probed, and for what the index picks."""
+    v = read(spark, d, "embeddings")
+    ivf, exact = vectors.IvfIndex(v), materialise(vectors.topk_batch(v, _queries(v)))
+    out = None
+    for n in sorted({1, 4, 16, ivf.probes, ivf.lists}):
+        r = vectors.recall(ivf.topk_batch(_queries(v), probes=n), exact).select(F.lit(n).alias("probes"), F.lit(ivf.lists).alias("lists"), (F.lit(n == ivf.probes)).alias("picked"), "queries", "hits", "gold", "recall_micro", "recall_macro")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 _SIGNS = "sv AS (SELECT vec_id, list_transform(embedding[1:4]::DOUBLE[], lambda x: CASE WHEN x < 0 THEN -1.0 ELSE 1.0 END::DOUBLE) AS embedding FROM embeddings)"
 
 
@@ -966,6 +995,12 @@ def account_subscribers(spark, d):
     return accounts.subscribers(_accounts(spark, d))
 
 
+@query(f"WITH {_ACCOUNTS} SELECT email, name FROM ac WHERE status = 'approved' AND c_custkey % 3 = 1")
+def account_news(spark, d):
+    """Subscribers where some approved accounts want news and some don't."""
+    return accounts.subscribers(_accounts(spark, d).withColumn("updates_opt_in", F.col("c_custkey") % 3 == 1))
+
+
 @query(f"WITH {_ACCOUNTS} SELECT email, (row_number() OVER (ORDER BY created_at DESC, email))::INTEGER AS pos FROM ac WHERE status = 'pending' QUALIFY pos <= 20")
 def account_queue(spark, d):
     """The newest pending accounts; a top-k by itself."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -263,6 +263,18 @@ class KeyedTable:
         return len(gone)
 
 
+def built_once(spark: SparkSession, path: str, build: Callable[[str], object]) -> str:
+    """``path``, made by ``build`` unless it is there: built beside it, then renamed, so no reader sees half of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs, p = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at(path)
+    if not fs.exists(p):
+        beside = at(f"{path}-{uuid.uuid4().hex}")
+        build(beside.toString())
+        if fs.exists(p) or not fs.rename(beside, p):
+            fs.delete(beside, True)  # another was first, and made the same
+    return path
+
+
 def manifest(spark: SparkSession, path: str) -> KeyedTable:
     """What was ingested, by fingerprint."""
     return KeyedTable(spark, path, S.MANIFEST, ["hash"])
@@ -273,6 +285,12 @@ def not_ingested(docs: DataFrame, ingested: DataFrame, hash_col: str = "content_
     return docs.join(ingested.select(F.col("hash").alias(hash_col)), hash_col, "left_anti")
 
 
+def firsts(docs: DataFrame, columns: Sequence[str], hash_col: str = "content_hash") -> DataFrame:
+    """One document of equal texts: that whose columns, in their order, are smallest; rows without a fingerprint have no text and are left out."""
+    one = docs.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(F.struct(*columns)).alias("_d"))
+    return one.select(hash_col, "_d.*")
+
+
 def chunk_vectors(spark: SparkSession, path: str) -> KeyedTable:
     """Chunks with their metadata and vectors."""
     return KeyedTable(spark, path, S.CHUNK_VECTORS, ["chunk_id"])

@@ -1,11 +1,13 @@
 """Stores, routing, vectors, streams and the engine end to end."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evigraph.functions import text as X
 from evigraph.operators import evaluate, routing, vectors
 from evigraph.plans.engine import Engine
 from evigraph.plans.providers import ExtractiveGenerator, HashEmbedder, PatternPlanner
@@ -245,6 +247,26 @@ def test_incremental_ingest_skips_known(spark, tmp_path):
     assert seen == [2, 0] and table.count() == 2
 
 
+def test_streamed_and_batch_ingest_take_the_same_documents(spark, tmp_path):
+    """Of equal texts both take the smallest doc_id, in whatever order rows come; null texts are left out."""
+    rows = [(f"d{k}", None if k % 9 == 0 else f"text {k % 4}", f"T{k % 3}", f"C{k % 2}") for k in range(40)]
+    names = ["doc_id", "text", "ticker", "company"]
+    want = {}
+    for r in rows:
+        if r[1] is not None:
+            want[r[1]] = min(want.get(r[1], r), r)
+    for k in range(3):
+        random.Random(k).shuffle(rows)
+        docs = spark.createDataFrame(rows, names).repartition(1 + k).withColumn("content_hash", X.fingerprint("text"))
+        docs.write.parquet(f"{tmp_path}/in{k}")
+        table, seen = stores.manifest(spark, f"file://{tmp_path}/m{k}"), []
+        s = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in{k}")
+        logs.ingest_new(s, table, f"{tmp_path}/c{k}", lambda df, seen=seen: seen.extend(map(tuple, df.select(*names).collect()))).awaitTermination(120)
+        assert sorted(seen) == sorted(want.values())
+        assert {(r["ticker"], r["company"]) for r in table.read().collect()} == {(r[2], r[3]) for r in want.values()} and table.count() == len(want)
+        assert sorted(tuple(r) for r in stores.firsts(docs, names).select(*names).collect()) == sorted(want.values())
+
+
 def test_filings(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"0": {"cik_str": 7, "ticker": "ABC", "title": "Abc"}, "1": {"cik_str": 9, "ticker": "XYZ", "title": "Xyz"}}')
     t = filings.ticker_ids(spark, f"file://{tmp_path}/t.json")
