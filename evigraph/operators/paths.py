@@ -66,6 +66,77 @@ def path_between(g: Graph, a: str, b: str, most_hops: int = MOST_HOPS, include_m
     return paths.select(F.transform("p", lambda x: x["name"]).alias("path"), "relations")
 
 
+def paths_between(g: Graph, pairs: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
+    """(a, b, hops, path, relations): a shortest undirected path for each pair of node ids (a, b).
+
+    All pairs are searched at once, from both ends by turns; a pair is done in the first
+    round in which its two frontiers share a node. A state is a pair and a node, however
+    many paths lead there. Then the nodes that lie between are marked backwards from the
+    shared ones, each takes one step on, and the paths are put together along these steps.
+    Of several shortest paths that is taken whose first node in which they differ has the
+    smallest id, and of parallel edges the first relation. A node that is its own end has
+    the path of one node; pairs without a path of most_hops, unknown or null ids give no row;
+    repeated pairs give one.
+    """
+    links = g.undirected().select("here", "rel", "there").groupBy("here", "there").agg(F.min("rel").alias("rel"))
+    links = materialise(links, "links")
+    pairs = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    known = g.nodes.select("eid").distinct()
+    pairs = pairs.join(known.withColumnRenamed("eid", "a"), "a", "left_semi").join(known.withColumnRenamed("eid", "b"), "b", "left_semi")
+    pairs = materialise(pairs, "pairs")
+    # Levels of either side: the nodes at each distance from a, and from b.
+    sides = [[materialise(pairs.select("a", "b", F.col(end).alias("eid")), "level")] for end in ("a", "b")]
+    met = materialise(pairs.where("a = b").select("a", "b", F.col("a").alias("eid"), F.lit(0).alias("i"), F.lit(0).alias("j")), "met")
+    found = met
+    for turn in range(most_hops):
+        mine, other = sides[turn % 2], sides[1 - turn % 2]
+        open_ = mine[-1].join(met.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        seen = mine[0]
+        for level in mine[1:]:
+            seen = seen.unionByName(level)
+        step = open_.join(links.select(F.col("here").alias("eid"), "there"), "eid").select("a", "b", F.col("there").alias("eid")).distinct()
+        new = materialise(step.join(seen, ["a", "b", "eid"], "left_anti"), "level")
+        mine.append(new)
+        if new.isEmpty():
+            break
+        i, j = len(sides[0]) - 1, len(sides[1]) - 1
+        now = new.join(other[-1], ["a", "b", "eid"], "left_semi").select("a", "b", "eid", F.lit(i).alias("i"), F.lit(j).alias("j"))
+        now = materialise(now, "met")
+        found, met = found.unionByName(now), met.select("a", "b").unionByName(now.select("a", "b"))
+
+    # Steps (a, b, eid, depth, to): on the first side only those that lead to a shared node.
+    ahead, steps = None, []
+    for depth in range(len(sides[0]) - 2, -1, -1):
+        here = found.where(F.col("i") == depth + 1).select("a", "b", F.col("eid").alias("there"))
+        here = here if ahead is None else here.unionByName(ahead.select("a", "b", F.col("eid").alias("there")))
+        back = here.join(links.select("there", F.col("here").alias("eid")), "there").join(sides[0][depth], ["a", "b", "eid"], "left_semi")
+        ahead = materialise(back.groupBy("a", "b", "eid").agg(F.min("there").alias("to")), "steps")
+        steps.append(ahead.withColumn("depth", F.lit(depth)))
+    # On the other side every node steps to its least neighbour that is nearer to b.
+    for near in range(len(sides[1]) - 1):
+        toward = sides[1][near].select("a", "b", F.col("eid").alias("there"))
+        from_ = sides[1][near + 1].join(links.select(F.col("here").alias("eid"), "there"), "eid").join(toward, ["a", "b", "there"], "left_semi")
+        least = from_.groupBy("a", "b", "eid").agg(F.min("there").alias("to"))
+        ends = found.groupBy("a", "b").agg(F.max(F.col("i") + F.col("j")).alias("hops"), F.max("i").alias("first"))
+        placed = least.join(ends, ["a", "b"]).withColumn("depth", F.col("hops") - near - 1).where("depth >= first")
+        steps.append(materialise(placed.select("a", "b", "eid", "to", "depth"), "steps"))
+
+    walk = found.groupBy("a", "b").agg(F.max(F.col("i") + F.col("j")).alias("hops"))
+    walk = walk.select("a", "b", "hops", F.col("a").alias("eid"), F.array("a").alias("nodes"))
+    if steps:
+        every = steps[0]
+        for s in steps[1:]:
+            every = every.unionByName(s.select(every.columns))
+        for depth in range(most_hops):
+            on = every.where(F.col("depth") == depth).select("a", "b", "eid", "to")
+            walk = walk.join(on, ["a", "b", "eid"], "left").select("a", "b", "hops", F.coalesce("to", "eid").alias("eid"), F.when(F.col("to").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("to"))).alias("nodes"))
+    placed = materialise(walk.select("a", "b", "hops", "nodes"), "walks").select("a", "b", "hops", "nodes", F.posexplode("nodes").alias("pos", "here"))
+    placed = placed.withColumn("there", F.try_element_at("nodes", F.col("pos") + 2)).join(links, ["here", "there"], "left")
+    named = placed.join(g.nodes.select(F.col("eid").alias("here"), "name"), "here", "left")
+    out = named.groupBy("a", "b", "hops").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "rel"))).alias("p"))  # most_hops + 1 at most
+    return out.select("a", "b", "hops", F.transform("p", lambda x: x["name"]).alias("path"), F.filter(F.transform("p", lambda x: x["rel"]), lambda x: x.isNotNull()).alias("relations"))
+
+
 def drawing_layers(edges: DataFrame, first: str, most_hops: int = 64) -> DataFrame:
     """(eid, depth) in an evidence graph from the first edge's source."""
     nodes = edges.select(F.col("src").alias("eid")).union(edges.select(F.col("dst").alias("eid"))).distinct().withColumn("name", F.col("eid"))

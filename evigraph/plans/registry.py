@@ -137,6 +137,26 @@ def g_path_over_hubs(spark, d):
     return p.select(F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations"))
 
 
+@query(
+    f"WITH RECURSIVE {GRAPH}, {_UNDIRECTED}, l AS (SELECT here, there, min(rel) AS rel FROM u GROUP BY here, there), "
+    "ends AS (SELECT 'S' || s_suppkey AS a, 'C' || c_custkey AS b FROM supplier JOIN customer ON c_custkey = 7 * s_suppkey WHERE s_suppkey <= 50 UNION SELECT 'C' || c_custkey, 'P' || p_partkey FROM customer JOIN part ON p_partkey = 3 * c_custkey WHERE c_custkey <= 50), "
+    "d AS (SELECT DISTINCT b AS root, b AS eid, 0 AS depth FROM ends UNION SELECT d.root, l.there, d.depth + 1 FROM d JOIN l ON l.here = d.eid WHERE d.depth < 4), "
+    "m AS (SELECT root, eid, min(depth) AS depth FROM d GROUP BY root, eid), "
+    "s AS (SELECT m.root, m.eid, min(l.there) AS nxt FROM m JOIN l ON l.here = m.eid JOIN m n ON n.root = m.root AND n.eid = l.there AND n.depth = m.depth - 1 GROUP BY m.root, m.eid), "
+    "w AS (SELECT a, b, a AS eid, [a] AS ids, 0 AS n FROM ends WHERE EXISTS (SELECT 1 FROM m WHERE root = b AND eid = a) UNION ALL SELECT a, b, nxt, list_append(ids, nxt), n + 1 FROM w JOIN s ON s.root = w.b AND s.eid = w.eid), "
+    "f AS (SELECT a, b, ids, n FROM w WHERE eid = b), p AS (SELECT a, b, n, unnest(ids) AS eid, generate_subscripts(ids, 1) AS pos FROM f) "
+    "SELECT p.a, p.b, p.n::INTEGER AS hops, string_agg(v.name, ' > ' ORDER BY p.pos) AS path, coalesce(string_agg(l.rel, ' > ' ORDER BY p.pos) FILTER (l.rel IS NOT NULL), '') AS relations "
+    "FROM p JOIN nodes v ON v.eid = p.eid LEFT JOIN p q ON q.a = p.a AND q.b = p.b AND q.pos = p.pos + 1 LEFT JOIN l ON l.here = p.eid AND l.there = q.eid GROUP BY p.a, p.b, p.n"
+)
+def g_paths_of_pairs(spark, d):
+    """A hundred pairs at once over the whole graph: suppliers to customers, customers to parts."""
+    s, c, p = (read(spark, d, t) for t in ("supplier", "customer", "part"))
+    one = s.where("s_suppkey <= 50").join(c, c["c_custkey"] == 7 * s["s_suppkey"]).select(F.concat(F.lit("S"), "s_suppkey").alias("a"), F.concat(F.lit("C"), "c_custkey").alias("b"))
+    two = c.where("c_custkey <= 50").join(p, p["p_partkey"] == 3 * c["c_custkey"]).select(F.concat(F.lit("C"), "c_custkey").alias("a"), F.concat(F.lit("P"), "p_partkey").alias("b"))
+    found = paths.paths_between(star_graph(spark, d), one.union(two), most_hops=4)
+    return found.select("a", "b", "hops", F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations"))
+
+
 @query(f"WITH {GRAPH} SELECT DISTINCT e2.dst AS eid FROM nodes s JOIN edges e ON e.src = s.eid JOIN edges e2 ON e2.src = e.dst WHERE s.name = '{SUPPLIER}' AND e.rel = 'SUPPLIES_TO' AND e2.rel = 'HEADQUARTERED_IN'")
 def x_two_hop(spark, d):
     g = star_graph(spark, d)

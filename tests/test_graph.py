@@ -165,3 +165,36 @@ def test_generation_is_checked_and_stripped():
     told = []
     answers.grounded("q", sources, lambda q, s, fault: told.append(fault) or "Bare claim of five words", retries=1)
     assert told[0] is None and "Bare claim of five words" in told[1]
+
+
+def test_paths_of_many_pairs(spark):
+    """Against breadth-first search in loops: all pairs of a graph with hubs, parallel edges, loops and islands."""
+    r = random.Random(9)
+    ids = [f"n{k:02d}" for k in range(26)]
+    links = [(r.choice(ids[:20]), r.choice("XY"), r.choice(ids[:20])) for _ in range(24)] + [("n00", "H", i) for i in ids[3:8]] + [("n22", "Z", "n23"), ("n24", "Z", "n24")]
+    nodes = spark.createDataFrame([(i, "T", i.upper(), None) for i in ids], "eid string, label string, name string, aliases array<string>")
+    g = Graph(nodes, spark.createDataFrame([(a, x, b, None) for a, x, b in links], S.EDGES))
+    near, rel = {i: set() for i in ids}, {}
+    for a, x, b in links:
+        for u, v in ((a, b), (b, a)):
+            near[u].add(v)
+            rel[u, v] = min(rel.get((u, v), x), x)
+    want = {}
+    for b in ids:
+        dist, front = {b: 0}, [b]
+        for u in front:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    front.append(v)
+        for a in ids:
+            if dist.get(a, 99) <= 4:
+                path = [a]
+                while path[-1] != b:
+                    path.append(min(v for v in near[path[-1]] if dist.get(v) == dist[path[-1]] - 1))
+                want[a, b] = (len(path) - 1, [p.upper() for p in path], [rel[p, q] for p, q in zip(path, path[1:], strict=False)])
+    pairs = [(a, b) for a in ids for b in ids] + [("n01", "n02"), ("n01", "gone"), (None, "n01")]
+    got = paths.paths_between(g, spark.createDataFrame(pairs, "a string, b string"), 4).collect()
+    assert len(got) == len(want) and {(x["a"], x["b"]): (x["hops"], x["path"], x["relations"]) for x in got} == want
+    assert max(w[0] for w in want.values()) == 4
+    assert paths.paths_between(g, spark.createDataFrame([], "a string, b string")).count() == 0
