@@ -66,6 +66,27 @@ MANIFEST = _struct(hash=_TEXT, ticker=_TEXT, company=_TEXT, ingested_at=T.Timest
 ACCOUNTS = _struct(
     email=_TEXT, name=_TEXT, status=_TEXT, role=_TEXT, created_at=T.TimestampType(), decided_at=T.TimestampType(), decided_by=_TEXT, updates_opt_in=T.BooleanType(), consent_at=T.TimestampType()
 )
+
+
+def _field(name: str, kind: T.DataType, source: str | None = None, how: str | None = None) -> T.StructField:
+    """A field of a response: the key that it comes from, if another, and how."""
+    return T.StructField(name, kind, True, ({"from": source} if source else {}) | ({"as": how} if how else {}))
+
+
+# The keys of a response are those that a web client reads.
+_SOURCE = T.StructType([_field("tag", _TEXT), _field("kind", _TEXT, "tag", "kind"), _field("text", _TEXT), _field("cite", _TEXT)])
+_PASSAGE = T.StructType([
+    _field("tag", _TEXT, "label"), _field("chunk_id", _TEXT), _field("doc_id", _TEXT), _field("section", _TEXT, "section_path"),
+    _field("filing_date", _TEXT, None, "text or nothing"), _field("similarity", _DOUBLE), _field("text", _TEXT, None, "900 characters"),
+])
+RESPONSE = T.StructType([
+    _field("question", _TEXT), _field("path", _TEXT, "path_used", "first word"), _field("path_label", _TEXT, "path_used"), _field("classified", _TEXT),
+    _field("confidence", _DOUBLE), _field("answer", _TEXT), _field("cited", _TEXTS, "answer", "labels"), _field("citations_valid", T.BooleanType()),
+    _field("attempts", _LONG), _field("uncited_claims", _TEXTS), _field("sources", T.ArrayType(_SOURCE)), _field("graph", T.MapType(_TEXT, _TEXT)),
+    _field("passages", T.ArrayType(_PASSAGE), "vector_hits"), _field("latency_s", _DOUBLE, "seconds", "hundredths"), _field("demo", T.BooleanType()),
+])
+# End of fixed values.
+
 PLAN = _struct(query_type=_TEXT, entities=_TEXTS, value=_TEXT)
 
 

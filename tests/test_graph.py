@@ -167,6 +167,32 @@ def test_generation_is_checked_and_stripped():
     assert told[0] is None and "Bare claim of five words" in told[1]
 
 
+def test_tables_of_questions_are_checked_like_single_ones(spark):
+    """Rounds over a table give what single questions give."""
+    given = [("sound", [{"tag": "G1", "text": "a"}]), ("told", [{"tag": "G1", "text": "a"}, {"tag": "P1", "text": "b"}]), ("stubborn", [{"tag": "P1", "text": "x"}]), ("stubborn", [{"tag": "P1", "text": "x"}]), ("none", [])]
+
+    def generate(question, sources, told):
+        if question == "told":
+            return "- Five words stand here now [G1].\n* Five words stand bare here" if told is None else "Five words stand here now [P1]." if "bare" in told else ""
+        return {"sound": "It is so [G1].", "stubborn": "Five words with invented labels [G9] and [P1]. But five words cite nothing here:\nAnd five words cite nothing here.", "none": "No."}[question]
+
+    asked = spark.createDataFrame(given, "question string, sources array<struct<tag:string,text:string>>").repartition(2)
+    for retries in (0, 2):
+        got = sorted(tuple(r) for r in answers.grounded_table(asked, generate, retries).collect())
+        want = [answers.grounded(q, s, generate, retries) for q, s in given]
+        assert got == sorted((q, w["answer"], w["attempts"], w["citations_valid"], w["uncited_claims"]) for (q, _), w in zip(given, want, strict=True))
+    assert [w["attempts"] for w in want] == [1, 2, 3, 3, 1]
+
+
+def test_lists_are_bounded_and_say_so(spark):
+    rows = spark.createDataFrame([("a", f"v{k:02d}") for k in range(30)] + [("b", "x"), ("b", None), ("c", None)], "k string, v string").repartition(5)
+    got = {r["k"]: r["statement"] for r in answers.verbalise_list(rows, "k", "v", "{} has:", most=3).collect()}
+    assert got == {"a": "a has: v00, v01, v02, and 27 more.", "b": "b has: x."}
+    lines = spark.createDataFrame([("q", f"G{k}", k, f"[G{k}] f") for k in range(1, 12)] + [("q", "P1", 1, "[P1] p"), ("r", "P1", 1, "it's")], "question string, tag string, ord int, line string")
+    text = {r["question"]: r["context"] for r in answers.context(lines, "question", most=2).collect()}
+    assert text == {"q": "GRAPH-DERIVED FACTS (from the knowledge graph):\n[G1] f\n[G2] f\n(and 9 more)\n\nRETRIEVED PASSAGES (from vector search):\n[P1] p", "r": "RETRIEVED PASSAGES (from vector search):\nit's"}
+
+
 def test_paths_of_many_pairs(spark):
     """Against breadth-first search in loops: all pairs of a graph with hubs, parallel edges, loops and islands."""
     r = random.Random(9)
