@@ -17,7 +17,8 @@ be as many of them as there are hosts.
 Cases: a null text has size 0; a null source is a source of its own, the last; a
 table without words, or an empty one, takes nothing; ties in finish time go by source
 order, then hash, then doc_id; repeated rows are taken as documents of their own;
-further columns are ignored; a null doc_id is shuffled as the word 'null'; a very long
+further columns are ignored; rows without doc_id, and rows of one doc_id, are shuffled by
+their number too, so that however many there are they spread over all bins; a very long
 text is counted as it stands, and only its number of words moves.
 """
 
@@ -102,6 +103,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), key.alias("key"), row.alias("row"))
     src = cut(src, "sizes")
     n_rows = src.count()
+    again = src.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again"), F.lit(True).alias("many"))
+    if not again.isEmpty():
+        spread = F.when(F.col("many"), F.md5(F.concat("key", F.lit("-"), F.col("row").cast("string")))).otherwise(F.col("key"))
+        both = src.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left")
+        src = cut(both.select("doc_id", "source", "size", spread.alias("key"), "row"), "sizes", n_rows)
     sources = cut(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeats), "sources")
 
     # Position of each document's last token in its source's order.

@@ -283,6 +283,22 @@ def test_sums_and_places_over_many_groups(spark, monkeypatch):
     assert got == {p: 100 - p for p in range(100)}
 
 
+def test_rows_without_id_spread_over_the_bins(spark, monkeypatch):
+    """Thousands of rows of no id and of one id fall into many bins; each is taken by itself."""
+    seen = []
+    real = source_mix.cut
+    monkeypatch.setattr(source_mix, "cut", lambda df, name, *a: seen.append((name, out := real(df, name, *a))) or out)
+    data = [(None if k % 2 else 7, "one two three", "s") for k in range(2000)] + [(k, "a b", "t") for k in range(100, 400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = source_mix.mix(df, bin_rows=20).collect()
+    placed = next(d for name, d in seen if name == "placed").groupBy("rank", "bin").count().agg(F.max("count"), F.count("bin")).first()
+    assert placed[0] < 60 and placed[1] > 80
+    assert len(got) == 2300 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 6
+
+
 def test_many_sources_meet_their_targets(spark):
     sizes = [(None if k == 77 else f"host{k:03d}", (k * 37) % 101, 1) for k in range(120)]
     got = {r["source"]: (r["rank"], r["target"]) for r in source_mix.source_targets(spark.createDataFrame(sizes, "source string, source_size long, n_docs long"), (1, 2, 3), 3).collect()}
