@@ -14,9 +14,11 @@ added is reported word for word.
 Cases: a null or empty text has no block; equal savings go by template name; repeated
 rows give repeated results; further columns are ignored; an empty table gives an
 empty result; a block that no template explains is reported without one, with the
-differences from the template that saves most. In a block of more than STEP words these
-are of the step that the template fits best, and begin and end are its place there. A
-very long text is scanned whole, sentence by sentence; of a block its words are held, and
+differences from the template that saves most; begin and end are the block's place then,
+near_begin and near_end that of the words which that template fits best, whatever the
+block's size. An identifier tag may hold an expression of several licences, and a sentence
+may name several ("under the MIT License or the Apache License"): each is reported in a
+row of its own. A very long text is scanned whole, sentence by sentence; of a block its words are held, and
 blocks of any length are aligned alike, in steps.
 """
 
@@ -50,6 +52,12 @@ _NAMING = re.compile(
     r"|cc[ -]by\b|cc0\b|creative commons|general public|public license|unencumbered software|boost software|waived all|free software|mpl|rights reserved)\b"
 )
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
+#: A tag that names a file's licences, and what an expression of them is made of.
+_TAG_WORD = "SPDX-License-Identifier:"
+_TAG = re.compile(re.escape(_TAG_WORD) + r"[ \t]*([^\n]*)", re.I)
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: Words in which a licence line's lead ends, at most.
+_LEAD = 6
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s)|$|(?=\n))", re.M)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words that name a licence, at their first place in a template; numbers do after these or the next words.
@@ -75,7 +83,7 @@ def decisive(words: list[str]) -> frozenset[int]:
     for k, w in enumerate(words):
         before = words[k - 1] if k else ""
         named = w in _NAMES or w.startswith(("by-", "attribution")) or (len(words) < _LINE and w == "license")
-        numbered = (w[0].isdigit() or w == "by") and (before in _BEFORE or before.startswith(("by", "attribution")))
+        numbered = (w[0].isdigit() or w[0] == "v" and w[1:2].isdigit()) and len(words) < _LINE and before == "license" or (w[0].isdigit() or w == "by") and (before in _BEFORE or before.startswith(("by", "attribution")))
         if (named and w not in seen) or numbered:
             out.add(k)
         seen.add(w)
@@ -220,17 +228,49 @@ def _fits(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
     return found
 
 
+def _lead(words: list[str]) -> list[str]:
+    """The first words up to "under", which the further licences of an enumeration share."""
+    return words[: words.index("under", 0, _LEAD) + 1] if "under" in words[:_LEAD] else []
+
+
 def confirm(words: list[str], ranked: list[tuple[float, int]]) -> list[dict]:
-    """All confirmed templates; what they leave of a block is ranked and aligned anew."""
-    out, todo = [], [(0, words, ranked)]
+    """All confirmed templates; what they leave of a block is ranked and aligned anew.
+
+    What follows a licence with "or" or "and" is read as if the licence's lead stood there.
+    """
+    out, todo = [], [(0, 0, words, ranked)]
     while todo:
-        base, part, order = todo.pop()
+        base, first, part, order = todo.pop()
         found = _fits(part, order)
-        out += [f | {"from": f["from"] + base, "to": f["to"] + base} for f in found]
-        edges = [0, *(x for f in sorted(found, key=lambda f: f["from"]) for x in (f["from"], f["to"])), len(part)]
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            if found and b - a >= 2:
-                todo.append((base + a, part[a:b], savings(part[a:b])))
+        out += [f | {"from": max(first, f["from"] + base), "to": f["to"] + base} for f in found]
+        at = sorted(found, key=lambda f: f["from"])
+        edges = [0, *(x for f in at for x in (f["from"], f["to"])), len(part)]
+        for n, (a, b) in enumerate(zip(edges[::2], edges[1::2], strict=True)):
+            if not found or b - a < 2:
+                continue
+            lead = _lead(part[at[n - 1]["from"] : at[n - 1]["to"]]) if n and part[a] in ("or", "and") else []
+            rest = lead + part[a + 1 : b] if lead else part[a:b]
+            todo.append((base + b - len(rest), base + a + bool(lead), rest, savings(rest)))
+    return out
+
+
+def identifiers(tag: str) -> list[tuple[str, int, int]]:
+    """(identifier, begin, end) of the licences in what follows an identifier tag: names joined by AND, OR and WITH, in brackets."""
+    out, wanted, last = [], True, 0
+    for m in _TOKEN.finditer(tag):
+        if tag[last : m.start()].strip():
+            break  # a mark that is part of no expression ends it
+        token, last = m.group(), m.end()
+        if token in "()":
+            continue
+        if token.upper() in ("AND", "OR", "WITH") and not wanted:
+            wanted = token.upper()
+        elif wanted:
+            if wanted != "WITH":  # an exception is no licence
+                out.append((token.rstrip("+"), m.start(), m.end()))
+            wanted = False
+        else:
+            break
     return out
 
 
@@ -246,7 +286,7 @@ def _spans(text: str, start: int, end: int, wanted: set[int]) -> dict[int, tuple
 
 
 def scan_text(text: str) -> list[tuple]:
-    """(begin, end, license, template, saved, confirmed, missing, added) of a text's blocks."""
+    """(begin, end, license, template, saved, confirmed, missing, added, near_begin, near_end) of a text's blocks."""
     ready, _, _ = _prepared()
     out = []
     for start, end in candidate_blocks(text):
@@ -254,15 +294,28 @@ def scan_text(text: str) -> list[tuple]:
         ranked = savings(ws)
         found = confirm(ws, ranked)
         spans = _spans(text, start, end, {k for f in found for k in (f["from"], f["to"] - 1)})
+        taken = []
         for f in found:
             begin, stop = spans[f["from"]][0], spans[f["to"] - 1][1]
-            out.append((begin, stop, f["license"], f["template"], round(f["saved"], 6), True, f["missing"], f["added"]))
-        if not found:
+            taken.append((begin, stop))
+            out.append((begin, stop, f["license"], f["template"], round(f["saved"], 6), True, f["missing"], f["added"], begin, stop))
+        for m in _TAG.finditer(text, start):
+            if m.start() >= end:
+                break
+            for name, a, b in identifiers(m.group(1)):
+                begin, stop = m.start(1) + a, m.start(1) + b
+                if any(begin < e and stop > s for s, e in taken):
+                    continue
+                own = words_of(f"{_TAG_WORD} {name}")  # held against the templates like a tag of its own
+                for f in confirm(own, savings(own))[:1]:
+                    taken.append((begin, stop))
+                    out.append((begin, stop, f["license"], f["template"], round(f["saved"], 6), True, f["missing"], f["added"], begin, stop))
+        if not taken:
             gain, k = ranked[0]
             a, b, missing, added = nearest(ws, ready[k][2])
             spans = _spans(text, start, end, {a, b - 1})
-            begin, stop = (spans[a][0], spans[b - 1][1]) if len(ws) > STEP and a < b else (start, end)
-            out.append((begin, stop, None, ready[k][0], round(gain, 6), False, missing, added))
+            near = (spans[a][0], spans[b - 1][1]) if a < b else (None, None)
+            out.append((start, end, None, ready[k][0], round(gain, 6), False, missing, added, *near))
     return sorted(out, key=lambda r: (r[0], r[1], r[3]))
 
 
@@ -270,7 +323,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row for each match of a template, or unexplained block, of every text."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "begin", "end", "license", "template", "saved", "confirmed", "missing_words", "added_words"]
+    names = ["doc_id", "begin", "end", "license", "template", "saved", "confirmed", "missing_words", "added_words", "near_begin", "near_end"]
     strings = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +333,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 for row in scan_text(text.as_py() or ""):
                     ids.append(k)
                     rows.append(row)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_(), strings, strings]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 10
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_(), strings, strings, pa.int64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *arrays], names)
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, begin long, end long, license string, template string, saved double, confirmed boolean, missing_words array<string>, added_words array<string>")
+    return src.mapInArrow(run, f"doc_id {kind}, begin long, end long, license string, template string, saved double, confirmed boolean, missing_words array<string>, added_words array<string>, near_begin long, near_end long")

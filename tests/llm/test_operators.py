@@ -821,10 +821,44 @@ def test_long_unexplained_blocks_name_the_place_of_their_differences():
     head = "permission license warranty copyright " * 1250
     (row,) = license_scan.scan_text(head + part)
     assert row[2:4] == (None, "mit-disclaimer") and not row[5]
-    assert (head + part)[row[0] : row[1]] == part.rstrip(".,;") and row[7] == []
+    assert (head + part)[row[8] : row[9]] == part.rstrip(".,;") and row[7] == [] and row[0] == 0
     assert row[6] == license_scan.words_of(" ".join(ws))[len(license_scan.words_of(part)) :]
 
 
+def test_unexplained_blocks_report_alike_whatever_their_size():
+    """A block of fewer words than a step and one of more give the same columns."""
+    ws = next(t for n, _, t in license_scan.TEMPLATES if n == "mit-disclaimer").split()
+    part = " ".join(ws[: len(ws) * 7 // 10])
+    rows = []
+    for size in (license_scan.STEP - 8, license_scan.STEP + 4):
+        n = size - len(license_scan.words_of(part))
+        head = ("permission license warranty copyright " * (n // 4 + 1)).split(" ")[:n]
+        text = " ".join(head) + " " + part
+        (row,) = license_scan.scan_text(text)
+        assert len(license_scan.words_of(text)) == size and text[row[8] : row[9]] == part.rstrip(".,;") and text[row[0] :].startswith("permission license")
+        rows.append((row[0], row[2:4], row[5:8]))
+    assert rows[0] == rows[1]
+
+
+def test_every_licence_of_an_expression_is_reported():
+    """Identifier expressions, and sentences that name several licences."""
+    cases = {
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["MIT", "Apache-2.0"],
+        "// SPDX-License-Identifier: MIT AND BSD-3-Clause\nint x;": ["MIT", "BSD-3-Clause"],
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: ((MPL-2.0 OR CDDL-1.0) AND ISC)": ["MPL-2.0", "CDDL-1.0", "ISC"],
+        "SPDX-License-Identifier: CDDL-1.0": ["CDDL-1.0"],
+        "Licensed under the MIT License or the Apache License, Version 2.0.": ["MIT", "Apache-2.0"],
+        "This file is under the GNU General Public License v2 only": ["GPL-2.0"],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": ["GPL-3.0"],
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": ["LGPL-2.1"],
+    }
+    for text, want in cases.items():
+        assert [r[2] for r in license_scan.scan_text(text) if r[5]] == want, text
+    rows = license_scan.scan_text("SPDX-License-Identifier: (MIT OR Apache-2.0)")
+    assert "SPDX-License-Identifier: (MIT OR Apache-2.0)"[rows[1][0] : rows[1][1]] == "Apache-2.0"
+
+
 LIKE = "You may copy the work and the software of the author under the terms that follow, and use it for any purpose. "
 
 
