@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.costs import estimate
 from evigraph.functions.text import ColumnLike, col, fingerprint, path_key
+from evigraph.session import materialise
+
+#: Ranges that a counting pass of a median has.
+BINS = 4096
 
 # Wordings of a refusal.
 REFUSALS = (
@@ -56,9 +60,45 @@ def upper_median(c: ColumnLike) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
 
 
+def upper_medians(rows: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
+    """(by, median): the middle value of each group, of two the larger, by counting passes.
+
+    A pass deals the values that are still in question of every group to ``bins`` ranges
+    and counts them map-side; the range that holds the middle is all that the next one
+    looks at, until its ends are equal. No task holds a group's values, however many
+    there are. Nulls don't count; infinite values and then NaN are the largest; a group
+    without values has none.
+    """
+    v = materialise(rows.select(F.col(by).alias("k"), F.col(value).alias("v")).where("v IS NOT NULL"), "values")
+    number = F.col("v").cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    ends = (F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"))
+    state = v.groupBy("k").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("need"), *ends)
+    state = materialise(state.select("k", "need", "lo", "hi", F.lit(False).alias("found"), F.lit(None).cast(v.schema["v"].dataType).alias("median")), "medians")
+    while not (open_ := state.where("NOT found")).isEmpty():
+        some = v.join(open_.select(F.col("k").alias("g"), "need", "lo", "hi"), F.col("k").eqNullSafe(F.col("g")))
+        some = some.where(~finite | ((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
+        low, high = F.col("lo").cast("double") / 2, F.col("hi").cast("double") / 2  # halved, so that no difference is infinite
+        within = F.least(F.lit(bins - 2), F.greatest(F.lit(1), F.floor(F.try_divide(number / 2 - low, high - low) * bins)))
+        place = F.when(F.isnan(number), bins + 1).when(number == float("inf"), bins).when(number == float("-inf"), -1)
+        # The ends have ranges of their own, so every pass leaves less.
+        place = place.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), bins - 1).otherwise(within)
+        counted = some.groupBy("k", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("need").alias("need"))
+        upto = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # bins + 3 rows at most
+        chosen = counted.withColumn("upto", F.sum("n").over(upto)).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+        done = F.col("lo") == F.col("hi")
+        more = chosen.select("k", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), "lo", "hi", done.alias("found"), F.when(done, F.col("lo")).alias("median"))
+        # Values outside a chosen finite range are behind; infinite ones would else be counted again.
+        v = materialise(v.join(more.where("NOT found").select(F.col("k").alias("g"), F.col("lo").alias("from"), F.col("hi").alias("upto")), F.col("k").eqNullSafe(F.col("g"))).where("v >= from AND v <= upto").select("k", "v"), "values")
+        state = materialise(state.where("found").unionByName(more), "medians")
+    return state.select(F.col("k").alias(by), "median")
+
+
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, median, mean) of a latency."""
-    return rows.groupBy(by).agg(upper_median(value).alias("median"), F.avg(value).alias("mean"))
+    mean = rows.groupBy(F.col(by).alias("_k")).agg(F.avg(value).alias("mean"))
+    both = mean.join(upper_medians(rows, by, value), F.col("_k").eqNullSafe(F.col(by)), "left")
+    return both.select(F.col("_k").alias(by), "median", "mean")
 
 
 def confusion(rows: DataFrame, expected: str = "expected", used: str = "used") -> DataFrame:
