@@ -20,9 +20,9 @@ from evigraph.operators import answers, evaluate, graph, maintain, names, paths,
 from evigraph.operators.components import components
 from evigraph.plans.star_graph import SQL as GRAPH
 from evigraph.plans.star_graph import places, read, star_graph
-from evigraph.session import materialise
+from evigraph.session import fresh_path, materialise
 from evigraph.sources import accounts, filings, stores
-from evigraph.streaming import logs, rate_limit
+from evigraph.streaming import linked, logs, rate_limit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -330,6 +330,16 @@ def er_components(spark, d):
     return components(links, v.select(F.col("vec_id").alias("eid")))
 
 
+@query(f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p WHERE s >= {ER_THRESHOLD} UNION ALL SELECT b, a FROM p WHERE s >= {ER_THRESHOLD}), r AS (SELECT a AS eid, a AS seen FROM e UNION SELECT r.eid, e.b FROM r JOIN e ON e.a = r.seen) SELECT eid, min(seen) AS component FROM r GROUP BY eid")
+def er_components_in_parts(spark, d):
+    """The same links taken in three parts, one after the other, into stored components."""
+    links = materialise(vectors.similar_pairs(read(spark, d, "embeddings"), ER_THRESHOLD).select("a", "b"))
+    table = linked.LinkedTable(spark, fresh_path(spark, "linked"), "long")
+    for part in range(3):
+        table.add(links.where(F.col("a") % 3 == part))
+    return table.labels()
+
+
 @query(
     f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p WHERE s >= {ER_THRESHOLD} UNION ALL SELECT b, a FROM p WHERE s >= {ER_THRESHOLD}), r AS (SELECT vec_id AS eid, vec_id AS seen FROM embeddings UNION SELECT r.eid, e.b FROM r JOIN e ON e.a = r.seen), "
     "c AS (SELECT eid, min(seen) AS component FROM r GROUP BY eid), n AS (SELECT c.*, repeat('v', (1 + eid % 5)::BIGINT) || eid AS name FROM c) "
