@@ -142,7 +142,8 @@ def _counts(src: DataFrame, which: int, bits: int) -> DataFrame:
 
 def _bitmap(counts: DataFrame, least: int, bits: int) -> np.ndarray:
     """One bit for each counter of pairs that reaches the least count."""
-    full = counts.where("pair").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # Shards have added up what they hold; hardly any pair is left to combine before the shuffle.
+    full = counts.where("pair").select("key", "n").repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     place = F.col("key") + 1
     rows = full.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     out = np.zeros(max(1, (1 << bits) >> 3), np.uint8)
