@@ -22,7 +22,7 @@ from evigraph.plans.star_graph import SQL as GRAPH
 from evigraph.plans.star_graph import places, read, star_graph
 from evigraph.session import fresh_path, materialise
 from evigraph.sources import accounts, filings, stores
-from evigraph.streaming import linked, logs, rate_limit
+from evigraph.streaming import linked, logs, rate_limit, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1005,6 +1005,16 @@ def live_sessions(spark, d):
     return rate_limit.live_sessions(read(spark, d, "events"), datetime(2024, 1, 15, 12), created="ts").select("event_id")
 
 
+@query(
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g) "
+    "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*)::BIGINT AS n FROM s GROUP BY user_id, nr"
+)
+def event_sessions(spark, d):
+    """A row for each session of each user."""
+    return sessions.sessions(read(spark, d, "events"))
+
+
 _ACCOUNTS = """ac AS (SELECT lower(c_name) || '@x.org' AS email, c_name AS name, ['pending', 'approved', 'rejected', 'disabled'][1 + c_custkey % 4] AS status, CASE c_custkey % 5 WHEN 0 THEN 'admin' ELSE 'user' END AS role,
   TIMESTAMP '2024-01-01' + to_seconds((c_custkey * 7919) % 100000) AS created_at, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-02-01' END AS decided_at, CASE WHEN c_custkey % 3 = 0 THEN 'someone' END AS decided_by, c_custkey % 2 = 0 AS updates_opt_in, c_custkey FROM customer)"""
 
