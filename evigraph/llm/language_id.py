@@ -14,10 +14,17 @@ and the cost of leaving each context. A place of a text is looked up in the long
 order; only where that doesn't have it, the next one is.
 
 Counting covers all training rows and combines within batches and map-side. Of what it
-gives, a model takes the commonest runs of each order and language, as many as fit
-MODEL_CELLS costs an order (32 MB): that bounds what the driver gathers and the workers
-hold at any number of languages and documents. Which runs those are is found from a
-table of how many runs have about how many counts.
+gives, a model takes whole contexts, the commonest of each order and language, with at
+most MODEL_RUNS runs an order in all: that bounds what the driver gathers and the
+workers hold at any number of languages and documents, and each language's share falls
+with their number only. What is kept has the counts of the whole training data, so its
+code lengths are exact; a context that is left out is one never seen, and its language
+goes on from the next shorter one. The shortest context always stays. Which contexts
+are taken is found from a table of how many runs lie in contexts of about how many
+counts.
+
+Languages are scored in groups of GROUP: a run's costs in its group lie side by side,
+so that one look-up serves them all, and no row is wider than that.
 
 Cases: a null text, or one without a letter, is 'und' with score 0, as is any text if
 nothing was learned; equal code lengths go to the first language by code point;
@@ -33,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
@@ -42,8 +49,10 @@ from evigraph.llm.shared import cut, map_batches, prepare
 UNKNOWN = "und"
 #: Bytes of the longest context.
 ORDER = 4
-#: Costs that a model holds of an order, over all its languages.
-MODEL_CELLS = 1 << 23
+#: Runs that a model holds of an order, each language's counted on its own.
+MODEL_RUNS = 1 << 21
+#: Languages whose costs lie side by side: an order takes 64 MB at most.
+GROUP = 8
 _LETTER = re.compile(r"[^\W\d_]")
 #: Every text is scored, and learned, after this context.
 _START = 0x20
@@ -156,37 +165,37 @@ class Lookup:
         return rows
 
 
-class Model:
-    """Costs in bits of the runs of each size, a column for each language."""
+class _Tree:
+    """Costs in bits of the runs of each size, a column for each language of a group."""
 
-    def __init__(self, langs: list[str], sizes: np.ndarray, runs: np.ndarray, of: np.ndarray, n: np.ndarray):
-        """A row for each (size, run, language) that was seen: its language's place in langs, and its count."""
-        self.langs, self.order = langs, int(sizes.max(initial=1)) - 1
+    def __init__(self, width: int, order: int, sizes: np.ndarray, runs: np.ndarray, of: np.ndarray, n: np.ndarray):
+        """A row for each (size, run, language) that was seen: its language's column, and its count."""
+        self.width = width
         self.runs: list[Lookup] = []
         self.costs: list[np.ndarray] = []
         self.contexts: list[Lookup] = []
         self.escapes: list[np.ndarray] = []
-        for size in range(1, self.order + 2):
-            here = sizes == size
+        for size in range(1, order + 2):
+            here = np.flatnonzero(sizes == size)
             keys, at = np.unique(runs[here], return_inverse=True)
-            seen = np.zeros((len(keys), len(langs)), np.int32)
-            seen[at, of[here]] = n[here]
             context, to = np.unique(keys >> 8, return_inverse=True)
-            total, distinct = np.zeros((len(context), len(langs)), np.int64), np.zeros((len(context), len(langs)), np.int32)
-            np.add.at(total, to, seen)
-            np.add.at(distinct, to, seen > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0).astype(np.float32)
-                own = -np.log2(seen / (total + distinct)[to])
-            below = self._cost(keys & ((1 << 8 * (size - 1)) - 1), size - 1) if size > 1 else np.float32(8.0)
+            cell = to[at] * width + of[here]  # a context in a language
+            total = np.bincount(cell, weights=n[here], minlength=len(context) * width)
+            distinct = np.bincount(cell, minlength=len(context) * width)
+            escape = np.zeros(len(total), np.float32)
+            seen = np.flatnonzero(distinct)
+            escape[seen] = np.log2((total[seen] + distinct[seen]) / distinct[seen])
+            self.escapes.append(escape.reshape(-1, width))
+            below = self.cost(keys & ((1 << 8 * (size - 1)) - 1), size - 1) if size > 1 else np.full((len(keys), width), 8.0, np.float32)
+            below += self.escapes[-1][to]
+            below[at, of[here]] = np.log2((total[cell] + distinct[cell]) / n[here])
             self.runs.append(Lookup(keys))
-            self.costs.append(np.where(seen > 0, own, escape[to] + below).astype(np.float32))
+            self.costs.append(below)
             self.contexts.append(Lookup(context))
-            self.escapes.append(escape)
 
-    def _cost(self, runs: np.ndarray, size: int) -> np.ndarray:
-        """The cost of each run of some bytes in each language."""
-        out = np.zeros((len(runs), len(self.langs)), np.float32)
+    def cost(self, runs: np.ndarray, size: int) -> np.ndarray:
+        """The cost of each run of some bytes in each language of the group."""
+        out = np.zeros((len(runs), self.width), np.float32)
         open_: np.ndarray | slice = slice(None)
         for k in range(size - 1, -1, -1):
             at = self.runs[k].find(runs)
@@ -203,11 +212,24 @@ class Model:
         out[open_] += np.float32(8.0)
         return out
 
+
+class Model:
+    """Code lengths of texts in each language."""
+
+    def __init__(self, langs: list[str], sizes: np.ndarray, runs: np.ndarray, of: np.ndarray, n: np.ndarray):
+        """A row for each (size, run, language) that was seen: its language's place in langs, and its count."""
+        self.langs, self.order = langs, int(sizes.max(initial=1)) - 1
+        self.trees = []
+        for first in range(0, len(langs), GROUP):
+            here = (of >= first) & (of < first + GROUP)
+            width = min(GROUP, len(langs) - first)
+            self.trees.append(_Tree(width, self.order, sizes[here], runs[here], of[here] - first, n[here]))
+
     def bits(self, data: np.ndarray) -> np.ndarray:
         """The code length of a text in each language."""
         out = np.zeros(len(self.langs))
         for runs in _pieces(data, self.order):
-            out += self._cost(runs, self.order + 1).sum(0, dtype=np.float64)
+            out += np.concatenate([t.cost(runs, self.order + 1).sum(0, dtype=np.float64) for t in self.trees])
         return out
 
     def bits_of(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -223,9 +245,9 @@ class Model:
         lengths = np.array([len(p) for p in parts], np.int64)
         filled = np.flatnonzero(lengths)
         if len(filled):
-            cost = self._cost(np.concatenate(parts), self.order + 1)
+            runs = np.concatenate(parts)
             starts = np.concatenate([[0], np.cumsum(lengths[filled])[:-1]])
-            out[np.array(of)[filled]] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+            out[np.array(of)[filled]] = np.concatenate([np.add.reduceat(t.cost(runs, self.order + 1), starts, axis=0, dtype=np.float64) for t in self.trees], axis=1)
         return out
 
     def predict(self, bits: np.ndarray) -> tuple[str, float]:
@@ -234,19 +256,21 @@ class Model:
         return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, cells: int = MODEL_CELLS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, most: int = MODEL_RUNS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Languages, and the sizes, runs, languages' places and counts of the runs that a model takes."""
-    table = cut(counts(docs, lang_col, text_col, order), "runs")
-    # How many runs have about how many counts, by steps of a quarter of a power of two.
-    level = F.floor(F.log2("n") * 4).cast("int")
+    # A context has 256 runs at most.
+    context = Window.partitionBy("lang", "size", F.shiftright("run", 8))
+    table = cut(counts(docs, lang_col, text_col, order).withColumn("seen", F.sum("n").over(context)), "runs")
+    # How many runs lie in contexts of about how many counts, by steps of a quarter of a power of two.
+    level = F.floor(F.log2("seen") * 4).cast("int")
     steps = table.groupBy("lang", "size", level.alias("level")).agg(F.count(F.lit(1)).alias("runs")).collect()
     langs = sorted({r["lang"] for r in steps})
-    most, least = cells // max(len(langs), 1) ** 2, {}  # rows are shared by languages, and are as wide as these are many
+    share, least = most // max(len(langs), 1), {}
     for lang, size in {(r["lang"], r["size"]) for r in steps}:
         held, least[lang, size] = 0, 0
         for r in sorted((r for r in steps if (r["lang"], r["size"]) == (lang, size)), key=lambda r: -r["level"]):
             held += r["runs"]
-            if held > most:
+            if held > share and size > 1:
                 least[lang, size] = r["level"] + 1
                 break
     spark = docs.sparkSession
@@ -254,7 +278,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order
     kept = table.join(F.broadcast(floors), ["lang", "size"]).where(level >= F.col("least")).select("lang", "size", "run", "n").toArrow()
     place = {x: k for k, x in enumerate(langs)}
     of = np.fromiter((place[x] for x in kept.column("lang").to_pylist()), np.int32, kept.num_rows)
-    return langs, kept.column("size").to_numpy(), kept.column("run").to_numpy(), of, np.minimum(kept.column("n").to_numpy(), 2**31 - 1)
+    return langs, kept.column("size").to_numpy(), kept.column("run").to_numpy(), of, kept.column("n").to_numpy()
 
 
 _models: dict[str, Model] = {}

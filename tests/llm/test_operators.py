@@ -614,20 +614,87 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
         assert m.bits(data) == pytest.approx(whole, rel=1e-6)
 
 
-def test_models_of_bounded_size_take_the_commonest_runs(spark):
+def test_models_of_bounded_size_take_the_commonest_contexts_whole(spark):
     r = random.Random(4)
     rows = [(k, " ".join(r.choice(VOCAB) for _ in range(60)), "ab"[k % 2]) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    _, size, run, of, n = language_id.learn(df)
-    _, size2, run2, of2, n2 = language_id.learn(df, cells=400)
-    whole = {k: c for *k, c in zip(size.tolist(), run.tolist(), of.tolist(), n.tolist(), strict=True) for k in [tuple(k)]}
-    some = {k: c for *k, c in zip(size2.tolist(), run2.tolist(), of2.tolist(), n2.tolist(), strict=True) for k in [tuple(k)]}
+
+    def learned(**kw):
+        _, size, run, of, n = language_id.learn(df, **kw)
+        out = {}
+        for s, v, k, c in zip(size.tolist(), run.tolist(), of.tolist(), n.tolist(), strict=True):
+            out.setdefault((s, k, v >> 8), {})[v & 255] = c
+        return out
+
+    whole, some = learned(), learned(most=200)
     assert some.items() <= whole.items() and len(some) < len(whole)
     for s in range(1, 6):
         for k in (0, 1):
-            kept = [c for (x, _, y), c in some.items() if (x, y) == (s, k)]
-            gone = [c for key, c in whole.items() if (key[0], key[2]) == (s, k) and key not in some]
-            assert len(kept) <= 100 and (not gone or not kept or max(gone) <= min(kept))
+            kept = [sum(c.values()) for (x, y, _), c in some.items() if (x, y) == (s, k)]
+            gone = [sum(c.values()) for key, c in whole.items() if key[:2] == (s, k) and key not in some]
+            assert sum(len(c) for key, c in some.items() if key[:2] == (s, k)) <= 100 and (not gone or not kept or max(gone) <= min(kept))
+            assert s > 1 or not gone
+
+
+def test_languages_are_scored_in_groups(spark, monkeypatch):
+    r = random.Random(9)
+    corpus = {f"l{k:02}": " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(30)).encode() for k in range(19)}
+    texts = [np.frombuffer(t, np.uint8) for t in (*corpus.values(), b"ab", b"")]
+    grouped = language_id.Model(*_learned(corpus, 4))
+    assert [t.width for t in grouped.trees] == [8, 8, 3]
+    monkeypatch.setattr(language_id, "GROUP", 100)
+    whole = language_id.Model(*_learned(corpus, 4))
+    assert grouped.bits_of(texts) == pytest.approx(whole.bits_of(texts), rel=1e-6)  # sums of float32 in another order
+    assert [grouped.predict(b)[0] for b in grouped.bits_of(texts)[:19]] == list(corpus)
+
+
+def test_languages_of_every_document_by_brute_force(spark, tmp_path):
+    from evigraph.llm.queries import op8_partial_matching_language
+
+    r = random.Random(12)
+    words = {"a": ["sun", "moon", "stone", "River"], "b": ["sonne", "mond", "stein", "fluß"], "c": ["солнце", "луна", "камень", "река"]}
+    rows = [(k, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 9))) + r.choice(["", ".", " 12"]), lang, "s") for k, lang in enumerate("abc" * 16)]
+    rows += [(100, None, "a", "s"), (101, "12 !", "b", "s"), (102, "mond stone", None, None), (None, "луна", "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["held_out"], x["lang_pred"], x["score"]) for x in op8_partial_matching_language(spark, str(tmp_path)).collect()}
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 3 == 1
+
+    def runs(t):
+        lower = re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())
+        return b" " * 4 + re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", lower).lstrip(b" ")
+
+    tables = {}
+    for k, t, lang, _ in rows:
+        if t is not None and lang is not None and not held(k):
+            s = runs(t)
+            for i in range(4, len(s)):
+                for width in range(5):
+                    nxt = tables.setdefault(lang, {}).setdefault(s[i - width : i], {})
+                    nxt[s[i]] = nxt.get(s[i], 0) + 1
+
+    def bits(table, s):
+        total = 0.0
+        for i in range(4, len(s)):
+            for width in range(4, -1, -1):
+                nxt = table.get(s[i - width : i], {})
+                n, d = sum(nxt.values()), len(nxt)
+                if s[i] in nxt:
+                    total -= np.log2(nxt[s[i]] / (n + d))
+                    break
+                total -= np.log2(d / (n + d)) if n else 0.0
+            else:
+                total += 8
+        return total
+
+    assert len(got) == len(rows)
+    for k, t, _, _ in rows:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            assert got[k] == (held(k), "und", 0.0)
+            continue
+        cost = {lang: bits(table, runs(t)) for lang, table in tables.items()}
+        best = min(sorted(cost), key=cost.get)
+        assert got[k][:2] == (held(k), best) and got[k][2] == pytest.approx(1 / sum(2 ** (cost[best] - c) for c in cost.values()), rel=1e-3)
 
 
 def test_language_accuracy(spark, none):
