@@ -478,6 +478,16 @@ def upsert_repeated_keys(spark, d):
     return stores.upsert(t.where("doc_id % 5 = 0").select(F.col("doc_id").alias("k"), "lang", "n_chars"), new, ["k"])
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 1 THEN 'new' ELSE lang END AS lang, n_chars FROM documents WHERE doc_id % 6 <> 2")
+def stored_upserts(spark, d):
+    """A stored table: rows put in, then some in place of them, some beside them and some taken out."""
+    t = read(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    table = stores.KeyedTable(spark, fresh_path(spark, "keyed"), t.schema, ["doc_id"])
+    table.upsert(t.where("doc_id % 2 = 0"))
+    table.upsert(t.where("doc_id % 3 = 0 OR doc_id % 2 = 1").withColumn("lang", F.lit("new")), t.where("doc_id % 6 = 2").select("doc_id"))
+    return table.read()
+
+
 @query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY text")
 def ingest_firsts(spark, d):
     """The document that an ingest takes of equal texts."""
@@ -627,6 +637,16 @@ def route_decision(spark, d):
     return routing.decisions(_questions(spark, d), "question", "said", "conf").select("id", "classified", "used", "low_confidence", "path_used")
 
 
+@query(f"WITH {_QUESTIONS}, {_DECIDED} SELECT question, classified, round(c, 2) AS confidence, c < 0.6 AS low_confidence, CASE WHEN used = 'HYBRID' THEN 'HYBRID (both + merge)' || CASE WHEN c < 0.6 THEN ' [low-confidence fallback]' ELSE '' END ELSE classified END AS path_used FROM dc")
+def decision_log_kept(spark, d):
+    """Decisions added to the log in two parts, and read back from its JSON lines."""
+    path, made = fresh_path(spark, "log"), routing.decisions(_questions(spark, d), "question", "said", "conf")
+    logged = ("question", "classified", "confidence", "low_confidence", "path_used")
+    for part in range(2):
+        stores.append_log(made.where(F.col("id") % 2 == part).select(*logged), path)
+    return stores.read_log(spark, path).select(*logged)
+
+
 def _expected(spark, d):
     used = routing.decisions(_questions(spark, d), "question", "said", "conf")
     return used.withColumn("expected", F.when(F.col("id") % 3 == 0, F.array(F.lit("GRAPH"))).when(F.col("id") % 3 == 1, F.array(F.lit("VECTOR"))).otherwise(F.array(F.lit("HYBRID"), F.lit("GRAPH"))))
@@ -799,6 +819,16 @@ def score_answers(spark, d):
     return _scored(spark, d).select("id", "kind", "ok")
 
 
+@query(f"WITH {_SCORED} SELECT id, kind, ok, count(*) OVER () AS answers, count_if(ok) OVER ()::BIGINT AS hits FROM oc")
+def results_kept(spark, d):
+    """Scored answers and their summary, written and read back."""
+    path, rows = fresh_path(spark, "results"), _scored(spark, d).select("id", "kind", "ok")
+    total = rows.agg(F.count(F.lit(1)).alias("answers"), F.count_if("ok").alias("hits")).first()
+    stores.write_results(rows, total.asDict(), path)
+    kept, summary = stores.read_results(spark, path, rows.schema)
+    return kept.withColumns({k: F.lit(v).cast("long") for k, v in summary.items()})
+
+
 def _compared(spark, d):
     return _scored(spark, d).select(F.col("kind").alias("cat"), F.col("ok").alias("ours"), (F.col("ok") & (F.col("id") % 2 == 0)).alias("vanilla"))
 

@@ -344,6 +344,6 @@ def write_results(rows: DataFrame, summary: dict, path: str) -> None:
     rows.sparkSession.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
 
 
-def read_results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict]:
+def read_results(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, dict]:
     """(rows, summary) of a recorded benchmark."""
     return spark.read.schema(schema).json(f"{path}/rows"), json.loads(spark.read.text(f"{path}/summary").first()["value"])
