@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,5 +27,14 @@ def cosine(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def literal(a: ColumnLike) -> Column:
-    """'[x,y]' with eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(col(a), lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """'[x,y]' with eight decimals, null elements left out.
+
+    Decimals are rounded from the number's exact value, ties to even, as C does; Java's
+    formats round its shortest digits instead, ties up.
+    """
+
+    @F.arrow_udf("string")
+    def text(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "[" + ",".join(["%.8f" % y for y in x if y is not None]) + "]" for x in v.to_pylist()], pa.string())
+
+    return text(col(a).cast("array<double>"))

@@ -111,3 +111,10 @@ def test_answers_are_cut_into_blocks_and_tokens(spark):
     assert [(b["kind"], b["items"]) for b in blocks] == [("p", ["Intro **b [G1]** and [P2]. goes on"]), ("ul", ["one [G1]", "two"]), ("p", ["* a b"])] and none == []
     tokens = d.select(X.inline_tokens(F.lit("x **b [G1]** [P2][G12]. ")).alias("k")).first()["k"]
     assert [tuple(t) for t in tokens] == [("text", "x "), ("bold", "b [G1]"), ("text", " "), ("cite", "P2"), ("cite", "G12"), ("text", ". ")]
+
+
+def test_literals_round_the_exact_value(spark):
+    """Ties go to even, as in C and the SQL; 0.123456785 lies below the tie that its digits show."""
+    d = spark.createDataFrame([([0.001953125, 0.005859375, -0.001953125],), ([0.123456785, None, 1e20],), ([],), (None,)], "v array<double>")
+    got = [r["t"] for r in d.select(V.literal("v").alias("t")).collect()]
+    assert got == ["[0.00195312,0.00585938,-0.00195312]", "[0.12345678,100000000000000000000.00000000]", "[]", None]
