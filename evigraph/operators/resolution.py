@@ -42,14 +42,21 @@ def near_matches(vectors: DataFrame, threshold: float = THRESHOLD, band: float =
     return similar_pairs(vectors, threshold - band, group_col, id_col, vec_col).where(F.col("similarity") < threshold)
 
 
-def survivors(entities: DataFrame, component: DataFrame) -> DataFrame:
-    """(eid, survivor, name, aliases, members): the longest name survives, all names are aliases."""
+def component_survivors(entities: DataFrame, component: DataFrame) -> DataFrame:
+    """(component, survivor, name, aliases, members), a row for each component: the longest name survives, all names are aliases."""
     named = entities.select("eid", "name").join(component, "eid")
     best = named.groupBy("component").agg(
         F.min_by(F.struct("eid", "name"), F.struct(-F.length("name"), "eid")).alias("s"), F.array_sort(F.collect_set("name")).alias("aliases"), F.count(F.lit(1)).alias("members")
     )
-    best = best.select("component", F.col("s.eid").alias("survivor"), F.col("s.name").alias("name"), "aliases", "members")
-    return component.join(best, "component").select("eid", "survivor", "name", "aliases", "members")
+    return best.select("component", F.col("s.eid").alias("survivor"), F.col("s.name").alias("name"), "aliases", "members")
+
+
+def survivors(entities: DataFrame, component: DataFrame) -> DataFrame:
+    """(eid, survivor, name, aliases, members) of every entity: what its component has, with all aliases beside each member.
+
+    Of large components take component_survivors(), which has the names once.
+    """
+    return component.join(component_survivors(entities, component), "component").select("eid", "survivor", "name", "aliases", "members")
 
 
 def plan(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -224,3 +224,20 @@ def test_paths_of_many_pairs(spark):
     assert len(got) == len(want) and {(x["a"], x["b"]): (x["hops"], x["path"], x["relations"]) for x in got} == want
     assert max(w[0] for w in want.values()) == 4
     assert paths.paths_between(g, spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_survivors_hold_the_names_of_a_component_once(spark, monkeypatch):
+    """A row for each component; er_survivors takes these, so the names don't go to every member."""
+    from evigraph.plans import registry
+
+    e = spark.createDataFrame([(k, "v" * (k % 3 + 1) + str(k)) for k in range(200)] + [(500, "alone")], "eid long, name string")
+    comp = e.select("eid", F.when(F.col("eid") < 200, 0).otherwise(F.col("eid")).cast("long").alias("component"))
+    best = {r["component"]: r for r in resolution.component_survivors(e, comp).collect()}
+    assert set(best) == {0, 500} and best[500]["members"] == 1 and best[0]["members"] == 200
+    assert best[0]["survivor"] == 101 and best[0]["aliases"] == sorted("v" * (k % 3 + 1) + str(k) for k in range(200))
+
+    def spread(entities, component):
+        raise AssertionError("aliases beside each member")
+
+    monkeypatch.setattr(resolution, "survivors", spread)
+    assert registry.er_survivors(spark, "/root/testdata/sf0.001").count() > 0
