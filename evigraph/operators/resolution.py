@@ -9,7 +9,7 @@ from evigraph.functions.text import canonical
 from evigraph.operators.components import components
 from evigraph.operators.graph import Graph
 from evigraph.operators.maintain import apply_merge
-from evigraph.operators.vectors import similar_pairs
+from evigraph.operators.vectors import similar_links, similar_pairs
 
 THRESHOLD, NEAR = 0.90, 0.08
 
@@ -37,6 +37,14 @@ def cosine_links(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return named.select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b"), "similarity")
 
 
+def cosine_stars(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): links whose components are those of cosine_links()."""
+    n = numbered(entities)
+    who = n.select("vec_id", "eid")
+    pairs = similar_links(n, threshold, "label")
+    return pairs.join(who.toDF("a", "ea"), "a").join(who.toDF("b", "eb"), "b").select(F.col("ea").alias("a"), F.col("eb").alias("b"))
+
+
 def near_matches(vectors: DataFrame, threshold: float = THRESHOLD, band: float = NEAR, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Pairs a little below the threshold, for reviewing it (I4)."""
     return similar_pairs(vectors, threshold - band, group_col, id_col, vec_col).where(F.col("similarity") < threshold)
@@ -61,7 +69,7 @@ def survivors(entities: DataFrame, component: DataFrame) -> DataFrame:
 
 def plan(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The merges that resolution would make: survivors of components of several members."""
-    links = exact_links(entities).unionByName(cosine_links(entities, threshold).select("a", "b"))
+    links = exact_links(entities).unionByName(cosine_stars(entities, threshold))
     return survivors(entities, components(links, entities.select("eid"))).where("members > 1")
 
 

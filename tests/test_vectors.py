@@ -76,3 +76,40 @@ def test_topk_in_blocks_equals_loops(spark, block, rows):
         order = sorted((-round(float(u[q] @ u[k]), 12), k) for k in range(220) if k != q)[:4]
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [k for _, k in order]
     assert vectors.topk_batch(v, v.limit(0), 4).count() == 0 and vectors.topk_batch(v.limit(0), v, 4, block=block).count() == 0
+
+
+def _reach(pairs, n):
+    root = list(range(n))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(k) for k in range(n)]
+
+
+@pytest.mark.parametrize(("block", "threshold"), [(8192, 0.8), (24, 0.8), (24, 0.95)])
+def test_stars_have_the_components_of_all_pairs(spark, block, threshold):
+    """In groups of near copies there are about as many links as vectors, not as pairs; no end is lost."""
+    x = np.concatenate([clustered(3, 150, 12, 4), np.repeat(clustered(4, 3, 12, 3), 60, axis=0) + np.random.default_rng(1).normal(size=(180, 12)) * 1e-3])
+    got = [(r["a"], r["b"]) for r in vectors.similar_links(table(spark, x), threshold, block=block).collect()]
+    want = brute(x, threshold)
+    assert _reach(got, len(x)) == _reach(want, len(x)) and {i for p in got for i in p} == {i for p in want for i in p}
+    if block > len(x):
+        assert len(got) < len(x) < len(want) / 10
+
+
+def test_single_precision_keeps_pairs_at_the_threshold():
+    """Pairs that lie within single precision of the threshold are judged in double precision."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = vectors._Rotation(x, 40, 1)
+    s = (x[:, None, :] * x[None, :, :]).sum(axis=2)
+    for threshold in np.sort(s[np.triu_indices(300, 1)])[[-1, -7, -200, -2000]]:
+        i, j, sims, met = vectors._near(x, x, turn.of(x), turn.of(x), threshold)
+        assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(s >= threshold), strict=True)) and met >= len(i)
+        assert (sims == s[i, j]).all()
