@@ -23,6 +23,8 @@ QUERY_BLOCK = 4096
 TOPK_ROWS = 65_536
 #: Pairs of a query and a row in a matrix product of the batch top-k.
 TOPK_PAIRS = 1 << 18
+#: Products of queries and centroids that an index sorts at once.
+CHOICES = 1 << 18
 #: How far products of equal vectors may differ by the order of their sums.
 NOISE = 1e-11
 #: Vectors in a block of the similarity join, those held against a block at once, and pairs worked out at once.
@@ -433,8 +435,13 @@ class IvfIndex:
         id_col, vec_col = self.id_col, self.vec_col
 
         def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
-            near = np.argsort(-_common(matrix(batch.column(1)), sent.value), axis=1, kind="stable")[:, :count]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "q", "near"])
+            q, lists = matrix(batch.column(1)), len(sent.value)
+            step, some = max(1, CHOICES // lists), min(count, lists)
+            near = np.empty((len(q), some), np.int32)
+            for at in range(0, len(q), step):
+                near[at : at + step] = np.argsort(-_common(q[at : at + step], sent.value), axis=1, kind="stable")[:, :some]
+            ends = pa.array(np.arange(len(q) + 1, dtype=np.int32) * some)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(near.reshape(-1)))], ["query_id", "q", "near"])
 
         kind = dict(queries.dtypes)[vec_col]
         probe = _mapped(queries.select(self._number(queries).alias("query_id"), F.col(vec_col).alias("q")), choose, f"query_id long, q {kind}, near array<int>")

@@ -113,3 +113,14 @@ def test_single_precision_keeps_pairs_at_the_threshold():
         i, j, sims, met = vectors._near(x, x, turn.of(x), turn.of(x), threshold)
         assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(s >= threshold), strict=True)) and met >= len(i)
         assert (sims == s[i, j]).all()
+
+
+def test_an_index_chooses_lists_in_steps(spark, monkeypatch):
+    """The lists of a batch of queries are sorted some queries at a time, with the same answer."""
+    x = clustered(6, 400, 8, 5)
+    v = table(spark, x)
+    q = v.where("vec_id % 4 = 0").coalesce(1)
+    ivf = vectors.IvfIndex(v, lists=20)
+    monkeypatch.setattr(vectors, "CHOICES", 60)
+    row = vectors.recall(ivf.topk_batch(q, probes=20), vectors.topk_batch(v, q)).first()
+    assert (row["queries"], row["hits"], row["gold"]) == (100, 500, 500)
