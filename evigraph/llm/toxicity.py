@@ -3,8 +3,8 @@
 A word is one row of hashed embeddings for the whole word and one for each of its
 beginnings of 4, 5 and 6 bytes, so that inflected forms share what is learnt of a stem.
 Filters over one, two and three words run over the whole text; the largest value of each
-filter, at least 0, goes into a logistic unit. All of it is trained in NumPy by Adagrad;
-only the place where a filter was largest is learnt from. So that these places are worth
+filter, at least 0, goes into a logistic unit. All of it is trained in NumPy by Adagrad in
+the tasks that hold the labelled texts; only the place where a filter was largest is learnt from. So that these places are worth
 learning from at once, the first number of an embedding begins as the log-odds of its row
 between texts of either label, the others at random. Only words and beginnings that
 KNOWN_TEXTS training texts hold have embeddings other than 0. The epoch of least loss on a
@@ -15,9 +15,13 @@ than CALIBRATE positives takes that of all together. A score is the probability
 that the threshold of the text's language lies at 0.5. The language is told from the
 text, by naive Bayes over hashed words learnt from the training texts.
 
-The fit uses a bounded sample of the labelled rows: the MOST_LABELLED of smallest hash of
-the id, and of these, in that order, what fits into MOST_WORDS words; it is trained on
-the driver. All texts are scored whole.
+The fit uses every labelled row. Counts of rows and languages are summed up by Spark. In an
+epoch each task trains a copy of the numbers on its own texts, about SHARD_ROWS of them and
+more where that would make over MOST_SHARDS tasks; the copies' changes are averaged after
+it, those of an embedding over the tasks that changed it. Training ends with the first
+epoch that doesn't lower the loss. The driver holds the model, never texts. Which texts are
+trained on together depends on how the stored files are read, so clusters of other sizes
+have slightly different scores. All texts are scored whole.
 
 Cases: a null or empty text has no words, all its filters are 0; without labelled rows
 all scores are 0; with labels of one kind only, the share of that kind decides; of several
@@ -34,13 +38,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import bytetext as B
 from evigraph.llm.shared import cut, prepare
 
-MOST_LABELLED, MOST_WORDS = 4096, 1 << 22
+#: Texts that a task trains on, about, and tasks at most.
+SHARD_ROWS, MOST_SHARDS = 4096, 64
+#: Rows of a table whose changes are averaged at once; steps of probability told apart by thresholds.
+CHUNK_ROWS, STEPS = 1 << 14, 1 << 16
 #: Rows of each table, numbers of each row, filters of each width.
 TABLE_BITS, WIDTH, FILTERS, WIDTHS = 17, 6, 8, 3
 #: Bytes of the beginnings that have a table each, after the whole word's.
@@ -50,7 +58,7 @@ KNOWN_TEXTS = 3
 #: Texts of either label that every row counts as seen in beside its own.
 SMOOTH = 2
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.05, 1e-4, 13
-#: Every CALIBRATE_EVERY-th sampled row is kept apart; positives that a language needs there.
+#: One of CALIBRATE_EVERY labelled rows is kept apart, by hash; positives that a language needs there.
 CALIBRATE_EVERY, CALIBRATE = 4, 5
 #: Buckets of words, and languages at most, of the language model.
 LANGUAGE_BITS, MOST_LANGUAGES = 13, 256
@@ -107,6 +115,13 @@ class Filters:
     def copy(self) -> list[np.ndarray]:
         return [a.copy() for a in self.arrays()]
 
+    @classmethod
+    def of(cls, arrays: list[np.ndarray]) -> Filters:
+        out = cls.__new__(cls)
+        out.tables = [None] * (len(arrays) - 4)
+        out.restore(arrays)
+        return out
+
     def restore(self, arrays: list[np.ndarray]) -> None:
         *self.tables, self.kernel, self.bias, self.out, base = arrays
         self.base = base[0]
@@ -221,6 +236,17 @@ class Languages:
         for bag, lang in zip(bags, langs, strict=True):
             if lang in at:
                 counts[:, at[lang]] += bag
+        self._costs(counts)
+
+    @classmethod
+    def counted(cls, names: list[str], counts: np.ndarray) -> Languages:
+        """From the counts of every bucket and language; the commonest language is first."""
+        out = cls.__new__(cls)
+        out.names = names
+        out._costs(counts + 0.1)
+        return out
+
+    def _costs(self, counts: np.ndarray) -> None:
         self.costs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     def of(self, texts: list[Text]) -> np.ndarray:
@@ -240,9 +266,29 @@ def _threshold(p: np.ndarray, label: np.ndarray) -> float:
     return float(np.clip((p[k] + below) / 2, 0.02, 0.98))
 
 
+def _step_threshold(low: np.ndarray, high: np.ndarray, n: np.ndarray, hits: np.ndarray) -> float:
+    """The same from steps of probability: the least and largest in each, how many and how many positives."""
+    order = np.argsort(-high, kind="stable")
+    low, high, n, hit = low[order], high[order], np.cumsum(n[order]), np.cumsum(hits[order])
+    k = int(np.argmax(2 * hit / (n + max(hit[-1], 1))))
+    return float(np.clip((low[k] + (high[k + 1] if k + 1 < len(low) else 0.0)) / 2, 0.02, 0.98))
+
+
+def _odds(seen: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log-odds of rows from how many texts of either label hold them; NaN where too few do."""
+    share = (seen + SMOOTH) / (size[:, None] + 2 * SMOOTH)
+    return np.where(seen.sum(axis=0) >= KNOWN_TEXTS, np.log(share[1] / share[0]), np.nan)
+
+
 class Model:
     """The filters, the languages and their thresholds."""
 
+    @classmethod
+    def of(cls, languages: Languages, net: Filters, thresholds: np.ndarray, empty: bool) -> Model:
+        out = cls.__new__(cls)
+        out.languages, out.net, out.thresholds, out.empty = languages, net, thresholds, empty
+        return out
+
     def __init__(self, texts: list[Text], labels: np.ndarray, langs: list[str]):
         apart = np.arange(len(texts)) % CALIBRATE_EVERY == CALIBRATE_EVERY - 1
         learn, test = np.flatnonzero(~apart), np.flatnonzero(apart)
@@ -252,8 +298,7 @@ class Model:
             seen = np.zeros((2, _ROWS), np.int32)
             for k in learn:
                 seen[int(labels[k] > 0), np.unique(texts[k].rows[c])] += 1
-            share = (seen + SMOOTH) / (np.bincount((labels[learn] > 0).astype(int), minlength=2)[:, None] + 2 * SMOOTH)
-            odds.append(np.where(seen.sum(axis=0) >= KNOWN_TEXTS, np.log(share[1] / share[0]), np.nan))
+            odds.append(_odds(seen, np.bincount((labels[learn] > 0).astype(int), minlength=2)))
         self.net = Filters(odds, float(labels[learn].mean()) if len(learn) else 0.0)
         self.empty = not len(texts)
         if len(learn) and 0 < labels[learn].sum() < len(learn):
@@ -290,12 +335,128 @@ class Model:
         return np.where(p < t, p / (2 * t), 0.5 + (p - t) / (2 * (1 - t)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", most: int = MOST_LABELLED, most_words: int = MOST_WORDS) -> Model:
-    """Train on the labelled rows of smallest hash; labels is (id, label)."""
+def _texts(batch: pa.RecordBatch) -> list[Text]:
+    """The stored texts of a batch, whose first columns are rows, bucket and count."""
+    out = []
+    for r, b, c in zip(*(batch.column(k) for k in range(3)), strict=True):
+        bag = np.zeros(1 << LANGUAGE_BITS, np.float32)
+        bag[b.values.to_numpy()] = c.values.to_numpy()
+        out.append(Text(r.values.to_numpy().reshape(len(BEGINNINGS) + 1, -1), bag))
+    return out
+
+
+def _counted(learn: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(texts of either label that hold each row of each table, languages, counts of each bucket and language)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, (len(BEGINNINGS) + 1) * _ROWS), np.int64)
+        for batch in batches:
+            for t, label in zip(_texts(batch), batch.column("label").to_pylist(), strict=True):
+                for c, own in enumerate(t.rows):
+                    seen[int(label > 0), c * _ROWS + np.unique(own)] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["at", "clean", "toxic"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for t, lang in zip(_texts(batch), batch.column("lang").to_pylist(), strict=True):
+                counts[lang] = counts.get(lang, 0) + t.bag.astype(np.float64)
+        for lang, bag in counts.items():
+            at = np.flatnonzero(bag)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(bag[at])], ["lang", "bucket", "n"])
+
+    met = learn.mapInArrow(rows, "at long, clean long, toxic long").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # a row of the tables each
+    seen = np.zeros((2, (len(BEGINNINGS) + 1) * _ROWS), np.int64)
+    for k, name in enumerate(("clean", "toxic")):
+        seen[k, met["at"].to_numpy()] = met[name].to_numpy()
+    common = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    names = [r["lang"] for r in common.collect()] or ["und"]
+    known = learn.where(F.col("lang").isin(names)).mapInArrow(words, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts, place = np.zeros((1 << LANGUAGE_BITS, len(names))), {x: k for k, x in enumerate(names)}
+    counts[known["bucket"].to_numpy(), [place[x] for x in known["lang"].to_pylist()]] = known["n"].to_numpy()
+    return seen.reshape(2, len(BEGINNINGS) + 1, _ROWS), names, counts
+
+
+def _epoch(learn: DataFrame, arrays: list[np.ndarray], sums: list[np.ndarray]) -> None:
+    """Train copies of the numbers in the tasks, and add what they changed on average; sums are Adagrad's."""
+    sent = learn.sparkSession.sparkContext.broadcast((arrays, sums))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, before_sums = sent.value
+        net = Filters.of([a.copy() for a in before])
+        trainer, texts, labels = _Trainer(net), [], []
+        trainer.sums = [a.copy() for a in before_sums]
+        for batch in batches:
+            texts += _texts(batch)
+            labels += batch.column("label").to_pylist()
+            while len(texts) >= BATCH:
+                trainer.batch(texts[:BATCH], np.array(labels[:BATCH]))
+                del texts[:BATCH], labels[:BATCH]
+        if texts:
+            trainer.batch(texts, np.array(labels))
+        part = TaskContext.get().partitionId()
+        for k, (a, b, x, y) in enumerate(zip(net.arrays(), before, trainer.sums, before_sums, strict=True)):
+            moved, grown = ((p - q).reshape(len(p), -1) for p, q in ((a, b), (x, y)))
+            for at in range(0, len(moved), CHUNK_ROWS):
+                own = at + np.flatnonzero(grown[at : at + CHUNK_ROWS].any(axis=1))
+                if len(own):
+                    lists = [pa.array([c], pa.list_(kind)) for c, kind in ((own.astype(np.int32), pa.int32()), (moved[own].reshape(-1), pa.float32()), (grown[own].reshape(-1), pa.float32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([part], pa.int32()), *lists], ["k", "chunk", "part", "at", "moved", "grown"])
+
+    schema = "k int, chunk int, part int, at array<int>, moved array<float>, grown array<float>"
+
+    def mean(changes: pa.Table) -> pa.Table:
+        changes = changes.sort_by("part").combine_chunks()
+        at = np.concatenate([x.values.to_numpy() for x in changes["at"]])
+        ids, inverse, n = np.unique(at, return_inverse=True, return_counts=True)
+        lists = [pa.array([ids], pa.list_(pa.int32()))]
+        for name in ("moved", "grown"):
+            x = np.concatenate([v.values.to_numpy() for v in changes[name]]).reshape(len(at), -1)
+            total = np.zeros((len(ids), x.shape[1]))
+            np.add.at(total, inverse, x)
+            lists.append(pa.array([(total / n[:, None]).astype(np.float32).reshape(-1)], pa.list_(pa.float32())))
+        return pa.table([changes["k"].slice(0, 1), changes["chunk"].slice(0, 1), pa.array([0], pa.int32()), *lists], ["k", "chunk", "part", "at", "moved", "grown"])
+
+    for r in learn.mapInArrow(train, schema).groupBy("k", "chunk").applyInArrow(mean, schema).toArrow().to_batches():  # as much as the model
+        for k, at, moved, grown in zip(*(r.column(c) for c in ("k", "at", "moved", "grown")), strict=True):
+            k, at = k.as_py(), at.values.to_numpy()
+            for a, x in ((arrays[k], moved), (sums[k], grown)):
+                a[at] += x.values.to_numpy().reshape(len(at), *a.shape[1:])
+    sent.destroy()
+
+
+def _scored(held: DataFrame, net: Filters, languages: Languages) -> DataFrame:
+    """(lang, p, label): the number of the language that a text has by its words, and its probability."""
+    sent = held.sparkSession.sparkContext.broadcast((net, languages))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, languages = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                texts = _texts(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(languages.of(texts)), pa.array(net.probability(texts)), batch.column("label")], ["lang", "p", "label"])
+
+    return held.mapInArrow(run, "lang long, p double, label double")
+
+
+def _loss(held: DataFrame, net: Filters, languages: Languages) -> float:
+    p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    return -_scored(held, net, languages).agg(F.avg(F.when(F.col("label") > 0, F.log(p)).otherwise(F.log1p(-p)))).first()[0]
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", most: int | None = None, most_words: int | None = None) -> Model:
+    """Train on all labelled rows; labels is (id, label).
+
+    A caller who wants a model of fewer rows gives most, of smallest hash of the id, or
+    most_words, which these may have together.
+    """
     prepare(docs.sparkSession)
     named = labels.select(F.col(labels.columns[0]).alias("id"), F.col(labels.columns[1]).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
-    few = named.groupBy("id").agg(F.min("label").alias("label")).withColumn("o", F.xxhash64("id")).orderBy("o", "id").limit(most)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")).join(F.broadcast(few), "id")
+    named = named.groupBy("id").agg(F.min("label").alias("label")).withColumn("o", F.xxhash64("id"))
+    if most is not None:
+        named = named.orderBy("o", "id").limit(most)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")).join(named, "id")
     src = found.groupBy("o", "id").agg(F.min(F.struct("text", "lang")).alias("row"), F.min("label").alias("label")).select("row.text", "row.lang", F.col("label").cast("double").alias("label"), "o", F.col("id").cast("string").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,21 +465,40 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             lists = [pa.array([t.rows.reshape(-1) for t in texts], pa.list_(pa.int32())), pa.array([np.flatnonzero(t.bag).astype(np.int32) for t in texts], pa.list_(pa.int32())), pa.array([t.bag[t.bag > 0] for t in texts], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([*lists, pa.array([t.rows.shape[1] for t in texts], pa.int64()), *batch.columns[1:]], ["rows", "bucket", "count", "n", "lang", "label", "o", "id"])
 
-    sample = cut(src.mapInArrow(run, "rows array<int>, bucket array<int>, count array<float>, n long, lang string, label double, o long, id string"), "toxicity-sample")
-    sizes, total, last = sample.select("o", "id", "n").toArrow().to_pylist(), 0, None
-    for r in sorted(sizes, key=lambda r: (r["o"], r["id"])):
-        total += r["n"]
-        if total > most_words:
-            break
-        last = r
-    kept = sample.where(F.struct("o", "id") <= F.struct(F.lit(last["o"]), F.lit(last["id"]))) if last else sample.limit(0)
-    table = kept.toArrow().combine_chunks().sort_by([("o", "ascending"), ("id", "ascending")])
-    texts = []
-    for r, b, c in zip(table.column("rows"), table.column("bucket"), table.column("count"), strict=True):
-        bag = np.zeros(1 << LANGUAGE_BITS, np.float32)
-        bag[b.values.to_numpy()] = c.values.to_numpy()
-        texts.append(Text(r.values.to_numpy().reshape(len(BEGINNINGS) + 1, -1), bag))
-    return Model(texts, np.array(table.column("label").to_pylist(), np.float64), table.column("lang").to_pylist())
+    # By the hash, so that a task's texts are as all are, in an order drawn once.
+    table = src.sortWithinPartitions("o", "id").mapInArrow(run, "rows array<int>, bucket array<int>, count array<float>, n long, lang string, label double, o long, id string")
+    if most_words is not None:
+        table = table.withColumn("n", F.sum("n").over(Window.orderBy("o", "id"))).where(F.col("n") <= most_words)
+    table = cut(table.withColumn("apart", F.pmod(F.xxhash64("o", F.lit("apart")), F.lit(CALIBRATE_EVERY)) == 0).drop("id"), "toxicity-rows")
+    learn, held = table.where("NOT apart"), table.where("apart")
+    size = {r["apart"]: r for r in table.groupBy("apart").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("hits")).collect()}
+    n, hits = (size[False]["n"], size[False]["hits"]) if False in size else (0, 0)
+    if True not in size:
+        held = learn
+    learn = learn.coalesce(min(MOST_SHARDS, max(1, -(-n // SHARD_ROWS))))
+    seen, names, counts = _counted(learn)
+    languages = Languages.counted(names, counts)
+    net = Filters([_odds(x, np.array([n - hits, hits])) for x in seen.transpose(1, 0, 2)], hits / n if n else 0.0)
+    if 0 < hits < n:
+        arrays = net.copy()
+        sums, best = [np.full(a.shape, 1e-3, np.float32) for a in arrays], np.inf
+        for _ in range(EPOCHS):
+            _epoch(learn, arrays, sums)
+            loss = _loss(held, Filters.of(arrays), languages)
+            if loss >= best:
+                break
+            best = loss
+            net.restore([a.copy() for a in arrays])
+    steps = _scored(held, net, languages).groupBy("lang", F.floor(F.col("p") * STEPS).alias("step"))
+    steps = steps.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("hits")).toArrow()  # STEPS for each language at most
+    by = {c: steps[c].to_numpy() for c in steps.column_names}
+    every = np.ones(len(by["n"]), bool)
+    over = lambda own: _step_threshold(*(by[c][own] for c in ("low", "high", "n", "hits")))
+    thresholds = np.full(len(names), over(every) if by["hits"].sum() else 0.5)
+    for k in range(len(names)):
+        if by["hits"][by["lang"] == k].sum() >= CALIBRATE:
+            thresholds[k] = over(by["lang"] == k)
+    return Model.of(languages, net, thresholds, not size)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -124,3 +124,23 @@ def test_folds_are_those_of_the_contract(spark):
 
     out = spark.range(200).select("id", (language_id.fold("id", 5) == 0).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in out)
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """No row is left out of the counts, however many there are; several tasks train as one does."""
+    data = labelled(900, 12)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, _, lang) in enumerate(data)], "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(k, y) for k, (_, y, _) in enumerate(data)], "doc_id long, toxic int")
+    met, counted = [], toxicity._counted
+
+    def spy(learn):
+        met.append(learn.count())
+        return counted(learn)
+
+    monkeypatch.setattr(toxicity, "_counted", spy)
+    model = toxicity.fit(docs, labels)
+    apart = spark.range(900).where(F.pmod(F.xxhash64(F.xxhash64("id"), F.lit("apart")), F.lit(toxicity.CALIBRATE_EVERY)) == 0).count()
+    assert met == [900 - apart]
+    texts, truth, _ = zip(*labelled(200, 13), strict=True)
+    assert np.mean((model.scores(as_texts(texts)) >= 0.5) == np.array(truth, bool)) > 0.97
