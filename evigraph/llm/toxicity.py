@@ -19,7 +19,7 @@ The fit uses every labelled row. Counts of rows and languages are summed up by S
 epoch each task trains a copy of the numbers on its own texts, about SHARD_ROWS of them and
 more where that would make over MOST_SHARDS tasks; the copies' changes are averaged after
 it, those of an embedding over the tasks that changed it. Training ends with the first
-epoch that doesn't lower the loss. The driver holds the model, never texts. Which texts are
+epoch that lowers the loss by less than LEAST_GAIN, EPOCHS at most. The driver holds the model, never texts. Which texts are
 trained on together depends on how the stored files are read, so clusters of other sizes
 have slightly different scores. All texts are scored whole.
 
@@ -47,6 +47,8 @@ from evigraph.llm.shared import cut, prepare
 
 #: Texts that a task trains on, about, and tasks at most.
 SHARD_ROWS, MOST_SHARDS = 4096, 64
+#: What an epoch must take off the loss for another to follow.
+LEAST_GAIN = 0.005
 #: Rows of a table whose changes are averaged at once; steps of probability told apart by thresholds.
 CHUNK_ROWS, STEPS = 1 << 14, 1 << 16
 #: Rows of each table, numbers of each row, filters of each width.
@@ -335,8 +337,10 @@ class Model:
         return np.where(p < t, p / (2 * t), 0.5 + (p - t) / (2 * (1 - t)))
 
 
-def _texts(batch: pa.RecordBatch) -> list[Text]:
-    """The stored texts of a batch, whose first columns are rows, bucket and count."""
+def _texts(batch: pa.RecordBatch, bags: bool = False) -> list[Text]:
+    """The stored texts of a batch, whose first columns are rows, bucket and count; without bags these are empty."""
+    if not bags:
+        return [Text(r.values.to_numpy().reshape(len(BEGINNINGS) + 1, -1), np.empty(0, np.float32)) for r in batch.column(0)]
     out = []
     for r, b, c in zip(*(batch.column(k) for k in range(3)), strict=True):
         bag = np.zeros(1 << LANGUAGE_BITS, np.float32)
@@ -360,8 +364,9 @@ def _counted(learn: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for t, lang in zip(_texts(batch), batch.column("lang").to_pylist(), strict=True):
-                counts[lang] = counts.get(lang, 0) + t.bag.astype(np.float64)
+            for at, n, lang in zip(batch.column("bucket"), batch.column("count"), batch.column("lang").to_pylist(), strict=True):
+                # Buckets of a text are distinct.
+                counts.setdefault(lang, np.zeros(1 << LANGUAGE_BITS))[at.values.to_numpy()] += n.values.to_numpy()
         for lang, bag in counts.items():
             at = np.flatnonzero(bag)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(bag[at])], ["lang", "bucket", "n"])
@@ -426,23 +431,24 @@ def _epoch(learn: DataFrame, arrays: list[np.ndarray], sums: list[np.ndarray]) -
     sent.destroy()
 
 
-def _scored(held: DataFrame, net: Filters, languages: Languages) -> DataFrame:
-    """(lang, p, label): the number of the language that a text has by its words, and its probability."""
+def _scored(held: DataFrame, net: Filters, languages: Languages | None = None) -> DataFrame:
+    """(lang, p, label): the number of the language that a text has by its words, if languages are given, and its probability."""
     sent = held.sparkSession.sparkContext.broadcast((net, languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, languages = sent.value
         for batch in batches:
             if batch.num_rows:
-                texts = _texts(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(languages.of(texts)), pa.array(net.probability(texts)), batch.column("label")], ["lang", "p", "label"])
+                texts = _texts(batch, bags=languages is not None)
+                lang = languages.of(texts) if languages else np.zeros(len(texts), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(net.probability(texts)), batch.column("label")], ["lang", "p", "label"])
 
     return held.mapInArrow(run, "lang long, p double, label double")
 
 
-def _loss(held: DataFrame, net: Filters, languages: Languages) -> float:
+def _loss(held: DataFrame, net: Filters) -> float:
     p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
-    return -_scored(held, net, languages).agg(F.avg(F.when(F.col("label") > 0, F.log(p)).otherwise(F.log1p(-p)))).first()[0]
+    return -_scored(held, net).agg(F.avg(F.when(F.col("label") > 0, F.log(p)).otherwise(F.log1p(-p)))).first()[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", most: int | None = None, most_words: int | None = None) -> Model:
@@ -484,11 +490,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         sums, best = [np.full(a.shape, 1e-3, np.float32) for a in arrays], np.inf
         for _ in range(EPOCHS):
             _epoch(learn, arrays, sums)
-            loss = _loss(held, Filters.of(arrays), languages)
-            if loss >= best:
+            loss = _loss(held, Filters.of(arrays))
+            gain, best = best - loss, min(best, loss)
+            if gain > 0:
+                net.restore([a.copy() for a in arrays])
+            if gain < LEAST_GAIN:
                 break
-            best = loss
-            net.restore([a.copy() for a in arrays])
     steps = _scored(held, net, languages).groupBy("lang", F.floor(F.col("p") * STEPS).alias("step"))
     steps = steps.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("hits")).toArrow()  # STEPS for each language at most
     by = {c: steps[c].to_numpy() for c in steps.column_names}
