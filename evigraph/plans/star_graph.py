@@ -42,19 +42,22 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     s, c, line = read(spark, d, "supplier"), read(spark, d, "customer"), read(spark, d, "lineitem")
-    src = F.min(_row("lineitem:", "l_orderkey", "l_linenumber")).alias("triplet_source_id")
+    # The hash as bytes, of the same order and half the length.
+    src = F.min(F.unhex(_row("lineitem:", "l_orderkey", "l_linenumber"))).alias("source")
     sold = line.groupBy("l_suppkey", "l_partkey").agg(src)
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     served = line.join(orders, "l_orderkey").groupBy("l_suppkey", "o_custkey").agg(src)
 
+    hexed = F.lower(F.hex("source"))
+
     def edge(t: DataFrame, a: tuple, rel: str, b: tuple, source) -> DataFrame:
         return t.select(_id(*a).alias("src"), F.lit(rel).alias("rel"), _id(*b).alias("dst"), source.alias("triplet_source_id"))
 
     out = edge(s, ("S", "s_suppkey"), "HEADQUARTERED_IN", ("N", "s_nationkey"), _row("supplier:", "s_suppkey"))
     out = out.unionByName(edge(c, ("C", "c_custkey"), "HEADQUARTERED_IN", ("N", "c_nationkey"), _row("customer:", "c_custkey")))
     out = out.unionByName(edge(c, ("C", "c_custkey"), "OPERATES_SEGMENT", ("G", "c_mktsegment"), _row("customer:", "c_custkey")))
-    out = out.unionByName(edge(sold, ("S", "l_suppkey"), "OFFERS_PRODUCT", ("P", "l_partkey"), F.col("triplet_source_id")))
-    return out.unionByName(edge(served, ("S", "l_suppkey"), "SUPPLIES_TO", ("C", "o_custkey"), F.col("triplet_source_id")))
+    out = out.unionByName(edge(sold, ("S", "l_suppkey"), "OFFERS_PRODUCT", ("P", "l_partkey"), hexed))
+    return out.unionByName(edge(served, ("S", "l_suppkey"), "SUPPLIES_TO", ("C", "o_custkey"), hexed))
 
 
 def star_graph(spark: SparkSession, d: str) -> Graph:
