@@ -1,7 +1,7 @@
 """Shortest paths by breadth-first search over DataFrames.
 
-Each round joins the frontier with the undirected edges and drops what was visited;
-only one state a node moves on. Rounds end when the frontier is empty or the depth
+The edges are stored once, in their own direction, and read in both. Each round joins
+the frontier with them and drops what was visited; only one state a node moves on. Rounds end when the frontier is empty or the depth
 bound is met, and each is materialised, so the plan does not grow.
 """
 
@@ -18,9 +18,15 @@ from evigraph.session import materialise
 MOST_HOPS = 5
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """(here, rel, there) in both directions of stored edges (src, rel, dst); parallel ones and self-loops stay."""
+    e = edges.select(F.col("src").alias("here"), "rel", F.col("dst").alias("there"))
+    return e.unionByName(e.select(F.col("there").alias("here"), "rel", F.col("here").alias("there")))
+
+
 def hop_distances(g: Graph, names: Sequence[str], most_hops: int = MOST_HOPS) -> DataFrame:
     """(eid, depth) of all nodes within ``most_hops`` of the named ones."""
-    links = materialise(g.undirected().select("here", "there").distinct(), "links")  # read once a round
+    links = _links(materialise(g.edges.select("src", F.lit("").alias("rel"), "dst"), "links"))  # read once a round
     seen = frontier = materialise(g.anchors(names).select("eid", F.lit(0).alias("depth")).distinct(), "frontier")
     for depth in range(1, most_hops + 1):
         reached = links.join(frontier.select(F.col("eid").alias("here")), "here", "left_semi").select(F.col("there").alias("eid")).distinct()
@@ -38,13 +44,11 @@ def path_between(g: Graph, a: str, b: str, most_hops: int = MOST_HOPS, include_m
     is its own end has the empty path of one node. include_mentions: paths may cross
     chunks, whose names are null.
     """
-    links = g.undirected().select("here", "rel", "there")
+    edges = g.edges.select("src", "rel", "dst")
     if include_mentions and g.mentions is not None:
-        m = g.mentions
-        both = m.select(F.col("chunk_id").alias("here"), F.lit("MENTIONS").alias("rel"), F.col("eid").alias("there"))
-        links = links.unionByName(both).unionByName(both.select(F.col("there").alias("here"), "rel", F.col("here").alias("there")))
-    # Of parallel edges only the first relation can be on the path that is taken.
-    links = materialise(links.groupBy("here", "there").agg(F.min("rel").alias("rel")), "links")
+        edges = edges.unionByName(g.mentions.select(F.col("chunk_id").alias("src"), F.lit("MENTIONS").alias("rel"), F.col("eid").alias("dst")))
+    # Of parallel edges the first relation is on the path that is taken, as the least state of a node moves on.
+    links = _links(materialise(edges, "links"))
     start = g.anchors([a]).select(F.col("eid").alias("root"), "eid", F.array("eid").alias("nodes"), F.array().cast("array<string>").alias("relations"))
     frontier = materialise(start, "paths")
     seen = frontier.select("root", "eid")
@@ -72,20 +76,23 @@ def paths_between(g: Graph, pairs: DataFrame, most_hops: int = MOST_HOPS) -> Dat
     All pairs are searched at once, from both ends by turns; a pair is done in the first
     round in which its two frontiers share a node. A state is a pair and a node, however
     many paths lead there. Then the nodes that lie between are marked backwards from the
-    shared ones, each takes one step on, and the paths are put together along these steps.
+    shared ones, each takes one step on, and the paths are put together along these steps;
+    this goes by the links that the search took, kept by level, so that the edges are read
+    once a round and once for the relations.
     Of several shortest paths that is taken whose first node in which they differ has the
     smallest id, and of parallel edges the first relation. A node that is its own end has
     the path of one node; pairs without a path of most_hops, unknown or null ids give no row;
     repeated pairs give one.
     """
-    links = g.undirected().select("here", "rel", "there").groupBy("here", "there").agg(F.min("rel").alias("rel"))
-    links = materialise(links, "links")
+    links = _links(materialise(g.edges.select("src", "rel", "dst"), "links"))
     pairs = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
     known = g.nodes.select("eid").distinct()
     pairs = pairs.join(known.withColumnRenamed("eid", "a"), "a", "left_semi").join(known.withColumnRenamed("eid", "b"), "b", "left_semi")
     pairs = materialise(pairs, "pairs")
     # Levels of either side: the nodes at each distance from a, and from b.
     sides = [[materialise(pairs.select("a", "b", F.col(end).alias("eid")), "level")] for end in ("a", "b")]
+    # Links (a, b, eid, there) from each level to the next.
+    taken: list[list[DataFrame]] = [[], []]
     met = materialise(pairs.where("a = b").select("a", "b", F.col("a").alias("eid"), F.lit(0).alias("i"), F.lit(0).alias("j")), "met")
     found = met
     for turn in range(most_hops):
@@ -94,8 +101,10 @@ def paths_between(g: Graph, pairs: DataFrame, most_hops: int = MOST_HOPS) -> Dat
         seen = mine[0]
         for level in mine[1:]:
             seen = seen.unionByName(level)
-        step = open_.join(links.select(F.col("here").alias("eid"), "there"), "eid").select("a", "b", F.col("there").alias("eid")).distinct()
-        new = materialise(step.join(seen, ["a", "b", "eid"], "left_anti"), "level")
+        step = open_.join(links.select(F.col("here").alias("eid"), "there"), "eid").select("a", "b", "eid", "there")
+        step = materialise(step.join(seen.withColumnRenamed("eid", "there"), ["a", "b", "there"], "left_anti").select("a", "b", "eid", "there"), "taken")
+        new = materialise(step.select("a", "b", F.col("there").alias("eid")).distinct(), "level")
+        taken[turn % 2].append(step)
         mine.append(new)
         if new.isEmpty():
             break
@@ -109,14 +118,12 @@ def paths_between(g: Graph, pairs: DataFrame, most_hops: int = MOST_HOPS) -> Dat
     for depth in range(len(sides[0]) - 2, -1, -1):
         here = found.where(F.col("i") == depth + 1).select("a", "b", F.col("eid").alias("there"))
         here = here if ahead is None else here.unionByName(ahead.select("a", "b", F.col("eid").alias("there")))
-        back = here.join(links.select("there", F.col("here").alias("eid")), "there").join(sides[0][depth], ["a", "b", "eid"], "left_semi")
+        back = taken[0][depth].join(here.distinct(), ["a", "b", "there"], "left_semi")
         ahead = materialise(back.groupBy("a", "b", "eid").agg(F.min("there").alias("to")), "steps")
         steps.append(ahead.withColumn("depth", F.lit(depth)))
     # On the other side every node steps to its least neighbour that is nearer to b.
     for near in range(len(sides[1]) - 1):
-        toward = sides[1][near].select("a", "b", F.col("eid").alias("there"))
-        from_ = sides[1][near + 1].join(links.select(F.col("here").alias("eid"), "there"), "eid").join(toward, ["a", "b", "there"], "left_semi")
-        least = from_.groupBy("a", "b", "eid").agg(F.min("there").alias("to"))
+        least = taken[1][near].groupBy("a", "b", F.col("there").alias("eid")).agg(F.min("eid").alias("to"))
         ends = found.groupBy("a", "b").agg(F.max(F.col("i") + F.col("j")).alias("hops"), F.max("i").alias("first"))
         placed = least.join(ends, ["a", "b"]).withColumn("depth", F.col("hops") - near - 1).where("depth >= first")
         steps.append(materialise(placed.select("a", "b", "eid", "to", "depth"), "steps"))
@@ -131,7 +138,9 @@ def paths_between(g: Graph, pairs: DataFrame, most_hops: int = MOST_HOPS) -> Dat
             on = every.where(F.col("depth") == depth).select("a", "b", "eid", "to")
             walk = walk.join(on, ["a", "b", "eid"], "left").select("a", "b", "hops", F.coalesce("to", "eid").alias("eid"), F.when(F.col("to").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("to"))).alias("nodes"))
     placed = materialise(walk.select("a", "b", "hops", "nodes"), "walks").select("a", "b", "hops", "nodes", F.posexplode("nodes").alias("pos", "here"))
-    placed = placed.withColumn("there", F.try_element_at("nodes", F.col("pos") + 2)).join(links, ["here", "there"], "left")
+    placed = materialise(placed.withColumn("there", F.try_element_at("nodes", F.col("pos") + 2)), "placed")
+    rels = links.join(placed.select("here", "there").distinct(), ["here", "there"], "left_semi").groupBy("here", "there").agg(F.min("rel").alias("rel"))
+    placed = placed.join(rels, ["here", "there"], "left")
     named = placed.join(g.nodes.select(F.col("eid").alias("here"), "name"), "here", "left")
     out = named.groupBy("a", "b", "hops").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "rel"))).alias("p"))  # most_hops + 1 at most
     return out.select("a", "b", "hops", F.transform("p", lambda x: x["name"]).alias("path"), F.filter(F.transform("p", lambda x: x["rel"]), lambda x: x.isNotNull()).alias("relations"))

@@ -28,3 +28,26 @@ def test_source_hashes_move_as_bytes(spark):
     assert "unhex" in plan(e)
     bad = e.where("NOT triplet_source_id RLIKE '^[0-9a-f]{40}$'")
     assert bad.isEmpty()
+
+
+def test_paths_take_the_edges_once(spark):
+    """The edges may be a large job of their own."""
+    rows = [("a", "R2", "b", None), ("a", "R1", "b", None), ("c", "R1", "b", None), ("c", "R3", "d", None), ("d", "R4", "d", None)]
+    nodes = spark.createDataFrame([(x, "COMPANY", x.upper(), None) for x in "abcd"], S.NODES)
+    pairs = spark.createDataFrame([("a", "d"), ("d", "b"), ("c", "c")], "a string, b string")
+    for run, want in (
+        (lambda g: paths.hop_distances(g, ["A"]).select("eid", "depth"), [("a", 0), ("b", 1), ("c", 2), ("d", 3)]),
+        (lambda g: paths.path_between(g, "A", "D").select(F.array_join("path", ">"), F.array_join("relations", ">")), [("A>B>C>D", "R1>R1>R3")]),
+        (lambda g: paths.paths_between(g, pairs).select("a", F.array_join("path", ">"), F.array_join("relations", ">")), [("a", "A>B>C>D", "R1>R1>R3"), ("c", "C", ""), ("d", "D>C>B", "R3>R1")]),
+    ):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def told(x, seen=seen):
+            seen.add(1)
+            return x
+
+        edges = spark.createDataFrame(rows, S.EDGES)
+        g = Graph(nodes, edges.withColumn("rel", told.asNondeterministic()("rel")))
+        assert sorted(map(tuple, run(g).collect())) == want
+        assert seen.value <= len(rows)
