@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.session import materialise
+
 #: Rows of any template's answer.
 MOST_ROWS = 50
 CHUNK = "Chunk"
@@ -42,31 +44,45 @@ class Graph:
         return e.select(F.col("src").alias("here"), "rel", F.col("dst").alias("there"), "triplet_source_id").unionByName(there)
 
 
+def attached(edges: DataFrame, nodes: DataFrame, end: str, column: str, value: str = "name") -> DataFrame:
+    """Edges with ``value`` of the node at ``end`` as ``column``.
+
+    For edges that are many more than the nodes: ids of nodes are distinct, so each task
+    hashes its share of the nodes, and the edges, of a hub too, pass by unsorted.
+    """
+    return edges.join(nodes.select(F.col("eid").alias(end), F.col(value).alias(column)).hint("shuffle_hash"), end)
+
+
+def _ids(df: DataFrame, column: str) -> DataFrame:
+    """The distinct ids of ``df`` as ``column``, stored, so that Spark knows whether they are few enough to be sent to the edges."""
+    return materialise(df.select(F.col("eid").alias(column)).distinct(), "ids")
+
+
 def _names(df: DataFrame, eid: str, name: str) -> DataFrame:
     return df.select(F.col("eid").alias(eid), F.col("name").alias(name))
 
 
 def out_hop(g: Graph, names: Sequence[str], rel: str, column: str, label: str | None = None) -> DataFrame:
     """(column, _src) of the targets of ``rel`` from the named nodes, one row an edge."""
-    hits = g.edges.where(F.col("rel") == rel).join(g.anchors(names, label).select(F.col("eid").alias("src")), "src", "left_semi")
+    hits = g.edges.where(F.col("rel") == rel).join(_ids(g.anchors(names, label), "src"), "src", "left_semi")
     return hits.join(_names(g.nodes, "dst", column), "dst").select(column, F.col("triplet_source_id").alias("_src"))
 
 
 def count_hop(g: Graph, name: str, rel: str, label: str | None = None) -> DataFrame:
     """One row: the number of edges, 0 without any."""
-    hits = g.edges.where(F.col("rel") == rel).join(g.anchors([name], label).select(F.col("eid").alias("src")), "src", "left_semi")
+    hits = g.edges.where(F.col("rel") == rel).join(_ids(g.anchors([name], label), "src"), "src", "left_semi")
     return hits.agg(F.count(F.lit(1)).alias("count"))
 
 
 def undirected_hop(g: Graph, name: str, rel: str, column: str) -> DataFrame:
     """Distinct names on the other end of ``rel`` edges."""
-    hits = g.undirected().where(F.col("rel") == rel).join(g.anchors([name]).select(F.col("eid").alias("here")), "here", "left_semi")
+    hits = g.undirected().where(F.col("rel") == rel).join(_ids(g.anchors([name]), "here"), "here", "left_semi")
     return hits.join(_names(g.nodes, "there", column), "there").select(column).distinct()
 
 
 def neighbours(g: Graph, name: str, limit: int = MOST_ROWS) -> DataFrame:
     """(relation, connected_to) over all relations, chunks left out, in a total order."""
-    hits = g.undirected().join(g.anchors([name]).select(F.col("eid").alias("here")), "here", "left_semi")
+    hits = g.undirected().join(_ids(g.anchors([name]), "here"), "here", "left_semi")
     far = g.nodes.where(F.col("label") != CHUNK).select(F.col("eid").alias("there"), F.col("name").alias("connected_to"))
     return hits.join(far, "there").select(F.col("rel").alias("relation"), "connected_to").orderBy("relation", "connected_to").limit(limit)
 
@@ -88,7 +104,7 @@ def facing(g: Graph, keyword: str, rel: str, column: str = "company") -> DataFra
 def expand(g: Graph, start: DataFrame, rel: str, out: bool = True) -> DataFrame:
     """Nodes one ``rel`` hop from those of ``start`` (eid); chains make longer patterns."""
     here, there = ("src", "dst") if out else ("dst", "src")
-    hits = g.edges.where(F.col("rel") == rel).join(start.select(F.col("eid").alias(here)).distinct(), here, "left_semi")
+    hits = g.edges.where(F.col("rel") == rel).join(_ids(start, here), here, "left_semi")
     return hits.select(F.col(there).alias("eid")).distinct()
 
 

@@ -46,7 +46,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     src = F.min(F.unhex(_row("lineitem:", "l_orderkey", "l_linenumber"))).alias("source")
     sold = line.groupBy("l_suppkey", "l_partkey").agg(src)
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    served = line.join(orders, "l_orderkey").groupBy("l_suppkey", "o_custkey").agg(src)
+    # An order is one row and a quarter of its lines: each task hashes its share of orders, and the lines pass by unsorted.
+    served = line.join(orders.hint("shuffle_hash"), "l_orderkey").groupBy("l_suppkey", "o_custkey").agg(src)
 
     hexed = F.lower(F.hex("source"))
 

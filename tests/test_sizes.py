@@ -30,6 +30,13 @@ def test_source_hashes_move_as_bytes(spark):
     assert bad.isEmpty()
 
 
+def test_few_anchors_are_sent_to_the_edges(spark, large):
+    for df in (graph.undirected_hop(large, "n7", "OWNS", "x"), graph.neighbours(large, "n7"), graph.expand(large, large.anchors(["n7"]), "OWNS"), graph.out_hop(large, ["n7"], "OWNS", "x")):
+        semi = [line for line in plan(df).splitlines() if "LeftSemi" in line]
+        assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert sorted(r[1] for r in graph.neighbours(large, "n7").collect()) == ["n6", "n8"]
+
+
 def test_paths_take_the_edges_once(spark):
     """The edges may be a large job of their own."""
     rows = [("a", "R2", "b", None), ("a", "R1", "b", None), ("c", "R1", "b", None), ("c", "R3", "d", None), ("d", "R4", "d", None)]
