@@ -41,7 +41,8 @@ def junk(g: Graph) -> DataFrame:
 
 def rewire(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     """Edges with ends moved to their survivors (eid, survivor), parallel ones merged."""
-    s = survivors.where("eid <> survivor")
+    # An id has one survivor: each task hashes its share of them, and the edges pass by unsorted.
+    s = survivors.where("eid <> survivor").hint("shuffle_hash")
     moved = edges.join(s.toDF("src", "s2"), "src", "left").join(s.toDF("dst", "d2"), "dst", "left")
     moved = moved.select(F.coalesce("s2", "src").alias("src"), "rel", F.coalesce("d2", "dst").alias("dst"), "triplet_source_id")
     return merge_edges(moved)

@@ -23,6 +23,13 @@ def large(spark):
     return Graph(nodes, edges)
 
 
+def test_ends_are_attached_without_sorting_the_edges(spark, large):
+    named = graph.attached(graph.attached(large.edges, large.nodes, "src", "s"), large.nodes, "dst", "t")
+    moved = maintain.rewire(large.edges, large.nodes.select("eid", F.lit("0").alias("survivor"))).select("src", "rel", "dst")
+    for df in (named, moved):
+        assert "ShuffledHashJoin" in plan(df) and "SortMergeJoin" not in plan(df) and "Sort [" not in plan(df)
+
+
 def test_graph_queries_do_not_sort_the_edges(spark):
     from evigraph.plans import registry
 
