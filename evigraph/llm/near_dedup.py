@@ -245,7 +245,21 @@ def relabelled(label: DataFrame, to: DataFrame, n_rows: int) -> DataFrame:
     return looked_up(label, "label", up, "node", n_rows).select("node", F.coalesce("value", "label").alias("label"))
 
 
-def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int, most_rows: int) -> DataFrame:
+def placed(held: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, label, bucket, band) of ``held`` (node, places); the label joins a node's row, not each of its places."""
+    rows = held.join(label, "node").select("node", "label", F.explode("places").alias("p"))
+    return rows.select("node", "label", "p.bucket", "p.band")
+
+
+def still_open(held: DataFrame, label: DataFrame, n: int) -> DataFrame:
+    """``held`` (node, places) with the places in buckets of several components; as components only grow, other buckets stay closed."""
+    rows = placed(held, label)
+    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    left = rows.join(cut(several, "several", BANDS * n), "bucket", "left_semi")
+    return cut(left.groupBy("node").agg(F.collect_list(F.struct("bucket", "band")).alias("places")), "held", n, WIDE_ROWS)
+
+
+def open_pairs(held: DataFrame, label: DataFrame, odd: DataFrame, percent: int, most_rows: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and whose full sets may be similar enough.
 
     Members outside a bucket's largest component meet all its members; of two such members
@@ -253,18 +267,18 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     each at the first two bands that both share, not at all of them. Bands are told by 31
     bits here, so a link is lost where two earlier bands look shared that aren't: 1e-15 a pair.
     """
-    placed = rows.select("bucket", "band", "node").join(label, "node")
-    part = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    rows = placed(held, label)
+    part = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     cells = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
     grid = F.struct(F.col("top.label").alias("main"), cells(F.col("n") - F.col("top.n")).alias("rows"), cells(F.col("n")).alias("cols"))
     main = cut(main.select("bucket", grid.alias("value")), "mains", most_rows)
-    held = looked_up(placed, "bucket", main, "node", most_rows)
-    held = cut(held.where("value IS NOT NULL").select(*placed.columns, "value.*").join(odd, "node"), "open", most_rows, WIDE_ROWS)
+    inside = looked_up(rows, "bucket", main, "node", most_rows)
+    inside = cut(inside.where("value IS NOT NULL").select(*rows.columns, "value.*").join(odd, "node"), "open", most_rows, WIDE_ROWS)
     place = lambda n, side: F.pmod(F.xxhash64("node", F.lit(side)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = held.where("label <> main").select("bucket", place("rows", 0).alias("row"), every("cols").alias("col"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
-    whole = held.select("bucket", every("rows").alias("row"), place("cols", 1).alias("col"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
+    rest = inside.where("label <> main").select("bucket", place("rows", 0).alias("row"), every("cols").alias("col"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
+    whole = inside.select("bucket", every("rows").alias("row"), place("cols", 1).alias("col"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
     same = (rest["bucket"] == whole["bucket"]) & (rest["row"] == whole["row"]) & (rest["col"] == whole["col"])
     other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     before = lambda c: F.slice(c, F.lit(1), F.col("band"))
@@ -273,12 +287,12 @@ def open_pairs(rows: DataFrame, label: DataFrame, odd: DataFrame, percent: int,
     return near.select("a", "b").distinct()
 
 
-def drawn_pairs(rows: DataFrame, label: DataFrame, turn: int, most_rows: int) -> DataFrame:
+def drawn_pairs(held: DataFrame, label: DataFrame, turn: int, most_rows: int) -> DataFrame:
     """Pairs (a, b) of a member and the head that its bucket drew this turn, of other components, a few for each member."""
-    placed = rows.select("bucket", "node").join(label, "node")
-    heads = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")).alias("value"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    rows = placed(held, label)
+    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")).alias("value"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     heads = cut(heads.where("lo < hi").select("bucket", "value"), "heads", most_rows)
-    met = looked_up(placed, "bucket", heads, "node", most_rows).where("value.label <> label")
+    met = looked_up(rows, "bucket", heads, "node", most_rows).where("value.label <> label")
     met = met.groupBy(F.col("value.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", "b"), "a"))
     return met.withColumn("rank", rank).where(F.col("rank") <= FIRST_HEADS).select("a", "b")
@@ -332,14 +346,16 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
 
     rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "band_key").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
-    rows = cut(rows.join(heads, "bucket"), "buckets", BANDS * n)
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
+    # A row for each node, with its buckets: what later joins and writes is nodes, not 64 places of each.
+    places = F.collect_list(F.struct("bucket", "band", "head")).alias("places")
+    held = cut(rows.join(heads, "bucket").groupBy("node").agg(places), "held", n, WIDE_ROWS)
+    wanted = nodes.join(held.select("node"), "node", "left_semi").select("node", "doc_id", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
     wanted = cut(wanted, "sketches", n, WIDE_ROWS)
     sets = cut(full_sets(docs, wanted.select("node", "doc_id", "key_a", "key_b"), k, id_col, text_col), "sets")
     n = sets.count()
 
     # A node has at most a pair for each band: the heads met in most bands, and the least of all.
-    met = rows.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+    met = held.select("node", F.explode("places.head").alias("head")).where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "head"))
     least = F.min("head").over(Window.partitionBy("node"))
     met = met.select("node", "head", rank.alias("rank"), least.alias("least")).where((F.col("rank") <= FIRST_HEADS) | (F.col("head") == F.col("least")))
@@ -357,8 +373,10 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
         ends = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         return cut(relabelled(label, components(ends, links.count()), n), "labels", n)
 
+    rest = still_open(held, label, n)
+    forget(held)
     for turn in range(ROUNDS):
-        drawn = cut(drawn_pairs(rows, label, turn, BANDS * n), "drawn", FIRST_HEADS * n)
+        drawn = cut(drawn_pairs(rest, label, turn, BANDS * n), "drawn", FIRST_HEADS * n)
         near = drawn.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb", SKETCH_BITS) <= most_flips(percent / 100)).select("a", "b")
         more = cut(confirmed(near, sets, percent), "links", FIRST_HEADS * n, PAIRS_PER_FILE)
         found = more.count()
@@ -370,12 +388,12 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
     # The exact way for the rest: buckets of several components.
     digests = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("digests")
     odd = sets.select("node", "size", "parity").join(wanted.select("node", digests), "node")
-    near = cut(open_pairs(rows, label, odd, percent, BANDS * n), "near")
+    near = cut(open_pairs(rest, label, odd, percent, BANDS * n), "near")
     more = cut(confirmed(near, sets, percent), "links", near.count(), PAIRS_PER_FILE)
     if not more.isEmpty():
         label = merged(more)
 
-    for used in (rows, wanted, sets):
+    for used in (rest, wanted, sets):
         forget(used)
     # Sets that met no other are components of their own.
     named = cut(classes.join(label, "node", "left").select("node", "key_a", "key_b", "doc_id", F.coalesce("label", "node").alias("label")), "named")
