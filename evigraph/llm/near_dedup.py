@@ -11,15 +11,16 @@
 3. In the band buckets a member is paired with the bucket's smallest member only, and of
    these pairs a node keeps the few that meet in most bands. Sketches rule pairs out,
    full sets confirm the others. Connected components follow by contracting random stars.
-   Then, while it links many, each bucket draws another head, which members of other
-   components are paired with in the same way.
-4. Buckets that still hold several components get the exact way for the rest: members
-   outside the bucket's main component are compared with all members of other
-   components inside a join's condition, by their sizes and by odd sketches of the full
-   sets, so that only near links come out; these are confirmed on full sets. No pair of
-   a bucket is left open, and no bucket is expanded into all its pairs. A large bucket is
-   a grid: its outsiders are dealt to rows, its members to columns of CELL each, and a
-   cell is what one task compares at a time.
+4. Buckets that still hold several components get the exact way for the rest. A bucket of
+   up to CELL members is one cell, a larger one is dealt to several. In a cell, what one
+   task compares at a time, members of other components than the cell's largest meet all
+   its members, by sizes and by odd sketches of the full sets. Only those that come near
+   another bring their full sets to a second pass over the cells, which confirms links and
+   gives a spanning forest of the cell's components: fewer links than the cell has
+   components, however many pairs are similar.
+5. In buckets of several cells that hold several components even so, members outside the
+   main component are dealt to rows and all members to columns of a grid, whose cells are
+   compared in the same way. No pair of a bucket is left open, and none is a row.
 
 Labels of components are looked up by join; those of more than a 65,536th of all rows go
 to all tasks instead (65,536 at most), so no task gathers a large component.
@@ -42,6 +43,8 @@ its full set, 8 bytes a shingle, moves as one value.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -64,10 +67,8 @@ FIRST_HEADS = 2
 PAIRS_PER_FILE = 20_000
 #: Rows with sketches in a file, about.
 WIDE_ROWS = 50_000
-#: Most rounds of heads drawn anew, and the fewest links of a round that call for another.
-ROUNDS, FEWEST_LINKS = 6, 16
-#: Members of a bucket on each side of a cell.
-CELL = 1024
+#: Members of a bucket on each side of a cell, and shingles in their sets, about.
+CELL, CELL_SHINGLES = 1024, 4_000_000
 #: Fewest rows with which a label counts as that of a large component.
 LARGE = 1024
 
@@ -143,19 +144,16 @@ def _flips(a: str, b: str, bits: int) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _sets_may_link(na: str, nb: str, pa_: str, pb: str, percent: int) -> Column:
-    """Whether sizes and full-set sketches leave the threshold possible.
+def _most_odd(added: np.ndarray, percent: int) -> np.ndarray:
+    """The most differing bits of full-set sketches that leave the threshold possible, by the added sizes of two sets.
 
     Similar sets differ in at most d = (100 - percent) / (100 + percent) of their added
     sizes; d flips of n bits leave n/2 (1 - (1 - 2/n)**d) odd ones on average.
     """
-    n, a, b = float(SET_BITS), F.col(na), F.col(nb)
-    sizes = (F.lit(100) * F.least(a, b)) >= (F.lit(percent) * F.greatest(a, b))
-    d = (a + b) * F.lit((100 - percent) / (100 + percent))
-    one, two = F.pow(F.lit(1 - 2 / n), d), F.pow(F.lit(1 - 4 / n), d)
-    mean = F.lit(n / 2) * (1 - one)
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.lit(n / 4) * (1 - two) + F.lit(n * n / 4) * (two - one * one)))
-    return sizes & (_flips(pa_, pb, SET_BITS) <= mean + F.lit(DEVIATIONS) * spread + 1)
+    n, d = float(SET_BITS), added * ((100 - percent) / (100 + percent))
+    one, two = (1 - 2 / n) ** d, (1 - 4 / n) ** d
+    spread = np.sqrt(np.maximum(0.0, n / 4 * (1 - two) + n * n / 4 * (two - one * one)))
+    return n / 2 * (1 - one) + DEVIATIONS * spread + 1
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
@@ -245,10 +243,10 @@ def relabelled(label: DataFrame, to: DataFrame, n_rows: int) -> DataFrame:
     return looked_up(label, "label", up, "node", n_rows).select("node", F.coalesce("value", "label").alias("label"))
 
 
-def placed(held: DataFrame, label: DataFrame) -> DataFrame:
-    """(node, label, bucket, band) of ``held`` (node, places); the label joins a node's row, not each of its places."""
-    rows = held.join(label, "node").select("node", "label", F.explode("places").alias("p"))
-    return rows.select("node", "label", "p.bucket", "p.band")
+def placed(held: DataFrame, label: DataFrame, *more: str) -> DataFrame:
+    """(node, label, bucket) of ``held`` (node, places) and its further columns; the label joins a node's row, not each of its places."""
+    rows = held.join(label, "node").select("node", "label", *more, F.explode("places").alias("p"))
+    return rows.select("node", "label", *more, "p.bucket")
 
 
 def still_open(held: DataFrame, label: DataFrame, n: int) -> DataFrame:
@@ -256,46 +254,147 @@ def still_open(held: DataFrame, label: DataFrame, n: int) -> DataFrame:
     rows = placed(held, label)
     several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     left = rows.join(cut(several, "several", BANDS * n), "bucket", "left_semi")
-    return cut(left.groupBy("node").agg(F.collect_list(F.struct("bucket", "band")).alias("places")), "held", n, WIDE_ROWS)
+    return cut(left.groupBy("node").agg(F.collect_list(F.struct("bucket")).alias("places")), "held", n, WIDE_ROWS)
 
 
-def open_pairs(held: DataFrame, label: DataFrame, odd: DataFrame, percent: int, most_rows: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose full sets may be similar enough.
+class Cell:
+    """The members of a cell, as arrays.
 
-    Members outside a bucket's largest component meet all its members; of two such members
-    the smaller node is a. The test is part of the join, so only near links come out, and
-    each at the first two bands that both share, not at all of them. Bands are told by 31
-    bits here, so a link is lost where two earlier bands look shared that aren't: 1e-15 a pair.
+    side: 0 stands in a row of a grid, 1 in a column, -1 in both; main: the label whose
+    members aren't compared with each other's rows, that of most members if side is -1.
     """
-    rows = placed(held, label)
+
+    def __init__(self, cell: pa.RecordBatch, percent: int) -> None:
+        side, main, self.node, self.label, self.size = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("side", "main", "node", "label", "size"))
+        self.percent = percent
+        # Bits of signed numbers would be counted in their absolute values.
+        self.odd = cell.column("parity").flatten().to_numpy().view(np.uint64).reshape(len(side), -1)
+        names, counts = np.unique(self.label, return_counts=True)
+        main = names[counts.argmax()] if side[0] < 0 else main[0]
+        self.inner = self.label == main
+        self.rows, self.cols = np.flatnonzero((side != 1) & ~self.inner), np.flatnonzero(side != 0)
+
+    def near(self, r: int) -> np.ndarray:
+        """The members that row r has to meet and whose full sets may be similar enough; of two rows the smaller node meets the other."""
+        c = self.cols[(self.label[self.cols] != self.label[r]) & (self.inner[self.cols] | (self.node[self.cols] > self.node[r]))]
+        a, b = self.size[r], self.size[c]
+        c = c[100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)]
+        flips = np.bitwise_count(self.odd[c] ^ self.odd[r]).sum(axis=1, dtype=np.int64)
+        return c[flips <= _most_odd((self.size[c] + a).astype(np.float64), self.percent)]
+
+
+def met_members(cell: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """The places of a cell's members that come near one of another component."""
+    c = Cell(cell, percent)
+    met = np.zeros(cell.num_rows, bool)
+    for r in c.rows:
+        near = c.near(r)
+        met[near] = True
+        met[r] |= len(near) > 0
+    return cell.select(PLACE).filter(pa.array(met)) if met.any() else None
+
+
+def forest(cell: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """Links (a, b), confirmed on full sets, that join all components of a cell that are linked: one less than it joins."""
+    c = Cell(cell, percent)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("shingles")]
+    ends = np.cumsum([len(x) for x in sets])
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(at, ends[:-1])
+    marks = np.zeros(len(known), np.int32)
+    root = c.label.copy()
+    a, b = [], []
+    for r in c.rows:
+        near = c.near(r)
+        near = near[root[near] != root[r]]
+        if not len(near):
+            continue
+        marks[sets[r]] = 1
+        starts = np.cumsum([0, *c.size[near][:-1]])
+        common = np.add.reduceat(marks[np.concatenate([sets[x] for x in near])], starts)
+        marks[sets[r]] = 0
+        for x in near[100 * common >= percent * (c.size[near] + c.size[r] - common)]:
+            if root[x] != root[r]:
+                root[root == root[x]] = root[r]
+                a.append(c.node[r])
+                b.append(c.node[x])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+
+#: What tells a cell, and a member's place in it.
+CELL_KEY = ["bucket", "row", "col"]
+PLACE = [*CELL_KEY, "side", "main", "node", "label"]
+
+
+def by_cell(rows: DataFrame, fn: Callable[[pa.RecordBatch, int], pa.RecordBatch | None], percent: int, schema: str) -> DataFrame:
+    """``fn`` over the rows of each cell, which lie together and may reach over batches."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in CELL_KEY], axis=1)
+            new = np.concatenate([[last is not None and (key[0] != last).any()], (key[1:] != key[:-1]).any(axis=1)])
+            out, at = [], 0
+            for end in np.flatnonzero(new):
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+                out.append(fn(joined(held), percent))
+                held, at = [], end
+            held.append(batch.slice(at))
+            last = key[-1]
+            out = [x for x in out if x is not None]
+            if out:
+                yield joined(out)
+        if held and (x := fn(joined(held), percent)) is not None:
+            yield x
+
+    return rows.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "node").mapInArrow(run, schema)
+
+
+def links_in_cells(cells: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that join what is linked in each of the ``cells`` (PLACE, size, parity): a forest of each cell's components."""
+    schema = "bucket long, row int, col int, side int, main long, node long, label long"
+    met = cut(by_cell(cells, met_members, percent, schema), "met", BANDS * n, WIDE_ROWS)
+    # Full sets join a node's row, not each of its places.
+    at = met.groupBy("node").agg(F.collect_list(F.struct(*(c for c in PLACE if c != "node"))).alias("at"))
+    whole = at.join(sets, "node").select("node", "size", "parity", "shingles", F.explode("at").alias("p"))
+    return by_cell(whole.select("p.*", "node", "size", "parity", "shingles"), forest, percent, "a long, b long").distinct()
+
+
+def crowded(rows: DataFrame, most_rows: int) -> DataFrame:
+    """(bucket, cells) of the buckets of ``rows`` that take several cells; some 65,536 at most, by wider cells beyond."""
+    wider = max(1, -(-(most_rows >> 16) // CELL))
+    n, size = F.count(F.lit(1)) / F.lit(CELL * wider), F.sum("size") / F.lit(CELL_SHINGLES * wider)
+    return rows.groupBy("bucket").agg(F.ceil(F.greatest(n, size)).cast("int").alias("cells")).where("cells > 1")
+
+
+def _dealt(n: str | Column, turn: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(turn)), n).cast("int")
+
+
+def own_cells(rows: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``rows`` in cells: that of their bucket, or one of those to which a crowded bucket is dealt."""
+    cells = rows.join(F.broadcast(crowd), "bucket", "left")
+    col = F.coalesce(_dealt(F.col("cells"), 0), F.lit(0)).alias("col")
+    return cells.select("bucket", F.lit(0).alias("row"), col, F.lit(-1).alias("side"), F.lit(0).cast("long").alias("main"), "node", "label", "size", "parity")
+
+
+def grid_cells(rows: DataFrame, crowd: DataFrame) -> DataFrame:
+    """The crowded buckets' ``rows`` as grids: members outside the main component in rows, all members in columns."""
+    rows = rows.join(F.broadcast(crowd), "bucket")
     part = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    cells = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
-    grid = F.struct(F.col("top.label").alias("main"), cells(F.col("n") - F.col("top.n")).alias("rows"), cells(F.col("n")).alias("cols"))
-    main = cut(main.select("bucket", grid.alias("value")), "mains", most_rows)
-    inside = looked_up(rows, "bucket", main, "node", most_rows)
-    inside = cut(inside.where("value IS NOT NULL").select(*rows.columns, "value.*").join(odd, "node"), "open", most_rows, WIDE_ROWS)
-    place = lambda n, side: F.pmod(F.xxhash64("node", F.lit(side)), F.col(n)).cast("int")
+    main = part.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = main.select("bucket", F.col("top.label").alias("main"), ((F.col("all") - F.col("top.n")) / F.col("all")).alias("share"))
+    rows = rows.join(F.broadcast(main), "bucket").withColumn("rows", F.ceil(F.col("cells") * F.col("share")).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = inside.where("label <> main").select("bucket", place("rows", 0).alias("row"), every("cols").alias("col"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"), F.col("digests").alias("da"), "band")
-    whole = inside.select("bucket", every("rows").alias("row"), place("cols", 1).alias("col"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"), F.col("digests").alias("db"), "main")
-    same = (rest["bucket"] == whole["bucket"]) & (rest["row"] == whole["row"]) & (rest["col"] == whole["col"])
-    other = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    before = lambda c: F.slice(c, F.lit(1), F.col("band"))
-    first = F.size(F.filter(F.zip_with(before("da"), before("db"), lambda x, y: x == y), lambda x: x)) <= 1
-    near = rest.join(whole, same & other & _sets_may_link("na", "nb", "pa", "pb", percent) & first)
-    return near.select("a", "b").distinct()
-
-
-def drawn_pairs(held: DataFrame, label: DataFrame, turn: int, most_rows: int) -> DataFrame:
-    """Pairs (a, b) of a member and the head that its bucket drew this turn, of other components, a few for each member."""
-    rows = placed(held, label)
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")).alias("value"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    heads = cut(heads.where("lo < hi").select("bucket", "value"), "heads", most_rows)
-    met = looked_up(rows, "bucket", heads, "node", most_rows).where("value.label <> label")
-    met = met.groupBy(F.col("value.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", "b"), "a"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= FIRST_HEADS).select("a", "b")
+    rest = rows.where("label <> main").select("bucket", _dealt(F.col("rows"), 1).alias("row"), every("cells").alias("col"), F.lit(0).alias("side"), "main", "node", "label", "size", "parity")
+    whole = rows.select("bucket", every("rows").alias("row"), _dealt(F.col("cells"), 2).alias("col"), F.lit(1).alias("side"), "main", "node", "label", "size", "parity")
+    return rest.unionByName(whole)
 
 
 def components(edges: DataFrame, most_rows: int) -> DataFrame:
@@ -344,12 +443,12 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
     n_sets = n
     nodes = filled.select("doc_id", "key_a", "key_b", "bands", "sketch").join(classes, ["doc_id", "key_a", "key_b"])
 
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "band_key").alias("bucket"))
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "band_key")).select("node", F.xxhash64("band", "band_key").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
     # A row for each node, with its buckets: what later joins and writes is nodes, not 64 places of each.
-    places = F.collect_list(F.struct("bucket", "band", "head")).alias("places")
+    places = F.collect_list(F.struct("bucket", "head")).alias("places")
     held = cut(rows.join(heads, "bucket").groupBy("node").agg(places), "held", n, WIDE_ROWS)
-    wanted = nodes.join(held.select("node"), "node", "left_semi").select("node", "doc_id", "key_a", "key_b", "sketch", "bands").dropDuplicates(["node"])
+    wanted = nodes.join(held.select("node"), "node", "left_semi").select("node", "doc_id", "key_a", "key_b", "sketch").dropDuplicates(["node"])
     wanted = cut(wanted, "sketches", n, WIDE_ROWS)
     sets = cut(full_sets(docs, wanted.select("node", "doc_id", "key_a", "key_b"), k, id_col, text_col), "sets")
     n = sets.count()
@@ -366,32 +465,24 @@ def _marked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, k
     roots = components(links, links.count()).withColumnRenamed("label", "root")
     label = cut(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels", n)
 
-    # Members that no head of theirs is near enough to meet others: a few rounds in which
-    # each bucket's head is drawn anew, so that a group of near copies, however large, is
-    # one component before any of its pairs are looked at.
     def merged(links: DataFrame) -> DataFrame:
         ends = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         return cut(relabelled(label, components(ends, links.count()), n), "labels", n)
 
+    # The exact way for the rest: buckets of several components.
     rest = still_open(held, label, n)
     forget(held)
-    for turn in range(ROUNDS):
-        drawn = cut(drawn_pairs(rest, label, turn, BANDS * n), "drawn", FIRST_HEADS * n)
-        near = drawn.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_flips("sa", "sb", SKETCH_BITS) <= most_flips(percent / 100)).select("a", "b")
-        more = cut(confirmed(near, sets, percent), "links", FIRST_HEADS * n, PAIRS_PER_FILE)
-        found = more.count()
-        if found:
-            label = merged(more)
-        if found < max(FEWEST_LINKS, drawn.count() // 200):
-            break
-
-    # The exact way for the rest: buckets of several components.
-    digests = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("digests")
-    odd = sets.select("node", "size", "parity").join(wanted.select("node", digests), "node")
-    near = cut(open_pairs(rest, label, odd, percent, BANDS * n), "near")
-    more = cut(confirmed(near, sets, percent), "links", near.count(), PAIRS_PER_FILE)
+    odd = rest.join(sets.select("node", "size", "parity"), "node")
+    rows = placed(odd, label, "size", "parity")
+    crowd = cut(crowded(rows, BANDS * n), "crowded", n)
+    more = cut(links_in_cells(own_cells(rows, crowd), sets, percent, n), "links", BANDS * n)
     if not more.isEmpty():
         label = merged(more)
+    if not crowd.isEmpty():
+        rows = placed(odd, label, "size", "parity")
+        more = cut(links_in_cells(grid_cells(rows, crowd), sets, percent, n), "links", BANDS * n)
+        if not more.isEmpty():
+            label = merged(more)
 
     for used in (rest, wanted, sets):
         forget(used)
