@@ -9,7 +9,7 @@ from evigraph.functions.text import canonical
 from evigraph.operators.components import components
 from evigraph.operators.graph import Graph
 from evigraph.operators.maintain import apply_merge
-from evigraph.operators.vectors import similar_links, similar_pairs
+from evigraph.operators.vectors import pairs_between, similar_links, similar_pairs
 
 THRESHOLD, NEAR = 0.90, 0.08
 
@@ -46,8 +46,8 @@ def cosine_stars(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def near_matches(vectors: DataFrame, threshold: float = THRESHOLD, band: float = NEAR, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Pairs a little below the threshold, for reviewing it (I4)."""
-    return similar_pairs(vectors, threshold - band, group_col, id_col, vec_col).where(F.col("similarity") < threshold)
+    """All pairs of rows a little below the threshold, for reviewing it, copies' too (I4)."""
+    return pairs_between(vectors, threshold - band, threshold, group_col, id_col, vec_col)
 
 
 def component_survivors(entities: DataFrame, component: DataFrame) -> DataFrame:

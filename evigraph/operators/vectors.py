@@ -29,16 +29,16 @@ CHOICES = 1 << 18
 NOISE = 1e-11
 #: Vectors in a block of the similarity join, those held against a block at once, and pairs worked out at once.
 PAIR_BLOCK, PAIR_ROWS, PAIR_STEP = 8192, 512, 1 << 16
-#: Tasks that pairs of blocks are dealt to, at most.
-MOST_PARTS = 4096
+#: Tasks that pairs of blocks are dealt to, at most; rows of one vector in a list, about.
+MOST_PARTS, COPIES = 4096, 1024
 #: Vectors that its rotation is fitted on, slices of either coordinate, coordinates of a box.
 PAIR_SAMPLE, MOST_SLICES, BOX = 4096, 64, 8
 #: Lists of an index, vectors that its centroids are fitted on, and rows in a part of a list, about.
 MOST_LISTS, MOST_SAMPLE, PART_ROWS = 4096, 65_536, 50_000
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Unit rows of a list column; zero rows stay zero, shorter ones end in zeros."""
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column, shorter ones end in zeros, and their lengths; rows whose squares pass doubles are scaled by a power of two."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -49,7 +49,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     if width:
         out[np.arange(width)[None, :] < lengths[:, None]] = flat
     size = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+    far = ((size < 1e-70) | (size > 1e70))[:, 0]
+    if width and far.any():
+        out[far] = np.ldexp(out[far], -np.frexp(np.abs(out[far]).max(axis=1, keepdims=True))[1])
+        size[far] = np.linalg.norm(out[far], axis=1, keepdims=True)
+    return out, size
+
+
+def _unit(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows of a list column; zero rows stay zero, shorter ones end in zeros."""
+    return _unit(*_rows(column))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,6 +231,20 @@ def _near(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, threshol
     return i, j, sims, met
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added up in their order."""
+    return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, xx: np.ndarray, yy: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of x and j of y, whose squares' sums are xx and yy, to the bit as DuckDB has them; 0 without length."""
+    w = min(x.shape[1], y.shape[1])
+    steps = [slice(at, at + PAIR_STEP) for at in range(0, len(i), PAIR_STEP)]
+    dot = np.concatenate([np.zeros(0), *(_summed(x[i[k], :w] * y[j[k], :w]) for k in steps)])
+    size = np.sqrt(xx[i] * yy[j])
+    return np.clip(np.divide(dot, size, out=np.zeros(len(i)), where=size > 0), -1, 1)
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of the smallest end of each component of links (a, b) with its other ends."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -247,6 +274,18 @@ def similar_pairs(vectors: DataFrame, threshold: float, group_col: str | None =
     return _pairs(vectors, threshold, group_col, id_col, vec_col, block).where("a IS NOT NULL").select("a", "b", "similarity")
 
 
+def pairs_between(vectors: DataFrame, low: float, high: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
+    """(a, b, similarity) of all pairs of rows with a < b and low <= cosine < high within a group (I4).
+
+    Equal vectors are one only while they are held against others: a pair of distinct
+    vectors comes out for every two of their rows, rows that repeat an id included, and
+    equal ones come out together where 1 is in the band. Rows without id or vector have
+    no pairs. The result is as long as there are such pairs, the square of the copies of
+    two vectors; pairs from ``high`` on don't leave their task.
+    """
+    return _pairs(vectors, low, group_col, id_col, vec_col, block, high=high)
+
+
 def similar_links(vectors: DataFrame, threshold: float, group_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
     """(a, b): links whose ends and components are those of similar_pairs(), for components of them.
 
@@ -267,17 +306,54 @@ def pairs_met(vectors: DataFrame, threshold: float, group_col: str | None = None
     return n.crossJoin(found.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.count("a").alias("links")))  # one row with one row
 
 
-def _pairs(vectors: DataFrame, threshold: float, group_col: str | None, id_col: str, vec_col: str, block: int, stars: bool = False) -> DataFrame:
-    """(a, b, similarity, met): links, or stars of them without similarity, and for each pair of blocks a row with the pairs worked out whole."""
+def _of_rows(pairs: DataFrame, v: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b, similarity) with a < b of all rows of v whose vectors are a pair by their numbers in own.
+
+    Rows of a vector come in lists of about COPIES. Where one has several lists, each pair
+    of lists is dealt by itself, so that no task has all rows of a pair.
+    """
+    parts = F.ceil(F.col("n") / COPIES).cast("int")
+    many = v.join(own.where("n > 1").select("grp", "v", F.col("id").alias("own"), "n"), ["grp", "v"])
+    lists = many.groupBy("own", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).agg(F.collect_list("id").alias("rows"))
+    lists = own.where("n = 1").select(F.col("id").alias("own"), F.lit(0).alias("part"), F.array("first").alias("rows")).unionByName(lists)
+    hot = own.where(F.col("n") > COPIES).select("id", parts.alias("parts"))
+    several = not hot.isEmpty()
+    for end in "ab":
+        if several:
+            pairs = pairs.join(hot.toDF(end, "parts"), end, "left")
+            pairs = pairs.withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        else:
+            pairs = pairs.withColumn(f"part_{end}", F.lit(0))
+    for end in "ab":
+        pairs = pairs.join(lists.toDF(end, f"part_{end}", f"rows_{end}"), [end, f"part_{end}"])
+    if several:
+        pairs = pairs.repartition("a", "part_a", "b", "part_b")
+    rows = pairs.withColumn("row_a", F.explode("rows_a")).withColumn("row_b", F.explode("rows_b"))
+    met = rows.where("row_a < row_b OR a <> b AND row_a <> row_b")
+    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"), "similarity")
+
+
+def _pairs(vectors: DataFrame, threshold: float, group_col: str | None, id_col: str, vec_col: str, block: int, stars: bool = False, high: float | None = None) -> DataFrame:
+    """(a, b, similarity, met): links, or stars of them without similarity, and for each pair of blocks a row with the pairs worked out whole.
+
+    Where there is a bound ``high``, (a, b, similarity) of all rows below it instead.
+    """
     group = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit("")) if group_col else F.lit("")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), group.alias("grp"), F.col(vec_col).alias("v"))
     kind = v.schema["v"].dataType.simpleString()
     if threshold > 0:  # a vector without length is like nothing
         v = v.where(F.exists("v", lambda x: x != 0))
-    v = materialise(v, "vectors")
-    own = materialise(v.groupBy("grp", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
-    copies = v.join(own.where("n > 1").select("grp", "v", F.col("id").alias("first")), ["grp", "v"]).where("id <> first")
-    copies = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(None).cast("long").alias("met"))
+    v = materialise(v.where("id IS NOT NULL AND v IS NOT NULL"), "vectors")
+    own = v.groupBy("grp", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    own = materialise(own.withColumn("id", F.col("first") if high is None else F.monotonically_increasing_id()), "distinct")
+    if high is None:
+        copies = v.join(own.where("n > 1").select("grp", "v", "first"), ["grp", "v"]).where("id <> first")
+        copies = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(None).cast("long").alias("met"))
+    else:  # a vector that has length, and finite numbers, with itself
+        alike = F.when(F.exists("v", lambda x: x != 0), F.lit(1.0)).otherwise(F.lit(0.0))
+        copies = own.where("n > 1").where(F.forall("v", lambda x: F.abs(x.cast("double")) < float("inf")))
+        copies = copies.select(F.col("id").alias("a"), F.col("id").alias("b"), alike.alias("similarity"), F.lit(None).cast("long").alias("met"))
+        copies = copies.where((F.col("similarity") >= threshold) & (F.col("similarity") < high))
 
     size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
     slices = int(min(MOST_SLICES, max(1, np.ceil((size["n"] / block) ** 0.5))))
@@ -312,13 +388,17 @@ def _pairs(vectors: DataFrame, threshold: float, group_col: str | None, id_col:
         met = 0
         if left.num_rows and right.num_rows:
             same = left["slice_a"][0] == left["slice_b"][0] and left["salt_a"][0] == left["salt_b"][0]
-            a, b, x, y = left["id"].to_numpy(), right["id"].to_numpy(), matrix(left["v"]), matrix(right["v"])
-            ty = sent.value.of(y)
+            a, b, (x, size), (y, size_y) = left["id"].to_numpy(), right["id"].to_numpy(), _rows(left["v"]), _rows(right["v"])
+            xx, yy, unit = _summed(x * x), _summed(y * y), _unit(y, size_y)
+            ty = sent.value.of(unit)
             for at in range(0, len(a), PAIR_ROWS):
-                part = x[at : at + PAIR_ROWS]
-                i, j, sims, n = _near(part, y, sent.value.of(part), ty, threshold)
+                part = _unit(x[at : at + PAIR_ROWS], size[at : at + PAIR_ROWS])
+                i, j, _, n = _near(part, unit, sent.value.of(part), ty, threshold - NOISE)
                 i, met = i + at, met + n
-                keep = a[i] < b[j] if same else slice(None)  # a block with itself has each pair twice
+                sims = _cosines(x, y, xx, yy, i, j)
+                keep = (sims >= threshold) & (sims < (np.inf if high is None else high))
+                if same:  # a block with itself has each pair twice
+                    keep &= a[i] < b[j]
                 out.append((np.minimum(a[i], b[j])[keep], np.maximum(a[i], b[j])[keep], sims[keep]))
             met = (met - len(a)) // 2 if same else met
         a, b, sims = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -333,7 +413,8 @@ def _pairs(vectors: DataFrame, threshold: float, group_col: str | None, id_col:
     parts = max(1, min(MOST_PARTS, 2 * cells.count()))
     left, right = (side(s).repartition(parts, *key).groupBy(*key) for s in ("a", "b"))
     found = left.cogroup(right).applyInArrow(run, "a long, b long, similarity double, met long")
-    return found.unionByName(copies)
+    found = found.unionByName(copies)
+    return found if high is None else _of_rows(found.where("a IS NOT NULL").drop("met"), v, own)
 
 
 class IvfIndex:

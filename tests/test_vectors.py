@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from evigraph.operators import vectors
+from evigraph.operators import resolution, vectors
+from evigraph.plans import registry
 
 DATA = "/root/testdata/sf0.1"
 
@@ -124,3 +125,47 @@ def test_an_index_chooses_lists_in_steps(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CHOICES", 60)
     row = vectors.recall(ivf.topk_batch(q, probes=20), vectors.topk_batch(v, q)).first()
     assert (row["queries"], row["hits"], row["gold"]) == (100, 500, 500)
+
+
+def _sql(con, name, folder):
+    con.execute(f"create or replace view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    return sorted(con.sql(registry.SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("copies", [1024, 3])
+def test_near_matches_have_the_pairs_of_all_copies(spark, tmp_path, monkeypatch, copies):
+    """Copies, rows and ids twice, rows without id or vector, zero and odd numbers, many copies in parts: the rows of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(vectors, "COPIES", copies)
+    x = np.random.default_rng(11).normal(size=(60, 8)).round(2)
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    rows += [(100 + k, x[27].tolist()) for k in range(10)] + [(-k, x[7].tolist()) for k in range(1, 8)] + rows[20:24]
+    rows += [(k + 1, x[k].tolist()) for k in range(30, 34)] + [(None, x[9].tolist()), (None, (x[9] + 0.01).tolist()), (200, None)]
+    rows += [(210 + k, [0.0] * 8) for k in range(2)] + [(220 + k, [float("nan"), *x[3, 1:].tolist()]) for k in range(2)] + [(230, [float("inf"), *x[3, 1:].tolist()])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["er_near_matches"](spark, str(tmp_path)).select("a", "b", "similarity").collect())
+    want = _sql(duckdb.connect(), "er_near_matches", tmp_path)
+    assert got == want and {(a, b) for a in (*range(-7, 0), 7) for b in (27, *range(100, 110))} <= {(a, b) for a, b, _ in want}
+    assert len(set(want)) < len(want)  # rows that are there twice
+
+
+def test_pairs_at_the_threshold_are_judged_as_in_sql(spark, tmp_path):
+    """Whole numbers give cosines of just 0.4, whose last bit decides."""
+    duckdb = pytest.importorskip("duckdb")
+    r = range(-4, 5)
+    x = [(a, b, c, d) for a in r for b in r for c in r for d in r if a * a + b * b + c * c + d * d in (9, 25)]
+    spark.createDataFrame([(k, [float(t) for t in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = _sql(duckdb.connect(), "er_near_matches", tmp_path)
+    assert sorted(tuple(r) for r in registry.QUERIES["er_near_matches"](spark, str(tmp_path)).select("a", "b", "similarity").collect()) == want
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    exact = {(i, j) for i, p in enumerate(x) for j in range(i + 1, len(x)) if (dot := sum(map(int.__mul__, p, x[j]))) > 0 and 25 * dot * dot == 4 * sum(map(int.__mul__, p, p)) * sum(map(int.__mul__, x[j], x[j]))}
+    assert len(exact) > 100 and exact <= {(r["a"], r["b"]) for r in vectors.similar_pairs(v, 0.4).collect()}
+
+
+def test_near_matches_of_copies_with_themselves(spark):
+    """Where 1 is in the band, copies come out together; so do vectors whose squares pass doubles."""
+    x = [[3.0, 4.0]] * 3 + [[6e-200, 8e-200], [3e200, 4e200], [0.0, 0.0], [0.0, 0.0], [1.0, 0.0], [float("nan"), 1.0], [float("nan"), 1.0]]
+    got = sorted((r["a"], r["b"]) for r in resolution.near_matches(table(spark, x), 1.05, 0.1).collect())
+    assert got == [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    assert {(r["a"], r["b"]) for r in resolution.near_matches(table(spark, x, ["p", "q", "p", *"rstuvwx"]), 1.05, 0.1, "g").collect()} == {(0, 2)}
+    assert resolution.near_matches(table(spark, x).limit(0), 0.9).count() == 0
